@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, quality_rules, url_filters
+import public_tokenizers
+
+from corpusloom.llm import bpe, language_id, mixing, quality_rules, url_filters
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -105,3 +107,19 @@ WITH u AS (
 )
 SELECT p.page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM p LEFT JOIN w ON p.page_id = w.page_id AND k = 1
 """
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.identify(docs, model, "doc_id", "held_out")
+
+
+@query
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and what they decode to, as digests."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, "doc_id")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.packed(F.col("ids"), path), 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
