@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -134,3 +135,19 @@ def window_hashes(words: np.ndarray, first: np.ndarray, size: int, seed: int = 0
 def with_text(docs: DataFrame, *also: str) -> DataFrame:
     """doc_id, text (null: empty) and what else is named; other columns don't disturb."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *also)
+
+
+def place(bounds, point, n: int):
+    """Index of the interval that holds the point: a binary search unrolled over the sorted bounds."""
+    steps = max(1, math.ceil(math.log2(max(2, n))))
+    low, high = F.lit(0), F.size(bounds)
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps + 1)),
+        F.struct(low.alias("lo"), high.alias("hi")),
+        lambda acc, _: F.when(acc["lo"] >= acc["hi"], acc).otherwise(
+            F.when(F.get(bounds, ((acc["lo"] + acc["hi"]) / 2).cast("int")) <= point, F.struct((((acc["lo"] + acc["hi"]) / 2).cast("int") + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(
+                F.struct(acc["lo"].alias("lo"), ((acc["lo"] + acc["hi"]) / 2).cast("int").alias("hi"))
+            )
+        ),
+    )
+    return found["lo"]

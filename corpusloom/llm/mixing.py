@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, cut_lineage
+from corpusloom.llm.common import WORD, cut_lineage, place
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -73,7 +73,7 @@ def schedule(spark, quotas: list[tuple[str | None, int]], run: int = RUN) -> Dat
     sources = spark.createDataFrame(edges, schema)
     bounds = F.array(*[F.lit(high) for _, _, _, high in edges[:-1]]).cast("array<double>")
     slots = spark.range(total).select(F.col("id").alias("slot"), F.expr(f"(id * {GOLDEN}D) - floor(id * {GOLDEN}D)").alias("point"))
-    at = slots.withColumn("_at", _place(bounds, F.col("point"), len(edges))).withColumn("_run", F.expr(f"slot div {run}"))
+    at = slots.withColumn("_at", place(bounds, F.col("point"), len(edges))).withColumn("_run", F.expr(f"slot div {run}"))
     runs = at.groupBy("_at", "_run").agg(F.count("*").alias("n"))
     before = runs.select(F.col("_at").alias("_a"), F.col("_run").alias("_r"), F.coalesce(F.sum("n").over(Window.partitionBy("_at").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_at", "_run").orderBy("slot")) - 1
@@ -91,22 +91,6 @@ def schedule(spark, quotas: list[tuple[str | None, int]], run: int = RUN) -> Dat
     return got.unionByName(lacking)
 
 
-def _place(bounds, point, n: int):
-    """Index of the interval that holds the point: a binary search unrolled over the sorted bounds."""
-    steps = max(1, math.ceil(math.log2(max(2, n))))
-    low, high = F.lit(0), F.size(bounds)
-    found = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps + 1)),
-        F.struct(low.alias("lo"), high.alias("hi")),
-        lambda acc, _: F.when(acc["lo"] >= acc["hi"], acc).otherwise(
-            F.when(F.get(bounds, ((acc["lo"] + acc["hi"]) / 2).cast("int")) <= point, F.struct((((acc["lo"] + acc["hi"]) / 2).cast("int") + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(
-                F.struct(acc["lo"].alias("lo"), ((acc["lo"] + acc["hi"]) / 2).cast("int").alias("hi"))
-            )
-        ),
-    )
-    return found["lo"]
-
-
 def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.size(F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))), F.lit(0)).cast("long"))
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
-from corpusloom.llm import bpe, language_id, mixing, quality_rules, url_filters
+from corpusloom.llm import bpe, html_extract, language_id, mixing, order_minhash, quality_rules, url_filters
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -123,3 +122,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, "doc_id")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.packed(F.col("ids"), path), 256).alias("ids_sha256"), F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
+@query
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and their likeness."""
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"), "page_id", "url").withColumn("n_chars", F.length("text").cast("long"))
