@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, html_extract, language_id, mixing, order_minhash, quality_rules, url_filters
+from corpusloom.llm import bpe, html_extract, language_id, mixing, order_minhash, pii, quality_rules, url_filters
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -134,3 +134,11 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"), "page_id", "url").withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that the trained classifier adds."""
+    docs = table(spark, sf_dir, "documents")
+    rows = pii.annotate(docs, pii.fit(docs), "doc_id")
+    return rows.select("doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]], F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
