@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, html_extract, language_id, mixing, order_minhash, pii, quality_rules, url_filters
+from corpusloom.llm import bpe, html_extract, language_id, mixing, order_minhash, pii, quality_rules, substring_dedup, url_filters
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -142,3 +142,30 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = pii.annotate(docs, pii.fit(docs), "doc_id")
     return rows.select("doc_id", *[pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]], F.sha2(pii.spelled(F.col("base")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the windows that start earlier elsewhere."""
+    rows = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op4_substring_dedup"] = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20)
+), f AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM w
+), r AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM f, (SELECT unnest(range(0, 20)) AS j) WHERE k > 1
+), g AS (
+  SELECT doc_id, list(p) AS ps FROM r GROUP BY doc_id
+), o AS (
+  SELECT d.doc_id, ws, coalesce(ps, []) AS ps FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+), k AS (
+  SELECT doc_id, len(ws) AS n_words, len(ps) AS n_removed, coalesce((SELECT string_agg(ws[p], ' ' ORDER BY p) FROM (SELECT unnest(range(1, len(ws) + 1)) AS p) WHERE NOT list_contains(ps, p)), '') AS kept FROM o
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM k
+"""
