@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, html_extract, language_id, mixing, order_minhash, pii, quality_rules, substring_dedup, url_filters
+from corpusloom.llm import bpe, html_extract, language_id, mixing, order_minhash, pii, quality_rules, signature_trees, substring_dedup, url_filters
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -169,3 +169,29 @@ WITH d AS (
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM k
 """
+
+
+@query
+def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose 3-word shingles overlap by nine tenths."""
+    return signature_trees.join(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op8_signature_trees"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS g FROM d
+), e AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS i, b.doc_id AS j FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), l AS (
+  SELECT i, j FROM p UNION ALL SELECT j, i FROM p
+), r(i, j) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i
+)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(r.j) AS component_id FROM s JOIN r ON s.doc_id = r.i GROUP BY s.doc_id, g
+"""
