@@ -1,9 +1,11 @@
-"""Byte-level BPE by Spark's higher-order functions: ranked merges are folded over the byte strings of words.
+"""Byte-level BPE: ranked merges folded over the byte strings of distinct words.
 
 A byte string holds one character per byte (ISO-8859-1), so that string functions work on bytes. The ranks are a
-literal in the plan: an array of small maps, addressed by a checksum of the piece. The words that occur most often
-are encoded once, as distinct words, and become a second literal of bounded size; every further word is folded where
-it stands. Decoding concatenates the pieces' bytes.
+literal in the plan: an array of small maps, addressed by a checksum of the piece. Spark's higher-order functions fold
+the merges over the corpus' most frequent distinct words, a table of bounded size. `encode` looks a document's words
+up in that table, in Arrow batches, and folds further words where they stand, each distinct one once per task as far
+as memory for it is bounded; `encode_native` does the same with higher-order functions alone, at several times the
+cost. Decoding concatenates the pieces' bytes.
 
 Null and empty texts have no tokens; their digests are those of no bytes. Repeated rows are encoded alike; an empty
 table gives no rows; other columns are carried by `keep` only. A word of any length is encoded whole.
@@ -15,10 +17,16 @@ import base64
 import json
 import zlib
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import passes, utf8
+
 #: What the pattern's \s means: Unicode's White_Space.
 SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 RANK_BUCKETS = 1 << 15
@@ -139,8 +147,8 @@ def frequent_words(docs: DataFrame, path: str, pattern: str, most: int = FREQUEN
     return {w: list(map(int, i)) for w, i in zip(ids["w"], ids["ids"])}
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *keep: str, text: str = "text", most: int = FREQUENT) -> DataFrame:
-    """The columns named by keep and ids, array<int>, for every row."""
+def encode_native(docs: DataFrame, path: str, pattern: str, *keep: str, text: str = "text", most: int = FREQUENT) -> DataFrame:
+    """The columns named by keep and ids, array<int>, for every row, by higher-order functions alone."""
     rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     known = frequent_words(rows, path, pattern, most)
     table = F.from_json(F.lit(_buckets(known, WORD_BUCKETS)), "array<map<string,array<int>>>")
@@ -154,12 +162,123 @@ def _strings(values) -> Column:
     return F.from_json(F.lit(json.dumps(list(values), ensure_ascii=False)), "array<string>")
 
 
-def decode(ids: Column, path: str) -> Column:
+def decode_native(ids: Column, path: str) -> Column:
     """The bytes that the ids stand for: their pieces' bytes, joined."""
     return let(_strings(read_ranks(path)), lambda pieces: F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), "ISO-8859-1"))
 
 
-def packed(ids: Column, path: str) -> Column:
+def packed_native(ids: Column, path: str) -> Column:
     """The ids as little-endian unsigned 32-bit integers."""
     four = (i.to_bytes(4, "little").decode("latin-1") for i in range(len(read_ranks(path))))
     return let(_strings(four), lambda b: F.encode(F.array_join(F.transform(ids, lambda i: F.get(b, i)), ""), "ISO-8859-1"))
+
+
+def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word: while a pair of neighbours has a rank, the leftmost one of the lowest rank is merged.
+
+    A heap orders the pairs, so long words take n log n steps; pairs that have changed meanwhile are passed over."""
+    own = ranks.get(word)
+    if own is not None:
+        return [own]
+    if len(word) < 48:
+        pieces = [word[i : i + 1] for i in range(len(word))]
+        scores = [ranks.get(pieces[i] + pieces[i + 1], NONE) for i in range(len(pieces) - 1)]
+        while scores:
+            low = min(scores)
+            if low == NONE:
+                break
+            i = scores.index(low)
+            pieces[i : i + 2] = [pieces[i] + pieces[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = ranks.get(pieces[i - 1] + pieces[i], NONE)
+            if i < len(scores):
+                scores[i] = ranks.get(pieces[i] + pieces[i + 1], NONE)
+        return [ranks[p] for p in pieces]
+    n = len(word)
+    end, before, after, live = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapify(heap)
+
+    def offer(i):
+        j = after[i]
+        if j < n and (r := ranks.get(word[i : end[j]])) is not None:
+            heappush(heap, (r, i, end[j]))
+
+    while heap:
+        _, i, stop = heappop(heap)
+        j = after[i] if live[i] else n
+        if j >= n or end[j] != stop:
+            continue
+        end[i], after[i], live[j] = end[j], after[j], False
+        if after[i] < n:
+            before[after[i]] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [ranks[word[i : end[i]]] for i in range(n) if live[i]]
+
+
+NONE = 1 << 62
+
+
+class Words(dict):
+    """Packed ids by word. Words beyond the table are folded, and kept while there's room."""
+
+    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int], room: int = 200_000):
+        super().__init__(known)
+        self.ranks, self.most = ranks, len(known) + room
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array(fold(word.encode("utf-8", "surrogatepass"), self.ranks), "<u4").tobytes()
+        if len(self) < self.most and len(word) <= FREQUENT_BYTES:
+            self[word] = ids
+        return ids
+
+
+def encode(docs: DataFrame, path: str, pattern: str, *keep: str, text: str = "text", most: int = FREQUENT) -> DataFrame:
+    """The columns named by keep and ids, binary: each id as a little-endian unsigned 32-bit integer."""
+    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    known = {w.encode("latin-1").decode(): np.array(ids, "<u4").tobytes() for w, ids in frequent_words(rows, path, pattern, most).items()}
+    tokens = [t.encode("latin-1") for t in read_ranks(path)]
+    shared = docs.sparkSession.sparkContext.broadcast((known, tokens))  # FREQUENT and the vocabulary bound it
+    split = python_pattern(pattern)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+
+    def run(batches):
+        known, tokens = shared.value
+        words, find = Words(known, {t: i for i, t in enumerate(tokens)}), regex.compile(split).findall
+        for batch in batches:
+            for part in passes(batch):
+                ids = [b"".join(map(words.__getitem__, find(x))) for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], [*part.schema.names[:-1], "ids"])
+
+    return rows.mapInArrow(run, f"{kinds + ', ' if kinds else ''}ids binary")
+
+
+def python_pattern(pattern: str) -> str:
+    return regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", java_pattern(pattern))
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """The rows and the bytes that their ids stand for: the pieces' bytes, joined."""
+    tokens = [t.encode("latin-1") for t in read_ranks(path)]
+    shared = rows.sparkSession.sparkContext.broadcast(tokens)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches):
+        flat = np.frombuffer(b"".join(shared.value), np.uint8)
+        sizes = np.array([len(t) for t in shared.value])
+        starts = np.cumsum(sizes) - sizes
+        for batch in batches:
+            for part in passes(batch, ids):
+                data, offsets = utf8(part.column(part.schema.get_field_index(ids)))
+                which = np.frombuffer(data.tobytes(), "<u4")
+                n = sizes[which]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                out = flat[np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])]
+                at = ends[offsets // 4]
+                joined = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(out.tobytes())])
+                yield pa.RecordBatch.from_arrays([*part.columns, joined.cast(pa.binary())], [*part.schema.names, to])
+
+    return rows.mapInArrow(run, f"{kinds}, `{to}` binary")
