@@ -1,4 +1,780 @@
-"""Registry of the queries over the engine's own operators and their SQL oracles."""
+"""The engine's own queries over the driver tables, each with the SQL that an independent engine answers it with."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import chunk, graph, layout, markdown, protect, quotes, segment, similarity
+from corpusloom.plans import claims, lifecycle, models, translation
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+#: Stands for white space in the SQL, as in T.SPACE.
+_S = T.SPACE
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- chunks ---------------------------------------------------------------------------------------------------------
+
+_CHUNKS = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, length(text) AS n FROM documents WHERE text IS NOT NULL
+), r(doc_id, s, e) AS (
+  SELECT doc_id, -1, 0 FROM d WHERE n > 0
+  UNION ALL
+  SELECT doc_id, s2, e2 FROM (
+    SELECT q.doc_id, q.s2, CASE WHEN q.hard = q.n THEN q.n WHEN q.best > q.s2 THEN q.best + CASE WHEN substr(q.text, q.best + 1, 2) IN (chr(10) || chr(10), '. ') THEN 2 ELSE 1 END ELSE q.hard END AS e2
+    FROM (
+      SELECT p.*, CASE WHEN hard = n THEN -1 ELSE greatest(
+        CASE WHEN instr(reverse(zone), chr(10) || chr(10)) > 0 THEN low + length(zone) - instr(reverse(zone), chr(10) || chr(10)) - 1 ELSE -1 END,
+        CASE WHEN instr(reverse(zone), ' .') > 0 THEN low + length(zone) - instr(reverse(zone), ' .') - 1 ELSE -1 END,
+        CASE WHEN instr(reverse(zone), chr(10)) > 0 THEN low + length(zone) - instr(reverse(zone), chr(10)) ELSE -1 END) END AS best
+      FROM (
+        SELECT o.*, substr(text, low + 1, hard - low) AS zone FROM (
+          SELECT d.doc_id, d.text, d.n, CASE WHEN r.s < 0 THEN 0 WHEN r.e - 250 <= r.s THEN r.e ELSE greatest(0, r.e - 250) END AS s2,
+            least(d.n, CASE WHEN r.s < 0 THEN 0 WHEN r.e - 250 <= r.s THEN r.e ELSE greatest(0, r.e - 250) END + 3500) AS hard,
+            CASE WHEN r.s < 0 THEN 0 WHEN r.e - 250 <= r.s THEN r.e ELSE greatest(0, r.e - 250) END + 2275 AS low
+          FROM r JOIN d ON r.doc_id = d.doc_id WHERE r.s < 0 OR r.e < d.n
+        ) o
+      ) p
+    ) q
+  )
+), c AS (
+  SELECT d.doc_id, d.source, CAST(r.s AS INT) AS start_char, CAST(r.e AS INT) AS end_char, substr(d.text, r.s + 1, r.e - r.s) AS chunk
+  FROM r JOIN d ON r.doc_id = d.doc_id WHERE r.s >= 0 AND regexp_matches(substr(d.text, r.s + 1, r.e - r.s), '[^{_S}]')
+)
+"""
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk.identify(chunk.chunk_pages(table(spark, sf_dir, "documents"), "doc_id", "source"), "doc_id", "doc_id")
+
+
+@query(
+    _CHUNKS
+    + """SELECT doc_id, start_char, end_char,
+  substr(sha256(concat_ws(chr(0), CAST(doc_id AS VARCHAR), CAST(doc_id AS VARCHAR), CAST(start_char AS VARCHAR), CAST(end_char AS VARCHAR), chunk)), 1, 32) AS id,
+  CAST(greatest(1, length(chunk) // 4) AS INT) AS token_estimate FROM c"""
+)
+def chunk_pages(spark, sf_dir):
+    return _chunks(spark, sf_dir).select("doc_id", "start_char", "end_char", "id", "token_estimate")
+
+
+@query(_CHUNKS + "SELECT source, count(*) AS chunks, count(DISTINCT doc_id) AS docs, CAST(sum(length(chunk)) AS BIGINT) AS characters, CAST(sum(greatest(1, length(chunk) // 4)) AS BIGINT) AS tokens FROM c GROUP BY source")
+def chunk_stats_by_source(spark, sf_dir):
+    return _chunks(spark, sf_dir).groupBy("source").agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("docs"), F.sum(F.length("chunk")).cast("long").alias("characters"), F.sum("token_estimate").cast("long").alias("tokens"))
+
+
+# --- text -----------------------------------------------------------------------------------------------------------
+
+
+def _n(c: str, x: str = "text") -> str:
+    return f"(length({x}) - length(regexp_replace({x}, '[{c}]', '', 'g')))"
+
+
+_SCRIPTS = ", ".join(f"{{'n': {_n(c)}, 'first': -length(regexp_extract(text, '^[^{c}]*')), 'k': '{k}'}}" for k, c in T.SCRIPTS.items())
+
+
+@query(
+    f"""
+WITH a AS (
+  SELECT doc_id, text, {_n(chr(92) + "p{L}")} AS letters, {_n("A-Za-z")} AS ascii_, {_n(chr(92) + "p{Sk}" + chr(92) + "p{Sm}" + chr(92) + "p{So}")} AS symbols, {_n("^" + _S)} AS visible,
+    list_max([{_SCRIPTS}]) AS top, length(regexp_replace(text, '^[{_S}]+|[{_S}]+$', '', 'g')) AS stripped FROM documents
+), b AS (
+  SELECT *, symbols / greatest(1, visible) AS symbol, ascii_ / greatest(1, letters) AS latin, top.n / greatest(1, letters) AS script FROM a
+), c AS (
+  SELECT *, CASE WHEN stripped < 100 THEN 'short' WHEN symbol > 0.05 AND script < 0.20 THEN 'font' WHEN top.n > 0 AND script >= 0.20 THEN 'script' WHEN latin >= 0.70 AND symbol < 0.02 THEN 'latin' ELSE 'none' END AS k FROM b
+)
+SELECT doc_id, k IN ('script', 'latin') AS usable, CASE k WHEN 'script' THEN top.k WHEN 'latin' THEN 'en' END AS language,
+  CASE k WHEN 'short' THEN 'too little extracted text' WHEN 'font' THEN 'symbol-heavy legacy/custom font encoding' WHEN 'script' THEN 'dominant Unicode script: ' || top.k WHEN 'latin' THEN 'predominantly Latin Unicode text' ELSE 'no reliable Unicode script detected' END AS reason,
+  CAST(length(text) AS BIGINT) AS characters, CAST(letters AS BIGINT) AS letters, round(symbol, 4) AS symbol_ratio, round(latin, 4) AS latin_ratio, CASE WHEN top.n > 0 THEN top.k END AS script, CAST(top.n AS BIGINT) AS script_count FROM c
+"""
+)
+def text_quality(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.text_quality(F.col("text")).alias("q")).select("doc_id", "q.*")
+
+
+_CODE_CASE = "CASE lower(v) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.CODE_OF.items()) + " ELSE v END"
+_LONG_CASE = "CASE p " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LONG_CODES.items()) + " ELSE p END"
+_VALUES = ("EN", "ben", "auto", "", "zh-CN", "hin_Deva", "xx", "Bengali", "tam", "pa-IN", "kok")
+
+
+@query(
+    f"""
+WITH v AS (SELECT lang AS v FROM documents UNION SELECT unnest({list(_VALUES)})), s AS (SELECT v, split_part(replace(lower(v), '_', '-'), '-', 1) AS p FROM v)
+SELECT v AS value, CASE WHEN v IS NULL OR lower(v) IN ('', 'auto') THEN NULL ELSE {_LONG_CASE} END AS language, CASE WHEN v <> '' THEN {_CODE_CASE} END AS code FROM s
+"""
+)
+def language_normalize(spark, sf_dir):
+    values = table(spark, sf_dir, "documents").select(F.col("lang").alias("value")).union(spark.createDataFrame([(v,) for v in _VALUES], "value string")).distinct()
+    return values.select("value", T.normalize_language(F.col("value")).alias("language"), T.language_code(F.col("value")).alias("code"))
+
+
+_INDIC = ", ".join(f"'{c}'" for c in T.INDIC)
+_SHORT_CASE = "CASE lower(v) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {**T.CODE_OF, **T.INDIC_SHORT}.items()) + " ELSE v END"
+
+
+@query(
+    f"""
+WITH v AS (SELECT unnest(['en', 'hi', 'bn', 'kn', 'fr', 'bad', 'sa', 'Tamil']) AS v), c AS (SELECT v, {_SHORT_CASE} AS c FROM v)
+SELECT a.v AS source, b.v AS target, CASE WHEN a.c = b.c OR NOT (a.c IN ({_INDIC}, 'eng_Latn') AND b.c IN ({_INDIC}, 'eng_Latn')) THEN NULL WHEN a.c = 'eng_Latn' THEN 'en_indic' WHEN b.c = 'eng_Latn' THEN 'indic_en' ELSE 'indic_indic' END AS route FROM c a, c b
+"""
+)
+def language_routes(spark, sf_dir):
+    v = spark.createDataFrame([(x,) for x in ("en", "hi", "bn", "kn", "fr", "bad", "sa", "Tamil")], "source string")
+    return v.crossJoin(v.withColumnRenamed("source", "target")).withColumn("route", T.language_route(F.col("source"), F.col("target")))
+
+
+_NUMBER = r"\+?\p{Nd}+(?:[ \x{A0}.,:/-]\p{Nd}+)*%?"
+
+
+@query(f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_NUMBER}')) AS token FROM documents) GROUP BY doc_id, token")
+def number_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.number_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+_PAIRS = """
+WITH p AS (
+  SELECT conv_id, turn, text AS source, lead(text) OVER w AS candidate, role, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), q AS (SELECT conv_id, turn, source, candidate FROM p WHERE role = 'user' AND next = 'assistant')
+"""
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf_dir, "conversations").withColumn("candidate", F.lead("text").over(w)).withColumn("next", F.lead("role").over(w))
+    return rows.where("role = 'user' AND next = 'assistant'").select("conv_id", "turn", F.col("text").alias("source"), "candidate")
+
+
+@query(
+    _PAIRS
+    + f"""SELECT conv_id, turn, NOT EXISTS (
+  SELECT 1 FROM (SELECT x, count(*) AS n FROM (SELECT unnest(regexp_extract_all(source, '{_NUMBER}')) AS x) GROUP BY x) s
+  LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT unnest(regexp_extract_all(candidate, '{_NUMBER}')) AS x) GROUP BY x) c ON s.x = c.x WHERE s.n > coalesce(c.n, 0)) AS kept FROM q"""
+)
+def number_multiset_check(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", T.numbers_kept(T.number_tokens(F.col("source")), T.number_tokens(F.col("candidate"))).alias("kept"))
+
+
+@query(f"SELECT doc_id, token FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_NUMBER}')) AS token FROM documents) WHERE length(regexp_replace(token, '[^0-9]', '', 'g')) >= 7")
+def long_numeric_ids(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.number_tokens(F.col("text"))).alias("token")).where(F.length(F.regexp_replace("token", "[^0-9]", "")) >= protect.LONG_NUMBER)
+
+
+_ADDRESS = r"https?://[^\x09-\x0D\x20]+|[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}"
+
+
+@query(f"SELECT doc_id, unnest(regexp_extract_all(text, '{_ADDRESS}')) AS address FROM documents UNION ALL SELECT page_id, unnest(regexp_extract_all(url, '{_ADDRESS}')) FROM pages")
+def contacts(spark, sf_dir):
+    find = lambda c: F.explode(F.regexp_extract_all(F.col(c), F.lit(_ADDRESS), F.lit(0))).alias("address")
+    return table(spark, sf_dir, "documents").select("doc_id", find("text")).union(table(spark, sf_dir, "pages").select("page_id", find("url")))
+
+
+_W = r"[\p{L}\p{N}_]+"
+
+
+def _size(x: str) -> str:
+    return f"CASE WHEN len(regexp_extract_all({x}, '{_W}')) > 1 THEN len(regexp_extract_all({x}, '{_W}')) ELSE length(regexp_replace({x}, '[{_S}]', '', 'g')) END"
+
+
+def _repeat(x: str) -> str:
+    ws = f"regexp_extract_all(lower({x}), '{_W}')"
+    return f"CASE WHEN len({ws}) < 6 THEN 0.0 ELSE 1 - len(list_distinct(list_transform(range(1, len({ws}) - 1), lambda i: {ws}[i] || ' ' || {ws}[i + 1] || ' ' || {ws}[i + 2]))) / (len({ws}) - 2) END"
+
+
+@query(_PAIRS + f"SELECT conv_id, turn, round(({_size('candidate')}) / greatest(1, {_size('source')}), 6) AS ratio FROM q")
+def length_ratio(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(T.length_ratio(F.col("source"), F.col("candidate")), 6).alias("ratio"))
+
+
+@query(f"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{_W}') AS ws FROM documents) SELECT doc_id, round(CASE WHEN len(ws) < 6 THEN 0.0 ELSE 1 - len(list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) / (len(ws) - 2) END, 6) AS repetition FROM w")
+def repetition_ratio(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.repetition_ratio(F.col("text")), 6).alias("repetition"))
+
+
+@query(
+    _PAIRS
+    + f""", f AS (
+  SELECT conv_id, turn, regexp_matches(candidate, '[^{_S}]') AS said, ({_size("candidate")}) / greatest(1, {_size("source")}) AS ratio, {_repeat("candidate")} AS repeat,
+    NOT EXISTS (SELECT 1 FROM (SELECT x, count(*) AS n FROM (SELECT unnest(regexp_extract_all(source, '{_NUMBER}')) AS x) GROUP BY x) s
+      LEFT JOIN (SELECT x, count(*) AS n FROM (SELECT unnest(regexp_extract_all(candidate, '{_NUMBER}')) AS x) GROUP BY x) c ON s.x = c.x WHERE s.n > coalesce(c.n, 0)) AS kept,
+    contains(lower(source), 'the') AND NOT contains(lower(candidate), 'zzz') AS missing FROM q
+)
+SELECT conv_id, turn, round(CAST(CASE WHEN NOT said THEN 0.0 ELSE greatest(0.0, least(1.0, 1 - (CASE WHEN ratio < 0.35 OR ratio > 3 THEN 0.25 ELSE 0 END + CASE WHEN repeat > 0.35 THEN 0.15 ELSE 0 END + CASE WHEN NOT kept THEN 0.6 ELSE 0 END + CASE WHEN missing THEN 0.15 ELSE 0 END))) END AS DOUBLE), 6) AS score FROM f"""
+)
+def heuristic_score(spark, sf_dir):
+    s, c = F.col("source"), F.col("candidate")
+    missing = translation.missing_terms(s, c, F.create_map(F.lit("the"), F.lit("zzz")))
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(translation.heuristic(s, c, missing, F.array().cast("array<string>"))["score"], 6).alias("score"))
+
+
+@query()
+def copy_ratio(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(translation.copy_ratio(F.col("source"), F.col("candidate")), 6).alias("ratio"))
+
+
+@query(_PAIRS + f"SELECT conv_id, turn, round((h * 0.5 + coalesce(k * 0.3, 0)) / (0.5 + CASE WHEN k IS NULL THEN 0 ELSE 0.3 END), 6) AS score FROM (SELECT conv_id, turn, least(1.0, ({_size('candidate')}) / greatest(1, {_size('source')})) AS h, CASE WHEN turn % 4 = 0 THEN 0.5 END AS k FROM q)")
+def combined_score(spark, sf_dir):
+    h, k = F.least(F.lit(1.0), T.length_ratio(F.col("source"), F.col("candidate"))), F.when(F.col("turn") % 4 == 0, 0.5)
+    return _pairs(spark, sf_dir).select("conv_id", "turn", F.round(translation.combined(heuristic=h, chrf=k), 6).alias("score"))
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?。！？।]*[.!?。！？।]|[^.!?。！？।]+$'), lambda x: regexp_replace(x, '^[{_S}]+|[{_S}]+$', '', 'g')), lambda x: length(x) > 0) AS s FROM documents)
+SELECT doc_id, CAST(unnest(range(0, len(s))) AS INT) AS pos, unnest(s) AS sentence FROM s"""
+)
+def sentence_segments(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query(f"WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^{_S}]+') AS ws FROM documents) SELECT doc_id, CAST(greatest(1, ceil(len(ws) / 50)) AS INT) AS pieces, CASE WHEN len(ws) > 50 THEN array_to_string(ws[1:50], ' ') END AS first, CASE WHEN len(ws) > 50 THEN 'sentence has ' || len(ws) || ' tokens, limit 50' END AS error FROM w")
+def token_limit_split(spark, sf_dir):
+    pieces = T.split_long(F.col("text"), 50)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(pieces).alias("pieces"), F.when(F.size(pieces) > 1, pieces[0]).alias("first"), T.too_long(F.col("text"), 50).alias("error"))
+
+
+@query("SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}]+')) AS w FROM documents) GROUP BY doc_id, w")
+def word_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.word_list(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (NOT regexp_matches(line, '[^{_S}]')) AS blank,
+  count(*) FILTER (len(regexp_extract_all(line, '[^{_S}]+')) BETWEEN 1 AND 8 AND length(line) <= 80 AND NOT regexp_matches(regexp_replace(line, '[{_S}]+$', ''), '[.?!:;]$')) AS bylines FROM l GROUP BY doc_id"""
+)
+def byline_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(T.is_blank(F.col("line"))).alias("blank"), F.count_if(T.byline_like(F.col("line"))).alias("bylines"))
+
+
+@query("SELECT doc_id, CASE WHEN length(c) > 32767 THEN substr(c, 1, 32748) || '… [truncated]' ELSE c END AS cell FROM (SELECT doc_id, CASE WHEN regexp_matches(regexp_replace(text, '^[" + _S + "]+', ''), '^[=+@-]') THEN '''' || text ELSE text END AS c FROM documents)")
+def cell_guard(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.cell_guard(F.col("text")).alias("cell"))
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_-]+', '_', 'g') AS label, trim(regexp_replace(lower(p_type), '[^\\p{L}\\p{N}_-]', '-', 'g'), '-') AS dashed, substr(p_name, 1, 5) AS message FROM part")
+def output_labels(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.label(F.col("p_name")).alias("label"), T.dashed_label(F.col("p_type")).alias("dashed"), F.substring("p_name", 1, 5).alias("message"))
+
+
+@query("SELECT c_name, c_custkey, row_number() OVER (ORDER BY lower(regexp_extract(c_name, '^[^0-9]*')), CAST(regexp_extract(c_name, '[0-9]+$') AS BIGINT)) AS place FROM customer WHERE c_custkey < 500")
+def natural_sort(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").where("c_custkey < 500")  # part of the query
+    return rows.select("c_name", "c_custkey", F.row_number().over(Window.orderBy(T.natural_key(F.col("c_name")))).cast("long").alias("place"))
+
+
+@query(
+    f"""WITH m AS (SELECT page_id, html FROM pages), a AS (SELECT page_id, regexp_replace(html, '`+[^`\\n]*`+', ' ', 'g') AS t FROM m), b AS (SELECT page_id, regexp_replace(t, 'https?://[^{_S})>]+', ' ', 'g') AS t FROM a), c AS (SELECT page_id, regexp_replace(t, '<[^>\\n]+>', ' ', 'g') AS t FROM b)
+SELECT page_id, sha256(regexp_replace(t, '(?m)^\\s{{0,3}}(?:#{{1,6}}\\s+|>\\s?|[-+*]\\s+|\\p{{Nd}}+[.)]\\s+)', ' ', 'g')) AS digest FROM c"""
+)
+def detection_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.detection_text(F.col("html")), 256).alias("digest"))
+
+
+@query("SELECT doc_id, CAST(unnest(range(0, greatest(1, CAST(ceil(length(text) / 1000) AS BIGINT)))) AS INT) AS pos, md5(substr(text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 1000) AS BIGINT)))) * 1000 + 1, 1000)) AS part FROM documents")
+def text_windows(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.windows(F.col("text"), 1000)).alias("pos", "part")).withColumn("part", F.md5("part"))
+
+
+@query("SELECT p_partkey, greatest(0, CAST(floor(l) AS BIGINT) - 2) AS l, greatest(0, CAST(floor(t) AS BIGINT) - 2) AS t, least(40, CAST(ceil(r) AS BIGINT) + 2) AS r, least(30, CAST(ceil(b) AS BIGINT) + 2) AS b FROM (SELECT p_partkey, p_size / 3 AS l, p_size / 4 AS t, p_size / 2 + 1 AS r, p_size / 3 + 1 AS b FROM part) WHERE least(40, ceil(r) + 2) > greatest(0, floor(l) - 2) AND least(30, ceil(b) + 2) > greatest(0, floor(t) - 2)")
+def crop_boxes(spark, sf_dir):
+    box = F.struct((F.col("p_size") / 3).alias("l"), (F.col("p_size") / 4).alias("t"), (F.col("p_size") / 2 + 1).alias("r"), (F.col("p_size") / 3 + 1).alias("b"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.crop_box(box, F.lit(40), F.lit(30)).alias("box")).where("box IS NOT NULL").select("p_partkey", "box.*")
+
+
+@query("SELECT l_orderkey, min(l_quantity) AS l, min(l_tax) AS t, max(l_quantity) AS r, max(l_tax) AS b FROM lineitem GROUP BY l_orderkey")
+def union_boxes(spark, sf_dir):
+    boxes = F.collect_list(F.struct(F.col("l_quantity").alias("l"), F.col("l_tax").alias("t"), F.col("l_quantity").alias("r"), F.col("l_tax").alias("b")))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(boxes.alias("boxes")).select("l_orderkey", T.union_box(F.col("boxes")).alias("u")).select("l_orderkey", "u.*")
+
+
+# --- Markdown, segments, placeholders: row functions without SQL ---------------------------------------------------
+
+
+@query()
+def protection_mask(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(markdown.runs_column(F.col("text"))).alias("r")).select("doc_id", "r.*")
+
+
+@query()
+def clean_markdown(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.clean_column(F.col("text")).alias("text"))
+
+
+@query()
+def markdown_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(markdown.chunks_column(F.col("text"))).alias("pos", "c")).select("doc_id", "pos", "c.*")
+
+
+@query()
+def markdown_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.shield_column(F.col("text")).alias("s")).select("doc_id", "s.text", F.size("s.tokens").alias("tokens"))
+
+
+@query()
+def interrupted_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", markdown.join_interrupted_column(F.col("text")).alias("j")).select("doc_id", "j.text", F.size("j.changes").alias("changes"))
+
+
+@query()
+def segments(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(segment.segment(F.col("text"))).alias("pos", "s")).select("doc_id", "pos", "s.*")
+
+
+@query()
+def protect_values(spark, sf_dir):
+    glossary = F.create_map(F.lit("the"), F.lit("DER"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", protect.protected(F.col("text"), glossary).alias("p"))
+    return rows.select("doc_id", "p.text", F.size("p.replacements").alias("placeholders"), protect.restored(F.col("p.text"), F.col("p.replacements"))["issues"].alias("issues"))
+
+
+_WORDS = "SELECT unnest(['modern', 'rnodern', 'clear', 'hello', 'he11o', 'dear', 'vvell', 'well', 'rn', 'corner', '1234']) AS word"
+
+
+@query(
+    f"""
+WITH f(word, zipf) AS (VALUES ('modern', 5.0), ('clear', 5.0), ('hello', 5.0), ('well', 5.0), ('dear', 5.0), ('corner', 4.0), ('he1lo', 2.6)), t AS ({_WORDS}),
+o AS (SELECT t.word, coalesce(f.zipf, 0.0) AS zipf FROM t LEFT JOIN f ON t.word = f.word WHERE length(t.word) BETWEEN 3 AND 64 AND NOT regexp_matches(t.word, '^[0-9]+$') AND coalesce(f.zipf, 0.0) < 3.5),
+p(a, b) AS (VALUES ('rn', 'm'), ('cl', 'd'), ('vv', 'w'), ('1', 'l'), ('1', 'I'), ('0', 'O')),
+x AS (SELECT DISTINCT word, zipf, substr(word, 1, i - 1) || b || substr(word, i + length(a)) AS other FROM (SELECT o.*, p.*, unnest(range(1, length(word) + 1)) AS i FROM o, p) WHERE substr(word, i, length(a)) = a)
+SELECT x.word, array_to_string(list_sort(list(DISTINCT other)), ',') AS choices FROM x JOIN f ON x.other = f.word WHERE f.zipf >= 2.5 AND f.zipf >= x.zipf + 0.8 GROUP BY x.word
+"""
+)
+def misread_words(spark, sf_dir):
+    freq = spark.createDataFrame([("modern", 5.0), ("clear", 5.0), ("hello", 5.0), ("well", 5.0), ("dear", 5.0), ("corner", 4.0), ("he1lo", 2.6)], "word string, zipf double")
+    words = spark.createDataFrame([(w,) for w in ("modern", "rnodern", "clear", "hello", "he11o", "dear", "vvell", "well", "rn", "corner", "1234")], "word string")
+    return markdown.pick_corrections(words, freq).select("word", F.array_join("choices", ",").alias("choices"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '|') AS before, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '|') AS after FROM conversations")
+def neighbor_context(spark, sf_dir):
+    rows = segment.context(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    held = lambda c: F.when(F.size(c) > 0, F.array_join(c, "|")).alias(c)
+    return rows.select("conv_id", "turn", held("before"), held("after"))
+
+
+@query("SELECT conv_id, turn, concat_ws(chr(10) || chr(10), CASE WHEN lag(role) OVER w = 'user' THEN lag(text) OVER w END, CASE WHEN lead(role) OVER w = 'user' THEN lead(text) OVER w END) AS context, CAST((row_number() OVER w - 1) // 2 AS INT) AS batch FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def chunk_context(spark, sf_dir):
+    rows = segment.neighbours(table(spark, sf_dir, "conversations").withColumn("ok", F.col("role") == "user"), "conv_id", "turn", "text", "ok")
+    return segment.batches(rows, "conv_id", "turn", 2).select("conv_id", "turn", "context", "batch")
+
+
+_SPANS = "SELECT user_id, list({'s': CAST(s AS INT), 'e': CAST(s + 1 + event_id % 7 AS INT)} ORDER BY s, event_id % 7 DESC, event_id) AS xs FROM (SELECT *, (event_id * 7) % 40 AS s FROM events WHERE event_id < 2000) GROUP BY user_id"
+
+
+@query(
+    f"""
+WITH RECURSIVE g AS (SELECT DISTINCT user_id, (event_id * 7) % 40 AS s, (event_id * 7) % 40 + 1 + event_id % 7 AS e FROM events WHERE event_id < 2000),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e DESC) AS k FROM g),
+r(user_id, k, s, e, taken) AS (SELECT user_id, k, s, e, true FROM n WHERE k = 1 UNION ALL SELECT n.user_id, n.k, CASE WHEN n.s >= r.e THEN n.s ELSE r.s END, CASE WHEN n.s >= r.e THEN n.e ELSE r.e END, n.s >= r.e FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
+SELECT user_id, CAST(s AS INT) AS s, CAST(e AS INT) AS e FROM r WHERE taken
+"""
+)
+def greedy_spans(spark, sf_dir):
+    start = ((F.col("event_id") * 7) % 40).cast("int")
+    rows = table(spark, sf_dir, "events").where("event_id < 2000").select("user_id", start.alias("start"), (start + 1 + F.col("event_id") % 7).cast("int").alias("end")).distinct()
+    held = rows.groupBy("user_id").agg(F.collect_list(F.struct("start", "end")).alias("xs"))
+    return held.select("user_id", F.explode(protect.non_overlapping(F.col("xs"))).alias("x")).select("user_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+
+
+# --- quotations, facts ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT item_id AS quote_id, doc_id AS page_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def quote_grounding(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return quotes.contained(b, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("page")))
+
+
+@query()
+def quote_resolution(spark, sf_dir):
+    pairs = quote_grounding(spark, sf_dir)
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    loose = F.regexp_replace(b["text"], " ", "\n  ")
+    rows = pairs.join(b.select(F.col("item_id").alias("quote_id"), loose.alias("quote")), "quote_id").join(d.select(F.col("doc_id").alias("page_id"), "text"), "page_id")
+    return rows.select("quote_id", "page_id", quotes.resolve_quote(F.col("quote"), F.col("text")).alias("resolved"))
+
+
+@query(
+    f"""
+WITH l AS (SELECT doc_id, source, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS INT) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
+f AS (SELECT doc_id, pos, source, substr(sha256(concat_ws(chr(0), source, '1', lower(regexp_replace(regexp_replace(line, '[{_S}]+', ' ', 'g'), '^ +| +$', '', 'g')), regexp_replace(regexp_replace(line, '[{_S}]+', ' ', 'g'), '^ +| +$', '', 'g'))), 1, 32) AS id FROM l WHERE regexp_matches(line, '[^{_S}]'))
+SELECT id, min(doc_id) AS doc_id, count(*) AS n FROM f GROUP BY id
+"""
+)
+def fact_ids_dedup(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", "source", F.explode(F.split("text", "\n")).alias("line")).where(~T.is_blank(F.col("line")))
+    ids = lines.withColumn("id", quotes.fact_id(F.col("source"), F.lit(1), F.col("line"), F.col("line")))
+    return ids.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
+def exact_dup_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
+@query("SELECT substr(sha256(string_agg(CAST(c_custkey AS VARCHAR), chr(0) ORDER BY CAST(c_custkey AS VARCHAR))), 1, 32) AS canonical_id, count(*) AS members FROM customer GROUP BY c_nationkey")
+def canonical_ids(spark, sf_dir):
+    groups = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list(F.col("c_custkey").cast("string")).alias("ids"))
+    return claims.canonical_members(groups).groupBy("canonical_id").agg(F.count("*").alias("members"))
+
+
+@query(
+    """
+WITH w AS (SELECT l_orderkey AS key, l_linenumber AS pos, l_partkey AS id FROM lineitem WHERE l_orderkey <= 3000),
+f AS (SELECT p_partkey AS id, p_brand || ' — PDF p. ' || p_size || ' (printed ' || p_size || CASE WHEN p_size % 2 = 0 THEN ', ' || p_type ELSE '' END || '): “' || p_name || '”' AS t FROM part WHERE p_partkey % 5 <> 0)
+SELECT key, string_agg(t, chr(10) || chr(10) ORDER BY pos, w.id) AS evidence FROM w JOIN f ON w.id = f.id GROUP BY key
+"""
+)
+def evidence_ordered_lookup(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 3000")
+    wanted = lines.groupBy(F.col("l_orderkey").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("ids"))
+    facts = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("id"), quotes.evidence_text(F.col("p_brand"), F.col("p_size"), F.lit(None).cast("string"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.col("p_name")).alias("text"))
+    return quotes.ordered_evidence(wanted, facts).where(F.size("texts") > 0).select("key", F.array_join("texts", "\n\n").alias("evidence"))
+
+
+# --- vectors, graphs ------------------------------------------------------------------------------------------------
+
+_COSINE = "SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"
+TAU = 0.40
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+@query(f"SELECT a, b, round(s, 6) AS similarity FROM ({_COSINE}) WHERE s >= {TAU}")
+def radius_pairs(spark, sf_dir):
+    return similarity.radius_pairs(_vectors(spark, sf_dir), TAU).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+_CLOSURE = f"p AS ({_COSINE}), e AS (SELECT a, b FROM p WHERE s >= {TAU} UNION ALL SELECT b, a FROM p WHERE s >= {TAU}), r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), c AS (SELECT a AS id, min(b) AS component FROM r GROUP BY a)"
+
+
+@query(f"WITH RECURSIVE {_CLOSURE} SELECT id, component FROM c")
+def components(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    found = graph.connected_components(similarity.radius_pairs(v, TAU), "a", "b")
+    return v.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("label", "id").alias("component"))
+
+
+@query()
+def bounded_components(spark, sf_dir):
+    return graph.bounded_components(_vectors(spark, sf_dir), TAU, most=4)
+
+
+@query(
+    f"""
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0),
+s AS (SELECT q.query_id, e.vec_id AS item_id, e.label AS source, round(list_cosine_similarity(q.v, CAST(e.embedding AS DOUBLE[])), 6) AS similarity, e.vec_id // 10 = q.query_id // 10 AS direct FROM q, embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY direct DESC, similarity DESC, item_id) AS rank FROM s WHERE direct OR similarity >= 0.25)
+SELECT query_id, source, item_id, similarity, direct, CAST(rank AS INT) AS rank FROM r WHERE direct OR rank <= 3
+"""
+)
+def retrieval_topk(spark, sf_dir):
+    return _retrieved(spark, sf_dir).select("query_id", "source", "item_id", "similarity", "direct", "rank")
+
+
+def _retrieved(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    items = e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("source"), "embedding")
+    members = e.select((F.col("vec_id") - F.col("vec_id") % 10).alias("query_id"), F.col("vec_id").alias("item_id"))
+    return similarity.retrieve(q, items, members, 0.25, 3)
+
+
+@query(
+    f"""
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0),
+s AS (SELECT DISTINCT q.query_id, e.label AS source FROM q, embeddings e WHERE e.vec_id // 10 = q.query_id // 10 OR round(list_cosine_similarity(q.v, CAST(e.embedding AS DOUBLE[])), 6) >= 0.25)
+SELECT q.query_id, l.source, 'not_covered' AS coverage, 'silent' AS stance, CAST(1.0 AS DOUBLE) AS confidence, 'retrieval' AS model FROM q, (SELECT DISTINCT label AS source FROM embeddings) l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = q.query_id AND s.source = l.source)
+"""
+)
+def not_covered_pairs(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))
+    return similarity.not_covered(q, e.select(F.col("label").alias("source")), _retrieved(spark, sf_dir))
+
+
+# --- the claim ledger: orders are facts, suppliers are sources, their nations are clusters -----------------------------
+
+_DIMS = {"authority": 7, "firsthand": 5, "temporal": 3, "documentary": 11, "independence": 13, "expertise": 4, "bias_safety": 6}
+_MULT = {"0": 1.00, "1": 0.90, "2": 0.78, "3": 0.82, "4": 0.45, "5": 0.60, "6": 0.35}
+_Q = "exp(" + " + ".join(f"{w} * ln((s_suppkey % {_DIMS[k]} + 1) / {_DIMS[k]})" for k, w in claims.Policy().weights.items()) + ")"
+_MULT_CASE = "CASE k " + " ".join(f"WHEN {k} THEN {v}" for k, v in _MULT.items()) + " END"
+_LEDGER = f"""
+WITH src AS (SELECT s_suppkey AS source, s_nationkey AS cluster, s_name AS title, round({_Q}, 9) AS q FROM supplier),
+ev AS (SELECT l_orderkey AS fact, l_suppkey AS source, CAST(l_quantity AS BIGINT) % 7 AS k, greatest(0.0, least(1.0, 1 - 5 * l_discount)) AS conf, l_returnflag AS flag, l_tax < 0.02 AS low, l_tax AS tax FROM lineitem),
+f AS (SELECT *, ({_MULT_CASE}) * conf AS f, flag IN ('A', 'N') AS up, flag = 'R' AND low AS down FROM ev),
+dec AS (SELECT fact, source, count(*) FILTER (up) AS n_up, count(*) FILTER (down) AS n_down, count(*) FILTER (flag = 'A') AS n_a, coalesce(max(f) FILTER (up), 0) AS up, coalesce(max(f) FILTER (down), 0) AS down, max(CASE WHEN up AND k = 0 THEN 1 ELSE 0 END) AS e1, max(CASE WHEN up AND k = 1 THEN 1 ELSE 0 END) AS e2, max(CASE WHEN up AND k = 3 THEN 1 ELSE 0 END) AS e4, round(1 - max(tax), 6) AS conf FROM f GROUP BY fact, source),
+st AS (SELECT *, CASE WHEN n_up > 0 AND n_down > 0 THEN 'mixed' WHEN n_up > 0 THEN CASE WHEN n_a > 0 THEN 'explicit_support' ELSE 'implicit_support' END WHEN n_down > 0 THEN 'explicit_contradiction' ELSE 'silent' END AS stance FROM dec),
+con AS (SELECT st.*, src.cluster, src.q, src.title, src.q * conf * up * CASE WHEN stance IN ('explicit_support', 'mixed') THEN 1.0 WHEN stance = 'implicit_support' THEN 0.5 ELSE 0.0 END AS support, src.q * conf * down * CASE WHEN stance IN ('explicit_contradiction', 'mixed') THEN 1.5 ELSE 0.0 END AS against FROM st JOIN src ON st.source = src.source),
+cl AS (SELECT fact, cluster, max(support) AS support, max(against) AS against, max(q) AS covered, count(*) FILTER (support > 0) AS supporting, count(*) FILTER (against > 0) AS contradicting, sum(e1) AS e1, sum(e2) AS e2, sum(e4) AS e4 FROM con GROUP BY fact, cluster),
+tot AS (SELECT sum(q) AS total FROM (SELECT max(q) AS q FROM src GROUP BY cluster)),
+sums AS (SELECT fact, sum(support) AS a, sum(against) AS d, sum(covered) AS covered, count(*) FILTER (support >= 0.2) AS ind, greatest(0, sum(supporting) - count(*) FILTER (support > 0)) AS dep, sum(e1) AS e1, sum(e2) AS e2, sum(e4) AS e4, sum(contradicting) AS ser FROM cl GROUP BY fact),
+sc AS (SELECT fact, a, d, 100 * (a - d) / (1 + a + d) AS idx, 100 * (1 - exp(-(a + d))) AS strength, CASE WHEN a + d > 0 THEN 2 * least(a, d) / (a + d) ELSE 0 END AS conflict, covered / total AS coverage, ind, dep, e1, e2, e4, ser,
+  CASE WHEN d >= 0.45 AND a >= 0.2 THEN 'FACT_CONTESTED' WHEN a >= 1.2 AND ind >= 2 AND (e1 >= 1 OR ind >= 3) AND d < 0.45 THEN 'FACT_ESTABLISHED' WHEN a >= 0.65 AND ind >= 1 AND d < 0.45 THEN 'FACT_PROBABLE' WHEN a >= 0.2 AND d < 0.45 THEN 'FACT_PLAUSIBLE' ELSE 'FACT_UNVERIFIED' END AS grade FROM sums, tot)
+"""
+
+
+def _ledger(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """facts, decisions, evidence, sources."""
+    dims = {k: ((F.col("s_suppkey") % n + 1) / n) for k, n in _DIMS.items()}
+    sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_nationkey").alias("cluster"), F.col("s_name").alias("title"), F.round(claims.source_quality(dims), 9).alias("q"))
+    classes = F.concat(F.lit("E"), (F.col("l_quantity").cast("long") % 7 + 1).cast("string"))
+    # evidence of a kind within a fact and source is told apart by nothing else than its class and confidence
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("source"), classes.alias("evidence_class"), (1 - 5 * F.col("l_discount")).alias("confidence"), "l_returnflag", "l_tax")
+    lines = lines.withColumn("id", F.concat_ws(":", "fact", "source", "evidence_class", "confidence"))
+    up, down = F.col("l_returnflag").isin("A", "N"), (F.col("l_returnflag") == "R") & (F.col("l_tax") < 0.02)
+    grouped = lines.groupBy("fact", "source").agg(F.collect_list(F.when(up, F.col("id"))).alias("support"), F.collect_list(F.when(down, F.col("id"))).alias("against"), F.max(F.col("l_returnflag") == "A").alias("any_a"), F.round(1 - F.max("l_tax"), 6).alias("confidence"))
+    said = claims.sanitized(F.when(F.col("any_a"), "explicit_support").otherwise("implicit_support"), F.col("support"), F.col("against"), F.lit("D1_FACTUAL"), F.concat("support", "against"))
+    decisions = grouped.select("fact", "source", "confidence", said.alias("s")).select("fact", "source", "confidence", "s.*")
+    evidence = lines.select("id", "evidence_class", "confidence", F.lit(True).alias("verified")).distinct()
+    facts = lines.select("fact").distinct().withColumn("claim_type", F.lit("FACT"))
+    return facts, decisions, evidence, sources
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return claims.score_facts(*_ledger(spark, sf_dir))
+
+
+@query(f"SELECT s_suppkey AS source, round({_Q}, 9) AS q FROM supplier")
+def source_quality(spark, sf_dir):
+    return _ledger(spark, sf_dir)[3].select("source", "q")
+
+
+@query(_LEDGER + "SELECT fact, CAST(cluster AS INT) AS cluster, round(support, 6) AS support, round(against, 6) AS against, round(covered, 6) AS covered, supporting, contradicting FROM cl")
+def cluster_mass(spark, sf_dir):
+    _, decisions, evidence, sources = _ledger(spark, sf_dir)
+    rows = claims.cluster_masses(claims.contributions(decisions, evidence, sources))
+    r = lambda c: F.round(c, 6).alias(c)
+    return rows.select("fact", "cluster", r("support"), r("against"), r("covered"), "supporting", "contradicting")
+
+
+@query(_LEDGER + "SELECT fact, round(a, 6) AS support_mass, round(d, 6) AS contradiction_mass, round(idx, 6) AS research_index, round(strength, 6) AS evidence_strength, round(conflict, 6) AS conflict_index, round(coverage, 6) AS evidence_coverage, CAST(ind AS BIGINT) AS independent, CAST(dep AS BIGINT) AS dependent, CAST(e1 AS BIGINT) AS e1, CAST(e2 AS BIGINT) AS e2, CAST(e4 AS BIGINT) AS e4, CAST(ser AS BIGINT) AS serious FROM sc")
+def fact_scores(spark, sf_dir):
+    r = lambda c: F.round(c, 6).alias(c)
+    return _scored(spark, sf_dir).select("fact", r("support_mass"), r("contradiction_mass"), r("research_index"), r("evidence_strength"), r("conflict_index"), r("evidence_coverage"), F.col("independent_support_count").alias("independent"), F.col("dependent_support_count").alias("dependent"), F.col("primary_document_count").alias("e1"), F.col("eyewitness_count").alias("e2"), F.col("scholarly_count").alias("e4"), F.col("serious_contradiction_count").alias("serious"))
+
+
+@query(_LEDGER + "SELECT grade, count(*) AS n FROM sc GROUP BY grade")
+def grades(spark, sf_dir):
+    return claims.grade_histogram(_scored(spark, sf_dir))
+
+
+@query(_LEDGER + "SELECT 'F' || lpad(CAST(row_number() OVER (ORDER BY CASE grade WHEN 'FACT_CONTESTED' THEN 0 WHEN 'FACT_ESTABLISHED' THEN 1 WHEN 'FACT_PROBABLE' THEN 2 WHEN 'FACT_PLAUSIBLE' THEN 3 ELSE 4 END, round(strength, 6) DESC, fact) AS VARCHAR), 6, '0') AS label, fact, grade FROM sc")
+def ledger_order(spark, sf_dir):
+    rows = _scored(spark, sf_dir).withColumn("evidence_strength", F.round("evidence_strength", 6))
+    return claims.ledger_order(rows, "fact").select("label", "fact", "grade")
+
+
+@query(_LEDGER + "SELECT fact, " + ", ".join(f"coalesce(string_agg(title, chr(10) ORDER BY source) FILTER (stance = '{b}'), '') AS {b}" for b in claims.BUCKETS[:4]) + ", coalesce(string_agg(title, chr(10) ORDER BY source) FILTER (stance = 'silent'), '') AS covered_but_silent, '' AS not_covered FROM con GROUP BY fact")
+def ledger_buckets(spark, sf_dir):
+    _, decisions, _, sources = _ledger(spark, sf_dir)
+    return claims.source_buckets(decisions, sources.select("source", "title"))
+
+
+@query(_LEDGER + "SELECT fact, grade, round(strength, 4) AS strength_pct, round(coverage * 100, 4) AS coverage_pct, round(conflict * 100, 4) AS conflict_pct FROM sc")
+def csv_ledger(spark, sf_dir):
+    facts, decisions, evidence, sources = _ledger(spark, sf_dir)
+    scored = claims.score_facts(facts, decisions, evidence, sources).withColumn("claim", F.col("fact").cast("string"))
+    rows = claims.ledger_rows(claims.ledger_order(scored, "fact"), claims.source_buckets(decisions, sources.select("source", "title")))
+    return rows.select("fact", "grade", "strength_pct", "coverage_pct", "conflict_pct")
+
+
+@query("SELECT o_orderkey AS fact, count(DISTINCT l_suppkey) AS have, (SELECT count(*) FROM supplier WHERE s_suppkey <= 3) AS need FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_suppkey <= 3) ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING count(DISTINCT l_suppkey) < (SELECT count(*) FROM supplier WHERE s_suppkey <= 3)")
+def completeness_check(spark, sf_dir):
+    facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact"))
+    decisions = table(spark, sf_dir, "lineitem").where("l_suppkey <= 3").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("source"))
+    return claims.incomplete(facts, table(spark, sf_dir, "supplier").where("s_suppkey <= 3").select(F.col("s_suppkey").alias("source")), decisions)
+
+
+@query("SELECT n_nationkey AS fact, r_regionkey AS source FROM nation, region WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 5 = r_regionkey AND c_custkey < 60)")
+def open_pairs(spark, sf_dir):
+    done = table(spark, sf_dir, "customer").where("c_custkey < 60").select(F.col("c_nationkey").alias("fact"), (F.col("c_custkey") % 5).cast("int").alias("source")).distinct()
+    return claims.open_pairs(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("fact")), table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("source")), done)
+
+
+_DECIDED = """
+WITH g AS (SELECT l_orderkey AS fact, list_sort(list(DISTINCT CAST(l_linenumber AS VARCHAR)) FILTER (l_returnflag = 'N' AND l_linenumber % 2 = 0)) AS up, list_sort(list(DISTINCT CAST(l_linenumber AS VARCHAR)) FILTER (l_returnflag = 'R' AND l_linenumber % 2 = 0)) AS down FROM lineitem GROUP BY l_orderkey)
+SELECT fact, CASE WHEN up IS NOT NULL AND down IS NOT NULL THEN 'mixed' WHEN up IS NOT NULL THEN 'implicit_support' WHEN down IS NOT NULL THEN 'explicit_contradiction' ELSE 'silent' END AS stance, CASE WHEN up IS NULL AND down IS NULL THEN 'covered_but_silent' ELSE 'covered' END AS coverage, array_to_string(coalesce(up, []), ',') AS support, array_to_string(coalesce(down, []), ',') AS against, CASE WHEN down IS NOT NULL THEN 'D1_FACTUAL' END AS contradiction_type FROM g
+"""
+
+
+@query(_DECIDED)
+def stance_sanitize(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fact"), "l_returnflag", F.col("l_linenumber").cast("string").alias("id"))
+    ids = lambda flag: F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("id"))))
+    said = lines.groupBy("fact").agg(ids("N").alias("up"), ids("R").alias("down"))
+    s = claims.sanitized(F.lit("implicit_support"), F.col("up"), F.col("down"), F.lit("D1_FACTUAL"), F.array(F.lit("2"), F.lit("4"), F.lit("6")))
+    return said.select("fact", s.alias("s")).select("fact", "s.stance", "s.coverage", F.array_join("s.support_ids", ",").alias("support"), F.array_join("s.contradiction_ids", ",").alias("against"), "s.contradiction_type")
+
+
+@query(
+    """
+WITH g AS (SELECT l_orderkey AS fact, count(*) FILTER (l_returnflag = 'N') AS up, count(*) FILTER (l_returnflag = 'R') AS down, ['silent', 'implicit_support', 'explicit_contradiction', 'mixed'][1 + CAST(l_orderkey % 4 AS INT)] AS stance FROM lineitem GROUP BY l_orderkey)
+SELECT fact, stance, CASE WHEN stance = 'silent' AND (up > 0 OR down > 0) THEN 'silent decisions hold no evidence and no type' WHEN stance = 'implicit_support' AND (up = 0 OR down > 0) THEN 'support holds support evidence only' WHEN stance = 'explicit_contradiction' AND (down = 0 OR up > 0) THEN 'contradiction holds contradicting evidence and a type' WHEN stance = 'mixed' AND NOT (up > 0 AND down > 0) THEN 'mixed holds both kinds of evidence and a type' END AS error FROM g
+"""
+)
+def stance_consistency(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    ids = lambda flag: F.collect_list(F.when(F.col("l_returnflag") == flag, F.col("l_linenumber")))
+    g = lines.groupBy(F.col("l_orderkey").alias("fact")).agg(ids("N").alias("up"), ids("R").alias("down"))
+    stance = F.element_at(F.array(*[F.lit(x) for x in ("silent", "implicit_support", "explicit_contradiction", "mixed")]), (F.col("fact") % 4 + 1).cast("int"))
+    g = g.withColumn("stance", stance)
+    return g.select("fact", "stance", claims.decision_error(F.col("stance"), F.lit("covered"), F.col("up"), F.col("down"), F.when(F.size("down") > 0, "D1_FACTUAL")).alias("error"))
+
+
+# --- translation, models, lifecycle --------------------------------------------------------------------------------
+
+
+@query(
+    """
+WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, round(value / 500, 6) AS score, event_type = 'purchase' AS passed FROM events),
+f AS (SELECT user_id, min(attempt) FILTER (passed) AS first FROM a GROUP BY user_id),
+m AS (SELECT a.* FROM a JOIN f ON a.user_id = f.user_id WHERE first IS NULL OR attempt <= first)
+SELECT user_id, attempt, score, passed, attempts FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS attempts, row_number() OVER (PARTITION BY user_id ORDER BY passed DESC, score DESC, attempt) AS k FROM m) WHERE k = 1
+"""
+)
+def retry_selection(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    a = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).cast("long").alias("attempt"), F.round(F.col("value") / 500, 6).alias("score"), (F.col("event_type") == "purchase").alias("passed"))
+    return translation.best_attempts(a, "user_id").select("user_id", "attempt", "score", "passed", "attempts")
+
+
+@query(
+    """
+WITH s AS (SELECT conv_id, turn, round(least(1.0, length(text) / 200), 4) AS score, length(text) >= 40 AS passed, CASE WHEN length(text) < 40 THEN ['short'] ELSE [] END || CASE WHEN role = 'user' THEN ['asked'] ELSE [] END AS issues FROM conversations),
+g AS (SELECT conv_id, round(avg(score), 4) AS mean, bool_and(passed) AS ok, flatten(list(issues ORDER BY turn)) AS found, round(least(1.0, sum(length((SELECT 'x'))) / 4 + 0.5), 4) AS own FROM s GROUP BY conv_id),
+u AS (SELECT conv_id, list(x ORDER BY i) AS issues FROM (SELECT conv_id, x, min(i) AS i FROM (SELECT conv_id, unnest(found) AS x, unnest(range(0, len(found))) AS i FROM g) GROUP BY conv_id, x) GROUP BY conv_id)
+SELECT g.conv_id AS doc, round(least(own, mean), 4) AS score, ok AND round(least(own, mean), 4) >= 0.72 AS passed, NOT (ok AND round(least(own, mean), 4) >= 0.72) AS needs_review, coalesce(array_to_string(issues, '|'), '') AS issues FROM g LEFT JOIN u ON g.conv_id = u.conv_id
+"""
+)
+def gate_document(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    none = F.array().cast("array<string>")
+    issues = F.concat(F.when(F.length("text") < 40, F.array(F.lit("short"))).otherwise(none), F.when(F.col("role") == "user", F.array(F.lit("asked"))).otherwise(none))
+    parts = t.select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.round(F.least(F.lit(1.0), F.length("text") / 200), 4).alias("score"), (F.length("text") >= 40).alias("passed"), issues.alias("issues"))
+    docs = t.groupBy(F.col("conv_id").alias("doc")).agg(F.round(F.least(F.lit(1.0), F.count("*") / 4 + 0.5), 4).alias("score"), F.first(none).alias("issues"))
+    return translation.gate(parts, docs).withColumn("issues", F.array_join("issues", "|"))
+
+
+@query(
+    """
+WITH p AS (SELECT conv_id AS doc, turn AS pos, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS draft FROM conversations),
+w AS (SELECT doc, pos, text, draft, unnest(regexp_extract_all(text, '[\\p{L}]{5,}')) AS term FROM p WHERE draft IS NOT NULL),
+x AS (SELECT DISTINCT doc, pos, term, substr(draft, 1, 6) AS target FROM w)
+SELECT doc, term, arg_min(target, pos) AS target, min(pos) AS since FROM x GROUP BY doc, term
+"""
+)
+def glossary_fold(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    p = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.col("text").alias("source_text"), F.lead("text").over(w).alias("draft")).where("draft IS NOT NULL")
+    each = p.select("*", F.explode(F.regexp_extract_all("source_text", F.lit(r"[\p{L}]{5,}"), F.lit(0))).alias("term")).withColumn("target", F.substring("draft", 1, 6))
+    return translation.carried_glossary(each)
+
+
+@query("SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'known' ELSE upper(c_name) END AS response FROM customer")
+def model_boundary(spark, sf_dir):
+    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("payload"))
+    cache = requests.where("CAST(key AS BIGINT) % 3 = 0").select("key", F.lit("known").alias("response"))
+    found, _ = models.answered(requests, cache, lambda: lambda texts: [x.upper() for x in texts])
+    return found.select(F.col("key").cast("long").alias("key"), "response")
+
+
+@query("WITH r AS (SELECT user_id, event_id, event_id % 3 = 0 AS hit, sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT CASE WHEN hit THEN 'cached' WHEN k <= 5 THEN 'asked' ELSE 'over_budget' END AS state, count(*) AS n FROM r GROUP BY 1")
+def request_budget(spark, sf_dir):
+    r = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("key"))
+    return models.within_budget(r, r.where("event_id % 3 = 0").select("key"), "user_id", "event_id", 5).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey AS name, 'missing' AS state FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 40) UNION ALL SELECT DISTINCT c_custkey % 40, 'unconfigured' FROM customer WHERE c_custkey % 40 NOT IN (SELECT n_nationkey FROM nation)")
+def policy_set_diff(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("name"))
+    c = table(spark, sf_dir, "customer")
+    gone = lifecycle.reconcile(n, c.where("c_custkey < 40").select(F.col("c_nationkey").cast("long").alias("name"))).where("state = 'missing'").distinct()
+    return gone.unionByName(lifecycle.reconcile(n, c.select((F.col("c_custkey") % 40).alias("name"))).where("state = 'unconfigured'").distinct())
+
+
+@query("SELECT c_custkey AS name, c_mktsegment AS hash FROM customer WHERE NOT (c_custkey % 2 = 0 AND c_mktsegment <> 'BUILDING')")
+def changed_inputs(spark, sf_dir):
+    found = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_mktsegment").alias("hash"))
+    return lifecycle.changed_inputs(found, found.where("name % 2 = 0").withColumn("hash", F.when(F.col("hash") == "BUILDING", "old").otherwise(F.col("hash"))))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE n_name END AS value FROM nation UNION ALL SELECT CAST(n_nationkey + 100 AS INT), n_name FROM nation WHERE n_nationkey < 3")
+def upsert_rows(spark, sf_dir):
+    t = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("value"))
+    put = lifecycle.upsert(t, t.where("id % 2 = 0").withColumn("value", F.lit("new")), "id")
+    more = t.where("id < 3").select((F.col("id") + 100).cast("int").alias("id"), "value").unionByName(t)
+    return lifecycle.insert_new(put, more, "id")
+
+
+@query("SELECT s_suppkey AS name, s_nationkey <> 3 AND s_suppkey % 4 <> 0 AS valid FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT s_suppkey, false FROM supplier WHERE s_suppkey % 5 = 0")
+def cache_validity(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), F.col("s_nationkey").cast("string").alias("input_hash"), F.lit("v1").alias("signature"))
+    path = F.concat(F.lit("p"), F.col("name").cast("string"))
+    entries = s.where("name % 5 <> 0").withColumn("signature", F.when(F.col("input_hash") == "3", "v0").otherwise("v1")).withColumn("artifacts", F.create_map(path, F.lit("h")))
+    return lifecycle.valid_cache(entries, s, s.select(path.alias("path"), F.when(F.col("name") % 4 == 0, "x").otherwise("h").alias("hash")))
+
+
+@query("SELECT (SELECT count(*) FROM supplier) AS sources, (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM events) AS chunks, (SELECT count(*) FROM events WHERE event_type = 'purchase') AS chunks_extracted, (SELECT count(*) FROM events WHERE value > 400) AS chunks_failed, (SELECT count(*) FROM lineitem) AS raw_facts, (SELECT count(*) FROM orders) AS canonical_facts, (SELECT count(*) FROM customer) AS decisions, (SELECT count(*) FROM part) AS scores, greatest(0, (SELECT count(*) FROM orders) * (SELECT count(*) FROM supplier) - (SELECT count(*) FROM customer)) AS decisions_missing")
+def status_board(spark, sf_dir):
+    t = lambda n: table(spark, sf_dir, n)
+    chunks = t("events").select(F.when(F.col("event_type") == "purchase", F.col("ts")).alias("extracted_at"), F.when(F.col("value") > 400, "error").alias("extraction_error"))
+    return claims.status({"sources": t("supplier"), "pages": t("documents"), "chunks": chunks, "raw_facts": t("lineitem"), "canonical_facts": t("orders"), "stances": t("customer"), "scores": t("part")})
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def label_histogram(spark, sf_dir):
+    return layout.label_histogram(table(spark, sf_dir, "events"), "event_type")
+
+
+_BLOCKS = "SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos, CASE WHEN l_partkey % 3 = 0 THEN 'section_header' ELSE 'text' END AS label, 'Block ' || (l_partkey % 50) AS text, l_quantity * 20.0 AS l, l_quantity * 50.0 AS t, l_quantity * 20.0 + 300 AS r, 0.0 AS b FROM lineitem"
+
+
+@query(
+    f"""
+WITH b AS ({_BLOCKS}),
+n AS (SELECT *, (SELECT max(x.pos) FROM b x WHERE x.doc = b.doc AND x.pos < b.pos AND x.label = 'text') AS pb, (SELECT min(x.pos) FROM b x WHERE x.doc = b.doc AND x.pos > b.pos AND x.label = 'text') AS pa FROM b WHERE label = 'section_header' AND l >= 550 AND t >= 1400),
+f AS (SELECT n.* FROM n JOIN b x ON x.doc = n.doc AND x.pos = n.pb JOIN b y ON y.doc = n.doc AND y.pos = n.pa WHERE x.r <= 600 AND y.l >= 450),
+h AS (SELECT f.doc, f.pos, f.text, b.text AS title, b.pos AS tp, row_number() OVER (PARTITION BY f.doc, f.pos ORDER BY b.t DESC, b.pos) AS k FROM f JOIN b ON b.doc = f.doc AND b.pos < f.pos AND b.label = 'section_header' AND b.text <> f.text)
+SELECT doc, CAST(pos AS INT) AS pos, text AS metadata, title, CAST(tp AS INT) AS title_pos FROM h WHERE k = 1
+"""
+)
+def geometry_headers(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).alias("pos"), F.when(F.col("l_partkey") % 3 == 0, "section_header").otherwise("text").alias("label"), F.concat(F.lit("Block "), (F.col("l_partkey") % 50).cast("string")).alias("text"), (F.col("l_quantity") * 20).alias("l"), (F.col("l_quantity") * 50).alias("t"), (F.col("l_quantity") * 20 + 300).alias("r"), F.lit(0.0).alias("b"), F.lit(1000.0).alias("width"), F.lit(2000.0).alias("height"))
+    return layout.header_candidates(b)
+
+
+@query(
+    """
+WITH l AS (SELECT conv_id AS page, turn, text, regexp_extract_all(text, '[^ \\n]+') AS ws, turn % 2 = 0 AS fine FROM conversations WHERE text <> ''),
+c AS (SELECT page, turn, i, ws[i + 1] AS text, i * 10.0 AS l, turn * 5.0 AS t FROM (SELECT *, unnest(range(0, len(ws))) AS i FROM l WHERE fine) UNION ALL SELECT page, turn, 0, text, 0.0, turn * 5.0 FROM l WHERE NOT fine)
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY turn, i) - 1 AS INT) AS index, regexp_replace(text, '^[ \\n]+|[ \\n]+$', '', 'g') AS text, CAST(l * 2 AS DOUBLE) AS l, CAST(t * 3 AS DOUBLE) AS t FROM c
+"""
+)
+def recognised_cells(spark, sf_dir):
+    words = F.transform(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0)), lambda w, i: F.struct(w.alias("text"), F.array(i * 10.0, F.col("turn") * 5.0, i * 10.0 + 9, F.col("turn") * 5.0 + 4).alias("bbox"), (F.col("turn") % 2 == 0).alias("bbox_valid"), F.lit(0.9).cast("double").alias("confidence")))
+    line = F.struct("text", F.lit(0.5).cast("double").alias("confidence"), F.array(F.lit(0.0), F.col("turn") * 5.0, F.lit(100.0), F.col("turn") * 5.0 + 4).alias("bbox"), words.alias("words"))
+    pages = table(spark, sf_dir, "conversations").where("text <> ''").groupBy(F.col("conv_id").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]).alias("text_lines"))
+    pages = pages.select("page", F.struct(F.array(F.lit(0.0), F.lit(0.0), F.lit(500.0), F.lit(500.0)).alias("image_bbox"), "text_lines").alias("prediction"), F.lit(1000.0).alias("width"), F.lit(1500.0).alias("height"))
+    return layout.cells(pages).select("page", "index", "text", "l", "t")
