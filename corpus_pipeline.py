@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, language_id, mixing, pii, signature_trees
-from corpusloom.llm.common import WORD, cut_lineage, table
+from corpusloom.llm.common import WORD, table
+from corpusloom.plans.storage import cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: word n-grams and the similarity in percent.

@@ -14,7 +14,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import WORD, cut_lineage, place
+from corpusloom.llm.common import WORD, place
+from corpusloom.plans.storage import cut_lineage
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5

@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import cut_lineage, mix, passes, span_hashes, utf8, window_hashes, with_text, word_spans
-from corpusloom.llm.components import components
+from corpusloom.llm.common import mix, passes, span_hashes, utf8, window_hashes, with_text, word_spans
 from corpusloom.llm.substring_dedup import BLOCK_BYTES, pack, ranged, unpack
+from corpusloom.operators.graph import connected_components as components
+from corpusloom.plans.storage import cut_lineage
 
 NGRAM, PERCENT = 3, 90
 #: Keys that one range holds, documents that one tree holds before its group is dealt into pieces, bits of a bitmap.
@@ -60,19 +61,17 @@ class Classes:
     them a linked pair can differ in."""
 
     def __init__(self, percent: int):
-        self.percent, self.edges = percent, [1]
+        self.percent, edges = percent, [1]
+        while edges[-1] < 1 << 48:
+            edges.append(edges[-1] * 100 // percent + 1)
+        self.edges = np.array(edges)
 
     def of(self, size: int) -> int:
-        while self.edges[-1] <= size:
-            self.edges.append(self.edges[-1] * 100 // self.percent + 1)
         return int(np.searchsorted(self.edges, size, "right")) - 1
 
     def parts(self, c: int) -> tuple[int, int]:
         """Parts, and the spare ones: parts less the largest difference less one."""
-        self.of(self.edges[-1])
-        while len(self.edges) < c + 2:
-            self.of(self.edges[-1])
-        differ = 2 * (self.edges[c + 1] - 1) * (100 - self.percent) // (100 + self.percent)
+        differ = 2 * (int(self.edges[c + 1]) - 1) * (100 - self.percent) // (100 + self.percent)
         spare = 1 + differ // 8
         return (differ + 1 + spare if differ else 0), spare
 
@@ -307,6 +306,13 @@ def _tree_links(n: int, percent: int):
     return run
 
 
+def _send(key, docs, own):
+    """The block's documents, once for each group that they're in."""
+    if not docs.num_rows or not own.num_rows:
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64())], names=["doc_id", "text", "group"])
+    return docs.select(["doc_id", "text"]).join(own.select(["d", "group"]), "doc_id", "d", "inner").combine_chunks().select(["doc_id", "text", "group"])
+
+
 def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TREE) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for every row."""
     rows = with_text(docs)
@@ -364,6 +370,8 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
 
 def _run_trees(rows: DataFrame, tasks: DataFrame, n: int, percent: int, n_blocks: int) -> DataFrame:
     """tasks: doc_id, group, piece, size. The texts go to the tasks; small groups share one."""
-    own = tasks.select(F.col("doc_id").alias("d"), F.xxhash64("group", "piece").alias("group"))
-    sent = rows.where("doc_id IS NOT NULL").join(own, F.col("doc_id") == F.col("d")).select("doc_id", "text", "group", F.expr(f"pmod(xxhash64(group, 9), {4 * n_blocks})").alias("task"))
+    block = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {n_blocks}) as int)").alias("block")
+    own = tasks.select(F.col("doc_id").alias("d"), F.xxhash64("group", "piece").alias("group"), block("doc_id"))
+    by_block = rows.where("doc_id IS NOT NULL").select("doc_id", "text", block("doc_id")).groupBy("block")
+    sent = by_block.cogroup(own.groupBy("block")).applyInArrow(_send, "doc_id long, text string, group long").withColumn("task", F.expr(f"pmod(xxhash64(group, 9), {4 * n_blocks})"))
     return sent.groupBy("task").applyInArrow(_tree_links(n, percent), "src long, dst long")
