@@ -64,7 +64,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text as little-endian 32-bit integers, and a digest of what they decode to."""
     path = public_tokenizers.path(VOCABULARY)
-    rows = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, "doc_id", "source"), path)
+    rows = bpe.encode(docs, path, public_tokenizers.PATTERN, "doc_id", "source", decoded="decoded")
     return rows.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

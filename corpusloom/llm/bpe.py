@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import passes, utf8
+from corpusloom.llm.common import passes, tidied, utf8
 
 #: What the pattern's \s means: Unicode's White_Space.
 SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -236,8 +236,10 @@ class Words(dict):
         return ids
 
 
-def encode(docs: DataFrame, path: str, pattern: str, *keep: str, text: str = "text", most: int = FREQUENT) -> DataFrame:
-    """The columns named by keep and ids, binary: each id as a little-endian unsigned 32-bit integer."""
+def encode(docs: DataFrame, path: str, pattern: str, *keep: str, text: str = "text", most: int = FREQUENT, decoded: str | None = None) -> DataFrame:
+    """The columns named by keep and ids, binary: each id as a little-endian unsigned 32-bit integer.
+
+    decoded names a further column for what the ids decode to, made in the same tasks."""
     rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     known = {w.encode("latin-1").decode(): np.array(ids, "<u4").tobytes() for w, ids in frequent_words(rows, path, pattern, most).items()}
     tokens = [t.encode("latin-1") for t in read_ranks(path)]
@@ -247,13 +249,14 @@ def encode(docs: DataFrame, path: str, pattern: str, *keep: str, text: str = "te
 
     def run(batches):
         known, tokens = shared.value
-        words, find = Words(known, {t: i for i, t in enumerate(tokens)}), regex.compile(split).findall
+        words, find, pieces = Words(known, {t: i for i, t in enumerate(tokens)}), regex.compile(split).findall, Pieces(tokens)
         for batch in batches:
             for part in passes(batch):
-                ids = [b"".join(map(words.__getitem__, find(x))) for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], [*part.schema.names[:-1], "ids"])
+                ids = pa.array([b"".join(map(words.__getitem__, find(x))) for x in part.column(part.num_columns - 1).to_pylist()], pa.binary())
+                also = [pieces.joined(ids)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, *also], [*part.schema.names[:-1], "ids", *[decoded] * len(also)])
 
-    return rows.mapInArrow(run, f"{kinds + ', ' if kinds else ''}ids binary")
+    return rows.mapInArrow(tidied(run), f"{kinds + ', ' if kinds else ''}ids binary" + (f", `{decoded}` binary" if decoded else ""))
 
 
 def python_pattern(pattern: str) -> str:
@@ -267,18 +270,28 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", to: str = "decoded") ->
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches):
-        flat = np.frombuffer(b"".join(shared.value), np.uint8)
-        sizes = np.array([len(t) for t in shared.value])
-        starts = np.cumsum(sizes) - sizes
+        pieces = Pieces(shared.value)
         for batch in batches:
             for part in passes(batch, ids):
-                data, offsets = utf8(part.column(part.schema.get_field_index(ids)))
-                which = np.frombuffer(data.tobytes(), "<u4")
-                n = sizes[which]
-                ends = np.concatenate([[0], np.cumsum(n)])
-                out = flat[np.repeat(starts[which] - ends[:-1], n) + np.arange(ends[-1])]
-                at = ends[offsets // 4]
-                joined = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(out.tobytes())])
-                yield pa.RecordBatch.from_arrays([*part.columns, joined.cast(pa.binary())], [*part.schema.names, to])
-
-    return rows.mapInArrow(run, f"{kinds}, `{to}` binary")
+                yield pa.RecordBatch.from_arrays([*part.columns, pieces.joined(part.column(part.schema.get_field_index(ids)))], [*part.schema.names, to])
+
+    return rows.mapInArrow(tidied(run), f"{kinds}, `{to}` binary")
+
+
+class Pieces:
+    """The vocabulary's bytes in one array."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.sizes = np.array([len(t) for t in tokens])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def joined(self, ids: pa.Array) -> pa.Array:
+        """The bytes of each row's packed ids."""
+        data, offsets = utf8(ids)
+        which = np.frombuffer(data.tobytes(), "<u4")
+        n = self.sizes[which]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        out = self.flat[np.repeat(self.starts[which] - ends[:-1], n) + np.arange(ends[-1])]
+        at = ends[offsets // 4].astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(out.tobytes())]).cast(pa.binary())

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import passes
+from corpusloom.llm.common import passes, tidied
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -192,4 +192,4 @@ def extract(pages: DataFrame, *keep: str, html: str = "html") -> DataFrame:
                 texts = [main_text(x) for x in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*part.schema.names[:-1], "text"])
 
-    return rows.mapInArrow(run, f"{kinds + ', ' if kinds else ''}text string")
+    return rows.mapInArrow(tidied(run), f"{kinds + ', ' if kinds else ''}text string")

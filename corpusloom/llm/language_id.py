@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import mix, passes
+from corpusloom.llm.common import mix, passes, tidied
 
 #: Trigrams that a language holds at most, most frequent first: with the slots' limit it bounds the model's size.
 MOST_GRAMS = 50_000
@@ -84,7 +84,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string"))
-    return rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidied(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -145,16 +145,18 @@ def fit(labelled: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns named by keep, lang_pred and score for every row; only the text is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_SLOTS bounds it
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*keep, *(["text"] if "text" not in keep else []))  # a text that is kept is sent once
+    at = rows.columns.index("text")
+    out = [i for i, c in enumerate(rows.columns) if c in keep]
 
     def tag(batches):
         for batch in batches:
-            for part in passes(batch, "_text"):
-                names, score = shared.value.predict(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(names, pa.string()), pa.array(score, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
+            for part in passes(batch):
+                names, score = shared.value.predict(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in out), pa.array(names, pa.string()), pa.array(score, pa.float64())], [*(part.schema.names[i] for i in out), "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(tag, f"{kinds + ', ' if kinds else ''}lang_pred string, score double")
+    kinds = ", ".join(f"`{rows.schema[i].name}` {rows.schema[i].dataType.simpleString()}" for i in out)
+    return rows.mapInArrow(tidied(tag), f"{kinds + ', ' if kinds else ''}lang_pred string, score double")
 
 
 def accepted(tagged: DataFrame, least: float = ACCEPT) -> DataFrame:

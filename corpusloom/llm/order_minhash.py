@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import mix, passes, place, with_text
+from corpusloom.llm.common import mix, passes, place, tidied, with_text
 
 K, TUPLE, SKETCHES = 5, 2, 32
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,7 +122,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     halo = firsts.select(F.lit(None).cast("long").alias("doc_id"), F.col("_f.text").alias("text"), F.col("_f._key").alias("_key"), F.col("_to").alias("_range"), F.lit(True).alias("_halo"))
     both = dealt.withColumn("_halo", F.lit(False)).unionByName(halo)
     placed = both.repartitionById(n, F.col("_range")).sortWithinPartitions("_range", "_halo", "_key", "text").select("doc_id", "text", "_range", "_halo")
-    return placed.mapInArrow(_walk, SCHEMA)
+    return placed.mapInArrow(tidied(_walk), SCHEMA)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import passes
+from corpusloom.llm.common import passes, tidied
 
 KINDS = ("email", "ip", "card", "phone", "secret", "iban", "ssn")
 BASE = 4
@@ -171,7 +171,7 @@ def vote_counts(docs: DataFrame) -> DataFrame:
                         held[key] = held.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in held], pa.list_(pa.int32())), pa.array(list(held.values()), pa.int64())], ["votes", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(count, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(tidied(count), "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n"))
 
 
 def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,7 +284,7 @@ def annotate(docs: DataFrame, model: Model, *keep: str, redacted: bool = False)
                     names.append("redacted")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, f"{kinds + ', ' if kinds else ''}base {SPAN}, spans {SPAN}" + ", redacted string" * redacted)
+    return rows.mapInArrow(tidied(run), f"{kinds + ', ' if kinds else ''}base {SPAN}, spans {SPAN}" + ", redacted string" * redacted)
 
 
 def spelled(found: Column) -> Column:

@@ -120,7 +120,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and what they decode to, as digests."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, "doc_id"), path)
+    rows = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, "doc_id", decoded="decoded")
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

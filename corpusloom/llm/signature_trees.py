@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import mix, passes, span_hashes, utf8, window_hashes, with_text, word_spans
+from corpusloom.llm.common import mix, passes, span_hashes, tidied, utf8, window_hashes, with_text, word_spans
 from corpusloom.llm.substring_dedup import BLOCK_BYTES, pack, ranged, unpack
 from corpusloom.operators.graph import connected_components as components
 from corpusloom.plans.storage import cut_lineage
@@ -325,7 +325,7 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
                 d = np.array([digest(x) for x in s], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in s], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "n_shingles", "one", "two"])
 
-    tagged = cut_lineage(rows.mapInArrow(tag, "doc_id long, n_shingles long, one long, two long"))
+    tagged = cut_lineage(rows.mapInArrow(tidied(tag), "doc_id long, n_shingles long, one long, two long"))
     reps = cut_lineage(tagged.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
@@ -333,10 +333,10 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
     block = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {n_blocks}) as int)").alias("block")
     by_block = rows.where("doc_id IS NOT NULL").select("doc_id", "text", block("doc_id")).groupBy("block")
     held = reps.select("rep", block("rep")).distinct()
-    signed = by_block.cogroup(held.groupBy("block")).applyInArrow(_signatures(n, percent, n_ranges), "block int, range int, keys binary, ids binary, more binary")
-    hubs = signed.groupBy("range").applyInArrow(_hubs, "block int, range int, bits binary, hubs binary")
+    signed = by_block.cogroup(held.groupBy("block")).applyInArrow(tidied(_signatures(n, percent, n_ranges)), "block int, range int, keys binary, ids binary, more binary")
+    hubs = signed.groupBy("range").applyInArrow(tidied(_hubs), "block int, range int, bits binary, hubs binary")
     back = held.unionByName(hubs, allowMissingColumns=True)
-    agreed = cut_lineage(by_block.cogroup(back.groupBy("block")).applyInArrow(_agreements(n, percent, n_ranges), "c int, hub long, doc long"))
+    agreed = cut_lineage(by_block.cogroup(back.groupBy("block")).applyInArrow(tidied(_agreements(n, percent, n_ranges)), "c int, hub long, doc long"))
     # groups that may hold links, by join class; the tree's task gets their texts
     node = lambda x: F.struct("c", F.col(x).alias("id"))
     maybe = components(agreed.select(node("hub").alias("src"), node("doc").alias("dst")))
@@ -373,5 +373,5 @@ def _run_trees(rows: DataFrame, tasks: DataFrame, n: int, percent: int, n_blocks
     block = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {n_blocks}) as int)").alias("block")
     own = tasks.select(F.col("doc_id").alias("d"), F.xxhash64("group", "piece").alias("group"), block("doc_id"))
     by_block = rows.where("doc_id IS NOT NULL").select("doc_id", "text", block("doc_id")).groupBy("block")
-    sent = by_block.cogroup(own.groupBy("block")).applyInArrow(_send, "doc_id long, text string, group long").withColumn("task", F.expr(f"pmod(xxhash64(group, 9), {4 * n_blocks})"))
-    return sent.groupBy("task").applyInArrow(_tree_links(n, percent), "src long, dst long")
+    sent = by_block.cogroup(own.groupBy("block")).applyInArrow(tidied(_send), "doc_id long, text string, group long").withColumn("task", F.expr(f"pmod(xxhash64(group, 9), {4 * n_blocks})"))
+    return sent.groupBy("task").applyInArrow(tidied(_tree_links(n, percent)), "src long, dst long")

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import mix, passes, span_hashes, utf8, window_hashes, with_text, word_spans
+from corpusloom.llm.common import mix, passes, span_hashes, tidied, utf8, window_hashes, with_text, word_spans
 
 WINDOW = 20
 DEPTH = 2
 #: Text bytes in a block, and sketch cells or keys that one range holds.
-BLOCK_BYTES, RANGE_CELLS = 6 << 20, 1 << 21
+BLOCK_BYTES, RANGE_CELLS = 4 << 20, 1 << 21
 #: Sketch cells for every word of the corpus.
 CELLS_PER_WORD = 4
 
@@ -230,8 +230,8 @@ def dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     n_ranges = max(1, -(-total // 6 // RANGE_CELLS))
     dealt = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.expr(f"cast(pmod(xxhash64(doc_id), {n_blocks}) as int)").alias("block"))
     by_block = dealt.groupBy("block")
-    sketches = by_block.applyInArrow(_sketch(size, n_cells, n_ranges), "block int, depth int, range int, cells binary, more binary")
-    counted = sketches.groupBy("depth", "range").applyInArrow(_merge, REPLY)
-    proposed = by_block.cogroup(counted.groupBy("block")).applyInArrow(_propose(size, n_cells, n_ranges), "block int, range int, one binary, two binary, owner binary")
-    decided = proposed.groupBy("range").applyInArrow(_decide, REPLY).withColumn("depth", F.lit(-1))
-    return by_block.cogroup(counted.unionByName(decided).groupBy("block")).applyInArrow(_remove(size, n_cells, n_ranges), RESULT)
+    sketches = by_block.applyInArrow(tidied(_sketch(size, n_cells, n_ranges)), "block int, depth int, range int, cells binary, more binary")
+    counted = sketches.groupBy("depth", "range").applyInArrow(tidied(_merge), REPLY)
+    proposed = by_block.cogroup(counted.groupBy("block")).applyInArrow(tidied(_propose(size, n_cells, n_ranges)), "block int, range int, one binary, two binary, owner binary")
+    decided = proposed.groupBy("range").applyInArrow(tidied(_decide), REPLY).withColumn("depth", F.lit(-1))
+    return by_block.cogroup(counted.unionByName(decided).groupBy("block")).applyInArrow(tidied(_remove(size, n_cells, n_ranges)), RESULT)
