@@ -152,7 +152,7 @@ def votes(text: str, span: tuple[int, int, int], is_base: bool) -> tuple[int, ..
     before = {w.lower() for w in _WORD.findall(text[max(0, start - 40) : start])}
     context = 2 if before & CUES[kind] else 0
     against = 1 if before & AGAINST else 0
-    edge = 1 if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()) else 2
+    edge = 1 if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()) else 0
     length = min(5, (end - start) // 6)
     return (k, form, check, gazetteer, context, against, edge, length)
 
@@ -182,19 +182,20 @@ def reliabilities(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) ->
     no = (said == 1).sum(1) + 0.0
     belief = 1 / (1 + np.exp(-1.4 * (yes - 2 * no - 0.5)))
     prior, table = np.zeros(len(KINDS)), np.zeros((6, 2, 3))
+    held = max(1.0, 0.02 * counts.sum())
     for _ in range(rounds):
         for k in range(len(KINDS)):
             mine = kinds == k
             prior[k] = (1 + (belief * counts)[mine].sum()) / (2 + counts[mine].sum())
         for j in range(6):
             for truth, share in ((0, 1 - belief), (1, belief)):
-                seen = np.bincount(said[:, j], share * counts, 3)
-                # pseudo-counts of the start keep a labeler from turning into its opposite
-                table[j, truth] = seen + (np.array([2.0, 8.0, 2.0]) if truth == 0 else np.array([2.0, 2.0, 8.0])) * max(1.0, 0.02 * counts.sum())
-                table[j, truth] /= table[j, truth].sum()
+                # pseudo-counts of the start keep a labeler from turning into its opposite; silence tells nothing
+                seen = np.bincount(said[:, j], share * counts, 3)[1:] + held * np.array([8.0, 2.0] if truth == 0 else [2.0, 8.0])
+                table[j, truth, 1:] = seen / seen.sum()
         odds = np.log(prior[kinds]) - np.log(1 - prior[kinds])
         for j in range(6):
-            odds += np.log(table[j, 1, said[:, j]]) - np.log(table[j, 0, said[:, j]])
+            told = said[:, j] > 0
+            odds[told] += np.log(table[j, 1, said[told, j]]) - np.log(table[j, 0, said[told, j]])
         belief = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return belief, prior, table
 
