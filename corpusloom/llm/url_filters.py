@@ -65,4 +65,4 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     winners = expressions.join(hint(ready), F.col("_short") == F.col("r_short")).where("_digest = r_digest").groupBy("_u").agg(F.max(order).alias("_win"))
     won = winners.select("_u", F.col("_win.rule").alias("_rule"), F.when(F.col("_win.c"), "block").otherwise("allow").alias("_verdict"))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return pages.join(won, pages[url] == won["_u"], "left").select(*[pages[c] for c in kept], host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), F.col("_rule").alias("rule"), F.coalesce("_verdict", F.lit(default)).alias("verdict"))
+    return pages.join(won, pages[url] == won["_u"], "left").select(*[pages[c] for c in kept], host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), won["_rule"].alias("rule"), F.coalesce(won["_verdict"], F.lit(default)).alias("verdict"))
