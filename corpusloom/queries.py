@@ -274,10 +274,9 @@ def output_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.label(F.col("p_name")).alias("label"), T.dashed_label(F.col("p_type")).alias("dashed"), F.substring("p_name", 1, 5).alias("message"))
 
 
-@query("SELECT c_name, c_custkey, row_number() OVER (ORDER BY lower(regexp_extract(c_name, '^[^0-9]*')), CAST(regexp_extract(c_name, '[0-9]+$') AS BIGINT)) AS place FROM customer WHERE c_custkey < 500")
+@query("SELECT c_custkey, lower(regexp_extract(c_name, '^[^0-9]*')) || lpad(CAST(CAST(regexp_extract(c_name, '[0-9]+$') AS BIGINT) AS VARCHAR), 20, '0') AS sort_key FROM customer")
 def natural_sort(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").where("c_custkey < 500")  # part of the query
-    return rows.select("c_name", "c_custkey", F.row_number().over(Window.orderBy(T.natural_key(F.col("c_name")))).cast("long").alias("place"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.natural_key(F.col("c_name")).alias("sort_key"))
 
 
 @query(
@@ -376,12 +375,9 @@ def chunk_context(spark, sf_dir):
     return segment.batches(rows, "conv_id", "turn", 2).select("conv_id", "turn", "context", "batch")
 
 
-_SPANS = "SELECT user_id, list({'s': CAST(s AS INT), 'e': CAST(s + 1 + event_id % 7 AS INT)} ORDER BY s, event_id % 7 DESC, event_id) AS xs FROM (SELECT *, (event_id * 7) % 40 AS s FROM events WHERE event_id < 2000) GROUP BY user_id"
-
-
 @query(
     f"""
-WITH RECURSIVE g AS (SELECT DISTINCT user_id, (event_id * 7) % 40 AS s, (event_id * 7) % 40 + 1 + event_id % 7 AS e FROM events WHERE event_id < 2000),
+WITH RECURSIVE g AS (SELECT DISTINCT user_id, (event_id * 7) % 40 AS s, (event_id * 7) % 40 + 1 + event_id % 7 AS e FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e DESC) AS k FROM g),
 r(user_id, k, s, e, taken) AS (SELECT user_id, k, s, e, true FROM n WHERE k = 1 UNION ALL SELECT n.user_id, n.k, CASE WHEN n.s >= r.e THEN n.s ELSE r.s END, CASE WHEN n.s >= r.e THEN n.e ELSE r.e END, n.s >= r.e FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
 SELECT user_id, CAST(s AS INT) AS s, CAST(e AS INT) AS e FROM r WHERE taken
@@ -389,7 +385,7 @@ SELECT user_id, CAST(s AS INT) AS s, CAST(e AS INT) AS e FROM r WHERE taken
 )
 def greedy_spans(spark, sf_dir):
     start = ((F.col("event_id") * 7) % 40).cast("int")
-    rows = table(spark, sf_dir, "events").where("event_id < 2000").select("user_id", start.alias("start"), (start + 1 + F.col("event_id") % 7).cast("int").alias("end")).distinct()
+    rows = table(spark, sf_dir, "events").select("user_id", start.alias("start"), (start + 1 + F.col("event_id") % 7).cast("int").alias("end")).distinct()
     held = rows.groupBy("user_id").agg(F.collect_list(F.struct("start", "end")).alias("xs"))
     return held.select("user_id", F.explode(protect.non_overlapping(F.col("xs"))).alias("x")).select("user_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
 
@@ -438,15 +434,15 @@ def canonical_ids(spark, sf_dir):
 
 @query(
     """
-WITH w AS (SELECT l_orderkey AS key, l_linenumber AS pos, l_partkey AS id FROM lineitem WHERE l_orderkey <= 3000),
-f AS (SELECT p_partkey AS id, p_brand || ' — PDF p. ' || p_size || ' (printed ' || p_size || CASE WHEN p_size % 2 = 0 THEN ', ' || p_type ELSE '' END || '): “' || p_name || '”' AS t FROM part WHERE p_partkey % 5 <> 0)
+WITH w AS (SELECT l_orderkey AS key, l_linenumber AS pos, l_partkey AS id FROM lineitem),
+f AS (SELECT p_partkey AS id, p_brand || ' — PDF p. ' || p_size || ' (printed ' || p_size || CASE WHEN p_size % 2 = 0 THEN ', ' || p_type ELSE '' END || '): “' || p_name || '”' AS t FROM part WHERE p_size > 10)
 SELECT key, string_agg(t, chr(10) || chr(10) ORDER BY pos, w.id) AS evidence FROM w JOIN f ON w.id = f.id GROUP BY key
 """
 )
 def evidence_ordered_lookup(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey <= 3000")
+    lines = table(spark, sf_dir, "lineitem")
     wanted = lines.groupBy(F.col("l_orderkey").alias("key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("ids"))
-    facts = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("id"), quotes.evidence_text(F.col("p_brand"), F.col("p_size"), F.lit(None).cast("string"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.col("p_name")).alias("text"))
+    facts = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("id"), quotes.evidence_text(F.col("p_brand"), F.col("p_size"), F.lit(None).cast("string"), F.when(F.col("p_size") % 2 == 0, F.col("p_type")), F.col("p_name")).alias("text"))
     return quotes.ordered_evidence(wanted, facts).where(F.size("texts") > 0).select("key", F.array_join("texts", "\n\n").alias("evidence"))
 
 
@@ -482,7 +478,7 @@ def bounded_components(spark, sf_dir):
 
 @query(
     f"""
-WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0),
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT q.query_id, e.vec_id AS item_id, e.label AS source, round(list_cosine_similarity(q.v, CAST(e.embedding AS DOUBLE[])), 6) AS similarity, e.vec_id // 10 = q.query_id // 10 AS direct FROM q, embeddings e),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY direct DESC, similarity DESC, item_id) AS rank FROM s WHERE direct OR similarity >= 0.25)
 SELECT query_id, source, item_id, similarity, direct, CAST(rank AS INT) AS rank FROM r WHERE direct OR rank <= 3
@@ -494,7 +490,7 @@ def retrieval_topk(spark, sf_dir):
 
 def _retrieved(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     items = e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("source"), "embedding")
     members = e.select((F.col("vec_id") - F.col("vec_id") % 10).alias("query_id"), F.col("vec_id").alias("item_id"))
     return similarity.retrieve(q, items, members, 0.25, 3)
@@ -502,14 +498,14 @@ def _retrieved(spark, sf_dir) -> DataFrame:
 
 @query(
     f"""
-WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 10 = 0),
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT DISTINCT q.query_id, e.label AS source FROM q, embeddings e WHERE e.vec_id // 10 = q.query_id // 10 OR round(list_cosine_similarity(q.v, CAST(e.embedding AS DOUBLE[])), 6) >= 0.25)
 SELECT q.query_id, l.source, 'not_covered' AS coverage, 'silent' AS stance, CAST(1.0 AS DOUBLE) AS confidence, 'retrieval' AS model FROM q, (SELECT DISTINCT label AS source FROM embeddings) l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = q.query_id AND s.source = l.source)
 """
 )
 def not_covered_pairs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
     return similarity.not_covered(q, e.select(F.col("label").alias("source")), _retrieved(spark, sf_dir))
 
 
@@ -599,16 +595,16 @@ def csv_ledger(spark, sf_dir):
     return rows.select("fact", "grade", "strength_pct", "coverage_pct", "conflict_pct")
 
 
-@query("SELECT o_orderkey AS fact, count(DISTINCT l_suppkey) AS have, (SELECT count(*) FROM supplier WHERE s_suppkey <= 3) AS need FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_suppkey <= 3) ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING count(DISTINCT l_suppkey) < (SELECT count(*) FROM supplier WHERE s_suppkey <= 3)")
+@query("SELECT o_orderkey AS fact, count(DISTINCT l_suppkey) AS have, (SELECT count(*) FROM supplier) AS need FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING count(DISTINCT l_suppkey) < (SELECT count(*) FROM supplier)")
 def completeness_check(spark, sf_dir):
     facts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact"))
-    decisions = table(spark, sf_dir, "lineitem").where("l_suppkey <= 3").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("source"))
-    return claims.incomplete(facts, table(spark, sf_dir, "supplier").where("s_suppkey <= 3").select(F.col("s_suppkey").alias("source")), decisions)
+    decisions = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("source"))
+    return claims.incomplete(facts, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source")), decisions)
 
 
-@query("SELECT n_nationkey AS fact, r_regionkey AS source FROM nation, region WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 5 = r_regionkey AND c_custkey < 60)")
+@query("SELECT n_nationkey AS fact, r_regionkey AS source FROM nation, region WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 5 = r_regionkey)")
 def open_pairs(spark, sf_dir):
-    done = table(spark, sf_dir, "customer").where("c_custkey < 60").select(F.col("c_nationkey").alias("fact"), (F.col("c_custkey") % 5).cast("int").alias("source")).distinct()
+    done = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("fact"), (F.col("s_suppkey") % 5).cast("int").alias("source")).distinct()
     return claims.open_pairs(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("fact")), table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("source")), done)
 
 
@@ -691,48 +687,47 @@ def glossary_fold(spark, sf_dir):
     return translation.carried_glossary(each)
 
 
-@query("SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'known' ELSE upper(c_name) END AS response FROM customer")
+@query("SELECT c_custkey AS key, CASE WHEN c_mktsegment = 'BUILDING' THEN 'known' ELSE upper(c_name) END AS response FROM customer")
 def model_boundary(spark, sf_dir):
-    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("payload"))
-    cache = requests.where("CAST(key AS BIGINT) % 3 = 0").select("key", F.lit("known").alias("response"))
-    found, _ = models.answered(requests, cache, lambda: lambda texts: [x.upper() for x in texts])
+    c = table(spark, sf_dir, "customer").withColumn("key", F.col("c_custkey").cast("string"))
+    cache = c.where("c_mktsegment = 'BUILDING'").select("key", F.lit("known").alias("response"))
+    found, _ = models.answered(c.select("key", F.col("c_name").alias("payload")), cache, lambda: lambda texts: [x.upper() for x in texts])
     return found.select(F.col("key").cast("long").alias("key"), "response")
 
 
-@query("WITH r AS (SELECT user_id, event_id, event_id % 3 = 0 AS hit, sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT CASE WHEN hit THEN 'cached' WHEN k <= 5 THEN 'asked' ELSE 'over_budget' END AS state, count(*) AS n FROM r GROUP BY 1")
+@query("WITH r AS (SELECT event_type = 'purchase' AS hit, sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) SELECT CASE WHEN hit THEN 'cached' WHEN k <= 5 THEN 'asked' ELSE 'over_budget' END AS state, count(*) AS n FROM r GROUP BY 1")
 def request_budget(spark, sf_dir):
-    r = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("key"))
-    return models.within_budget(r, r.where("event_id % 3 = 0").select("key"), "user_id", "event_id", 5).groupBy("state").agg(F.count("*").alias("n"))
+    r = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_id").alias("key"), "event_type")
+    return models.within_budget(r, r.where("event_type = 'purchase'").select("key"), "user_id", "event_id", 5).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_nationkey AS name, 'missing' AS state FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey < 40) UNION ALL SELECT DISTINCT c_custkey % 40, 'unconfigured' FROM customer WHERE c_custkey % 40 NOT IN (SELECT n_nationkey FROM nation)")
+@query("SELECT n_nationkey AS name, 'missing' AS state FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey + 3 FROM customer) UNION ALL SELECT DISTINCT c_nationkey + 3, 'unconfigured' FROM customer WHERE c_nationkey + 3 NOT IN (SELECT n_nationkey FROM nation)")
 def policy_set_diff(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("name"))
-    c = table(spark, sf_dir, "customer")
-    gone = lifecycle.reconcile(n, c.where("c_custkey < 40").select(F.col("c_nationkey").cast("long").alias("name"))).where("state = 'missing'").distinct()
-    return gone.unionByName(lifecycle.reconcile(n, c.select((F.col("c_custkey") % 40).alias("name"))).where("state = 'unconfigured'").distinct())
+    return lifecycle.reconcile(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("name")), table(spark, sf_dir, "customer").select((F.col("c_nationkey") + 3).alias("name")).distinct())
 
 
-@query("SELECT c_custkey AS name, c_mktsegment AS hash FROM customer WHERE NOT (c_custkey % 2 = 0 AND c_mktsegment <> 'BUILDING')")
+@query("SELECT c_custkey AS name, c_mktsegment AS hash FROM customer WHERE NOT (c_acctbal > 0 AND c_mktsegment <> 'BUILDING')")
 def changed_inputs(spark, sf_dir):
-    found = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_mktsegment").alias("hash"))
-    return lifecycle.changed_inputs(found, found.where("name % 2 = 0").withColumn("hash", F.when(F.col("hash") == "BUILDING", "old").otherwise(F.col("hash"))))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_mktsegment").alias("hash"), "c_acctbal")
+    known = c.where("c_acctbal > 0").select("name", F.when(F.col("hash") == "BUILDING", "old").otherwise(F.col("hash")).alias("hash"))
+    return lifecycle.changed_inputs(c.select("name", "hash"), known)
 
 
-@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE n_name END AS value FROM nation UNION ALL SELECT CAST(n_nationkey + 100 AS INT), n_name FROM nation WHERE n_nationkey < 3")
+@query("SELECT n_nationkey AS id, CASE WHEN n_regionkey < 2 THEN 'new' ELSE n_name END AS value FROM nation UNION ALL SELECT CAST(r_regionkey + 100 AS INT), r_name FROM region")
 def upsert_rows(spark, sf_dir):
-    t = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("value"))
-    put = lifecycle.upsert(t, t.where("id % 2 = 0").withColumn("value", F.lit("new")), "id")
-    more = t.where("id < 3").select((F.col("id") + 100).cast("int").alias("id"), "value").unionByName(t)
+    n = table(spark, sf_dir, "nation")
+    t = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("value"))
+    put = lifecycle.upsert(t, n.where("n_regionkey < 2").select(F.col("n_nationkey").alias("id"), F.lit("new").alias("value")), "id")
+    more = table(spark, sf_dir, "region").select((F.col("r_regionkey") + 100).cast("int").alias("id"), F.col("r_name").alias("value")).unionByName(t)
     return lifecycle.insert_new(put, more, "id")
 
 
-@query("SELECT s_suppkey AS name, s_nationkey <> 3 AND s_suppkey % 4 <> 0 AS valid FROM supplier WHERE s_suppkey % 5 <> 0 UNION ALL SELECT s_suppkey, false FROM supplier WHERE s_suppkey % 5 = 0")
+@query("SELECT s_suppkey AS name, s_acctbal > 0 AND s_nationkey <> 3 AND s_nationkey <> 5 AS valid FROM supplier")
 def cache_validity(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), F.col("s_nationkey").cast("string").alias("input_hash"), F.lit("v1").alias("signature"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), F.col("s_nationkey").cast("string").alias("input_hash"), F.lit("v1").alias("signature"), "s_acctbal")
     path = F.concat(F.lit("p"), F.col("name").cast("string"))
-    entries = s.where("name % 5 <> 0").withColumn("signature", F.when(F.col("input_hash") == "3", "v0").otherwise("v1")).withColumn("artifacts", F.create_map(path, F.lit("h")))
-    return lifecycle.valid_cache(entries, s, s.select(path.alias("path"), F.when(F.col("name") % 4 == 0, "x").otherwise("h").alias("hash")))
+    entries = s.where("s_acctbal > 0").withColumn("signature", F.when(F.col("input_hash") == "3", "v0").otherwise("v1")).withColumn("artifacts", F.create_map(path, F.lit("h")))
+    return lifecycle.valid_cache(entries, s, s.select(path.alias("path"), F.when(F.col("input_hash") == "5", "x").otherwise("h").alias("hash")))
 
 
 @query("SELECT (SELECT count(*) FROM supplier) AS sources, (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM events) AS chunks, (SELECT count(*) FROM events WHERE event_type = 'purchase') AS chunks_extracted, (SELECT count(*) FROM events WHERE value > 400) AS chunks_failed, (SELECT count(*) FROM lineitem) AS raw_facts, (SELECT count(*) FROM orders) AS canonical_facts, (SELECT count(*) FROM customer) AS decisions, (SELECT count(*) FROM part) AS scores, greatest(0, (SELECT count(*) FROM orders) * (SELECT count(*) FROM supplier) - (SELECT count(*) FROM customer)) AS decisions_missing")
