@@ -120,6 +120,13 @@ def language_route(source: Column, target: Column) -> Column:
     return F.when(known, F.when(a == "eng_Latn", "en_indic").when(b == "eng_Latn", "indic_en").otherwise("indic_indic"))
 
 
+def detected(text: Column, code: Column, probability: Column) -> Column:
+    """A detector's answer as a language_Script code, or null: it needs 20 characters, a probability of 0.6 and a
+    language that translation supports."""
+    full = F.coalesce(lookup(F.lower(code), INDIC_SHORT), language_code(code))
+    return F.when((F.length(strip(text)) >= 20) & (probability >= 0.60) & full.isin(*INDIC, "eng_Latn"), full)
+
+
 def text_quality(text: Column) -> Column:
     """usable, language, reason, characters, letters, symbol_ratio, latin_ratio, script: how well text was extracted."""
     n = lambda c: count_of(text, c)

@@ -31,9 +31,9 @@ def pieces_of(sentence: str, limit: int, count=lambda x: len(x.split())) -> list
     return [*out, glue.join(held)] if held else out
 
 
-def segments(text: str, limit: int = 256, count=lambda x: len(x.split())) -> list[tuple[str, str, str]]:
+def segments(text: str, limit: int = 256, count=lambda x: len(x.split()), sentences=_ENDS.split) -> list[tuple[str, str, str]]:
     """prefix, text and separator of each piece. Line ends and blank lines hang on the piece before them, or on the
-    first one's prefix; sentences of a line are parted by one space."""
+    first one's prefix; sentences of a line are parted by one space. `count` and `sentences` may be a model's."""
     out: list[list[str]] = []
     lead = ""
     if not text.strip():
@@ -46,7 +46,7 @@ def segments(text: str, limit: int = 256, count=lambda x: len(x.split())) -> lis
                 lead += line
             continue
         left, right = len(line) - len(line.lstrip(_BLANKS)), len(line.rstrip(_BLANKS))
-        inner = [p for s in _ENDS.split(line[left:right]) if s.strip() for p in pieces_of(s.strip(), limit, count)]
+        inner = [p for s in sentences(line[left:right]) if s.strip() for p in pieces_of(s.strip(), limit, count)]
         for i, piece in enumerate(inner):
             out.append([lead + line[:left] if i == 0 else "", piece, " " if i < len(inner) - 1 else line[right:]])
         lead = ""

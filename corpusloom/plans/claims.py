@@ -267,3 +267,18 @@ def partition_error(observed: Column, expected: Column) -> Column:
 def canonical_members(groups: DataFrame) -> DataFrame:
     """canonical_id and member for groups (ids): the id is a digest of the sorted members."""
     return groups.select(F.substring(F.sha2(F.array_join(F.array_sort("ids"), "\u0000"), 256), 1, 32).alias("canonical_id"), F.explode("ids").alias("member"))
+
+
+def located_facts(facts: DataFrame, chunks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Facts with the label of the page that their chunk is from. facts: chunk_id. chunks: id, page_id. pages: id, page_label."""
+    c = chunks.select(F.col("id").alias("chunk_id"), "page_id")
+    return facts.join(c, "chunk_id").join(pages.select(F.col("id").alias("page_id"), "page_label"), "page_id")
+
+
+def member_similarity(members: DataFrame, canonical: DataFrame, facts: DataFrame) -> DataFrame:
+    """canonical_id, raw_fact_id and similarity of every member with its canonical fact. Both tables: id, embedding."""
+    from corpusloom.functions.vectors import cosine
+
+    c = canonical.select(F.col("id").alias("canonical_id"), F.col("embedding").alias("_c"))
+    f = facts.select(F.col("id").alias("raw_fact_id"), F.col("embedding").alias("_f"))
+    return members.join(c, "canonical_id").join(f, "raw_fact_id").select("canonical_id", "raw_fact_id", cosine(F.col("_c"), F.col("_f")).alias("similarity"))

@@ -44,3 +44,22 @@ def within_budget(requests: DataFrame, cache: DataFrame, doc: str, pos: str, bud
     known = requests.join(cache.select("key", F.lit(True).alias("_hit")), "key", "left")
     place = F.sum(F.when(F.col("_hit").isNull(), 1).otherwise(0)).over(Window.partitionBy(doc).orderBy(pos))
     return known.withColumn("state", F.when(F.col("_hit"), "cached").when(place <= budget, "asked").otherwise("over_budget")).drop("_hit")
+
+
+def stale(rows: DataFrame, model: str, vector: str = "embedding", by: str = "embedding_model") -> DataFrame:
+    """Rows without a vector, or with another model's."""
+    return rows.where(F.col(vector).isNull() | ~F.col(by).eqNullSafe(F.lit(model)))
+
+
+def embed(texts: DataFrame, factory: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> DataFrame:
+    """key and embedding of every text (key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        model = None
+        for rows in batches:
+            model = model or factory()
+            for a in range(0, rows.num_rows, batch):
+                part = rows.slice(a, batch)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model(part.column(1).to_pylist()), pa.list_(pa.float32()))], ["key", "embedding"])
+
+    return texts.select(F.col("key").cast("string"), F.col("text").cast("string")).mapInArrow(run, "key string, embedding array<float>")

@@ -773,3 +773,57 @@ def recognised_cells(spark, sf_dir):
     pages = table(spark, sf_dir, "conversations").where("text <> ''").groupBy(F.col("conv_id").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]).alias("text_lines"))
     pages = pages.select("page", F.struct(F.array(F.lit(0.0), F.lit(0.0), F.lit(500.0), F.lit(500.0)).alias("image_bbox"), "text_lines").alias("prediction"), F.lit(1000.0).alias("width"), F.lit(1500.0).alias("height"))
     return layout.cells(pages).select("page", "index", "text", "l", "t")
+
+
+# --- joins and checks of the ledger's tables -----------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, length(regexp_replace(text, '^[{_S}]+|[{_S}]+$', '', 'g')) < 40 AS needs_ocr FROM documents")
+def recognition_fallback(spark, sf_dir):
+    from corpusloom.sources.files import needs_recognition
+
+    return table(spark, sf_dir, "documents").select("doc_id", needs_recognition(F.col("text")).alias("needs_ocr"))
+
+
+@query("SELECT e.event_id, u.c_name AS title, e.event_type FROM events e JOIN customer u ON e.user_id = u.c_custkey WHERE e.event_type <> 'purchase'")
+def pending_chunks(spark, sf_dir):
+    sources = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("title"))
+    return table(spark, sf_dir, "events").where("event_type <> 'purchase'").join(sources, "user_id").select("event_id", "title", "event_type")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, o_custkey AS page_id, c_name AS page_label FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
+def located_facts(spark, sf_dir):
+    facts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_orderkey").alias("chunk_id"))
+    chunks = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("page_id"))
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("page_label"))
+    return claims.located_facts(facts, chunks, pages).select("l_orderkey", "l_linenumber", "l_partkey", "page_id", "page_label")
+
+
+@query("SELECT a.vec_id AS canonical_id, b.vec_id AS raw_fact_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id - b.vec_id % 10")
+def member_similarity(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    members = v.select((F.col("id") - F.col("id") % 10).alias("canonical_id"), F.col("id").alias("raw_fact_id"))
+    return claims.member_similarity(members, v, v).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT vec_id FROM embeddings WHERE label > 2 OR label = 0")
+def stale_embeddings(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("label") > 0, F.col("embedding")).alias("embedding"), F.when(F.col("label") > 2, "old").otherwise("new").alias("embedding_model"))
+    return models.stale(rows, "new").select("vec_id")
+
+
+@query("SELECT o_custkey, count(*) <> count(DISTINCT l_suppkey) AS error FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey")
+def partition_check(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    g = rows.groupBy("o_custkey").agg(F.collect_list("l_suppkey").alias("seen"), F.collect_set("l_suppkey").alias("all"))
+    return g.select("o_custkey", claims.partition_error(F.col("seen"), F.col("all")).alias("error"))
+
+
+@query("SELECT doc_id, CASE WHEN length(regexp_replace(text, '^[" + _S + "]+|[" + _S + "]+$', '', 'g')) >= 20 AND n_chars % 7 >= 3 AND lang = 'en' THEN 'eng_Latn' END AS code FROM documents")
+def detection_gate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.detected(F.col("text"), F.col("lang"), (F.col("n_chars") % 7) / 5.0).alias("code"))
+
+
+@query("SELECT c_custkey, sha256('{\"k0\":' || c_custkey || ',\"k1\":\"' || c_name || '\"}') AS key FROM customer")
+def correction_keys(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", T.cache_key(F.col("c_custkey"), F.col("c_name")).alias("key"))
