@@ -31,7 +31,7 @@ RULES = (
     Rule("symbol_heavy", 2, "10 * n_symbols > 3 * n_words"),
     Rule("shouting", 3, "n_letters > 0 AND 10 * n_upper > 5 * n_letters"),
     Rule("bar_list", 4, "10 * n_bars > 3 * n_words"),
-    Rule("repeated_lines", 5, "n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", 5, "n_lines > 3 AND 10 * n_dup_lines > 5 * n_lines"),
     Rule("odd_word_length", 6, "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words)"),
     Rule("few_letters", 7, "word_chars > 0 AND 2 * n_letters < word_chars"),
 )

@@ -77,7 +77,7 @@ WITH d AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
     CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
     + CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END + CASE WHEN n_letters > 0 AND 10 * n_upper > 5 * n_letters THEN 8 ELSE 0 END
-    + CASE WHEN 10 * n_bars > 3 * n_words THEN 16 ELSE 0 END + CASE WHEN n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines THEN 32 ELSE 0 END
+    + CASE WHEN 10 * n_bars > 3 * n_words THEN 16 ELSE 0 END + CASE WHEN n_lines > 3 AND 10 * n_dup_lines > 5 * n_lines THEN 32 ELSE 0 END
     + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 64 ELSE 0 END
     + CASE WHEN word_chars > 0 AND 2 * n_letters < word_chars THEN 128 ELSE 0 END AS bits FROM m
 )
