@@ -16,8 +16,17 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
 
 
+#: Lets Spark remove the shuffle files of a query as soon as the query is done.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows written to the shared folder and read again; what the writing shuffled is given back at once."""
+    spark = df.sparkSession
+    path, before = shared_folder(spark), spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
