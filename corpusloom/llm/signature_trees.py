@@ -3,7 +3,8 @@
 A document's set holds its distinct word n-grams (ASCII letters lower-cased). Documents with equal sets are one class,
 held by its smallest id. Classes that may link are routed to one another without loss: for a size class, n-grams are
 dealt by hash into more parts than two linked sets can differ in, so linked sets agree in some part, and parts are
-compared by digest. What these agreements connect is joined by one signature tree: its nodes hold OR-combined token
+compared by digest; each set passes over its most frequent digests, as many as linked sets have to spare, so that
+passages which many documents share connect nothing. What the other agreements connect is joined by one signature tree: its nodes hold OR-combined token
 bitmaps and size ranges, and a dual traversal prunes pairs of nodes by the overlap that is still possible, or because
 they're connected already. Remaining pairs are verified exactly.
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import mix, passes, span_hashes, tidied, utf8, window_hashes, with_text, word_spans
-from corpusloom.llm.substring_dedup import BLOCK_BYTES, pack, ranged, unpack
+from corpusloom.llm.substring_dedup import BLOCK_BYTES, pack, pack_sorted, ranged, unpack, unpack_sorted
 from corpusloom.operators.graph import connected_components as components
 from corpusloom.plans.storage import cut_lineage
 
@@ -72,28 +73,30 @@ class Classes:
     def parts(self, c: int) -> tuple[int, int]:
         """Parts, and the spare ones: parts less the largest difference less one."""
         differ = 2 * (int(self.edges[c + 1]) - 1) * (100 - self.percent) // (100 + self.percent)
-        spare = 1 + differ // 8
+        spare = 1 + differ // 3
         return (differ + 1 + spare if differ else 0), spare
 
 
+#: Bits of a part's digest. Shorter digests agree by chance more often, which only sends more to the trees.
+KEY_BITS = 48
+
+
 def keys(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """Part digests of a set in the joins of its class and of the next one, and these classes.
 
-    Of the parts, at least one more than the spare ones agree in linked sets; so a set with no more empty parts than
-    that needn't give them, and no linked pair is lost."""
+    In a class's join, linked sets agree in at least one part more than there are spare ones. So each set may pass
+    over its most frequent digests, as many as are spare (by frequency, then digest, which is the same order for all):
+    the rarest one that a linked pair shares has that many shared ones before it, and stays with both."""
     own, out, of = classes.of(len(s)), [], []
     for c in (own, own + 1):
-        m, spare = classes.parts(c)
+        m, _ = classes.parts(c)
         if not m:
             continue
         part = (mix(s, 31 + c) % np.uint64(m)).astype(np.int64)
         low, high = (np.bincount(part, (mix(s, 41) >> np.uint64(shift)) & np.uint64(0xFFFFFFFF), m) for shift in (0, 32))
-        n = np.bincount(part, minlength=m)
         value = mix(low.astype(np.uint64) ^ mix(high.astype(np.uint64), 43) ^ mix(np.arange(m, dtype=np.uint64) + np.uint64(c << 32), 44))
-        if (n == 0).sum() <= spare:
-            value = value[n > 0]
-        out.append(value)
-        of.append(np.full(len(value), c))
+        out.append(value >> np.uint64(64 - KEY_BITS))
+        of.append(np.full(m, c))
     return (np.concatenate(out), np.concatenate(of)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
@@ -125,49 +128,49 @@ def _firsts(k: np.ndarray) -> np.ndarray:
 
 
 def _signatures(n: int, percent: int, n_ranges: int):
-    span = -(-(1 << 64) // n_ranges)
+    span = -(-(1 << KEY_BITS) // n_ranges)
 
     def run(key, docs, reps):
         rows = []
         if docs.num_rows and reps.num_rows:
             k, _, ids = _block_keys(docs, reps, n, Classes(percent))
             first = _firsts(k)
-            more = np.diff(np.append(first, len(k))) > 1
+            count = np.diff(np.append(first, len(k)))
             k, ids = k[first], ids[first]
             edges = ranged(k, n_ranges, span)
             for i in np.flatnonzero(np.diff(edges)):
                 a, b = edges[i], edges[i + 1]
-                rows.append((key[0].as_py(), int(i), k[a:b].tobytes(), pack(ids[a:b]), pack(np.packbits(more[a:b]))))
-        return _table(rows, ["block", "range", "keys", "ids", "more"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])
+                mine, at = np.unique(ids[a:b], return_inverse=True)
+                rows.append((key[0].as_py(), int(i), pack_sorted(k[a:b] - np.uint64(i * span)), pack(mine), pack(at.astype(np.uint32 if len(mine) > 1 << 16 else np.uint16)), pack(np.minimum(count[a:b], 255).astype(np.uint8))))
+        return _table(rows, ["block", "range", "keys", "docs", "at", "n"], [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()])
 
     return run
 
 
 def _hubs(key, table):
-    """Keys of one range from all blocks: which are shared, and by which smallest document."""
-    k = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    ids = [unpack(x, np.int64) for x in table.column("ids").to_pylist()]
-    more = [np.unpackbits(unpack(m, np.uint8), count=len(x)).astype(bool) for x, m in zip(k, table.column("more").to_pylist())]
-    every, owner, many = np.concatenate(k), np.concatenate(ids), np.concatenate(more)
+    """Keys of one range from all blocks: how many documents have each (as a power of two), and the smallest of these."""
+    k = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    ids = [(d := unpack(x, np.int64))[unpack(a, np.uint32 if len(d) > 1 << 16 else np.uint16)] for x, a in zip(table.column("docs").to_pylist(), table.column("at").to_pylist())]
+    every, owner, many = np.concatenate(k), np.concatenate(ids), np.concatenate([unpack(x, np.uint8) for x in table.column("n").to_pylist()])
     order = np.lexsort((owner, every))
     first = _firsts(every[order])
     group = np.zeros(len(order), np.int64)
     group[first] = 1
     group = np.cumsum(group) - 1
-    shared = np.logical_or.reduceat(many[order], first) | (np.diff(np.append(first, len(order))) > 1)
-    is_shared, hub = np.empty(len(order), bool), np.empty(len(order), np.int64)
-    is_shared[order], hub[order] = shared[group], owner[order][first][group]
+    total = np.add.reduceat(many[order].astype(np.int64), first)
+    count, hub = np.empty(len(order), np.uint8), np.empty(len(order), np.int64)
+    count[order], hub[order] = np.minimum(255, np.floor(16 * np.log2(total)))[group], owner[order][first][group]
     rows, a = [], 0
     for block, x in zip(table.column("block").to_pylist(), k):
         mine = slice(a, a + len(x))
         a += len(x)
-        if is_shared[mine].any():
-            rows.append((block, int(key[0].as_py()), pack(np.packbits(is_shared[mine])), pack(hub[mine][is_shared[mine]])))
-    return _table(rows, ["block", "range", "bits", "hubs"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+        if count[mine].any():
+            rows.append((block, int(key[0].as_py()), pack(count[mine]), pack(hub[mine][count[mine] > 0])))
+    return _table(rows, ["block", "range", "counts", "hubs"], [pa.int32(), pa.int32(), pa.binary(), pa.binary()])
 
 
 def _agreements(n: int, percent: int, n_ranges: int):
-    span = -(-(1 << 64) // n_ranges)
+    span = -(-(1 << KEY_BITS) // n_ranges)
 
     def run(key, docs, both):
         names, kinds = ["c", "hub", "doc"], [pa.int32(), pa.int64(), pa.int64()]
@@ -175,17 +178,26 @@ def _agreements(n: int, percent: int, n_ranges: int):
         reps, replies = both.filter(pa.array(~is_reply)), both.filter(pa.array(is_reply))
         if not docs.num_rows or not reps.num_rows or not replies.num_rows:
             return _table([], names, kinds)
-        k, c, ids = _block_keys(docs, reps, n, Classes(percent))
+        classes = Classes(percent)
+        k, c, ids = _block_keys(docs, reps, n, classes)
         first = _firsts(k)
         edges = ranged(k[first], n_ranges, span)
-        shared, hub = np.zeros(len(first), bool), np.zeros(len(first), np.int64)
-        for i, bits, hubs in zip(*(replies.column(x).to_pylist() for x in ("range", "bits", "hubs"))):
+        count, hub = np.zeros(len(first), np.uint8), np.zeros(len(first), np.int64)
+        for i, counts, hubs in zip(*(replies.column(x).to_pylist() for x in ("range", "counts", "hubs"))):
             a, b = edges[i], edges[i + 1]
-            yes = np.unpackbits(unpack(bits, np.uint8), count=b - a).astype(bool)
-            shared[a:b] = yes
-            hub[a:b][yes] = unpack(hubs, np.int64)
+            count[a:b] = unpack(counts, np.uint8)
+            hub[a:b][count[a:b] > 0] = unpack(hubs, np.int64)
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k))))
-        mine = shared[group] & (hub[group] != ids)
+        # each document's digests in each class, the most frequent ones first: the spare ones are passed over
+        count = count[group]
+        order = np.lexsort((k, count, c, ids))[::-1]
+        start = np.ones(len(order), bool)
+        start[1:] = (ids[order[1:]] != ids[order[:-1]]) | (c[order[1:]] != c[order[:-1]])
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+        spare = {x: classes.parts(x)[1] for x in np.unique(c).tolist()}
+        kept = np.zeros(len(k), bool)
+        kept[order] = place >= np.array([spare[x] for x in c[order].tolist()], np.int64) if len(order) else False
+        mine = kept & (count > 0) & (hub[group] != ids)
         found = np.unique(np.stack([c[mine], hub[group][mine], ids[mine]], 1), axis=0)
         return pa.table([pa.array(found[:, 0].astype(np.int32)), pa.array(found[:, 1]), pa.array(found[:, 2])], names=names)
 
@@ -329,12 +341,12 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
     reps = cut_lineage(tagged.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
-    n_ranges = max(1, -(-total // 24 // RANGE_KEYS))
+    n_ranges = max(1, -(-total // 16 // RANGE_KEYS))
     block = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {n_blocks}) as int)").alias("block")
     by_block = rows.where("doc_id IS NOT NULL").select("doc_id", "text", block("doc_id")).groupBy("block")
     held = reps.select("rep", block("rep")).distinct()
-    signed = by_block.cogroup(held.groupBy("block")).applyInArrow(tidied(_signatures(n, percent, n_ranges)), "block int, range int, keys binary, ids binary, more binary")
-    hubs = signed.groupBy("range").applyInArrow(tidied(_hubs), "block int, range int, bits binary, hubs binary")
+    signed = by_block.cogroup(held.groupBy("block")).applyInArrow(tidied(_signatures(n, percent, n_ranges)), "block int, range int, keys binary, docs binary, at binary, n binary")
+    hubs = signed.groupBy("range").applyInArrow(tidied(_hubs), "block int, range int, counts binary, hubs binary")
     back = held.unionByName(hubs, allowMissingColumns=True)
     agreed = cut_lineage(by_block.cogroup(back.groupBy("block")).applyInArrow(tidied(_agreements(n, percent, n_ranges)), "c int, hub long, doc long"))
     # groups that may hold links, by join class; the tree's task gets their texts
