@@ -137,20 +137,20 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def frequent_words(docs: DataFrame, path: str, pattern: str, most: int = FREQUENT) -> dict[str, list[int]]:
-    """The corpus' most frequent words with their ids: counted over all documents, each distinct word folded once.
+def frequent_words(docs: DataFrame, path: str, pattern: str, most: int = FREQUENT) -> pa.Table:
+    """w and ids of the corpus' most frequent words: counted over all documents, each distinct word folded once.
 
     `most` words of at most FREQUENT_BYTES bytes come to the driver, however large the corpus."""
     words = docs.select(F.explode(words_of(F.col("text"), pattern)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.octet_length("w") <= FREQUENT_BYTES)
     top = words.orderBy(F.desc("n"), "w").limit(most).select(byte_string(F.col("w")).alias("w")).repartition(max(8, most // 4096))
-    ids = top.select("w", let(ranks_literal(path), lambda ranks: word_ids(F.col("w"), ranks)).alias("ids")).toPandas()
-    return {w: list(map(int, i)) for w, i in zip(ids["w"], ids["ids"])}
+    return top.select("w", let(ranks_literal(path), lambda ranks: word_ids(F.col("w"), ranks)).alias("ids")).toArrow()
 
 
 def encode_native(docs: DataFrame, path: str, pattern: str, *keep: str, text: str = "text", most: int = FREQUENT) -> DataFrame:
     """The columns named by keep and ids, array<int>, for every row, by higher-order functions alone."""
     rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    known = frequent_words(rows, path, pattern, most)
+    found = frequent_words(rows, path, pattern, most)
+    known = dict(zip(found.column("w").to_pylist(), found.column("ids").to_pylist()))
     table = F.from_json(F.lit(_buckets(known, WORD_BUCKETS)), "array<map<string,array<int>>>")
     one = lambda ranks, table: lambda w: let(byte_string(w), lambda b: F.coalesce(_lookup(table, WORD_BUCKETS, b), word_ids(b, ranks)))
     words = words_of(F.col("text"), pattern)
@@ -236,20 +236,33 @@ class Words(dict):
         return ids
 
 
+def _packed(found: pa.Table) -> tuple[bytes, bytes, bytes]:
+    """The words' byte strings joined by a character that is no byte, their ids, and how many ids each has: compact to send."""
+    ids = found.column("ids").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat = np.asarray(ids.flatten()).astype("<u4").tobytes()
+    return "\u0100".join(found.column("w").to_pylist()).encode(), flat, np.diff(np.asarray(ids.offsets)).astype("<u4").tobytes() if len(ids) else b""
+
+
+def _unpacked(table: tuple[bytes, bytes, bytes]) -> dict[str, bytes]:
+    words, flat, sizes = table
+    ends = (4 * np.cumsum(np.frombuffer(sizes, "<u4"))).tolist()
+    held = words.decode().split("\u0100") if ends else []
+    return {w.encode("latin-1").decode(): flat[a:b] for w, a, b in zip(held, [0, *ends], ends)}
+
+
 def encode(docs: DataFrame, path: str, pattern: str, *keep: str, text: str = "text", most: int = FREQUENT, decoded: str | None = None) -> DataFrame:
     """The columns named by keep and ids, binary: each id as a little-endian unsigned 32-bit integer.
 
     decoded names a further column for what the ids decode to, made in the same tasks."""
     rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    known = {w.encode("latin-1").decode(): np.array(ids, "<u4").tobytes() for w, ids in frequent_words(rows, path, pattern, most).items()}
     tokens = [t.encode("latin-1") for t in read_ranks(path)]
-    shared = docs.sparkSession.sparkContext.broadcast((known, tokens))  # FREQUENT and the vocabulary bound it
+    shared = docs.sparkSession.sparkContext.broadcast((_packed(frequent_words(rows, path, pattern, most)), tokens))  # FREQUENT and the vocabulary bound it
     split = python_pattern(pattern)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches):
-        known, tokens = shared.value
-        words, find, pieces = Words(known, {t: i for i, t in enumerate(tokens)}), regex.compile(split).findall, Pieces(tokens)
+        table, tokens = shared.value
+        words, find, pieces = Words(_unpacked(table), {t: i for i, t in enumerate(tokens)}), regex.compile(split).findall, Pieces(tokens)
         for batch in batches:
             for part in passes(batch):
                 ids = pa.array([b"".join(map(words.__getitem__, find(x))) for x in part.column(part.num_columns - 1).to_pylist()], pa.binary())
