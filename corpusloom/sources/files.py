@@ -62,6 +62,23 @@ def pages(files: DataFrame, extract, recognize=None) -> DataFrame:
     return files.select("name", "content").mapInArrow(run, "name string, page_number int, text string, used_ocr boolean").withColumn("text_sha256", F.sha2("text", 256))
 
 
+def expand(files: DataFrame, read, kind: str) -> DataFrame:
+    """name and the fields of `kind` for each row that read(bytes) gives: page labels, metadata, rendered or rectified
+    pages, or whatever a reader of the format finds. kind: a SQL field list."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(f"name string, {kind}"))
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_pylist([{"name": name, **row} for row in read(content)], schema)
+
+    return files.select("name", "content").mapInArrow(run, f"name string, {kind}")
+
+
 def marked_yaml(text: str, begin: str, end: str) -> dict:
     """The YAML document between two markers of a text; keys may be merged from anchors."""
     import yaml

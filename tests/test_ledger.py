@@ -179,6 +179,8 @@ def test_files(spark, tmp_path):
     assert [r["names"] for r in files.collisions(found).collect()] == [["A.PDF", "a.pdf"]]
     pages = files.pages(found, lambda data: [data.decode(), "x" * 50], lambda data, i: "seen")
     assert sorted((r["name"], r["page_number"], r["text"][:4], r["used_ocr"]) for r in pages.collect())[:2] == [("A.PDF", 1, "seen", True), ("A.PDF", 2, "xxxx", False)]
+    labels = files.expand(found, lambda data: [{"page": i, "label": f"{data.decode()}-{i}"} for i in range(2)], "page int, label string")
+    assert labels.count() == 6 and {r["label"] for r in labels.where("name = 'b.pdf'").collect()} == {"b.pdf-0", "b.pdf-1"}
     assert files.read_text(spark, str(tmp_path / "c.txt")).first()["text"] == "c.txt"
     df = spark.range(3)
     files.write_stage(df, str(tmp_path / "s"), "one", "h", n=3)
