@@ -23,6 +23,8 @@ from corpusloom.llm.common import mix, passes, place, tidied, with_text
 K, TUPLE, SKETCHES = 5, 2, 32
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Text bytes in a range of ids, where the session's number of shuffle partitions doesn't make ranges smaller.
+RANGE_BYTES = 64 << 20
 #: Positions are kept in the low bits while k-mers are sorted; longer texts are numbered by a slower sort.
 _BITS = np.uint64(24)
 
@@ -108,7 +110,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     finds every document's next in its own order. The texts are shuffled once."""
     spark = docs.sparkSession
     rows = with_text(docs).withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     cuts = rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] or []
     bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<bigint>")
     dealt = rows.withColumn("_range", place(bounds, F.col("_key"), len(set(cuts)) + 1).cast("int"))
