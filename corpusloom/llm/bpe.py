@@ -29,7 +29,7 @@ from corpusloom.llm.common import passes, tidied, utf8
 
 #: What the pattern's \s means: Unicode's White_Space.
 SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-RANK_BUCKETS = 1 << 15
+RANK_BUCKETS = 1 << 13
 #: Distinct words that are encoded once and shipped with the plan, and the bytes that such a word has at most.
 FREQUENT, FREQUENT_BYTES = 131_072, 48
 WORD_BUCKETS = 1 << 16
