@@ -138,7 +138,8 @@ def text_quality(text: Column) -> Column:
         n(f"^{SPACE}").alias("visible"),
         F.length(strip(text)).alias("stripped"),
         F.length(text).cast("long").alias("characters"),
-        F.array_max(scripts).alias("top"),
+        # one look tells the many texts that have none of the scripts
+        F.when(text.rlike(f"[{''.join(SCRIPTS.values())}]"), F.array_max(scripts)).otherwise(F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("first"), F.lit("").alias("k"))).alias("top"),
     )
     ratios = lambda c: F.struct(
         c.alias("c"),
