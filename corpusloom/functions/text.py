@@ -24,43 +24,74 @@ SCRIPTS = {
 }
 LONG_CODES = {"ben": "bn", "eng": "en", "hin": "hi", "pan": "pa", "tam": "ta", "tel": "te", "kan": "kn", "mal": "ml", "ori": "or", "guj": "gu", "ara": "ar", "zho": "zh"}
 # language_Script codes by the names and short codes that users give.
-CODES = {
-    "arb_Arab": "ar arabic",
-    "ben_Beng": "bn bengali",
-    "deu_Latn": "de german",
-    "eng_Latn": "en english",
-    "spa_Latn": "es spanish",
-    "fra_Latn": "fr french",
-    "guj_Gujr": "gu gujarati",
-    "hin_Deva": "hi hindi",
-    "ind_Latn": "id indonesian",
-    "ita_Latn": "it italian",
-    "jpn_Jpan": "ja japanese",
-    "kor_Hang": "ko korean",
-    "mal_Mlym": "ml malayalam",
-    "mar_Deva": "mr marathi",
-    "npi_Deva": "ne nepali",
-    "nld_Latn": "nl dutch",
-    "ory_Orya": "or odia",
-    "pan_Guru": "pa punjabi",
-    "pol_Latn": "pl polish",
-    "por_Latn": "pt portuguese",
-    "rus_Cyrl": "ru russian",
-    "tam_Taml": "ta tamil",
-    "tel_Telu": "te telugu",
-    "tha_Thai": "th thai",
-    "tur_Latn": "tr turkish",
-    "ukr_Cyrl": "uk ukrainian",
-    "urd_Arab": "ur urdu",
-    "vie_Latn": "vi vietnamese",
-    "zho_Hans": "zh zh-cn chinese",
-    "zho_Hant": "zh-tw",
+CODE_OF = {
+    "ar": "arb_Arab",
+    "arabic": "arb_Arab",
+    "bn": "ben_Beng",
+    "bengali": "ben_Beng",
+    "de": "deu_Latn",
+    "german": "deu_Latn",
+    "en": "eng_Latn",
+    "english": "eng_Latn",
+    "es": "spa_Latn",
+    "spanish": "spa_Latn",
+    "fr": "fra_Latn",
+    "french": "fra_Latn",
+    "gu": "guj_Gujr",
+    "gujarati": "guj_Gujr",
+    "hi": "hin_Deva",
+    "hindi": "hin_Deva",
+    "id": "ind_Latn",
+    "indonesian": "ind_Latn",
+    "it": "ita_Latn",
+    "italian": "ita_Latn",
+    "ja": "jpn_Jpan",
+    "japanese": "jpn_Jpan",
+    "ko": "kor_Hang",
+    "korean": "kor_Hang",
+    "ml": "mal_Mlym",
+    "malayalam": "mal_Mlym",
+    "mr": "mar_Deva",
+    "marathi": "mar_Deva",
+    "ne": "npi_Deva",
+    "nepali": "npi_Deva",
+    "nl": "nld_Latn",
+    "dutch": "nld_Latn",
+    "or": "ory_Orya",
+    "odia": "ory_Orya",
+    "pa": "pan_Guru",
+    "punjabi": "pan_Guru",
+    "pl": "pol_Latn",
+    "polish": "pol_Latn",
+    "pt": "por_Latn",
+    "portuguese": "por_Latn",
+    "ru": "rus_Cyrl",
+    "russian": "rus_Cyrl",
+    "ta": "tam_Taml",
+    "tamil": "tam_Taml",
+    "te": "tel_Telu",
+    "telugu": "tel_Telu",
+    "th": "tha_Thai",
+    "thai": "tha_Thai",
+    "tr": "tur_Latn",
+    "turkish": "tur_Latn",
+    "uk": "ukr_Cyrl",
+    "ukrainian": "ukr_Cyrl",
+    "ur": "urd_Arab",
+    "urdu": "urd_Arab",
+    "vi": "vie_Latn",
+    "vietnamese": "vie_Latn",
+    "zh": "zho_Hans",
+    "zh-cn": "zho_Hans",
+    "chinese": "zho_Hans",
+    "zh-tw": "zho_Hant",
 }
+# The languages of the Indic models, and their own short codes.
 INDIC = "asm_Beng ben_Beng brx_Deva doi_Deva gom_Deva guj_Gujr hin_Deva kan_Knda kas_Arab kas_Deva mai_Deva mal_Mlym mar_Deva mni_Beng mni_Mtei npi_Deva ory_Orya pan_Guru san_Deva sat_Olck snd_Arab snd_Deva tam_Taml tel_Telu urd_Arab".split()
 INDIC_SHORT = {"as": "asm_Beng", "brx": "brx_Deva", "doi": "doi_Deva", "kok": "gom_Deva", "kn": "kan_Knda", "ks": "kas_Arab", "mai": "mai_Deva", "mni": "mni_Mtei", "sa": "san_Deva", "sat": "sat_Olck", "sd": "snd_Arab"}
-CODE_OF = {name: code for code, names in CODES.items() for name in names.split()}
-#: Zeros of the scripts whose decimal digits are turned into ASCII.
+#: Zeros of the scripts whose decimal digits are turned into ASCII.
 ZEROS = (0x0660, 0x06F0, 0x07C0, 0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66, 0x0DE6, 0x0E50, 0x0ED0, 0x0F20, 0x1040, 0x17E0, 0x1810, 0xFF10)
+#: Fixed value: marks that end a sentence.
 SENTENCE_ENDS = ".!?。！？।"
 
 
@@ -182,6 +213,7 @@ def ascii_digits(text: Column) -> Column:
     return F.translate(text, every, "0123456789" * len(ZEROS))
 
 
+#: Fixed value: numbers with their joined parts.
 NUMBER = r"\+?\p{Nd}+(?:[ \x{A0}.,:/-]\p{Nd}+)*%?"
 
 
@@ -284,6 +316,7 @@ def union_box(boxes: Column) -> Column:
     return F.struct(side(F.array_min, "l"), side(F.array_min, "t"), side(F.array_max, "r"), side(F.array_max, "b"))
 
 
+#: Fixed value: formulas in their delimiters.
 MATH = r"(?s)\$\$(.+?)\$\$|(?<![\\$])\$(?!\$)(.+?)(?<!\\)\$(?!\$)|\\\((.+?)\\\)|\\\[(.+?)\\\]|<math[^>]*>(.+?)</math>"
 
 
