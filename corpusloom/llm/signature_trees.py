@@ -366,24 +366,39 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
         tasks = tasks.unionByName(large.select("doc_id", "group", piece().alias("piece"), "size")).unionByName(few.select("doc_id", "group", F.explode(F.sequence(F.lit(0), pieces() - 1)).alias("piece"), "size")).distinct()
     links = cut_lineage(_run_trees(rows, tasks, n, percent, n_blocks))
     if some:
-        # what the pieces left apart from the bulk of its group is compared with all of the group's pieces
+        # what the pieces left apart from the bulk of its group is compared with all of the group
         first = components(links)
         named = large.join(first, F.col("doc_id") == F.col("node"), "left").select("doc_id", "group", "size", F.coalesce("label", "doc_id").alias("label"))
         counts = named.groupBy("group", "label").agg(F.count("*").alias("m"))
         bulk = counts.groupBy("group").agg(F.max(F.struct("m", "label")).alias("b")).select(F.col("group").alias("g"), F.col("b.label").alias("bulk"))
-        apart = named.join(bulk, F.col("group") == F.col("g")).where("label <> bulk").select("doc_id", "group", F.explode(F.sequence(F.lit(0), pieces() - 1)).alias("piece"), "size")
-        again = large.select("doc_id", "group", piece().alias("piece"), "size").join(apart.select(F.col("group").alias("g")).distinct(), F.col("group") == F.col("g"), "left_semi").unionByName(apart).distinct()
-        links = cut_lineage(links.unionByName(_run_trees(rows, again, n, percent, n_blocks)))
+        again = _paired(cut_lineage(named.join(bulk, F.col("group") == F.col("g")).select("doc_id", "group", (F.col("label") != F.col("bulk")).alias("apart"))), tree)
+        links = cut_lineage(links.unionByName(_run_trees(rows, again, n, percent, n_blocks, alone=True)))
     found = components(links)
     placed = reps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("one").alias("_1"), F.col("two").alias("_2"), F.coalesce("label", "rep").alias("component"))
     out = tagged.join(placed, (F.col("one") == F.col("_1")) & (F.col("two") == F.col("_2")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _run_trees(rows: DataFrame, tasks: DataFrame, n: int, percent: int, n_blocks: int) -> DataFrame:
-    """tasks: doc_id, group, piece, size. The texts go to the tasks; small groups share one."""
+def _paired(docs: DataFrame, tree: int) -> DataFrame:
+    """doc_id, group, piece: tasks of some `tree` documents in which each document that's apart meets all of its group.
+
+    docs: doc_id, group, apart. Both kinds are dealt into pieces of half a tree, those apart first; each pair of pieces
+    of which one at least is apart is a task."""
+    sizes = docs.groupBy("group").agg(*[F.ceil(F.count_if(c) / (tree / 2)).cast("int").alias(n) for n, c in (("m", F.col("apart")), ("k", ~F.col("apart")))]).where("m > 0")
+    at = docs.join(sizes, "group").withColumn("p", F.expr("cast(if(apart, pmod(xxhash64(doc_id, 11), m), m + pmod(xxhash64(doc_id, 11), k)) as int)"))
+    others = F.expr("if(apart, filter(sequence(0, m + k - 1), q -> q <> p), sequence(0, m - 1))")
+    pair = at.select("doc_id", "group", "p", F.explode(others).alias("q"))
+    return pair.select("doc_id", "group", F.struct(F.least("p", "q").alias("one"), F.greatest("p", "q").alias("two")).alias("piece"))
+
+
+def _run_trees(rows: DataFrame, tasks: DataFrame, n: int, percent: int, n_blocks: int, alone: bool = False) -> DataFrame:
+    """tasks: doc_id, group, piece. The texts go to the tasks. Small groups share one, unless each is to be alone: then
+    a document may be in many, and its copies are streamed."""
     block = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {n_blocks}) as int)").alias("block")
     own = tasks.select(F.col("doc_id").alias("d"), F.xxhash64("group", "piece").alias("group"), block("doc_id"))
-    by_block = rows.where("doc_id IS NOT NULL").select("doc_id", "text", block("doc_id")).groupBy("block")
-    sent = by_block.cogroup(own.groupBy("block")).applyInArrow(tidied(_send), "doc_id long, text string, group long").withColumn("task", F.expr(f"pmod(xxhash64(group, 9), {4 * n_blocks})"))
+    named = rows.where("doc_id IS NOT NULL").select("doc_id", "text", block("doc_id"))
+    if alone:
+        sent = named.join(own.hint("merge"), F.col("doc_id") == F.col("d")).select("doc_id", "text", "group", F.col("group").alias("task"))
+    else:
+        sent = named.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(tidied(_send), "doc_id long, text string, group long").withColumn("task", F.expr(f"pmod(xxhash64(group, 9), {4 * n_blocks})"))
     return sent.groupBy("task").applyInArrow(tidied(_tree_links(n, percent)), "src long, dst long")

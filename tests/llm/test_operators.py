@@ -254,6 +254,26 @@ def test_signature_trees_lose_no_link(spark, monkeypatch, n, percent, tree):
     assert got == sorted(cases.linked(data, n, percent), key=repr)
 
 
+def test_signature_trees_bound_every_task(spark, monkeypatch):
+    """Two families in one group, each held together by passages that don't suffice for a link, but for a few members."""
+    most, run = [], signature_trees._run_trees
+
+    def watched(rows, tasks, *more, **named):
+        most.append(tasks.distinct().groupBy("group", "piece").count().agg(F.max("count")).first()[0] or 0)
+        return run(rows, tasks, *more, **named)
+
+    monkeypatch.setattr(signature_trees, "_run_trees", watched)
+    base, data = [f"w{i}" for i in range(400)], []
+    for i in range(240):
+        words = list(base)
+        for j in range(12 if i % 8 else 4):
+            words[(i * 37 + j * 31) % 400] = f"own{i if i % 8 else 0}x{j}"
+        data.append((i, " ".join(words), None, None, None, *("" for _ in cases.CLASHING)))
+    got = tuples(signature_trees.join(cases.documents(spark, data), 5, 80, 40))
+    assert got == sorted(cases.linked(data, 5, 80), key=repr)
+    assert len(most) == 2 and 0 < most[1] <= 2 * 40
+
+
 def test_tree_is_exact():
     r = np.random.default_rng(2)
     sets = []
