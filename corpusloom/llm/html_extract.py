@@ -35,6 +35,9 @@ FENCE = frozenset("table ul ol dl div section article body main td th blockquote
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？،।]")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Tags that hold text but aren't the container of an article.
+PROSE = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr th center".split())
 #: Blocks on either side over which ratios are smoothed, and the share of the mean ratio that a chosen path needs.
 SMOOTH, THRESHOLD = 2, 0.5
 
@@ -156,28 +159,55 @@ def main_text(page: str | None) -> str:
     if not inside:
         return ""
     scores = path_scores(found)
-    open_ = {p for p, _, _ in inside}
-    weight = {p: sum(len(t) for q, _, t in inside if q == p) for p in open_}
-    mean = sum(scores[p] * weight[p] for p in open_) / sum(weight.values())
-    chosen = [p for p in open_ if scores[p] >= THRESHOLD * mean]
+    weight: dict[tuple, int] = {}
+    for p, _, t in inside:
+        weight[p] = weight.get(p, 0) + len(t)
+    mean = sum(scores[p] * n for p, n in weight.items()) / sum(weight.values())
+    chosen = {p for p in weight if scores[p] >= THRESHOLD * mean}
+    # short paragraphs count as well if they're made of sentences, as an introduction beside a long body
+    said: dict[tuple, list] = {}
+    for p, _, t in inside:
+        if p and _tags(p)[-1] in ("p", "blockquote"):
+            said.setdefault(p, []).append(len(PUNCTUATION.findall(t)))
+    chosen |= {p for p, n in said.items() if sum(n) >= len(n)}
     most = max(chosen, key=lambda p: (scores[p] * weight[p], p))
-    # the container: what the chosen paths that hold the bulk of the text share, at least the parent of the best one
-    box = _container(most, [p for p in chosen if p[: len(_parent(most))] == _parent(most)])
-    named = [i for i, x in enumerate(most) if x.split(".")[0] in ("article", "main")]
-    if named:
-        box = most[: named[-1] + 1]
-    return "\n".join(t for p, _, t in inside if p[: len(box)] == box)
-
-
-def _parent(path: tuple) -> tuple:
-    return path[:-1] if len(path) > 1 else path
-
-
-def _container(best: tuple, chosen: list[tuple]) -> tuple:
-    box = _parent(best)
+    if article := _article(most):
+        # articles that hold chosen paths, and those in the same place of the page
+        boxes, place = {_article(p) for p in chosen}, _tags(article)
+        return "\n".join(t for p, _, t in inside if (own := _article(p)) and (own in boxes or _tags(own) == place))
+    # the container: what all chosen paths share
+    box = _container(chosen)
+    branches = {p[: len(box) + 1] for p in chosen}
+    if (box and _tags(box)[-1] not in ("html", "body")) or any(len(p) <= len(box) or _tags(p)[len(box)] in PROSE for p in branches):
+        return "\n".join(t for p, _, t in inside if p[: len(box)] == box)
+    # no container but the page: from the first to the last of its parts that hold chosen paths, and headings before
+    at = [i for i, (p, _, _) in enumerate(inside) if p[: len(box) + 1] in branches]
+    first = at[0]
+    while first and inside[first - 1][0] and _tags(inside[first - 1][0])[-1] in HEADINGS:
+        first -= 1
+    return "\n".join(t for _, _, t in inside[first : at[-1] + 1])
+
+
+def _tags(path: tuple) -> tuple:
+    return tuple(x.split(".")[0] for x in path)
+
+
+def _article(path: tuple) -> tuple:
+    """The path's outermost article, or else its innermost main; empty where there is none."""
+    tags = _tags(path)
+    if "article" in tags:
+        return path[: tags.index("article") + 1]
+    return path[: len(tags) - tags[::-1].index("main")] if "main" in tags else ()
+
+
+def _container(chosen: set[tuple]) -> tuple:
+    """The innermost element around all chosen paths that isn't itself a paragraph, list, quotation or part of a table."""
+    box = min(chosen)
     for p in chosen:
         while p[: len(box)] != box:
             box = box[:-1]
+    while box and _tags(box)[-1] in PROSE:
+        box = box[:-1]
     return box
 
 

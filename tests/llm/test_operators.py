@@ -91,6 +91,19 @@ def test_html_extract(spark):
     assert html_extract.extract(df.limit(0), "page_id").count() == 0
 
 
+def test_html_extract_keeps_siblings():
+    some, more = "<p>" + "Some words, and more. " * 8 + "</p>", "<p>" + "Other words, which go on. " * 30 + "</p>"
+    page = lambda x: html_extract.main_text(f"<html><body><div class=logo>Site</div><div class=links><a>A</a> <a>B</a></div>{x}<div class=bottom><a>Imprint</a></div></body></html>")
+    said = lambda *xs: "\n".join(re.sub("<[^>]*>", "", x).strip() for x in xs)
+    assert page(f"<div class=content><h1>T</h1><div class=intro>{some}</div><h2>U</h2><div class=body>{more}</div></div>") == said("T", some, "U", more)
+    assert page(f"<h1>T</h1><div id=a>{some}</div><div id=b><h2>U</h2>{more}</div>") == said("T", some, "U", more)
+    items = ["<li>" + f"Item {i}, which is long and goes on. " * 3 + "</li>" for i in range(20)]
+    assert page(f"<div class=content>{some}<ul>{''.join(items)}</ul>{some}</div>") == said(some, *items, some)
+    assert page(f"<div class=content>{some}<blockquote>{more * 4}</blockquote>{some}</div>") == said(some, *[more] * 4, some)
+    assert page(f"<article id=a>{some}</article><article id=b>{more}</article>") == said(some, more)
+    assert page(f"<article>{some}<article class=quoted>{more}</article>{some}</article>") == said(some, more, some)
+
+
 @pytest.fixture(scope="module")
 def reference():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
