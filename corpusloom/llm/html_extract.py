@@ -28,6 +28,9 @@ RAW = frozenset("script style textarea title noscript template iframe svg".split
 OUTSIDE = frozenset("head script style noscript template nav footer aside form button select option input textarea iframe svg dialog menu object canvas".split())
 #: Words of class, id and role that mark such parts.
 PARTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs nav navbar navigation menu footer masthead toolbar pagination pager comment comments commentlist respond disqus replies reply search skip copyright".split())
+#: Those of them that mark what readers wrote, and words of names that only tell whether a page has such parts.
+REPLIES = frozenset("comment comments commentlist respond disqus replies reply".split())
+STATES = frozenset("has have with without no not non is are hide show open closed enabled disabled layout result results".split())
 HEADERS = frozenset(("header", "masthead", "topbar"))
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Tags that an implied end doesn't reach beyond.
@@ -38,26 +41,66 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，！？،।]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that hold text but aren't the container of an article.
 PROSE = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr th center".split())
+#: Marks of sentences that make a text an article.
+SENTENCES = 3
 #: Blocks on either side over which ratios are smoothed, and the share of the mean ratio that a chosen path needs.
 SMOOTH, THRESHOLD = 2, 0.5
 
 
-def _marked(tag: str, attributes: str, path: list) -> bool:
+def _marked(tag: str, attributes: str, path: list) -> int:
+    """0 for no mark, 1 for one that an element around the whole article may have by chance, 2 for one that stays."""
     if tag in OUTSIDE:
-        return True
+        return 1 if tag == "form" else 2
     inside = any(x[0] in ("article", "main") for x in path)
     if tag == "header" and not inside:
-        return True
+        return 2
     if tag in ("html", "body", "article", "main") or not attributes:
-        return False
-    words = {w for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & PARTS) or (not inside and bool(words & HEADERS))
+        return 0
+    named = [w for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()]
+    words = {x for w in named if STATES.isdisjoint(said := re.split(r"[^a-z0-9]+", w)) for x in said}
+    return 2 if words & REPLIES else 1 if words & PARTS or (not inside and words & HEADERS) else 0
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
     """Path, whether it lies outside of articles by its marks, and text of every block, in page order."""
+    found, kinds = _read(page)
+    taken = _wrappers(found, kinds)
+    return [(p, any(x not in taken for x in marks), t) for p, marks, t, _ in found]
+
+
+def _wrappers(found: list, kinds: dict[int, int]) -> set[int]:
+    """Marked elements that are no part beside the article but hold it: more text than is unmarked, and the page's only
+    article or main; or, on pages without these, nearly all text, in sentences, where there are none outside of marks."""
+    taken: set[int] = set()
+    within: dict[int, list] = {}  # by element: characters, marks of sentences, articles
+    total = sum(len(t) for _, _, t, _ in found)
+    for _, marks, t, article in found:
+        if marks and all(kinds[x] == 1 for x in marks):
+            said = len(PUNCTUATION.findall(t))
+            for x in marks:
+                held = within.setdefault(x, [0, 0, set()])
+                held[0] += len(t)
+                held[1] += said
+                held[2] |= {article} - {0}
+    for x in sorted(within, key=lambda x: (-within[x][0], x)):
+        size, said, articles = within[x]
+        plain = [(t, article) for _, marks, t, article in found if all(m in taken for m in marks)]
+        if any(article for _, article in plain):
+            break
+        beside = sum(len(t) for t, _ in plain)
+        alone = 2 * size > total and said >= SENTENCES and 10 * beside < size and sum(len(PUNCTUATION.findall(t)) for t, _ in plain) < SENTENCES
+        if (len(articles) == 1 and size > beside) or alone:
+            taken.add(x)
+    return taken
+
+
+def _read(page: str) -> tuple[list[tuple[tuple[str, ...], tuple[int, ...], str, int]], dict[int, int]]:
+    """Path, marked elements around it, text, and outermost article or main (0: none) of every block, in page order;
+    and the kind of each marked element's mark."""
+    kinds: dict[int, int] = {}
+    opened = 0
     out: list = []
-    path: list[tuple[str, str, bool]] = []  # tag, its name in paths, marked here or above
+    path: list[tuple[str, str, tuple, int]] = []  # tag, its name in paths, elements marked here or above, article
     text: list[str] = []
     where: list = [None]
 
@@ -65,20 +108,20 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
         if text:
             said = " ".join("".join(text).split())
             if said:
-                out.append((*where[0], said))
+                out.append((*where[0][:2], said, where[0][2]))
             text.clear()
             where[0] = None
 
     def add(raw: str, closed: bool = True):
         if raw:
             if not text or where[0] is None:
-                where[0] = (tuple(x[1] for x in path if x[0] not in INLINE), bool(path) and path[-1][2])
-            outside = bool(path) and path[-1][2]
-            if outside and not where[0][1]:  # a marked inline part within a block
+                where[0] = (tuple(x[1] for x in path if x[0] not in INLINE), path[-1][2] if path else (), path[-1][3] if path else 0)
+            outside = path[-1][2] if path else ()
+            if len(outside) > len(where[0][1]):  # a marked inline part within a block
                 return
-            if where[0][1] and not outside and text and not "".join(text).strip():
+            if len(where[0][1]) > len(outside) and text and not "".join(text).strip():
                 text.clear()
-                where[0] = (tuple(x[1] for x in path if x[0] not in INLINE), outside)
+                where[0] = (tuple(x[1] for x in path if x[0] not in INLINE), outside, path[-1][3] if path else 0)
             text.append(_html.unescape(raw))
 
     at, end = 0, len(page)
@@ -121,15 +164,21 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
                 path[:] = [x for x in path if x[0] == "html"]
         if tag in VOID or m[3].endswith("/"):
             continue
-        marked = (bool(path) and path[-1][2]) or _marked(tag, m[3], path)
+        opened += 1
+        marks, article = path[-1][2:] if path else ((), 0)
+        if kind := _marked(tag, m[3], path):
+            kinds[opened] = kind
+            marks = (*marks, opened)
+        if tag in ("article", "main"):
+            article = article or opened
         if tag in RAW:
             stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
         name = NAMES.search(m[3]) if tag not in INLINE else None
-        path.append((tag, f"{tag}.{(name[1] or name[2] or name[3] or '').lower()}" if name else tag, marked))
+        path.append((tag, f"{tag}.{(name[1] or name[2] or name[3] or '').lower()}" if name else tag, marks, article))
     flush()
-    return out
+    return out, kinds
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:

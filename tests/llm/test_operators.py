@@ -104,6 +104,19 @@ def test_html_extract_keeps_siblings():
     assert page(f"<article>{some}<article class=quoted>{more}</article>{some}</article>") == said(some, more, some)
 
 
+def test_html_extract_reads_marked_wrappers():
+    text = "<p>" + "Some words, and more. " * 20 + "</p>"
+    want = re.sub("<[^>]*>", "", text).strip()
+    page = lambda x: html_extract.main_text(f"<html><body>{x}</body></html>")
+    for start, end in [("<div id=page class='site has-sidebar'>", "</div>"), ("<div class='with-sidebar no-comments'>", "</div>"), ("<div class=search-result>", "</div>"), ("<form id=aspnet>", "</form>"), ("<form><div class='wrap widget'>", "</div></form>")]:
+        for inner in (f"<article>{text}</article>", f"<main><div>{text}</div></main>", f"<div class=body>{text}</div>"):
+            assert page(f"{start}<nav>Menu</nav>{inner}<div class=sidebar>Other. Things. Here. Too.</div><div class=comments>{text}</div>{end}") == want, (start, inner)
+    for part in (f"<div class=comments>{text * 20}</div>", f"<div class=related><article>{text * 3}</article><article>{text}</article></div>", "<form class=login>Name <button>Send</button></form>"):
+        assert page(f"<div class=body>{text}</div>{part}") == want
+        assert page(f"<article>{text}</article>{part}") == want
+    assert page("<form class=login>Name and password <button>Send</button></form>") == page("<div class=cookie-notice>We use cookies.</div>") == ""
+
+
 @pytest.fixture(scope="module")
 def reference():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
