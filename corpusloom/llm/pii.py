@@ -41,10 +41,12 @@ WIDER = (
     ("phone", re.compile(r"(?<![0-9A-Za-z])00[1-9][0-9]?[ ()./-]{1,2}[0-9][0-9 ()./-]{5,16}[0-9](?![0-9A-Za-z])"), "0123456789"),
     ("ssn", re.compile(r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"), "-"),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), "0123456789"),
-    ("secret", re.compile(r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<it>[A-Za-z0-9_+/=.-]{8,128})"), "=:"),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])(?P<it>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,60}|sk[-_][A-Za-z0-9_-]{20,80})(?![A-Za-z0-9])"), "AKIAgh_sk"),
+    ("secret", re.compile(r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<it>[A-Za-z0-9_+/=.-]{8,}+)"), "=:"),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])(?P<it>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|sk[-_][A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])"), "AKIAgh_sk"),
     ("email", re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[a-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[a-z0-9-]{2,63}){1,4}"), "])"),
 )
+#: Secrets longer than this are kept beside base spans that lie within them.
+LONG = 128
 #: Gazetteers: endings of mail hosts, digits that cards begin with, countries of bank accounts, words near such data.
 TLDS = frozenset("com net org edu gov io de fr es it uk us eu info biz ch at nl be pl se jp cn in br ru ca au".split())
 ISSUERS = frozenset("3456")
@@ -104,6 +106,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _beside(start: int, end: int, base: list[tuple[int, int, int]]):
+    """What base spans leave of a run."""
+    for s, e in sorted((s, e) for s, _, e in base if s < end and start < e):
+        if start < s:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans and wider ones that overlap none of them, nor each other; the earlier and then the longer stays."""
     wider = []
@@ -111,7 +123,8 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         if any(c in text for c in hint):
             for m in pattern.finditer(text):
                 start, end = m.span("it") if "it" in pattern.groupindex else m.span()
-                wider.append((start, KINDS.index(kind), end))
+                for a, b in _beside(start, end, base) if kind == "secret" and end - start > LONG else ((start, end),):
+                    wider.append((a, KINDS.index(kind), b))
     taken, out = sorted((s, e) for s, _, e in base), list(base)
     for s, k, e in sorted(wider, key=lambda x: (x[0], -x[2], x[1])):
         if not any(a < e and s < b for a, b in taken):

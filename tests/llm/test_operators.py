@@ -201,6 +201,21 @@ def test_pii_base_is_leftmost():
     assert pii.base_spans("a" * 200_000) == [] and pii.base_spans("1" * 200_000) == []
 
 
+def test_pii_takes_whole_secrets():
+    secret = pii.KINDS.index("secret")
+    held = lambda x: [x[s:e] for s, k, e in pii.candidates(x, pii.base_spans(x)) if k == secret]
+    long = "aB3_" * 100
+    for x in (long, "gh" + "p_" + "a1B2" * 40, "sk" + "-" + "a1B2" * 40):
+        assert held(f"the token: {x} ends") == [x]
+    for x in ("gh" + "p_" + "a1B2" * 40, "sk" + "-" + "a1B2" * 40, "sk" + "-" + "a1B2_-" * 40):
+        assert held(f"so {x.strip('-_')} ends")[0] == x.strip("-_")
+    x = f"token={long}.john@mail.example.com"  # a base span takes the end of the run, or all of it
+    assert "".join(x[s:e] for s, _, e in pii.candidates(x, pii.base_spans(x))) == x[6:]
+    x = f"token={long}/4111111111111111/{long} ends"
+    assert held(x) == [long + "/", "/" + long]
+    assert held("token=" * 50_000) and not held("sk-" * 5)
+
+
 def test_pii_finds_the_reliable_labelers():
     patterns = np.array([[0, 2, 0, 2, 0, 0, 0, 3], [0, 0, 0, 1, 0, 1, 1, 3], [0, 0, 0, 2, 2, 0, 0, 3], [0, 0, 0, 1, 0, 0, 0, 3]])
     belief, prior, table = pii.reliabilities(patterns, np.array([100.0, 80, 40, 60]))
