@@ -34,11 +34,26 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates, one row of it; null ids all stay."""
-    joined = signature_trees.join(docs, NGRAM, PERCENT)
-    first = joined.where("doc_id = component_id").select(F.col("doc_id").alias("_d")).distinct()
-    own = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id") == F.col("_d"), "left_semi")
-    one = own.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))).where("_k = 1")
+    """Keeps the document with the smallest id of each group of near duplicates, one row of it; null ids all stay.
+
+    Where rows of one doc_id have different texts, each text counts as a document, ordered by doc_id and then the text's beginning."""
+    own = docs.where("doc_id IS NOT NULL").select(*COLUMNS)
+    twice = cut_lineage(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if twice.isEmpty():
+        first = signature_trees.join(own, NGRAM, PERCENT).where("doc_id = component_id").select("doc_id")
+        one = own.join(first, "doc_id", "left_semi")
+    else:
+        rank = Window.partitionBy("doc_id", F.coalesce("text", F.lit("")), F.col("text").isNull()).orderBy("text", "lang", "source", "n_chars")
+        texts = own.join(twice, "doc_id", "left_semi").withColumn("_k", F.row_number().over(rank)).where("_k = 1").drop("_k")
+        # further texts of an id get ids of their own above all others
+        top = own.agg(F.max("doc_id")).first()[0] + 1
+        rest = texts.withColumn("_first", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) == 1).withColumn("_n", F.monotonically_increasing_id())
+        rest = rest.withColumn("_id", F.when(F.col("_first"), F.col("doc_id").cast("long")).otherwise(F.col("_n") + top)).drop("_first", "_n")
+        every = cut_lineage(own.join(twice, "doc_id", "left_anti").withColumn("_id", F.col("doc_id").cast("long")).select(*COLUMNS, "_id").unionByName(rest.select(*COLUMNS, "_id")))
+        joined = signature_trees.join(every.select(F.col("_id").alias("doc_id"), "text"), NGRAM, PERCENT).select(F.col("doc_id").alias("_id"), "component_id")
+        # the smallest of a group by doc_id, not by the ids given here
+        least = every.select("_id", "doc_id", F.xxhash64("text").alias("_t"), F.substring("text", 1, 64).alias("_s")).join(joined, "_id").groupBy("component_id").agg(F.min(F.struct("doc_id", "_s", "_t", "_id")).alias("_m"))
+        one = every.join(least.select(F.col("_m._id").alias("_id")), "_id", "left_semi")
     return one.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 

@@ -54,6 +54,15 @@ def test_pipeline(spark):
     assert sorted((r["doc_id"], r["decoded_sha256"]) for r in out) == sorted((r["doc_id"], cases.sha(r["text"])) for r in mix.collect())
 
 
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    a, b, c = (cases.sentence(60, seed) for seed in (1, 2, 3))
+    near = a.rsplit(" ", 1)[0] + " changed"
+    data = [(3, a), (5, a), (5, b), (5, b), (6, near), (7, b), (7, c), (8, ""), (8, None), (9, "alone"), (None, a)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(3, a), (5, b), (7, c), (8, ""), (8, None), (9, "alone"), (None, a)], key=repr)
+
+
 def test_pipeline_takes_awkward_rows(spark):
     for data in (None, []):
         docs = cases.documents(spark, data)
