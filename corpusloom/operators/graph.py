@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.plans.storage import cut_lineage
+from corpusloom.plans.storage import cut_lineage, drop
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -14,14 +14,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Minima are summed up before each shuffle, so a node with very many neighbours is no hot spot."""
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     both = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    held = labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("m"))
         step = labels.join(near, F.col("node") == F.col("n")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("new"))
         above = labels.select(F.col("node").alias("up"), F.col("label").alias("top"))
         spread = cut_lineage(step.join(above, F.col("new") == F.col("up"), "left").select("node", "old", F.least("new", F.coalesce("top", F.col("new"))).alias("label")))
-        labels = spread.select("node", "label")
+        drop(held)
+        held, labels = spread, spread.select("node", "label")
         if spread.where("label <> old").isEmpty():
+            drop(both)
             return labels
 
 
