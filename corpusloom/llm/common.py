@@ -7,6 +7,7 @@ import functools
 import inspect
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,6 @@ def tidied(f):
     return (lambda key, table: one(key, table)) if f.__code__.co_argcount == 2 else (lambda key, left, right: one(key, left, right))
 
 
-_TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -125,14 +125,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, by differences of one running polynomial."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    running = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * powers(_BASE, len(data)), out=running[1:])
-    value = (running[ends] - running[starts]) * powers(_INVERSE, len(data) + 1)[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407), seed)
+#: Bytes of a word that are hashed as numbers; longer words are digested one by one.
+SHORT_WORD = 16
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two unrelated 64-bit hashes of every word, and the index of each text's first word (one more entry at the end).
+
+    The one hash differs for any two words of up to 8 bytes that are equally long. Words of more than SHORT_WORD bytes
+    take both from a cryptographic digest, so that no pattern of letters makes words collide."""
+    starts, ends, first = word_spans(data, offsets)
+    n = ends - starts
+    eights = np.ndarray(len(data) + 9, "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), strides=(1,))  # at every byte
+    low = eights[starts] & _BYTES[np.minimum(n, 8)]
+    high = eights[np.minimum(starts + 8, len(data))] & _BYTES[np.clip(n - 8, 0, 8)]
+    size = n.astype(np.uint64)
+    one, two = mix(low ^ mix(high ^ mix(size, 61), 62), 63), mix(high ^ mix(low ^ mix(size, 64), 65), 66)
+    for i in np.flatnonzero(n > SHORT_WORD).tolist():
+        one[i], two[i] = np.frombuffer(blake2b(data[starts[i] : ends[i]], digest_size=16).digest(), np.uint64)
+    return one, two, first
 
 
 def window_hashes(words: np.ndarray, first: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

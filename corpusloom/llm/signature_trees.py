@@ -20,41 +20,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import mix, passes, span_hashes, tidied, utf8, window_hashes, with_text, word_spans
-from corpusloom.llm.substring_dedup import BLOCK_BYTES, pack, pack_sorted, ranged, unpack, unpack_sorted
+from corpusloom.llm.common import mix, passes, tidied, utf8, window_hashes, with_text, word_hashes
+from corpusloom.llm.substring_dedup import BLOCK_BYTES, growth, pack, pack_sorted, ranged, unpack, unpack_sorted
 from corpusloom.operators.graph import connected_components as components
-from corpusloom.plans.storage import cut_lineage
+from corpusloom.plans.storage import cut_lineage, drop
 
 NGRAM, PERCENT = 3, 90
 #: Keys that one range holds, documents that one tree holds before its group is dealt into pieces, bits of a bitmap.
-RANGE_KEYS, TREE, BITS = 1 << 20, 6000, 4096
+RANGE_KEYS, TREE, BITS = 1 << 20, 1000, 4096
 PIVOTS = 16
 FANOUT = 8
 
 
+def ordered(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal n-grams side by side, and in it where a new one begins."""
+    order = np.argsort(grams[0], kind="stable")
+    one, two = grams[:, order]
+    new = np.ones(len(order), bool)
+    new[1:] = one[1:] != one[:-1]
+    if (~new[1:] & (two[1:] != two[:-1])).any():  # unlike n-grams that agree in the first hash
+        order = np.lexsort((grams[1], grams[0]))
+        one, two = grams[:, order]
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    return order, new
+
+
 def sets(part: pa.Table | pa.RecordBatch, n: int) -> list[np.ndarray]:
-    """Ascending distinct n-gram hashes of each text in the slice."""
+    """Distinct n-grams of each text in the slice: two rows of hashes, 128 bits for each n-gram, ascending."""
     data, offsets = utf8(part.column("text"))
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    starts, ends, first = word_spans(data, offsets)
-    words = span_hashes(data, starts, ends)
-    grams, at = window_hashes(words, first, n)
+    one, two, first = word_hashes(data, offsets)
+    grams, at = window_hashes(one, first, n)
+    grams = np.stack([grams, window_hashes(two, first, n, 5)[0]])
     bounds = np.searchsorted(at, first)
     out = []
     for i in range(len(first) - 1):
-        a, b, k = bounds[i], bounds[i + 1], first[i + 1] - first[i]
+        a, b, k = bounds[i], bounds[i + 1], int(first[i + 1] - first[i])
         if k >= n:
-            out.append(np.unique(grams[a:b]))
+            order, new = ordered(grams[:, a:b])
+            out.append(grams[:, a:b][:, order[new]])
         elif k:
-            whole, _ = window_hashes(words[first[i] : first[i + 1]], np.array([0, k]), int(k), 1000 + int(k))
-            out.append(whole)
+            whole = [window_hashes(x[first[i] : first[i + 1]], np.array([0, k]), k, 1000 * seed + k)[0] for x, seed in ((one, 1), (two, 2))]
+            out.append(np.stack(whole))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(np.zeros((2, 0), np.uint64))
     return out
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
-    return int((mix(s, 21).sum() + np.uint64(len(s))).view(np.int64)), int(mix(s, 22).sum().view(np.int64))
+    return int((mix(s[0], 21).sum() + np.uint64(s.shape[1])).view(np.int64)), int(mix(s[1], 22).sum().view(np.int64))
 
 
 class Classes:
@@ -87,6 +101,7 @@ def keys(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     In a class's join, linked sets agree in at least one part more than there are spare ones. So each set may pass
     over its most frequent digests, as many as are spare (by frequency, then digest, which is the same order for all):
     the rarest one that a linked pair shares has that many shared ones before it, and stays with both."""
+    s = s[0]
     own, out, of = classes.of(len(s)), [], []
     for c in (own, own + 1):
         m, _ = classes.parts(c)
@@ -106,7 +121,7 @@ def _block_keys(docs: pa.Table, reps: pa.Table, n: int, classes: Classes):
     out = ([], [], [])
     for part in passes(docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])):
         for id_, s in zip(part.column("doc_id").to_pylist(), sets(part, n)):
-            if id_ in held and len(s) and (d := digest(s)) not in seen:
+            if id_ in held and s.shape[1] and (d := digest(s)) not in seen:
                 seen.add(d)
                 k, c = keys(s, classes)
                 for o, x in zip(out, (k, c, np.full(len(k), id_))):
@@ -208,13 +223,13 @@ class Tree:
     """A signature tree over sets; leaves are in an order that puts like sets together."""
 
     def __init__(self, items: list[np.ndarray]):
-        least = np.array([(int(mix(s, 51).min()), int(mix(s, 52).min())) for s in items], np.uint64)
+        least = np.array([(int(mix(s[0], 51).min()), int(mix(s[0], 52).min())) for s in items], np.uint64)
         self.order = np.lexsort((least[:, 1], least[:, 0]))
         self.items = [items[i] for i in self.order]
-        size = np.array([len(s) for s in self.items])
+        size = np.array([s.shape[1] for s in self.items])
         bits = np.zeros((len(items), BITS // 64), np.uint64)
         for i, s in enumerate(self.items):
-            at = np.unique(mix(s, 53) % np.uint64(BITS))
+            at = np.unique(mix(s[0], 53) % np.uint64(BITS))
             np.bitwise_or.at(bits[i], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         excess = size - np.bitwise_count(bits).sum(1)
         self.levels = [(bits, size, size, excess)]
@@ -234,7 +249,10 @@ class Tree:
         """For each item the first item, in the given order, that it's connected with by links."""
         n = len(self.items)
         self.label = np.arange(n)
-        tokens, start = np.unique(np.concatenate(self.items), return_inverse=True)[1], np.concatenate([[0], np.cumsum([len(s) for s in self.items])])
+        every = np.concatenate(self.items, 1)
+        order, new = ordered(every)
+        tokens, start = np.empty(len(order), np.int64), np.concatenate([[0], np.cumsum([s.shape[1] for s in self.items])])
+        tokens[order] = np.cumsum(new) - 1
         self.tokens, self.start, self.mark = tokens, start, np.zeros(int(tokens.max()) + 1 if len(tokens) else 0, bool)
         top = len(self.levels) - 1
         m = len(self.levels[top][1])
@@ -306,7 +324,7 @@ def _tree_links(n: int, percent: int):
         for part in passes(table):
             held += sets(part, n)
         for a, b in zip(at, np.append(at[1:], len(groups))):
-            own = [i for i in range(a, b) if len(held[i])]
+            own = [i for i in range(a, b) if held[i].shape[1]]
             if len(own) > 1:
                 label = Tree([held[i] for i in own]).labels(percent)
                 mine = ids[own]
@@ -335,13 +353,13 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
             for part in passes(batch):
                 s = sets(part, n)
                 d = np.array([digest(x) for x in s], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in s], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "n_shingles", "one", "two"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.shape[1] for x in s], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "n_shingles", "one", "two"])
 
     tagged = cut_lineage(rows.mapInArrow(tidied(tag), "doc_id long, n_shingles long, one long, two long"))
     reps = cut_lineage(tagged.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-total // BLOCK_BYTES))
-    n_ranges = max(1, -(-total // 16 // RANGE_KEYS))
+    n_blocks = max(1, int(-(-total // (BLOCK_BYTES * growth(total)))))
+    n_ranges = max(1, int(-(-total // 16 // (RANGE_KEYS * growth(total)))))
     block = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {n_blocks}) as int)").alias("block")
     by_block = rows.where("doc_id IS NOT NULL").select("doc_id", "text", block("doc_id")).groupBy("block")
     held = reps.select("rep", block("rep")).distinct()
@@ -354,6 +372,7 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
     maybe = components(agreed.select(node("hub").alias("src"), node("doc").alias("dst")))
     sizes = maybe.groupBy("label").agg(F.count("*").alias("size"))
     grouped = cut_lineage(maybe.join(sizes, "label").select(F.col("node.id").alias("doc_id"), F.xxhash64("label").alias("group"), "size"))
+    drop(agreed)
     large = grouped.where(F.col("size") > tree)
     pieces = lambda: F.expr(f"cast(ceil(size / {tree / 2}) as int)")
     piece = lambda: F.expr(f"cast(pmod(xxhash64(doc_id, 7), ceil(size / {tree / 2})) as int)")
@@ -371,9 +390,13 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
         named = large.join(first, F.col("doc_id") == F.col("node"), "left").select("doc_id", "group", "size", F.coalesce("label", "doc_id").alias("label"))
         counts = named.groupBy("group", "label").agg(F.count("*").alias("m"))
         bulk = counts.groupBy("group").agg(F.max(F.struct("m", "label")).alias("b")).select(F.col("group").alias("g"), F.col("b.label").alias("bulk"))
-        again = _paired(cut_lineage(named.join(bulk, F.col("group") == F.col("g")).select("doc_id", "group", (F.col("label") != F.col("bulk")).alias("apart"))), tree)
-        links = cut_lineage(links.unionByName(_run_trees(rows, again, n, percent, n_blocks, alone=True)))
+        split = cut_lineage(named.join(bulk, F.col("group") == F.col("g")).select("doc_id", "group", (F.col("label") != F.col("bulk")).alias("apart")))
+        every = cut_lineage(links.unionByName(_run_trees(rows, _paired(split, tree), n, percent, n_blocks, alone=True)))
+        drop(links, split)
+        links = every
+    drop(grouped)
     found = components(links)
+    drop(links)
     placed = reps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("one").alias("_1"), F.col("two").alias("_2"), F.coalesce("label", "rep").alias("component"))
     out = tagged.join(placed, (F.col("one") == F.col("_1")) & (F.col("two") == F.col("_2")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

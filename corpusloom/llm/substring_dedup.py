@@ -1,6 +1,6 @@
 """Removal of repeated word windows, with a count-min prefilter.
 
-Documents are dealt into blocks by a digest of their id. Each block sketches its windows: for every row of the
+Rows are dealt into blocks by a digest of their id and text. Each block sketches its windows: for every row of the
 count-min sketch, which cells its windows fall into and whether once or more. The sketches are merged cell range by
 cell range (no sketch is ever whole in one place), each block learns which of its cells are counted twice or more,
 and only windows whose every cell is go on. Estimates never fall below the true counts, so no repeated window is lost.
@@ -8,9 +8,9 @@ The second pass groups these windows exactly, by 128-bit hashes, and each block
 another block. Cell ranges and key ranges hold one packed row per block, so a window that a third of all documents
 holds is one entry per block.
 
-A null text has no words. Texts shorter than a window keep all words. Of rows that share a doc_id the one whose text
-sorts first comes first; a null doc_id comes before all others. Repeated rows are documents of their own: the later
-one loses what the earlier one has. An empty table gives no rows. Other columns are left out.
+A null text has no words. Texts shorter than a window keep all words; a text of any length is handled whole. A null
+doc_id comes before all others; rows that share a doc_id come in the order of a digest of their texts. Repeated rows are
+documents of their own: the later one loses what the earlier one has. An empty table gives no rows. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -22,16 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import mix, passes, span_hashes, tidied, utf8, window_hashes, with_text, word_spans
+from corpusloom.llm.common import mix, passes, tidied, utf8, window_hashes, with_text, word_hashes
 
 WINDOW = 20
 DEPTH = 2
-#: Text bytes in a block, and sketch cells or keys that one range holds.
+#: Text bytes in a block, and sketch cells or keys that one range holds, for up to a gigabyte of text.
 BLOCK_BYTES, RANGE_CELLS = 4 << 20, 1 << 21
+#: Beyond that both grow with the root of the size, so that packed rows keep their length, up to so many times.
+MOST_GROWTH = 8
 #: Sketch cells for every word of the corpus.
 CELLS_PER_WORD = 4
 
 
+def growth(total: int) -> float:
+    """How many times as large blocks and ranges are for so many bytes of text."""
+    return min(MOST_GROWTH, max(1.0, (total / (1 << 30)) ** 0.5))
+
+
 def pack(x: np.ndarray) -> bytes:
     return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
 
@@ -55,17 +62,17 @@ class Block:
     """The windows of one block's documents in order."""
 
     def __init__(self, table: pa.Table, size: int):
-        table = table.sort_by([("key", "ascending"), ("text", "ascending")])
+        table = table.sort_by([("key", "ascending"), ("mark", "ascending"), ("text", "ascending")])
         self.table = table
-        self.keys = table.column("key").to_numpy()
+        self.owners = np.stack([table.column(c).to_numpy() for c in ("key", "mark")])
         words, seconds, firsts, base = [], [], [], 0
         for part in passes(table):
             data, offsets = utf8(part.column("text"))
-            starts, ends, first = word_spans(data, offsets)
-            words.append(span_hashes(data, starts, ends))
-            seconds.append(span_hashes(data, starts, ends, 77))
+            one, two, first = word_hashes(data, offsets)
+            words.append(one)
+            seconds.append(two)
             firsts.append(first[:-1] + base)
-            base += len(starts)
+            base += len(one)
         self.first = np.concatenate([*firsts, [base]]) if firsts else np.zeros(1, np.int64)
         self.n_words = base
         words = np.concatenate(words) if words else np.zeros(0, np.uint64)
@@ -152,11 +159,11 @@ def _propose(size: int, n_cells: int, n_ranges: int):
             return EMPTY_KEYS
         block = Block(docs, size)
         one, two, first, _ = _distinct(block, _flags(block, replies, n_cells, n_ranges))
-        owner = block.keys[block.document(block.at[first])] if len(first) else np.zeros(0, np.int64)
+        owner = block.owners[:, block.document(block.at[first])]
         edges, rows = ranged(one, n_ranges, span), []
         for i in np.flatnonzero(np.diff(edges)):
             a, b = edges[i], edges[i + 1]
-            rows.append((key[0].as_py(), int(i), one[a:b].tobytes(), two[a:b].tobytes(), pack(owner[a:b])))
+            rows.append((key[0].as_py(), int(i), one[a:b].tobytes(), two[a:b].tobytes(), pack(owner[:, a:b])))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()])], names=["block", "range", "one", "two", "owner"])
 
     return run
@@ -167,13 +174,13 @@ EMPTY_KEYS = pa.table({"block": pa.array([], pa.int32()), "range": pa.array([],
 
 def _decide(key, table):
     """Windows of one key range from all blocks: which ones start earlier in another block."""
-    parts = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), unpack(c, np.int64)) for a, b, c in zip(*(table.column(x).to_pylist() for x in ("one", "two", "owner")))]
-    one, two, owner = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((owner, two, one))
+    parts = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), unpack(c, np.int64).reshape(2, -1)) for a, b, c in zip(*(table.column(x).to_pylist() for x in ("one", "two", "owner")))]
+    one, two, owner = (np.concatenate([p[i] for p in parts], -1) for i in range(3))
+    order = np.lexsort((owner[1], owner[0], two, one))
     new = np.ones(len(order), bool)
     new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
     later = np.empty(len(order), bool)
-    later[order] = ~new  # blocks never share an owner, so one of them is first
+    later[order] = ~new  # the same id and text is in one block, so one block is first
     bits, a = [], 0
     for p in parts:
         bits.append(pack(np.packbits(later[a : a + len(p[0])])))
@@ -225,10 +232,10 @@ def dedup(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the remaining words joined by one space) for every row."""
     rows = with_text(docs)
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-total // BLOCK_BYTES))
+    n_blocks = max(1, int(-(-total // (BLOCK_BYTES * growth(total)))))
     n_cells = 1 << max(16, int(np.ceil(np.log2(max(1, CELLS_PER_WORD * total // 6)))))
-    n_ranges = max(1, -(-total // 6 // RANGE_CELLS))
-    dealt = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.expr(f"cast(pmod(xxhash64(doc_id), {n_blocks}) as int)").alias("block"))
+    n_ranges = max(1, int(-(-total // 6 // (RANGE_CELLS * growth(total)))))
+    dealt = rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text", F.lit(1)).alias("mark"), F.expr(f"cast(pmod(xxhash64(doc_id, text), {n_blocks}) as int)").alias("block"))
     by_block = dealt.groupBy("block")
     sketches = by_block.applyInArrow(tidied(_sketch(size, n_cells, n_ranges)), "block int, depth int, range int, cells binary, more binary")
     counted = sketches.groupBy("depth", "range").applyInArrow(tidied(_merge), REPLY)

@@ -14,6 +14,11 @@ def sentence(n, seed, stem="w"):
     return " ".join(f"{stem}{r.randrange(400)}" for _ in range(n))
 
 
+def thue_morse(n, letters="ab"):
+    """Words that sums of powers modulo 2**64 can't tell from their complement."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
 def texts():
     base = sentence(120, 1)
     near = base.split()
@@ -42,6 +47,10 @@ def texts():
         'the token = "c1e4c9030b2f4a" and 300.1.1.1 and a@b',
         "Ünïcödé straße ١٢٣ 日本語 テスト 👍🏽  nbsp",
         "\x00\x01 control \x7f",
+        f"{thue_morse(1024)} {sentence(19, 10, 't')}",
+        f"{thue_morse(1024, 'ba')} {sentence(19, 10, 't')}",
+        thue_morse(4096),
+        thue_morse(4096, "ba"),
     ]
 
 
@@ -72,10 +81,10 @@ def ordered(docs):
     return sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
 
 
-def dedup(docs, size=20):
-    """doc_id, words, removed, kept text by the definition."""
+def dedup(docs, size=20, marks=None):
+    """doc_id, words, removed, kept text by the definition; marks: the digests that order texts of one doc_id."""
     seen, out = set(), []
-    for d in ordered(docs):
+    for d in sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0, (marks or {}).get(r[1] or "", 0))):
         w = WORD.findall(d[1] or "")
         gone = [False] * len(w)
         for i in range(len(w) - size + 1):
