@@ -20,9 +20,9 @@ def query(f):
 
 @query
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that a mix of all sources takes from each document."""
+    """Words that a mix of all sources takes from each document, and the first slot that takes some."""
     rows = mixing.mix(mixing.sized(table(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 ORACLES["op6_mixing"] = """
@@ -37,14 +37,27 @@ WITH d AS (
   SELECT min_by(l, k) FILTER (2.0 * n / w >= l) AS l FROM o
 ), t AS (
   SELECT source, n, CAST(CASE WHEN l IS NULL OR w * l >= 2.0 * n THEN 2.0 * n ELSE round(w * l, 6) END AS DOUBLE) AS target FROM s, level
+), b AS (
+  SELECT sum(target) AS total, CAST(greatest(1, least(1024, floor(round(sum(target), 3) / 65536))) AS BIGINT) AS block FROM t
+), h AS (
+  SELECT source, sum(target) OVER up / total AS high, (sum(target) OVER up - target) / total AS low, row_number() OVER (ORDER BY source DESC NULLS FIRST) = 1 AS final
+  FROM t, b WHERE target > 0 WINDOW up AS (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), i AS (
+  SELECT slot, slot * CAST('0.6180339887498949' AS DOUBLE) - floor(slot * CAST('0.6180339887498949' AS DOUBLE)) AS point
+  FROM (SELECT unnest(range(CAST(floor(round(total, 3) / block + 0.5) AS BIGINT))) AS slot FROM b)
+), r AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM i JOIN h ON point >= low AND (point < high OR final)
+), c AS (
+  SELECT source, count(*) AS ranks FROM r GROUP BY source
 ), p AS (
-  SELECT d.doc_id, d.size, t.n, t.target, CAST(floor(t.target) AS BIGINT) AS take,
+  SELECT d.doc_id, d.size, d.source, t.n, t.target, block, least(coalesce(ranks, 0) * block, 2 * t.n) AS take,
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY sha256(CAST(d.doc_id AS VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source, b
 )
 SELECT doc_id, size, n AS source_size, target,
-  CAST(greatest(0, least(start + size, take) - start) + greatest(0, least(start + n + size, take) - start - n) AS BIGINT) AS taken
-FROM p
+  CAST(greatest(0, least(start + size, take) - start) + greatest(0, least(start + n + size, take) - start - n) AS BIGINT) AS taken,
+  CASE WHEN size > 0 AND start < take THEN slot END AS first_slot
+FROM p LEFT JOIN r ON p.source IS NOT DISTINCT FROM r.source AND r.rank = CAST(start AS BIGINT) // block
 """
 
 
