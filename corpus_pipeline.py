@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe, language_id, mixing, pii, signature_trees
 from corpusloom.llm.common import WORD, table
-from corpusloom.plans.storage import cut_lineage
+from corpusloom.plans.storage import cut_lineage, drop, temporary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: word n-grams and the similarity in percent.
@@ -64,16 +64,25 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives every document as often as the mix takes it; where the mix stops inside a document, its words up to there.
+    """Gives every document as often as the mix takes it, in the order of the mix' slots over all parts of the output;
+    where the mix stops inside a document, its words up to there.
 
-    Rows that agree in doc_id, source and text share what the mix takes of them."""
+    Of rows that agree in doc_id, source and text, one stands for all in what the mix takes of them."""
     keyed = docs.select(*COLUMNS).withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-    sizes = mixing.sized(keyed).select(F.col("_key").alias("doc_id"), "source", "size")
-    taken = mixing.mix(sizes).groupBy(F.col("doc_id").alias("_k")).agg(F.floor(F.sum("taken") / F.count("*")).cast("long").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    times = keyed.join(taken, F.col("_key") == F.col("_k")).select("*", F.explode(F.expr("sequence(1L, (_taken + _size - 1) div _size)")).alias("_turn"))
-    left = F.least(F.col("_size"), F.col("_taken") - (F.col("_turn") - 1) * F.col("_size")).cast("int")
-    text = F.when(left == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), left), " "))
-    return times.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    sizes = cut_lineage(mixing.sized(keyed).select(F.col("_key").alias("doc_id"), F.col("_key").cast("string").alias("key"), "source", "size"))
+    _, turns = mixing.plan(sizes)
+    if turns is None:
+        return docs.select(*COLUMNS).where("false")
+    if not sizes.groupBy("doc_id").count().where("count > 1").isEmpty():
+        rank = Window.partitionBy("_key").orderBy(*COLUMNS)
+        keyed = keyed.withColumn("_k", F.row_number().over(rank)).where("_k = 1").drop("_k")
+    times = keyed.join(turns.select(F.col("_d").alias("_key"), "words", "taken", "slot", "point", "turn"), "_key")
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int")), " ")
+    text = F.when(F.col("words") == F.col("taken"), F.col("text")).otherwise(part)
+    # slots are blocks of equally many words, so equal shares of them are equal parts of the mix
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ready = times.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return ready.repartitionById(n, F.least(F.lit(n - 1), F.floor(F.col("point") * n)).cast("int")).sortWithinPartitions("slot", "turn", "doc_id").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,7 +104,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; each one's rows are written to the shared folder and read again for the next."""
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = out if i == len(STAGES) - 1 else cut_lineage(out)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with temporary() as kept:
+            rows = cut_lineage(stage(spark, docs, sf_dir))
+            kept.append(rows)
+        drop(docs)
+        docs = rows
+    return STAGES[-1][1](spark, docs, sf_dir)
