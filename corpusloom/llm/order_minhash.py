@@ -6,7 +6,7 @@ positions of two fingerprints is their likeness. A text shorter than k is one k-
 equal texts have equal fingerprints, and two empty texts are alike with 1.
 
 Of documents that share a doc_id, the one whose text sorts first comes first; a null doc_id sorts before all others.
-The next document of the last one is the first one, so a single document is its own next. An empty table gives no rows.
+The next document of the last one is the first one, so a single document is its own next. An empty table gives no rows. Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import mix, passes, place, tidied, with_text
@@ -23,8 +23,9 @@ from corpusloom.llm.common import mix, passes, place, tidied, with_text
 K, TUPLE, SKETCHES = 5, 2, 32
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-#: Text bytes in a range of ids, where the session's number of shuffle partitions doesn't make ranges smaller.
-RANGE_BYTES = 64 << 20
+#: Text bytes in a range of ids, where the session's number of shuffle partitions doesn't make ranges smaller; ranges at
+#: most (larger ones are still streamed), and quantiles between which ranges are equally wide.
+RANGE_BYTES, MOST_RANGES, QUANTILES = 64 << 20, 1 << 16, 1 << 10
 #: Positions are kept in the low bits while k-mers are sorted; longer texts are numbered by a slower sort.
 _BITS = np.uint64(24)
 
@@ -82,7 +83,7 @@ def fingerprint(code: np.ndarray) -> np.ndarray:
             start = np.searchsorted(rows, np.arange(len(scrambled)))
             pick = cols[start[:, None] + np.arange(min(TUPLE, n))]
             pick = np.take_along_axis(pick, np.argsort(at[pick], axis=1), 1)
-            held = np.full(len(pick), np.uint64(j) * _STEP + np.arange(len(pick), dtype=np.uint64))
+            held = np.arange(j, j + len(pick), dtype=np.uint64) * _STEP
             for c in range(pick.shape[1]):
                 held = mix(held ^ value[pick[:, c]], c + 1)
             out[j : j + block] = (held >> np.uint64(32)).astype(np.uint32)
@@ -106,25 +107,30 @@ def edited(code: np.ndarray, following: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    Ids are dealt out by quantiles into ranges; each range also gets the first document of the next one, so a task
-    finds every document's next in its own order. The texts are shuffled once."""
+    Ids are dealt into ranges, by quantiles of a bounded number and by equal widths between these; each range also gets
+    the first document of the next one, so a task finds every document's next in its own order. Texts are shuffled once."""
     spark = docs.sparkSession
     rows = with_text(docs).withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    cuts = rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 100 * n).alias("q")).first()["q"] or []
-    bounds = F.array(*[F.lit(x) for x in sorted(set(cuts))]).cast("array<bigint>")
-    dealt = rows.withColumn("_range", place(bounds, F.col("_key"), len(set(cuts)) + 1).cast("int"))
-    least = dealt.groupBy("_range").agg(F.min("_key").alias("_least"))
-    ranges = [tuple(r) for r in least.orderBy("_range").collect()]  # as many as there are partitions at most
-    if not ranges:
+    known = rows.agg(F.sum(F.octet_length("text")).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    if known["n"] is None:
         return spark.createDataFrame([], SCHEMA)
-    before = [(k, first, ranges[i - 1][0]) for i, (k, first) in enumerate(ranges)]
-    seam = F.broadcast(spark.createDataFrame(before, "_of int, _first long, _to int"))
-    firsts = dealt.join(seam, (F.col("_range") == F.col("_of")) & (F.col("_key") == F.col("_first"))).groupBy("_to").agg(F.min(F.struct("_key", "text")).alias("_f"))
+    n = min(MOST_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-known["n"] // RANGE_BYTES)))
+    wide = min(n, QUANTILES)
+    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / wide for i in range(1, wide)], 100 * wide).alias("q")).first()["q"] or []))
+    edges = [known["low"] or 0, *cuts, (known["high"] or 0) + 1]
+    part = -(-n // len(edges[1:]))
+    between = place(F.array(*map(F.lit, cuts)).cast("array<bigint>"), F.col("_key"), len(edges) - 1)
+    low, high = (F.get(F.array(*[F.lit(float(x)) for x in e]), between) for e in (edges[:-1], edges[1:]))
+    inner = F.floor((F.col("_key").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * part)
+    dealt = rows.withColumn("_range", (between * part + F.greatest(F.lit(0), F.least(F.lit(part - 1), inner))).cast("int"))
+    least = dealt.groupBy("_range").agg(F.min("_key").alias("_first"))
+    # one row for each range: the range before it takes its first document, the last range that of the first one
+    order = Window.orderBy("_range")
+    seam = least.select(F.col("_range").alias("_of"), "_first", F.coalesce(F.lag("_range").over(order), F.max("_range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to"))
+    firsts = dealt.join(F.broadcast(seam), (F.col("_range") == F.col("_of")) & (F.col("_key") == F.col("_first"))).groupBy("_to").agg(F.min(F.struct("_key", "text")).alias("_f"))
     halo = firsts.select(F.lit(None).cast("long").alias("doc_id"), F.col("_f.text").alias("text"), F.col("_f._key").alias("_key"), F.col("_to").alias("_range"), F.lit(True).alias("_halo"))
     both = dealt.withColumn("_halo", F.lit(False)).unionByName(halo)
-    placed = both.repartitionById(n, F.col("_range")).sortWithinPartitions("_range", "_halo", "_key", "text").select("doc_id", "text", "_range", "_halo")
+    placed = both.repartitionById(part * (len(edges) - 1), F.col("_range")).sortWithinPartitions("_range", "_halo", "_key", "text").select("doc_id", "text", "_range", "_halo")
     return placed.mapInArrow(tidied(_walk), SCHEMA)
 
 

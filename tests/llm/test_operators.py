@@ -54,19 +54,51 @@ def test_order_minhash_follows_edits_and_order():
     near = [order_minhash.likeness(f(text), f(x)) for x in (text, few, many)]
     assert near[0] == 1 and near[0] >= near[1] > near[2]
     assert order_minhash.likeness(f(text), f(swapped)) < 1
+    long = cases.sentence(3_000, 1)
+    assert order_minhash.likeness(f(long), f(long + cases.sentence(500, 2))) > 0.5 < order_minhash.likeness(f(long[:20_000]), f(long[:16_000]))
 
 
 def test_order_minhash_picks_the_smallest():
     code = order_minhash.points("abcabcabcabd" * 30)
     value, at = order_minhash._numbered(order_minhash._kmers(code))
     assert len(set(value.tolist())) == len(value) == len(code) - order_minhash.K + 1
-    wanted = []
-    for j in range(order_minhash.SKETCHES):
-        scrambled = value * order_minhash._FACTORS[j]
-        pick = np.argsort(scrambled)[: order_minhash.TUPLE]
-        wanted.append(tuple(sorted(at[pick].tolist())))
-    assert len(set(wanted)) > 1
-    assert len(order_minhash.fingerprint(code)) == order_minhash.SKETCHES
+    want = []
+    with np.errstate(over="ignore"):
+        for j in range(order_minhash.SKETCHES):
+            scrambled = [int(v) * int(order_minhash._FACTORS[j]) % (1 << 64) for v in value]
+            pick = sorted(range(len(value)), key=lambda i: scrambled[i])[: order_minhash.TUPLE]
+            held = np.array([j], np.uint64) * order_minhash._STEP
+            for c, i in enumerate(sorted(pick, key=lambda i: at[i])):
+                held = order_minhash.mix(held ^ value[i], c + 1)
+            want.append(int(held[0]) >> 32)
+    assert order_minhash.fingerprint(code).tolist() == want
+
+
+def test_order_minhash_numbers_occurrences():
+    """k-mers by code points, numbered from 0 in the order of the text; by brute force."""
+    text = "aabaabaab-é日" * 9
+    code = order_minhash.points(text)
+    value, at = order_minhash._numbered(order_minhash._kmers(code))
+    place = {int(p): int(v) for v, p in zip(value, at)}
+    seen, number = {}, collections.Counter()
+    for i in range(len(text) - order_minhash.K + 1):
+        k = text[i : i + order_minhash.K]
+        seen.setdefault((k, number[k]), set()).add(place[i])
+        number[k] += 1
+    assert sorted(place) == list(range(len(text) - order_minhash.K + 1))
+    assert all(len(v) == 1 for v in seen.values()) and len({x for v in seen.values() for x in v}) == len(seen)
+
+
+def test_order_minhash_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(order_minhash, "RANGE_BYTES", 100)
+    monkeypatch.setattr(order_minhash, "QUANTILES", 4)
+    data = [(i * i * i - 5000, f"text {i} " * (i % 7)) for i in range(60)] + [(2**63 - 1, "last"), (-(2**63), "first"), (None, "no id")]
+    rows = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: r["edited_sha256"] for r in order_minhash.fingerprints(rows).collect()}
+    order = sorted(data, key=lambda r: (r[0] is not None and r[0] > -(2**63), r[0] if r[0] is not None else -(2**63), r[1]))
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1]):
+        half = len(text) // 2
+        assert got[i] == cases.sha(text[: len(text) - half] + following[:half])
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -178,6 +210,12 @@ def plain_spans(x):
     return sorted(out + [(m.start(), 3, m.end()) for m in PHONE.finditer(x) if 10 <= len(digits(m)) <= 15])
 
 
+def test_frequent_words_are_bounded(spark):
+    rows = spark.createDataFrame([(f"{'a ' * 9}{'b ' * 9}{'c ' * 3}d e f g",)], "text string")
+    for most, want in ((2, {" a", " b"}), (3, {" a", " b", " c"}), (4, {" a", " b", " c"}), (100, {"a", " a", " b", " c", " d", " e", " f", " g"})):
+        assert set(bpe.frequent_words(rows, PATH, public_tokenizers.PATTERN, most).column("w").to_pylist()) == want
+
+
 def test_pii(docs, empty):
     rows = pii.annotate(docs, pii.fit(docs), "doc_id", redacted=True).collect()
     assert len(rows) == len(cases.rows())
@@ -217,6 +255,62 @@ def test_pii_takes_whole_secrets():
     assert held("token=" * 50_000) and not held("sk-" * 5)
 
 
+def test_pii_takes_runs_of_any_length_and_number():
+    import time
+
+    at = time.time()
+    secret = "aB3_" * 1250
+    assert pii.redact(x := f"my token: {secret} ends", pii.candidates(x, pii.base_spans(x))) == "my token: <SECRET> ends"
+    mail = f"{'a' * 500} [at] {'b' * 300} [dot] {'c' * 100} [dot] de"
+    assert [x[s:e] for x in [f"write {mail} now"] for s, _, e in pii.candidates(x, [])] == [mail]
+    many = "mail a.b@c.example.com or 10.0.0.1, ssn 123-45-6789; " * 17_000
+    assert len(pii.candidates(many, pii.base_spans(many))) == 51_000
+    assert pii.candidates("a" * 300_000, []) == [] == pii.candidates("a" * 300_000 + " [at] ", [])
+    assert time.time() - at < 20
+
+
+def test_pii_by_brute_force(spark):
+    """Spans that no other one touches, votes, expectation-maximisation and classifier in plain loops."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    counts: collections.Counter = collections.Counter()
+    found = {}
+    for t in filter(None, texts):
+        base, wide = plain_spans(t), []
+        for kind, pattern, _ in pii.WIDER:
+            for m in pattern.finditer(t):
+                wide.append((*(m.span("it") if "it" in pattern.groupindex else m.span()), pii.KINDS.index(kind)))
+        out = list(base)
+        for s, e, k in sorted(wide, key=lambda x: (x[0], -x[1], x[2])):
+            if not any(a < e and s < b for a, _, b in out) and e - s <= pii.LONG:
+                out.append((s, k, e))
+        found[t] = sorted(out)
+        counts.update(pii.votes(t, x, x in base) for x in out)
+    got = {tuple(r["votes"]): r["n"] for r in pii.vote_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == dict(counts)
+    rows = sorted(counts.items())
+    belief = [1 / (1 + np.exp(-1.4 * (sum(v == 2 for v in p[1:7]) - 2 * sum(v == 1 for v in p[1:7]) - 0.5))) for p, _ in rows]
+    held = max(1.0, 0.02 * sum(counts.values()))
+    for _ in range(50):
+        prior = [(1 + sum(b * n for b, (p, n) in zip(belief, rows) if p[0] == k)) / (2 + sum(n for p, n in rows if p[0] == k)) for k in range(len(pii.KINDS))]
+        chance = {}
+        for j in range(6):
+            for truth in (0, 1):
+                seen = [held * x + sum((b if truth else 1 - b) * n for b, (p, n) in zip(belief, rows) if p[1 + j] == v) for v, x in ((1, 8.0 - 6 * truth), (2, 2.0 + 6 * truth))]
+                chance |= {(j, truth, v): x / sum(seen) for v, x in zip((1, 2), seen)}
+        odds = [np.log(prior[p[0]] / (1 - prior[p[0]])) + sum(np.log(chance[j, 1, p[1 + j]] / chance[j, 0, p[1 + j]]) for j in range(6) if p[1 + j]) for p, _ in rows]
+        belief = [1 / (1 + np.exp(-np.clip(o, -30, 30))) for o in odds]
+    assert np.allclose(belief, pii.reliabilities(np.array([p for p, _ in rows]), np.array([float(n) for _, n in rows]))[0])
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = pii.fit(docs)
+    # the classifier's gradient vanishes at its weights
+    x, share = pii._features(np.array([p for p, _ in rows])), np.array([n for _, n in rows]) / sum(counts.values())
+    assert np.abs(x.T @ (share * (1 / (1 + np.exp(-x @ model.weights)) - belief)) + 1e-4 * model.weights).max() < 1e-6
+    for r in pii.annotate(docs, model, "text").collect():
+        said = [(s["start"], pii.KINDS.index(s["kind"]), s["end"]) for s in r["spans"]]
+        base = plain_spans(r["text"] or "")
+        assert said == [x for x in found.get(r["text"], []) if x in base or model.accepts(pii.votes(r["text"], x, False))]
+
+
 def test_pii_finds_the_reliable_labelers():
     patterns = np.array([[0, 2, 0, 2, 0, 0, 0, 3], [0, 0, 0, 1, 0, 1, 1, 3], [0, 0, 0, 2, 2, 0, 0, 3], [0, 0, 0, 1, 0, 0, 0, 3]])
     belief, prior, table = pii.reliabilities(patterns, np.array([100.0, 80, 40, 60]))
@@ -376,6 +470,33 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing, "doc_id").collect()} == {"und"}
 
 
+def test_language_id_by_brute_force(spark, monkeypatch):
+    """Sets of trigrams in place of the filter: the same languages, and scores up to chance hits of the filter."""
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
+    counts: dict = collections.defaultdict(collections.Counter)
+    grams = lambda t: [x if x.isalpha() else None for x in (t or "").lower()]
+    every = lambda t: [tuple(g[i - 1 : i + 2]) for g in [[None, *grams(t), None]] for i in range(1, len(g) - 1) if g[i]]
+    for _, text, lang in docs:
+        if lang is not None:
+            counts[lang].update(every(text))
+    share = {k: {g: n / sum(c.values()) for g, n in c.items() if n >= language_id.LEAST} for k, c in counts.items()}
+    held = {k: {g for g, x in c.items() if x >= language_id.STRAY * max(s.get(g, 0) for s in share.values())} for k, c in share.items()}
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    for room in (language_id.MOST_BYTES, 16_384):  # as many slots as wanted, and fewer: no trigram goes
+        model = language_id.fit(rows, room=room)
+        assert model.slots.nbytes <= room and model.langs == sorted(held)
+        for r in language_id.identify(rows, model, "doc_id", "text").collect():
+            own = every(r["text"])
+            hits = {k: sum(g in held[k] for g in own) / len(own) for k in held} if own else {}
+            if not own:
+                assert (r["lang_pred"], r["score"]) == ("und", 0)
+            elif room > 16_384:
+                assert abs(r["score"] - max(hits.values())) < 0.1 and hits[r["lang_pred"]] >= max(hits.values()) - 0.1
+    assert language_id.slots_for(1 << 40, 65) * 16 <= language_id.MOST_BYTES < language_id.slots_for(1 << 40, 64) * 16
+    nobody = language_id.identify(spark.createDataFrame([(None, "some text", "en")], "doc_id long, text string, lang string"), model, "doc_id")
+    assert nobody.count() == 1
+
+
 def plain_verdict(url, rules):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.sub("[A-Z]", lambda m: m[0].lower(), re.match(r"[^/?#]*", rest)[0])
