@@ -6,12 +6,14 @@ documents, expectation-maximisation estimates each labeler's reliability from th
 trained on the resulting beliefs. Candidates that it accepts are added; base spans always stay.
 
 A null text counts as empty and has no spans. Repeated rows get equal spans; an empty table trains a classifier that
-adds nothing. Offsets count code points. Added spans never overlap base spans or each other.
+adds nothing. Offsets count code points. Added spans never overlap base spans or each other. Texts may be of any length
+and hold any number of spans: patterns read runs of any length once, and overlaps are found by bisection.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +45,7 @@ WIDER = (
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), "0123456789"),
     ("secret", re.compile(r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|pwd)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<it>[A-Za-z0-9_+/=.-]{8,}+)"), "=:"),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?P<it>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|sk[-_][A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])"), "AKIAgh_sk"),
-    ("email", re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[a-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[a-z0-9-]{2,63}){1,4}"), "])"),
+    ("email", re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[\[(]at[\])] ?[a-z0-9-]++(?: ?(?:[\[(]dot[\])]|\.) ?[a-z0-9-]{2,}+)++"), "])"),
 )
 #: Secrets longer than this are kept beside base spans that lie within them.
 LONG = 128
@@ -106,30 +108,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _beside(start: int, end: int, base: list[tuple[int, int, int]]):
-    """What base spans leave of a run."""
-    for s, e in sorted((s, e) for s, _, e in base if s < end and start < e):
-        if start < s:
-            yield start, s
-        start = max(start, e)
-    if start < end:
-        yield start, end
+class Taken:
+    """Base spans as stretches that don't overlap, in order."""
+
+    def __init__(self, base: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, _, e in base:
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def free(self, start: int, end: int):
+        """What the stretches leave of a run."""
+        for i in range(bisect_right(self.ends, start), len(self.starts)):
+            if self.starts[i] >= end:
+                break
+            if start < self.starts[i]:
+                yield start, self.starts[i]
+            start = self.ends[i]
+        if start < end:
+            yield start, end
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans and wider ones that overlap none of them, nor each other; the earlier and then the longer stays."""
-    wider = []
+    wider, taken = [], Taken(base)
     for kind, pattern, hint in WIDER:
         if any(c in text for c in hint):
             for m in pattern.finditer(text):
                 start, end = m.span("it") if "it" in pattern.groupindex else m.span()
-                for a, b in _beside(start, end, base) if kind == "secret" and end - start > LONG else ((start, end),):
-                    wider.append((a, KINDS.index(kind), b))
-    taken, out = sorted((s, e) for s, _, e in base), list(base)
+                parts = list(taken.free(start, end))
+                if kind == "secret" and end - start > LONG or parts == [(start, end)]:
+                    wider += [(a, KINDS.index(kind), b) for a, b in parts]
+    out, last = list(base), 0
     for s, k, e in sorted(wider, key=lambda x: (x[0], -x[2], x[1])):
-        if not any(a < e and s < b for a, b in taken):
-            taken.append((s, e))
+        if s >= last:
             out.append((s, k, e))
+            last = e
     return sorted(out)
 
 
@@ -179,8 +197,9 @@ def vote_counts(docs: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if text:
                     base = base_spans(text)
+                    known = set(base)
                     for span in candidates(text, base):
-                        key = votes(text, span, span in base)
+                        key = votes(text, span, span in known)
                         held[key] = held.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in held], pa.list_(pa.int32())), pa.array(list(held.values()), pa.int64())], ["votes", "n"])
 
