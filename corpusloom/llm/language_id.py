@@ -1,28 +1,32 @@
 """Language identification with bit-sliced Bloom filters over letter trigrams.
 
-Learning counts the trigrams of every labelled document by language. A language holds a trigram if it is among the
-language's most frequent ones and not merely stray there. All languages share one Bloom filter whose slots are bit
-masks over the languages: one lookup returns all languages that hold a trigram. A text's per-language hit counts,
-corrected for the filter's false positives, decide.
+Learning counts the trigrams of every labelled document by language. A language holds a trigram that occurs in it often
+enough and isn't merely stray there; none is left out for lack of room. All languages share one Bloom filter whose slots
+are bit masks over the languages: one lookup returns all languages that hold a trigram. The filter has as many slots as
+the fullest language needs for a wanted rate of false positives; where memory doesn't allow so many, the rate rises. A
+text's per-language hit counts, corrected for the rate of false positives, decide.
 
 A text that is null or has no letter is `und` with score 0. Without any labelled document everything is `und`.
-Ties go to the language that sorts first. Repeated rows get equal results, other columns are carried by `keep`.
+Ties go to the language that sorts first. Repeated rows get equal results, other columns are carried by `keep`. Texts
+may be of any length. A document without an id counts as held out: nothing is learned from it.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import mix, passes, tidied
+from corpusloom.plans.storage import cut_lineage, drop
 
-#: Trigrams that a language holds at most, most frequent first: with the slots' limit it bounds the model's size.
-MOST_GRAMS = 50_000
-MOST_SLOTS = 1 << 20
+#: Memory that the filter may take, in bytes; and the wanted rate of false positives, while it takes less.
+MOST_BYTES, FALSE_RATE = 64 << 20, 0.02
 HASHES = 3
 #: A trigram belongs to a language if it is at least so frequent there, as a share of its frequency where that is highest.
 STRAY = 0.05
@@ -116,35 +120,67 @@ class Model:
         return names, np.where(total > 0, np.clip(share.max(0), 0, 1), 0.0)
 
 
-def fit(labelled: DataFrame) -> Model:
-    """The model of rows with text and lang. The driver gets MOST_GRAMS rows per language at most."""
+def slots_for(most: int, langs: int, rate: float = FALSE_RATE, room: int = MOST_BYTES) -> int:
+    """Slots, a power of two, that hold `most` trigrams of a language with at most this rate of false positives, in as
+    far as masks over so many languages leave room."""
+    need = most * HASHES / -math.log(1 - rate ** (1 / HASHES))
+    able = room // (8 * max(1, (langs + 63) // 64))
+    return min(1 << max(10, math.ceil(math.log2(max(1.0, need)))), 1 << (able.bit_length() - 1))
+
+
+def held_grams(labelled: DataFrame) -> DataFrame:
+    """lang and gram: the trigrams that each language holds."""
     counts = gram_counts(labelled)
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    from pyspark.sql import Window
-
     shares = counts.where(F.col("n") >= LEAST).join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total"))
-    own = shares.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= STRAY * F.col("most"))
-    # the most frequent ones per language, first within each of 64 parts so that no language is one task
-    part = own.withColumn("_part", F.expr("pmod(hash(gram), 64)"))
-    order = [F.desc("n"), F.asc("gram")]
-    few = part.withColumn("_k", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_k") <= MOST_GRAMS)
-    held = few.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("_k") <= MOST_GRAMS)
-    rows = held.select("lang", "gram").toPandas()
-    langs = sorted(rows["lang"].unique())
-    most = int(rows["lang"].value_counts().max()) if langs else 1
-    n = min(MOST_SLOTS, 1 << int(np.ceil(np.log2(max(1024, 8 * most)))))
-    slots = np.zeros((n, (len(langs) + 63) // 64 or 1), np.uint64)
-    for i, lang in enumerate(langs):
-        grams = rows["gram"][rows["lang"] == lang].to_numpy(np.int64).view(np.uint64)
+    most = shares.withColumn("most", F.max("share").over(Window.partitionBy("gram")))
+    return most.where(F.col("share") >= STRAY * F.col("most")).select("lang", "gram")
+
+
+def _masks(batches):
+    """The slots that each trigram sets, with the language's bit in the right one of its words."""
+    for batch in batches:
+        grams, which, n = (np.asarray(batch.column(i)) for i in range(3))
         for k in range(HASHES):
-            slots[(mix(grams, k) & np.uint64(n - 1)).astype(np.int64), i // 64] |= np.uint64(1 << (i % 64))
-    filled = [float(((slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(langs))]
-    return Model(langs, slots, np.array([f**HASHES for f in filled]))
+            slot = (mix(grams.view(np.uint64), k) & (n - 1).astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(which // 64), pa.array((np.uint64(1) << (which % 64).astype(np.uint64)).view(np.int64))], ["slot", "word", "bit"])
+
+
+def fit(labelled: DataFrame, rate: float = FALSE_RATE, room: int = MOST_BYTES) -> Model:
+    """The model of rows with text and lang. Slots are filled by an aggregation and come to the driver packed, in parts:
+    `room` bytes at most, besides one row for each language."""
+    held = cut_lineage(held_grams(labelled))
+    sizes = {r["lang"]: r["n"] for r in held.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
+    n, words = slots_for(max(sizes.values(), default=1), len(langs), rate, room), (len(langs) + 63) // 64 or 1
+    slots = np.zeros((n, words), np.uint64)
+    if langs:
+        numbered = held.sparkSession.createDataFrame(list(enumerate(langs)), "which long, lang string")
+        rows = held.join(F.broadcast(numbered), "lang").select("gram", "which", F.lit(n).cast("long").alias("n"))
+        filled = rows.mapInArrow(tidied(_masks), "slot long, word long, bit long").groupBy("slot", "word").agg(F.bit_or("bit").alias("bits"))
+        part = filled.groupBy((F.col("slot") / PART).cast("int").alias("part"), "word")
+        for r in part.applyInArrow(tidied(_part), "part int, word long, bits binary").toLocalIterator():
+            at = r["part"] * PART
+            end = min(n, at + PART)
+            slots[at:end, r["word"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint64)[: end - at]
+    drop(held)
+    full = [float(((slots[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(langs))]
+    return Model(langs, slots, np.array([f**HASHES for f in full]))
+
+
+#: Slots that come to the driver in one row.
+PART = 1 << 16
+
+
+def _part(key, table):
+    bits = np.zeros(PART, np.uint64)
+    bits[np.asarray(table.column("slot")) % PART] = np.asarray(table.column("bits")).view(np.uint64)
+    return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["part", "word", "bits"])
 
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns named by keep, lang_pred and score for every row; only the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_SLOTS bounds it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MOST_BYTES bounds it
     rows = docs.select(*keep, *(["text"] if "text" not in keep else []))  # a text that is kept is sent once
     at = rows.columns.index("text")
     out = [i for i, c in enumerate(rows.columns) if c in keep]

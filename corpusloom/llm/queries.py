@@ -124,7 +124,7 @@ SELECT p.page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM p LEFT
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from four fifths of the labelled ones."""
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0)
     model = language_id.fit(docs.where(~F.col("held_out")))
     return language_id.identify(docs, model, "doc_id", "held_out")
 
