@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import passes, tidied, utf8
+from corpusloom.plans.storage import cut_lineage, drop
 
 #: What the pattern's \s means: Unicode's White_Space.
 SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -140,10 +141,20 @@ def words_of(text: Column, pattern: str) -> Column:
 def frequent_words(docs: DataFrame, path: str, pattern: str, most: int = FREQUENT) -> pa.Table:
     """w and ids of the corpus' most frequent words: counted over all documents, each distinct word folded once.
 
-    `most` words of at most FREQUENT_BYTES bytes come to the driver, however large the corpus."""
+    Words are taken by their counts' sixteenth powers of two, from the top down, as far as all words of a level fit into
+    `most`. So words of at most FREQUENT_BYTES bytes and no more than `most` come to the driver, however large the corpus."""
     words = docs.select(F.explode(words_of(F.col("text"), pattern)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.octet_length("w") <= FREQUENT_BYTES)
-    top = words.orderBy(F.desc("n"), "w").limit(most).select(byte_string(F.col("w")).alias("w")).repartition(max(8, most // 4096))
-    return top.select("w", let(ranks_literal(path), lambda ranks: word_ids(F.col("w"), ranks)).alias("ids")).toArrow()
+    counted = cut_lineage(words.withColumn("level", F.floor(16 * F.log2("n"))))
+    least, held = 1 << 62, 0
+    for level, n in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        held += n
+        if held > most:
+            break
+        least = level
+    top = counted.where(F.col("level") >= least).select(byte_string(F.col("w")).alias("w")).repartition(max(8, most // 4096))
+    found = top.select("w", let(ranks_literal(path), lambda ranks: word_ids(F.col("w"), ranks)).alias("ids")).toArrow()
+    drop(counted)
+    return found
 
 
 def encode_native(docs: DataFrame, path: str, pattern: str, *keep: str, text: str = "text", most: int = FREQUENT) -> DataFrame:
