@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of rules up to which they're sent to every task: 200,000 rules of at most 2,000 characters are bounded.
-BROADCAST_RULES = 200_000
+#: Rules, and bytes of their hosts and paths, up to which they're sent to every task.
+BROADCAST_RULES, BROADCAST_BYTES = 200_000, 32 << 20
 #: Hexadecimal digits of the digest that the join compares first.
 SHORT = 8
 
@@ -48,8 +48,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     Distinct URLs are expanded once: host suffixes at the dots (no more labels than rules have), path prefixes at the lengths that rules have.
     The expressions meet the rules in an equi-join on the digest's first digits; the full digest then confirms."""
     ready = prepare_rules(rules)
-    counted = ready.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(F.split("r_host", r"\."))), F.lit(1)).alias("labels"), F.array_sort(F.collect_set(F.length("r_path"))).alias("lengths")).first()
-    hint = F.broadcast if counted["n"] <= BROADCAST_RULES else (lambda x: x)
+    counted = ready.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(F.split("r_host", r"\."))), F.lit(1)).alias("labels"), F.array_sort(F.collect_set(F.length("r_path"))).alias("lengths"), F.coalesce(F.sum(F.octet_length("r_host") + F.octet_length("r_path")), F.lit(0)).alias("bytes")).first()
+    hint = F.broadcast if counted["n"] <= BROADCAST_RULES and counted["bytes"] <= BROADCAST_BYTES else (lambda x: x)
     lengths = F.array(*[F.lit(n) for n in counted["lengths"]]).cast("array<int>")
     urls = pages.select(F.col(url).alias("_u")).where("_u IS NOT NULL").distinct().select("_u", host_of(F.col("_u")).alias("_h"), path_of(F.col("_u")).alias("_p"))
     labels = F.split("_h", r"\.")
@@ -65,4 +65,6 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     winners = expressions.join(hint(ready), F.col("_short") == F.col("r_short")).where("_digest = r_digest").groupBy("_u").agg(F.max(order).alias("_win"))
     won = winners.select("_u", F.col("_win.rule").alias("_rule"), F.when(F.col("_win.c"), "block").otherwise("allow").alias("_verdict"))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return pages.join(won, pages[url] == won["_u"], "left").select(*[pages[c] for c in kept], host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), won["_rule"].alias("rule"), F.coalesce(won["_verdict"], F.lit(default)).alias("verdict"))
+    # null URLs are dealt by their rows: nothing meets them
+    key = F.coalesce(pages[url], F.concat(F.lit("\n"), F.xxhash64(*[pages[c] for c in kept if pages.schema[c].dataType.typeName() not in ("map", "variant")]).cast("string")))
+    return pages.join(won, key == won["_u"], "left").select(*[pages[c] for c in kept], host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), won["_rule"].alias("rule"), F.coalesce(won["_verdict"], F.lit(default)).alias("verdict"))
