@@ -1,18 +1,23 @@
 """Main text of HTML pages by tag-path ratios.
 
-The page's text is split into blocks, each with its path of tags from the root. For every path, text length and
-punctuation are summed and divided by the path's blocks; both ratios are smoothed over the blocks in page order, fused
-and held against a threshold. The container that the chosen paths share is the article: its blocks are the text, but
-for parts that by tag or class are menus, adverts, forms, notices, comments and the like.
-
-Null or empty HTML, and pages without any article text, give an empty text. Unclosed tags and a cut-off end are read
-as far as they go. Repeated rows are extracted alike; other columns are carried by `keep` only.
+A page is read into elements and blocks of text. Every block has the path of tags and classes from the root to it; for
+each path, text length and punctuation are summed and divided by the path's blocks. The ratios are smoothed over the
+blocks in page order and fused, and paths above a share of the mean are chosen. Elements that directly hold a block of a
+chosen path are content nodes. The text is all blocks of chosen paths, all other blocks that content nodes directly
+hold or that lie between their chosen ones, and headings before these; where most chosen text is in articles, all blocks
+of the articles that hold chosen paths. Parts that by tag, class, id or role are menus, adverts, forms, notices, comments
+and the like are never text, but for a marked element that holds the article.
+
+Null or empty HTML, and pages without any text but such parts, give an empty text. Tags left open and a cut-off end are
+read as far as they go; a `<` that begins no tag is text. Paths with equal ratios are chosen alike. Pages of any length
+and depth take time in proportion to their length. Repeated rows are extracted alike; other columns are carried by `keep`.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,241 +28,283 @@ from corpusloom.llm.common import passes, tidied
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+#: Tags that are passed over up to their end, within a block as well; and those where only if there is an end.
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
-#: Tags whose content is never article text.
-OUTSIDE = frozenset("head script style noscript template nav footer aside form button select option input textarea iframe svg dialog menu object canvas".split())
-#: Words of class, id and role that mark such parts.
-PARTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs nav navbar navigation menu footer masthead toolbar pagination pager comment comments commentlist respond disqus replies reply search skip copyright".split())
-#: Those of them that mark what readers wrote, and words of names that only tell whether a page has such parts.
-REPLIES = frozenset("comment comments commentlist respond disqus replies reply".split())
-STATES = frozenset("has have with without no not non is are hide show open closed enabled disabled layout result results".split())
-HEADERS = frozenset(("header", "masthead", "topbar"))
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Tags that an implied end doesn't reach beyond.
-FENCE = frozenset("table ul ol dl div section article body main td th blockquote".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:_-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-PUNCTUATION = re.compile(r"[.,;:!?…。，！？،।]")
+PASSED = RAW | frozenset("button select canvas".split())
+IN_HEAD = RAW | frozenset("base link meta".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Tags that hold text but aren't the container of an article.
-PROSE = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr th center".split())
+PROSE = HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr th td center".split())
+LISTS = frozenset("ul ol dl table figure".split())
+#: Open elements that a start tag ends, and those that such an end may reach over.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {h: {"p"} | HEADINGS for h in HEADINGS}
+BESIDE_P = INLINE | frozenset("td th li dt dd tr option".split())
+LOOSE = HEADINGS | frozenset("p li dt dd tr option".split())
+CELLS = frozenset(("td", "th"))
+
+#: Tags whose content is never article text. A form may hold the whole page.
+OUTSIDE = frozenset("head script style noscript template nav footer aside button select option input textarea iframe svg dialog menu object canvas".split())
+ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar".split())
+#: Words of classes and ids that mark such parts, those that mark what readers wrote, and words that may stand with them.
+PARTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs nav navbar navigation menu footer toolbar pagination pager search skip copyright".split())
+REPLIES = frozenset("comment comments commentlist respond disqus replies reply".split())
+HEADERS = frozenset("header masthead topbar banner".split())
+PLAIN = frozenset("area bar block bottom box button buttons container content first form group holder inner item items last left link links list main mobile page panel post posts primary right row secondary section side site slot small text thread title top unit wrap wrapper".split())
+
+TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"  # a comment
+    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
+    r"|<(?:[!?]|/[^A-Za-z])[^>]*+(?:>|\Z)"  # a declaration or a malformed end
+    # a tag: its name, then attributes, where quotes count only behind an equals sign; and how it ends
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:_-]*+)(?P<attributes>(?:[^<>=]|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+)?+)*+)(?P<stop>>|\Z|(?=<))",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"([^\s/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']\S*)))?")
+PUNCTUATION = re.compile(r"[.,;:!?…。，！？،।]")
+#: Blocks on either side over which ratios are smoothed, and the share of the mean score that a chosen path needs.
+SMOOTH, THRESHOLD = 2, 0.4
+#: Paths of paragraphs with one mark a block and so many characters are chosen as well: sentences, as in an introduction.
+SENTENCE = 40
 #: Marks of sentences that make a text an article.
 SENTENCES = 3
-#: Blocks on either side over which ratios are smoothed, and the share of the mean ratio that a chosen path needs.
-SMOOTH, THRESHOLD = 2, 0.5
-
-
-def _marked(tag: str, attributes: str, path: list) -> int:
-    """0 for no mark, 1 for one that an element around the whole article may have by chance, 2 for one that stays."""
-    if tag in OUTSIDE:
-        return 1 if tag == "form" else 2
-    inside = any(x[0] in ("article", "main") for x in path)
-    if tag == "header" and not inside:
-        return 2
-    if tag in ("html", "body", "article", "main") or not attributes:
-        return 0
-    named = [w for m in NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()]
-    words = {x for w in named if STATES.isdisjoint(said := re.split(r"[^a-z0-9]+", w)) for x in said}
-    return 2 if words & REPLIES else 1 if words & PARTS or (not inside and words & HEADERS) else 0
 
+HARD, SOFT = 2, 1
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str]]:
-    """Path, whether it lies outside of articles by its marks, and text of every block, in page order."""
-    found, kinds = _read(page)
-    taken = _wrappers(found, kinds)
-    return [(p, any(x not in taken for x in marks), t) for p, marks, t, _ in found]
 
+@dataclass
+class Page:
+    """Elements, numbered as they begin (0 is the page), and blocks of text in page order."""
 
-def _wrappers(found: list, kinds: dict[int, int]) -> set[int]:
-    """Marked elements that are no part beside the article but hold it: more text than is unmarked, and the page's only
-    article or main; or, on pages without these, nearly all text, in sentences, where there are none outside of marks."""
-    taken: set[int] = set()
-    within: dict[int, list] = {}  # by element: characters, marks of sentences, articles
-    total = sum(len(t) for _, _, t, _ in found)
-    for _, marks, t, article in found:
-        if marks and all(kinds[x] == 1 for x in marks):
-            said = len(PUNCTUATION.findall(t))
-            for x in marks:
-                held = within.setdefault(x, [0, 0, set()])
-                held[0] += len(t)
-                held[1] += said
-                held[2] |= {article} - {0}
-    for x in sorted(within, key=lambda x: (-within[x][0], x)):
-        size, said, articles = within[x]
-        plain = [(t, article) for _, marks, t, article in found if all(m in taken for m in marks)]
-        if any(article for _, article in plain):
-            break
-        beside = sum(len(t) for t, _ in plain)
-        alone = 2 * size > total and said >= SENTENCES and 10 * beside < size and sum(len(PUNCTUATION.findall(t)) for t, _ in plain) < SENTENCES
-        if (len(articles) == 1 and size > beside) or alone:
-            taken.add(x)
-    return taken
-
-
-def _read(page: str) -> tuple[list[tuple[tuple[str, ...], tuple[int, ...], str, int]], dict[int, int]]:
-    """Path, marked elements around it, text, and outermost article or main (0: none) of every block, in page order;
-    and the kind of each marked element's mark."""
-    kinds: dict[int, int] = {}
-    opened = 0
-    out: list = []
-    path: list[tuple[str, str, tuple, int]] = []  # tag, its name in paths, elements marked here or above, article
+    tags: list[str] = field(default_factory=lambda: ["html"])
+    parents: list[int] = field(default_factory=lambda: [-1])
+    paths: list[int] = field(default_factory=lambda: [0])
+    #: The outermost article around the element, or else the innermost main.
+    articles: list[int] = field(default_factory=lambda: [0])
+    marks: list[int] = field(default_factory=lambda: [0])
+    blocks: list[tuple[int, str]] = field(default_factory=list)
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
+
+
+def _names(value: str, words: frozenset) -> bool:
+    """Whether some name consists of words that mark a part, and of such as may stand with them."""
+    for name in value.lower().split():
+        said = [x for x in re.split(r"[^a-z]+", name) if x]
+        if any(x in words for x in said) and all(x in words or x in PLAIN or x in PARTS for x in said):
+            return True
+    return False
+
+
+def _mark(tag: str, attributes: dict[str, str], article: int) -> int:
+    if tag in OUTSIDE or "hidden" in attributes or not ROLES.isdisjoint(attributes.get("role", "").lower().split()):
+        return HARD
+    if tag == "header" and not article:
+        return HARD
+    if tag == "form":
+        return SOFT
+    if tag in ("html", "body", "main") or (article and tag in PROSE and tag not in LISTS):
+        return 0
+    named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    if _names(named, REPLIES):
+        return HARD
+    if tag == "article":
+        return 0
+    return SOFT if _names(named, PARTS) or (not article and _names(named, HEADERS)) else 0
+
+
+def read(source: str) -> Page:
+    page, known = Page(), {}
+    stack: list[tuple[str, int]] = []  # open tags, each with its element, or that around it for inline tags
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
+    blocks: list[int] = []  # where in the stack tags are open that aren't inline
     text: list[str] = []
-    where: list = [None]
+    endless: set[str] = set()  # tags that have no end from here on
 
     def flush():
-        if text:
-            said = " ".join("".join(text).split())
-            if said:
-                out.append((*where[0][:2], said, where[0][2]))
-            text.clear()
-            where[0] = None
-
-    def add(raw: str, closed: bool = True):
-        if raw:
-            if not text or where[0] is None:
-                where[0] = (tuple(x[1] for x in path if x[0] not in INLINE), path[-1][2] if path else (), path[-1][3] if path else 0)
-            outside = path[-1][2] if path else ()
-            if len(outside) > len(where[0][1]):  # a marked inline part within a block
+        said = " ".join("".join(text).split())
+        if said:
+            page.blocks.append((stack[blocks[-1]][1] if blocks else 0, said))
+        text.clear()
+
+    def close(to: int):
+        while len(stack) > to:
+            tag, _ = stack.pop()
+            places[tag].pop()
+            if tag not in INLINE:
+                blocks.pop()
+
+    def start(tag: str, raw: str):
+        over = stack[-1][1] if stack else 0
+        if tag not in INLINE:
+            named = _attributes(raw)
+            article = page.articles[over]
+            page.marks.append(_mark(tag, named, article))
+            if tag in ("article", "main") and page.tags[article] != "article":
+                article = len(page.tags)
+            key = (page.paths[over], tag, " ".join(sorted(named.get("class", "").lower().split())))
+            page.paths.append(known.setdefault(key, len(known) + 1))
+            page.parents.append(over)
+            page.articles.append(article)
+            page.tags.append(tag)
+            over = len(page.tags) - 1
+            blocks.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, over))
+
+    def imply(tag: str):
+        """Ends what the start tag ends by itself."""
+        ends = CLOSES.get(tag) or ({"p"} if tag not in BESIDE_P else set())
+        for at in reversed(blocks):
+            if stack[at][0] in ends:
+                close(at)
+                return
+            if stack[at][0] not in LOOSE and not (tag == "tr" and stack[at][0] in CELLS):
                 return
-            if len(where[0][1]) > len(outside) and text and not "".join(text).strip():
-                text.clear()
-                where[0] = (tuple(x[1] for x in path if x[0] not in INLINE), outside, path[-1][3] if path else 0)
-            text.append(_html.unescape(raw))
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
+
+    at, size = 0, len(source)
+    while at < size:
+        m = TOKEN.search(source, at)
         if m is None:
-            add(page[at:])
+            text.append(_html.unescape(source[at:]))
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        tag, raw = (m["tag"] or "").lower(), m["attributes"] or ""
+        if tag and not m["stop"] and (m.end() < size or ("=" not in raw and raw.strip(" /"))):
+            text.append(_html.unescape(source[at : m.end()]))  # no tag, but text
+            at = m.end()
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag not in INLINE:
-                flush()
-            for i in range(len(path) - 1, -1, -1):
-                if path[i][0] == tag:
-                    del path[i:]
-                    break
-                if tag in INLINE and path[i][0] not in INLINE:
-                    break
-            if tag == "br":
-                text and text.append(" ")
+        if m.start() > at:
+            text.append(_html.unescape(source[at : m.start()]))
+        at = m.end()
+        if not tag:
             continue
+        flows = tag in INLINE or tag in PASSED or (tag in VOID and tag != "hr")
         if tag == "br":
-            text and text.append(" ")
-            continue
-        if tag not in INLINE:
-            flush()
-            if tag in CLOSES or tag not in VOID:
-                ends = CLOSES.get(tag, {"p"} if tag in FENCE or tag in ("h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "pre", "header", "footer", "nav", "aside", "form", "figure", "hr") else set())
-                for i in range(len(path) - 1, -1, -1):
-                    if path[i][0] in ends:
-                        del path[i:]
-                        break
-                    if path[i][0] in FENCE:
-                        break
-            if tag == "body":
-                path[:] = [x for x in path if x[0] == "html"]
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        opened += 1
-        marks, article = path[-1][2:] if path else ((), 0)
-        if kind := _marked(tag, m[3], path):
-            kinds[opened] = kind
-            marks = (*marks, opened)
-        if tag in ("article", "main"):
-            article = article or opened
-        if tag in RAW:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else end
-            continue
-        name = NAMES.search(m[3]) if tag not in INLINE else None
-        path.append((tag, f"{tag}.{(name[1] or name[2] or name[3] or '').lower()}" if name else tag, marks, article))
+            text.append(" ")
+        elif m["end"]:
+            if not flows:
+                flush()
+            where = places.get(tag)
+            if where and not (tag in INLINE and blocks and where[-1] < blocks[-1]):
+                close(where[-1])
+        elif tag in PASSED and not raw.endswith("/") and (tag in RAW or tag not in endless):
+            stop = None if tag in endless else re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            if stop is None:
+                endless.add(tag)
+            at = stop.end() if stop else size if tag in RAW else at
+        elif not (tag in ("html", "body") and places.get(tag)):
+            if not flows:
+                flush()
+                imply(tag)
+                if places.get("head") and tag not in IN_HEAD:
+                    close(places["head"][-1])
+            if tag not in VOID and not raw.endswith("/"):
+                start(tag, raw)
     flush()
-    return out, kinds
+    return page
+
+
+def outside(page: Page) -> list[bool]:
+    """By element: whether it lies in a part that isn't the article's.
+
+    Hard marks hold for all below. A soft mark doesn't if its element holds more text than is unmarked and the page's only
+    article or main; or, on pages without these, nearly all text, in sentences, where there are none outside of marks."""
+    n = len(page.tags)
+    hard, over = [False] * n, [n] * n  # over: the nearest softly marked element, n for none
+    for i in range(1, n):
+        p = page.parents[i]
+        hard[i] = hard[p] or page.marks[i] == HARD
+        over[i] = i if page.marks[i] == SOFT and not hard[i] else over[p]
+    size, said, articles = [0] * (n + 1), [0] * (n + 1), set()  # what each one holds, beside those within it
+    for i, t in page.blocks:
+        if not hard[i]:
+            size[over[i]] += len(t)
+            said[over[i]] += len(PUNCTUATION.findall(t))
+            articles |= {page.articles[i]} - {0}
+    below: dict[int, list[int]] = {}
+    whole, marks = list(size), list(said)
+    for i in range(n - 1, 0, -1):
+        if over[i] == i:
+            up = over[page.parents[i]]
+            below.setdefault(up, []).append(i)
+            if up < n:
+                whole[up] += whole[i]
+                marks[up] += marks[i]
+    around: set[int] = set()  # the only article
+    if len(articles) == 1:
+        i = over[next(iter(articles))]
+        while i < n:
+            around.add(i)
+            i = over[page.parents[i]]
+    taken: set[int] = set()
+    total, plain, sentences = sum(len(t) for _, t in page.blocks), size[n], said[n]
+    at = n
+    while nearest := below.get(at):
+        best = max(nearest, key=lambda i: (i in around, whole[i], -i))
+        holds = best in around and whole[best] > plain
+        alone = not articles and 2 * whole[best] > total and marks[best] >= SENTENCES and 10 * plain < whole[best] and sentences < SENTENCES
+        if not (holds or alone):
+            break
+        taken.add(best)
+        plain, sentences, at = plain + size[best], sentences + said[best], best
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[page.parents[i]] or page.marks[i] == HARD or (page.marks[i] == SOFT and i not in taken)
+    return out
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
     weights = np.exp(-0.5 * np.arange(-SMOOTH, SMOOTH + 1) ** 2)
-    around = np.convolve(np.ones(len(x)), weights)[SMOOTH : SMOOTH + len(x)]
-    return np.convolve(x, weights)[SMOOTH : SMOOTH + len(x)] / around
+    return np.convolve(x, weights)[SMOOTH : SMOOTH + len(x)] / np.convolve(np.ones(len(x)), weights)[SMOOTH : SMOOTH + len(x)]
+
 
+def chosen_paths(paths: list[int], texts: list[str], prose: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+    """Of blocks: whether each one's path is chosen, and its path's score.
 
-def path_scores(found: list) -> dict[tuple, float]:
-    """Fused ratio of every path: text length and punctuation by block, smoothed in page order."""
-    paths = [p for p, _, _ in found]
-    length = np.array([len(t) for _, _, t in found], float)
-    marks = np.array([len(PUNCTUATION.findall(t)) for _, _, t in found], float)
-    index = {p: i for i, p in enumerate(dict.fromkeys(paths))}
-    at = np.array([index[p] for p in paths])
+    A path's ratios are characters and punctuation marks by block. They are smoothed in page order, fused by their
+    geometric mean, and averaged over the path's blocks; the threshold is a share of the mean score of all characters."""
+    at = np.unique(np.array(paths), return_inverse=True)[1]
+    length, marks = np.array([len(t) for t in texts], float), np.array([len(PUNCTUATION.findall(t)) for t in texts], float)
     n = np.bincount(at)
-    tpr, ppr = (np.bincount(at, x) / n for x in (length, marks))
-    fused = np.sqrt(_smooth(tpr[at]) * (1 + _smooth(ppr[at]))) * np.sqrt(tpr[at] * (1 + ppr[at]))
+    text_ratio, mark_ratio = np.bincount(at, length) / n, np.bincount(at, marks) / n
+    fused = np.sqrt(_smooth(text_ratio[at]) * (1 + _smooth(mark_ratio[at])) * text_ratio[at] * (1 + mark_ratio[at])) ** 0.5
     score = np.bincount(at, fused) / n
-    return {p: float(score[i]) for p, i in index.items()}
+    least = THRESHOLD * (score[at] * length).sum() / length.sum()
+    sentences = (mark_ratio >= 1) & (text_ratio >= SENTENCE)
+    return (score[at] >= least) | (sentences[at] & np.array(prose)), score[at]
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by line feeds."""
-    found = blocks(page or "")
-    inside = [x for x in found if not x[1]]
-    if not inside:
+def main_text(source: str | None) -> str:
+    """The page's text, blocks joined by line feeds."""
+    page = read(source or "")
+    away = outside(page)
+    held = [(i, t) for i, t in page.blocks if not away[i]]
+    if not held:
         return ""
-    scores = path_scores(found)
-    weight: dict[tuple, int] = {}
-    for p, _, t in inside:
-        weight[p] = weight.get(p, 0) + len(t)
-    mean = sum(scores[p] * n for p, n in weight.items()) / sum(weight.values())
-    chosen = {p for p in weight if scores[p] >= THRESHOLD * mean}
-    # short paragraphs count as well if they're made of sentences, as an introduction beside a long body
-    said: dict[tuple, list] = {}
-    for p, _, t in inside:
-        if p and _tags(p)[-1] in ("p", "blockquote"):
-            said.setdefault(p, []).append(len(PUNCTUATION.findall(t)))
-    chosen |= {p for p, n in said.items() if sum(n) >= len(n)}
-    most = max(chosen, key=lambda p: (scores[p] * weight[p], p))
-    if article := _article(most):
-        # articles that hold chosen paths, and those in the same place of the page
-        boxes, place = {_article(p) for p in chosen}, _tags(article)
-        return "\n".join(t for p, _, t in inside if (own := _article(p)) and (own in boxes or _tags(own) == place))
-    # the container: what all chosen paths share
-    box = _container(chosen)
-    branches = {p[: len(box) + 1] for p in chosen}
-    if (box and _tags(box)[-1] not in ("html", "body")) or any(len(p) <= len(box) or _tags(p)[len(box)] in PROSE for p in branches):
-        return "\n".join(t for p, _, t in inside if p[: len(box)] == box)
-    # no container but the page: from the first to the last of its parts that hold chosen paths, and headings before
-    at = [i for i, (p, _, _) in enumerate(inside) if p[: len(box) + 1] in branches]
-    first = at[0]
-    while first and inside[first - 1][0] and _tags(inside[first - 1][0])[-1] in HEADINGS:
-        first -= 1
-    return "\n".join(t for _, _, t in inside[first : at[-1] + 1])
-
-
-def _tags(path: tuple) -> tuple:
-    return tuple(x.split(".")[0] for x in path)
-
-
-def _article(path: tuple) -> tuple:
-    """The path's outermost article, or else its innermost main; empty where there is none."""
-    tags = _tags(path)
-    if "article" in tags:
-        return path[: tags.index("article") + 1]
-    return path[: len(tags) - tags[::-1].index("main")] if "main" in tags else ()
-
-
-def _container(chosen: set[tuple]) -> tuple:
-    """The innermost element around all chosen paths that isn't itself a paragraph, list, quotation or part of a table."""
-    box = min(chosen)
-    for p in chosen:
-        while p[: len(box)] != box:
-            box = box[:-1]
-    while box and _tags(box)[-1] in PROSE:
-        box = box[:-1]
-    return box
+    own = [page.tags[i] in ("p", "blockquote") for i, _ in held]
+    chosen, score = chosen_paths([page.paths[i] for i, _ in held], [t for _, t in held], own)
+    weight = score * np.array([len(t) for _, t in held]) * chosen
+    article = np.array([page.articles[i] for i, _ in held])
+    if weight[article > 0].sum() >= weight[article == 0].sum():
+        boxes = set(article[chosen & (article > 0)].tolist())
+        return "\n".join(t for (_, t), a in zip(held, article.tolist()) if a in boxes)
+    # content nodes: what directly holds chosen blocks. All blocks between two of these lie below the node
+    box = [0] * len(page.tags)  # the nearest element that isn't a paragraph, list, quotation or part of a table
+    for i in range(1, len(box)):
+        box[i] = box[page.parents[i]] if page.tags[i] in PROSE else i
+    at = np.array([box[i] for i, _ in held])
+    nodes = np.flatnonzero(chosen)
+    first, last = dict(zip(at[nodes[::-1]].tolist(), nodes[::-1].tolist())), dict(zip(at[nodes].tolist(), nodes.tolist()))
+    cover = np.zeros(len(held) + 1, int)
+    for b in first:
+        if page.tags[b] not in ("html", "body"):
+            cover[first[b]] += 1
+            cover[last[b]] -= 1
+    kept = chosen | (np.cumsum(cover[:-1]) > 0) | np.isin(at, list(first))
+    for k in range(len(held) - 2, -1, -1):
+        kept[k] |= kept[k + 1] and page.tags[held[k][0]] in HEADINGS
+    return "\n".join(t for (_, t), k in zip(held, kept) if k)
 
 
 def extract(pages: DataFrame, *keep: str, html: str = "html") -> DataFrame:

@@ -149,6 +149,108 @@ def test_html_extract_reads_marked_wrappers():
     assert page("<form class=login>Name and password <button>Send</button></form>") == page("<div class=cookie-notice>We use cookies.</div>") == ""
 
 
+def random_page(r):
+    """A tree of (tag, class, children or text): pages without article, marked parts included."""
+
+    def words(n):
+        return " ".join(r.choice(["alpha", "beta,", "gamma.", "delta", "eps;"]) for _ in range(n))
+
+    def grow(depth):
+        out = []
+        for _ in range(r.randrange(1, 5)):
+            kind = r.choice(["p", "p", "p", "h2", "ul", "div", "div", "section"])
+            if kind in ("div", "section") and depth < 4:
+                out.append((kind, r.choice(["", "", "body", "intro", "links", "ad", "site-nav", "comments", "has-sidebar"]), grow(depth + 1)))
+            elif kind == "ul":
+                out.append((kind, "", [("li", "", words(r.choice([1, 3, 20]))) for _ in range(r.randrange(1, 5))]))
+            elif kind in ("p", "h2"):
+                out.append((kind, "", words(r.choice([1, 4, 30, 80]) if kind == "p" else 3)))
+        return out
+
+    return ("body", "", [*grow(0), ("p", "", "One. Two. Three. Four.")])  # sentences outside of marks: no marked part holds the text
+
+
+def brute_text(tree):
+    """The definition over whole paths and all pairs of blocks."""
+    found = []  # path of (number, tag, class), text
+
+    def walk(node, above, number=[0]):
+        number[0] += 1
+        path = (*above, (number[0], node[0], node[1]))
+        for child in [] if isinstance(node[2], str) else node[2]:
+            walk(child, path)
+        if isinstance(node[2], str) and node[2]:
+            found.append((path, node[2]))
+
+    walk(tree, ())
+    found = [(p, t) for p, t in found if not any(c in ("ad", "site-nav", "comments") for _, _, c in p)]
+    if not found:
+        return ""
+    names = [tuple(x[1:] for x in p) for p, _ in found]
+    marks = [len(re.findall("[.,;:!?]", t)) for _, t in found]
+    mean = lambda xs, name: sum(x for x, n in zip(xs, names) if n == name) / names.count(name)
+    ratios = [(mean([len(t) for _, t in found], n), mean(marks, n)) for n in names]
+
+    def smooth(k, i):
+        near = [(np.exp(-0.5 * (j - i) ** 2), ratios[j][k]) for j in range(max(0, i - 2), min(len(names), i + 3))]
+        return sum(w * x for w, x in near) / sum(w for w, _ in near)
+
+    fused = [(smooth(0, i) * (1 + smooth(1, i)) * t * (1 + m)) ** 0.25 for i, (t, m) in enumerate(ratios)]
+    score = [mean(fused, n) for n in names]
+    least = html_extract.THRESHOLD * sum(s * len(t) for s, (_, t) in zip(score, found)) / sum(len(t) for _, t in found)
+    chosen = [s >= least or (n[-1][0] == "p" and m >= 1 and t >= html_extract.SENTENCE) for s, n, (t, m) in zip(score, names, ratios)]
+    box = [[x for x in p if x[1] not in html_extract.PROSE][-1] for p, _ in found]
+    kept = list(chosen)
+    for i in range(len(found)):
+        for j in range(len(found)):
+            kept[i] |= chosen[j] and box[i] == box[j]
+            kept[i] |= any(chosen[j] and chosen[k] and box[j] == box[k] and j < i < k and box[j][1] != "body" for k in range(len(found)))
+    for i in range(len(found) - 2, -1, -1):
+        kept[i] |= kept[i + 1] and found[i][0][-1][1] == "h2"
+    return "\n".join(t for (_, t), k in zip(found, kept) if k)
+
+
+def test_html_extract_by_brute_force():
+    import random
+
+    def written(node):
+        inside = node[2] if isinstance(node[2], str) else "".join(map(written, node[2]))
+        return f"<{node[0]} class='{node[1]}'>{inside}</{node[0]}>"
+
+    r = random.Random(8)
+    checked = 0
+    for _ in range(400):
+        tree = random_page(r)
+        text = brute_text(tree)
+        assert html_extract.main_text(f"<html>{written(tree)}</html>") == text
+        checked += len(text) > 200
+    assert checked > 200
+
+
+def test_html_extract_loses_no_text():
+    text = "Some words, and more. " * 10
+    inside = [f"<p id='search-for-truth'>{text}</p>", f"<h2 id='comments-on-method'>{text}</h2>", f"<p data-id='ad-3'>{text}</p>", f"<p title=don't>It's lost. {text}</p>", f"<p>{text}</p>"]
+    plain = [" ".join(re.sub("<[^>]*>", "", x).split()) for x in inside]
+    assert html_extract.main_text(f"<nav>x</nav><article>{''.join(inside)}</article>") == "\n".join(plain)
+    assert html_extract.main_text(f"<nav>x</nav><div>{''.join(inside)}</div>") == "\n".join(plain)
+    assert html_extract.main_text("<article><p>a <b and it's fine then.</p><p>More.</p></article>") == "a <b and it's fine then.\nMore."
+    assert html_extract.main_text("<div><p>Only one paragraph, in here.</p></div><div><p>And another one, in there.</p></div>") == "Only one paragraph, in here.\nAnd another one, in there."
+    assert html_extract.main_text("<p>one <script>x</script> two <button>b</button> three</p>") == "one two three"
+    assert html_extract.main_text("<pre>a <span class='token comment'># b</span></pre>") == "a # b"
+
+
+def test_html_extract_takes_linear_time():
+    import time
+
+    n = 20_000
+    pages = ["<div>word, and. " * n, "".join(f"<p id=p{i}>word, and so on. </p>" for i in range(n)), "".join(f"<p class=p{i}>word, and so on. </p>" for i in range(n)), "<span>" * n + "<p>x</p>" * n, "<i><p>" + "<b>" * n + "</i>" * n, '<a b="<a "' * n, "<h1>" * n + "x", "<button>x" * n, "<div class=ad>x." * n, "<form>x, y. " * n, "<a =" * n]
+    for page in pages:
+        at = time.time()
+        html_extract.main_text(page)
+        assert time.time() - at < 6, page[:40]
+    assert html_extract.main_text(pages[0]).count("\n") == n - 1 == html_extract.main_text(pages[2]).count("\n")
+
+
 @pytest.fixture(scope="module")
 def reference():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
