@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,48 +23,59 @@ def to_ascii(text: str) -> str:
     return "".join(str(d) if (d := unicodedata.decimal(c, None)) is not None else c for c in text)
 
 
-def spans(text: str, glossary: dict[str, str]) -> list[tuple[int, int, str, str, bool]]:
-    """start, end, original, replacement and whether it goes behind a placeholder: the earliest, then the longest."""
-    found = [(m.start(), m.end(), m[0], m[0], True) for m in ADDRESS.finditer(text)]
-    found += [(m.start(), m.end(), m[0], to_ascii(m[0]), sum(c.isdigit() for c in m[0]) >= LONG_NUMBER) for m in NUMBER.finditer(text)]
-    for term in sorted(filter(None, glossary), key=len, reverse=True):
-        found += [(m.start(), m.end(), m[0], glossary[term], True) for m in re.finditer(re.escape(term), text, re.IGNORECASE)]
-    found.sort(key=lambda x: (x[0], x[0] - x[1]))
-    return greedy(found)
+class Rule(NamedTuple):
+    """What must survive: a pattern, what is written for a match, and whether that goes behind a placeholder."""
 
+    pattern: re.Pattern
+    written: Callable[[str], str]
+    hidden: Callable[[str], bool]
 
-def greedy(found: list[tuple]) -> list[tuple]:
-    out: list[tuple] = []
-    for x in found:
-        if not out or x[0] >= out[-1][1]:
-            out.append(x)
-    return out
+
+def _always(_: str) -> bool:
+    return True
+
+
+RULES = (
+    Rule(ADDRESS, str, _always),
+    Rule(NUMBER, to_ascii, lambda said: sum(map(str.isdigit, said)) >= LONG_NUMBER),
+)
+
+
+def rules(glossary: dict[str, str]) -> list[Rule]:
+    """The fixed rules and one for each term, longest terms first."""
+    terms = sorted(filter(None, glossary), key=len, reverse=True)
+    return [*RULES, *(Rule(re.compile(re.escape(t), re.IGNORECASE), lambda _, t=t: glossary[t], _always) for t in terms)]
+
+
+def chosen(text: str, by: list[Rule]) -> Iterator[tuple[Rule, re.Match]]:
+    """Matches that don't overlap: what begins first, then the longest, then that of the first rule."""
+    found = [(m.start(), -m.end(), k, m) for k, rule in enumerate(by) for m in rule.pattern.finditer(text)]
+    free = 0
+    for start, _, k, m in sorted(found, key=lambda x: x[:3]):
+        if start >= free:
+            free = m.end()
+            yield by[k], m
 
 
 def protect(text: str, glossary: dict[str, str] | None = None) -> tuple[str, dict[str, str], dict[str, str]]:
     """The text with placeholders, what each one stands for, and the terms that change."""
-    out, held, terms, at = [], {}, {}, 0
-    for start, end, said, other, hidden in spans(text, dict(glossary or {})):
-        put = other
-        if hidden:
-            put = f"<x{len(held)}>"
-            held[put] = other
-        if said != other:
-            terms[said] = other
-        out += [text[at:start], put]
-        at = end
-    return "".join([*out, text[at:]]), held, terms
+    parts = [(m.span(), m[0], rule.written(m[0]), rule.hidden(m[0])) for rule, m in chosen(text, rules(dict(glossary or {})))]
+    behind = [put for _, _, put, hidden in parts if hidden]
+    names = iter([f"<x{i}>" for i in range(len(behind))])
+    ends = [0, *(end for (_, end), *_ in parts)]
+    out = [text[a:start] + (next(names) if hidden else put) for a, ((start, _), _, put, hidden) in zip(ends, parts)]
+    return "".join(out) + text[ends[-1] :], {f"<x{i}>": put for i, put in enumerate(behind)}, {said: put for _, said, put, _ in parts if said != put}
 
 
 def restore(text: str, held: dict[str, str]) -> tuple[str, list[str]]:
     """The text with its values back, and what is missing. A placeholder is known without brackets and with spaces,
     so x1 is also found at the start of x10."""
-    issues = []
+    missing = []
     for name, value in held.items():
-        text, n = re.subn(rf"(?:<\s*)?x\s*{name[2:-1]}(?:\s*>)?", lambda _: value, text, flags=re.IGNORECASE)
-        if not n:
-            issues.append(f"missing protected value: {value}")
-    return text, issues
+        around = re.split(rf"(?i:(?:<\s*)?x\s*{name[2:-1]}(?:\s*>)?)", text)
+        missing += [f"missing protected value: {value}"] * (len(around) == 1)
+        text = value.join(around)
+    return text, missing
 
 
 KIND = "struct<text:string,replacements:map<string,string>,terms:map<string,string>>"

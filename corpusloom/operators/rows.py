@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from itertools import pairwise
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,3 +16,12 @@ def arrow(fn: Callable, kind: str) -> Callable[..., Column]:
         return None if first is None else fn(first, *rest)
 
     return F.udf(guarded, kind, useArrow=True)
+
+
+def packed(units: Sequence[str], limit: int, count: Callable[[str], int], glue: str = "") -> list[str]:
+    """Consecutive units, as many in each string as the limit allows; a unit over the limit stands alone."""
+    starts = [0]
+    for i in range(1, len(units)):
+        if count(glue.join(units[starts[-1] : i + 1])) > limit:
+            starts.append(i)
+    return [glue.join(units[a:b]) for a, b in pairwise([*starts, len(units)])] if units else []

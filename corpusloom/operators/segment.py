@@ -7,51 +7,39 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.rows import arrow
+from corpusloom.operators.rows import arrow, packed
 
-# Line ends, and the places between sentences.
-_LINES = re.compile(r"(\r\n|\r|\n)")
+# Blanks around a line, line ends, and the places between sentences.
+_LINE = re.compile(r"([ \t\f\v]*+)((?:[^\r\n]*[^ \t\f\v\r\n])?)([ \t\f\v]*)(\r\n|\r|\n|\Z)")
 _ENDS = re.compile(r"(?<=[.!?。！？।])(?:\s+|(?=\S))")
-_BLANKS = " \t\f\v"
+#: Tokens of a piece at least, whatever limit is asked for.
+LEAST = 8
 
 
 def pieces_of(sentence: str, limit: int, count=lambda x: len(x.split())) -> list[str]:
-    """Pieces of at most max(8, limit) tokens; a single word is cut by characters."""
-    limit = max(8, limit)
-    if count(sentence) <= limit:
+    """Pieces of at most max(LEAST, limit) tokens; a single word is cut by characters."""
+    if count(sentence) <= max(LEAST, limit):
         return [sentence]
-    units, glue = sentence.split(), " "
-    if len(units) == 1:
-        units, glue = list(sentence), ""
-    out, held = [], []
-    for unit in units:
-        if held and count(glue.join([*held, unit])) > limit:
-            out.append(glue.join(held))
-            held = []
-        held.append(unit)
-    return [*out, glue.join(held)] if held else out
+    words = sentence.split()
+    return packed(words, max(LEAST, limit), count, " ") if len(words) > 1 else packed(sentence, max(LEAST, limit), count)
 
 
 def segments(text: str, limit: int = 256, count=lambda x: len(x.split()), sentences=_ENDS.split) -> list[tuple[str, str, str]]:
     """prefix, text and separator of each piece. Line ends and blank lines hang on the piece before them, or on the
     first one's prefix; sentences of a line are parted by one space. `count` and `sentences` may be a model's."""
-    out: list[list[str]] = []
-    lead = ""
-    if not text.strip():
-        return []
-    for line in _LINES.split(text):
-        if not line.strip():
-            if out:
-                out[-1][2] += line
-            else:
-                lead += line
-            continue
-        left, right = len(line) - len(line.lstrip(_BLANKS)), len(line.rstrip(_BLANKS))
-        inner = [p for s in sentences(line[left:right]) if s.strip() for p in pieces_of(s.strip(), limit, count)]
-        for i, piece in enumerate(inner):
-            out.append([lead + line[:left] if i == 0 else "", piece, " " if i < len(inner) - 1 else line[right:]])
-        lead = ""
-    return [tuple(x) for x in out]
+    prefixes, pieces, separators = [""], [], []  # the last prefix waits for its piece
+    for indent, body, rest, end in _LINE.findall(text):
+        said = [p for s in map(str.strip, sentences(body)) if s for p in pieces_of(s, limit, count)]
+        if said:
+            prefixes[-1] += indent
+            prefixes += [""] * len(said)
+            pieces += said
+            separators += [" "] * (len(said) - 1) + [rest + end]
+        elif separators:
+            separators[-1] += indent + body + rest + end
+        else:
+            prefixes[-1] += indent + body + rest + end
+    return list(zip(prefixes, pieces, separators))
 
 
 KIND = "array<struct<prefix:string,text:string,separator:string>>"
