@@ -282,9 +282,29 @@ def byline_like(text: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A key that sorts embedded numbers by value: runs of digits are padded to 20."""
+    """A key that sorts embedded numbers by value: runs of digits, without leading zeros, follow their length."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.coalesce(F.nullif(F.regexp_replace(p, "^0+", ""), F.lit("")), F.lit("0")), 20, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), let(F.regexp_replace(p, "^0+(?=[0-9])", ""), lambda d: F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d))).otherwise(p)), "")
+
+
+#: Characters of an error that are kept: of an extraction, of a decision.
+ERROR_CHARS, DECISION_ERROR_CHARS = 4000, 1500
+
+
+def error_message(error: Column, most: int = ERROR_CHARS) -> Column:
+    return F.substring(error, 1, most)
+
+
+def run_counts(tokens: Column, name: str = "token") -> Column:
+    """Distinct tokens in order, each with its count n: equal ones are neighbours once sorted, so rows stay where they are."""
+
+    def counted(held):
+        s, starts = held["s"], held["starts"]
+        return F.transform(starts, lambda at, k: F.struct(F.get(s, at).alias(name), (F.coalesce(F.get(starts, k + 1), F.size(s)) - at).cast("long").alias("n")))
+
+    first = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    none = F.filter(F.transform(tokens, lambda t: F.struct(t.alias(name), F.lit(0).cast("long").alias("n"))), lambda _: F.lit(False))
+    return F.when(F.size(tokens) > 0, let(let(F.array_sort(tokens), lambda s: F.struct(s.alias("s"), first(s).alias("starts"))), counted)).otherwise(none)
 
 
 def cell_guard(value: Column) -> Column:
@@ -310,6 +330,11 @@ def crop_box(box: Column, width: Column, height: Column, padding: int = 2) -> Co
     return F.when((r > l) & (b > t), F.struct(l.alias("l"), t.alias("t"), r.cast("long").alias("r"), b.cast("long").alias("b")))
 
 
+def box_around(box: Column) -> list[Column]:
+    """The smallest box around a group's boxes, as aggregates l, t, r and b."""
+    return [f(box[k]).alias(k) for f, k in ((F.min, "l"), (F.min, "t"), (F.max, "r"), (F.max, "b"))]
+
+
 def union_box(boxes: Column) -> Column:
     """The smallest box around all boxes."""
     side = lambda f, k: f(F.transform(boxes, lambda b: b[k])).alias(k)

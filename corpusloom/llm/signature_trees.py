@@ -29,6 +29,8 @@ NGRAM, PERCENT = 3, 90
 #: Keys that one range holds, documents that one tree holds before its group is dealt into pieces, bits of a bitmap.
 RANGE_KEYS, TREE, BITS = 1 << 20, 1000, 4096
 PIVOTS = 16
+#: Tasks over which a group's rows are spread where they meet what is known of the group.
+SALTS = 64
 FANOUT = 8
 
 
@@ -339,8 +341,14 @@ def _tree_links(n: int, percent: int):
 def _send(key, docs, own):
     """The block's documents, once for each group that they're in."""
     if not docs.num_rows or not own.num_rows:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64())], names=["doc_id", "text", "group"])
-    return docs.select(["doc_id", "text"]).join(own.select(["d", "group"]), "doc_id", "d", "inner").combine_chunks().select(["doc_id", "text", "group"])
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.bool_())], names=["doc_id", "text", "group", "again"])
+    return docs.select(["doc_id", "text"]).join(own.select(["d", "group", "again"]), "doc_id", "d", "inner").combine_chunks().select(["doc_id", "text", "group", "again"])
+
+
+def _known(rows: DataFrame, few: DataFrame, key: str, doc: str) -> DataFrame:
+    """rows with the columns of few, one row for each key; null where there's none. No key's rows are one task."""
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.expr(f"cast(pmod(xxhash64({doc}, 5), {SALTS}) as int)")).join(salted, [key, "_salt"], "left").drop("_salt")
 
 
 def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TREE) -> DataFrame:
@@ -370,29 +378,34 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
     # groups that may hold links, by join class; the tree's task gets their texts
     node = lambda x: F.struct("c", F.col(x).alias("id"))
     maybe = components(agreed.select(node("hub").alias("src"), node("doc").alias("dst")))
-    sizes = maybe.groupBy("label").agg(F.count("*").alias("size"))
-    grouped = cut_lineage(maybe.join(sizes, "label").select(F.col("node.id").alias("doc_id"), F.xxhash64("label").alias("group"), "size"))
+    sizes = maybe.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > tree)
+    grouped = cut_lineage(_known(maybe, sizes, "label", "node.id").select(F.col("node.id").alias("doc_id"), F.xxhash64("label").alias("group"), "size"))
     drop(agreed)
-    large = grouped.where(F.col("size") > tree)
+    large = grouped.where("size IS NOT NULL")
     pieces = lambda: F.expr(f"cast(ceil(size / {tree / 2}) as int)")
     piece = lambda: F.expr(f"cast(pmod(xxhash64(doc_id, 7), ceil(size / {tree / 2})) as int)")
     # a large group's pieces share a few documents, which connect most of what is linked
     rank = Window.partitionBy("group", "piece").orderBy("mark")
     few = large.withColumn("piece", piece()).withColumn("mark", F.xxhash64("doc_id", F.lit(3))).withColumn("k", F.row_number().over(rank)).where("k <= 2").withColumn("k", F.row_number().over(Window.partitionBy("group").orderBy("mark"))).where(F.col("k") <= PIVOTS)
-    tasks = grouped.where(F.col("size") <= tree).select("doc_id", F.col("group"), F.lit(0).alias("piece"), "size")
+    tasks = grouped.where("size IS NULL").select("doc_id", "group", F.lit(0).alias("piece"), F.lit(False).alias("again"))
     some = not large.isEmpty()
     if some:
-        tasks = tasks.unionByName(large.select("doc_id", "group", piece().alias("piece"), "size")).unionByName(few.select("doc_id", "group", F.explode(F.sequence(F.lit(0), pieces() - 1)).alias("piece"), "size")).distinct()
-    links = cut_lineage(_run_trees(rows, tasks, n, percent, n_blocks))
+        own = large.select("doc_id", "group", piece().alias("piece"), F.lit(True).alias("again"))
+        shared = few.select("doc_id", "group", F.explode(F.sequence(F.lit(0), pieces() - 1)).alias("piece"), F.lit(False).alias("again"))
+        tasks = tasks.unionByName(own.unionByName(shared).groupBy("doc_id", "group", "piece").agg(F.max("again").alias("again")))
+    sent = _sent(rows, tasks, n_blocks)
+    if some:
+        sent = cut_lineage(sent)
+    links = cut_lineage(_run_trees(sent, n, percent))
     if some:
         # what the pieces left apart from the bulk of its group is compared with all of the group
         first = components(links)
         named = large.join(first, F.col("doc_id") == F.col("node"), "left").select("doc_id", "group", "size", F.coalesce("label", "doc_id").alias("label"))
         counts = named.groupBy("group", "label").agg(F.count("*").alias("m"))
-        bulk = counts.groupBy("group").agg(F.max(F.struct("m", "label")).alias("b")).select(F.col("group").alias("g"), F.col("b.label").alias("bulk"))
-        split = cut_lineage(named.join(bulk, F.col("group") == F.col("g")).select("doc_id", "group", (F.col("label") != F.col("bulk")).alias("apart")))
-        every = cut_lineage(links.unionByName(_run_trees(rows, _paired(split, tree), n, percent, n_blocks, alone=True)))
-        drop(links, split)
+        bulk = counts.groupBy("group").agg(F.max(F.struct("m", "label"))["label"].alias("bulk"))
+        split = cut_lineage(_known(named, bulk, "group", "doc_id").select("doc_id", "group", (F.col("label") != F.col("bulk")).alias("apart")))
+        every = cut_lineage(links.unionByName(_run_trees(_sent_again(sent, _paired(split, tree)), n, percent)))
+        drop(links, split, sent)
         links = every
     drop(grouped)
     found = components(links)
@@ -408,20 +421,27 @@ def _paired(docs: DataFrame, tree: int) -> DataFrame:
     docs: doc_id, group, apart. Both kinds are dealt into pieces of half a tree, those apart first; each pair of pieces
     of which one at least is apart is a task."""
     sizes = docs.groupBy("group").agg(*[F.ceil(F.count_if(c) / (tree / 2)).cast("int").alias(n) for n, c in (("m", F.col("apart")), ("k", ~F.col("apart")))]).where("m > 0")
-    at = docs.join(sizes, "group").withColumn("p", F.expr("cast(if(apart, pmod(xxhash64(doc_id, 11), m), m + pmod(xxhash64(doc_id, 11), k)) as int)"))
+    at = _known(docs, sizes, "group", "doc_id").where("m > 0").withColumn("p", F.expr("cast(if(apart, pmod(xxhash64(doc_id, 11), m), m + pmod(xxhash64(doc_id, 11), k)) as int)"))
     others = F.expr("if(apart, filter(sequence(0, m + k - 1), q -> q <> p), sequence(0, m - 1))")
     pair = at.select("doc_id", "group", "p", F.explode(others).alias("q"))
     return pair.select("doc_id", "group", F.struct(F.least("p", "q").alias("one"), F.greatest("p", "q").alias("two")).alias("piece"))
 
 
-def _run_trees(rows: DataFrame, tasks: DataFrame, n: int, percent: int, n_blocks: int, alone: bool = False) -> DataFrame:
-    """tasks: doc_id, group, piece. The texts go to the tasks. Small groups share one, unless each is to be alone: then
-    a document may be in many, and its copies are streamed."""
+def _sent(rows: DataFrame, tasks: DataFrame, n_blocks: int) -> DataFrame:
+    """Texts with their group and task, for tasks of doc_id, group, piece and again. Small groups share a task."""
     block = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {n_blocks}) as int)").alias("block")
-    own = tasks.select(F.col("doc_id").alias("d"), F.xxhash64("group", "piece").alias("group"), block("doc_id"))
+    own = tasks.select(F.col("doc_id").alias("d"), F.xxhash64("group", "piece").alias("group"), "again", block("doc_id"))
     named = rows.where("doc_id IS NOT NULL").select("doc_id", "text", block("doc_id"))
-    if alone:
-        sent = named.join(own.hint("merge"), F.col("doc_id") == F.col("d")).select("doc_id", "text", "group", F.col("group").alias("task"))
-    else:
-        sent = named.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(tidied(_send), "doc_id long, text string, group long").withColumn("task", F.expr(f"pmod(xxhash64(group, 9), {4 * n_blocks})"))
+    sent = named.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(tidied(_send), "doc_id long, text string, group long, again boolean")
+    return sent.withColumn("task", F.expr(f"pmod(xxhash64(group, 9), {4 * n_blocks})"))
+
+
+def _sent_again(sent: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Texts of large groups, sent to further tasks; each one is a task alone."""
+    own = tasks.select(F.col("doc_id").alias("d"), F.xxhash64("group", "piece").alias("group"))
+    return sent.where("again").select("doc_id", "text").join(own, F.col("doc_id") == F.col("d")).select("doc_id", "text", "group", F.col("group").alias("task"))
+
+
+def _run_trees(sent: DataFrame, n: int, percent: int) -> DataFrame:
+    """src and dst: the links that the trees find, as stars."""
     return sent.groupBy("task").applyInArrow(tidied(_tree_links(n, percent)), "src long, dst long")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clamp, lookup
+from corpusloom.plans.storage import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -48,12 +49,19 @@ def source_quality(dimensions: dict[str, Column], policy: Policy = Policy()) ->
     return F.when(zero, 0.0).otherwise(F.exp(total))
 
 
-def evidence_factors(decisions: DataFrame, evidence: DataFrame, ids: str, policy: Policy = Policy()) -> DataFrame:
-    """fact, source, factor and classes: the strongest verified evidence among the ids; 0 without any."""
-    each = decisions.select("fact", "source", F.explode(F.array_distinct(ids)).alias("id"))
+def _sides(support: Column, against: Column) -> Column:
+    """Ids of both kinds with is_up, which tells the supporting ones."""
+    return F.concat(F.transform(support, lambda i: F.struct(i.alias("id"), F.lit(True).alias("is_up"))), F.transform(against, lambda i: F.struct(i.alias("id"), F.lit(False).alias("is_up"))))
+
+
+def evidence_factors(decisions: DataFrame, evidence: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """fact, source, up, down and classes: the strongest verified evidence among a decision's supporting and contradicting
+    ids, and the classes of the supporting ones; null without any. One pass over both kinds of ids."""
+    each = decisions.select("fact", "source", F.explode(_sides(F.array_distinct("support_ids"), F.array_distinct("contradiction_ids"))).alias("e")).select("fact", "source", "e.*")
     kind = F.when(F.col("evidence_class").isin(*policy.multipliers), F.col("evidence_class")).otherwise("E7")
-    facts = evidence.where("verified").select("id", kind.alias("kind"), (lookup(kind, {k: str(v) for k, v in policy.multipliers.items()}).cast("double") * clamp(F.col("confidence"))).alias("f"))
-    return each.join(facts, "id").groupBy("fact", "source").agg(F.max("f").alias("factor"), F.array_sort(F.collect_set("kind")).alias("classes"))
+    known = evidence.where("verified").select("id", kind.alias("kind"), (lookup(kind, {k: str(v) for k, v in policy.multipliers.items()}).cast("double") * clamp(F.col("confidence"))).alias("f"))
+    of = lambda up, c: F.when(F.col("is_up") == up, F.col(c))
+    return each.join(known, "id").groupBy("fact", "source").agg(F.max(of(True, "f")).alias("up"), F.max(of(False, "f")).alias("down"), F.array_sort(F.collect_set(of(True, "kind"))).alias("classes"))
 
 
 def strengths(stance: Column, contradiction_type: Column, policy: Policy = Policy()) -> tuple[Column, Column]:
@@ -66,11 +74,10 @@ def strengths(stance: Column, contradiction_type: Column, policy: Policy = Polic
 
 def contributions(decisions: DataFrame, evidence: DataFrame, sources: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Every decision with cluster, q, support and against: quality x evidence x confidence x strength."""
-    up = evidence_factors(decisions, evidence, "support_ids", policy).select("fact", "source", F.col("factor").alias("up"), "classes")
-    down = evidence_factors(decisions, evidence, "contradiction_ids", policy).select("fact", "source", F.col("factor").alias("down"))
+    factors = evidence_factors(decisions, evidence, policy)
     s, a = strengths(F.col("stance"), F.col("contradiction_type"), policy)
     weight = F.col("q") * clamp(F.col("confidence"))
-    rows = decisions.join(sources.select("source", "cluster", "q"), "source").join(up, ["fact", "source"], "left").join(down, ["fact", "source"], "left")
+    rows = decisions.join(sources.select("source", "cluster", "q"), "source").join(factors, ["fact", "source"], "left")
     return rows.withColumn("support", weight * F.coalesce("up", F.lit(0.0)) * s).withColumn("against", weight * F.coalesce("down", F.lit(0.0)) * a).withColumn("classes", F.coalesce("classes", F.array().cast("array<string>")))
 
 
@@ -150,8 +157,8 @@ def total_cluster_quality(sources: DataFrame) -> DataFrame:
 
 
 def score_facts(facts: DataFrame, decisions: DataFrame, evidence: DataFrame, sources: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    total = float(total_cluster_quality(sources).first()["total"])
-    return scores(facts, cluster_masses(contributions(decisions, evidence, sources, policy)), F.lit(total), policy)
+    total = F.broadcast(total_cluster_quality(sources))  # one row
+    return scores(facts.crossJoin(total), cluster_masses(contributions(decisions, evidence, sources, policy)), F.col("total"), policy).drop("total")
 
 
 def incomplete(facts: DataFrame, sources: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -198,14 +205,16 @@ def consistent_coverage(stance: Column, coverage: Column) -> Column:
 def ledger_order(rows: DataFrame, text: str = "claim") -> DataFrame:
     """Adds label, F and six digits, in the ledger's order: by grade, then strength, then text.
 
-    Rows are numbered in two levels, by grade and strength range and then inside, so that no task sorts all of them."""
+    Rows are sorted by ranges of all three, so equal grades and strengths are no hot spot, and written; a row's position
+    is its place in its range and the rows of the ranges before, of which there is one number each."""
     rank = F.when(F.col("grade").isin(*RANKED), F.array_position(F.array(*[F.lit(x) for x in RANKED]), F.col("grade")) - 1).otherwise(4)
-    keyed = rows.withColumn("_rank", rank).withColumn("_part", F.lit(99) - F.least(F.lit(99), F.floor("evidence_strength")).cast("int"))
-    parts = keyed.groupBy("_rank", "_part").agg(F.count("*").alias("_n"))
-    before = parts.select(F.col("_rank").alias("_r"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_rank", "_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_rank", "_part").orderBy(F.desc("evidence_strength"), text))
-    placed = keyed.withColumn("_in", inside).join(F.broadcast(before), (F.col("_rank") == F.col("_r")) & (F.col("_part") == F.col("_p")))  # at most 500 rows
-    return placed.withColumn("position", (F.col("_before") + F.col("_in")).cast("long")).withColumn("label", F.concat(F.lit("F"), F.lpad(F.col("position").cast("string"), 6, "0"))).drop("_rank", "_part", "_r", "_p", "_before", "_in")
+    ordered = cut_lineage(rows.withColumn("_rank", rank).orderBy("_rank", F.desc("evidence_strength"), text).drop("_rank").withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    position = (F.col("_before") + F.col("_id") - F.shiftleft("_part", 33) + 1).cast("long")
+    placed = ordered.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("position", position)  # a row for each range
+    return placed.withColumn("label", F.concat(F.lit("F"), F.format_string("%06d", "position"))).drop("_id", "_part", "_before")
 
 
 BUCKETS = ("explicit_support", "implicit_support", "explicit_contradiction", "mixed", "covered_but_silent", "not_covered")
@@ -226,10 +235,91 @@ def grade_histogram(scored: DataFrame) -> DataFrame:
     return scored.groupBy("grade").agg(F.count("*").alias("n"))
 
 
+# The export's columns with their names there, and the rows of its methodology.
+LEDGER = {
+    "label": "Fact ID",
+    "event": "Event",
+    "taxonomy": "Taxonomy",
+    "claim": "Canonical atomic claim",
+    "claim_type": "Claim type",
+    "source_date": "Source date",
+    "normalized_date": "Normalized date",
+    "calendar": "Calendar",
+    "location": "Location",
+    "grade": "Classification",
+    "confidence_tier": "Confidence tier",
+    "research_index": "Evidence direction index",
+    "strength_pct": "Evidence strength %",
+    "coverage_pct": "Coverage %",
+    "conflict_pct": "Conflict index %",
+    "independent_support_count": "Independent support",
+    "dependent_support_count": "Dependent support",
+    "primary_document_count": "Supporting E1 documents",
+    "eyewitness_count": "Supporting E2 eyewitnesses",
+    "scholarly_count": "Supporting E4 scholarship",
+    "serious_contradiction_count": "Serious D1 contradictions",
+    "explicit_support": "Explicit support",
+    "implicit_support": "Implicit support",
+    "explicit_contradiction": "Contradiction/discrepancy",
+    "mixed": "Mixed",
+    "covered_but_silent": "Covered but silent",
+    "not_covered": "Not covered",
+}
+EVIDENCE = {
+    "label": "Fact ID",
+    "fact": "Database ID",
+    "claim": "Canonical claim",
+    "source": "Source ID",
+    "title": "Source title",
+    "cluster": "Independence cluster",
+    "q": "Source quality q_i",
+    "coverage": "Coverage",
+    "stance": "Stance",
+    "contradiction_type": "Disagreement type",
+    "confidence": "Alignment confidence",
+    "supporting": "Supporting evidence",
+    "contradicting": "Contradicting/discrepant evidence",
+    "rationale": "Rationale",
+    "chronology_notes": "Chronology notes",
+    "scope_notes": "Scope notes",
+}
+METHODOLOGY = {
+    "Research index": "I(F)=100(A−D)/(1+A+D), range −100 to +100; not truth probability.",
+    "Evidence strength": "E(F)=100(1−exp(−(A+D))); amount of weighted evidence.",
+    "Source quality": "Weighted geometric mean of six positive dimensions and bias safety.",
+    "Dependence": "Within each independence cluster only the strongest contribution per direction counts.",
+    "Stances": "+1 explicit, +0.5 implicit, 0 silence, −1.5 explicit D1 contradiction.",
+    "Disagreements": "D2–D9 remain visible but only D1 receives an automatic penalty.",
+    "Silence": "Covered-but-silent and not-covered are distinct; neither is contradiction.",
+    "Audit rule": "Every quoted passage is matched to extracted page text and carries PDF/printed pagination.",
+}
+
+
+def _or_empty(rows: DataFrame, *names: str) -> dict[str, Column]:
+    """The text columns by name; empty where the table hasn't got them or they're null."""
+    return {n: F.coalesce(F.col(n).cast("string"), F.lit("")) if n in rows.columns else F.lit("") for n in names}
+
+
 def ledger_rows(ordered: DataFrame, buckets: DataFrame) -> DataFrame:
-    """The export's rows; percentages are times 100, rounded to four places."""
-    percent = lambda c: F.round(F.col(c) * 100, 4)
-    return ordered.join(buckets, "fact", "left").select("label", "fact", "claim", "claim_type", "grade", "confidence_tier", F.round("research_index", 4).alias("research_index"), F.round("evidence_strength", 4).alias("strength_pct"), percent("evidence_coverage").alias("coverage_pct"), percent("conflict_index").alias("conflict_pct"), "independent_support_count", "dependent_support_count", "primary_document_count", "eyewitness_count", "scholarly_count", "serious_contradiction_count", *BUCKETS)
+    """The export's rows: fact and the columns of LEDGER; shares are percentages, all rounded to four places."""
+    rounded = {"research_index": F.col("research_index"), "strength_pct": F.col("evidence_strength"), "coverage_pct": F.col("evidence_coverage") * 100, "conflict_pct": F.col("conflict_index") * 100}
+    made = {k: F.round(v, 4) for k, v in rounded.items()} | _or_empty(ordered, "event", "taxonomy", "source_date", "normalized_date", "calendar", "location")
+    return ordered.join(buckets, "fact", "left").select("fact", *[made.get(c, F.col(c)).alias(c) for c in LEDGER])
+
+
+def source_evidence(ordered: DataFrame, decisions: DataFrame, sources: DataFrame, evidence: DataFrame) -> DataFrame:
+    """A row for each fact and source, with the columns of EVIDENCE: the decision, the quality of its source, and the
+    texts of the evidence on both sides, in the order of its ids.
+
+    ordered: fact, label, claim. sources: source, title, cluster, q. evidence: id, text."""
+    keyed = decisions.select("fact", "source", F.posexplode(_sides(F.col("support_ids"), F.col("contradiction_ids"))).alias("pos", "e"))
+    said = keyed.select("fact", "source", "pos", "e.*").join(evidence.select("id", "text"), "id")
+    joined = lambda up: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_up") == up, F.struct("pos", "text")))), lambda x: x["text"]), "\n\n")
+    texts = said.groupBy("fact", "source").agg(joined(True).alias("up"), joined(False).alias("down"))
+    rows = decisions.join(ordered.select("fact", "label", "claim"), "fact").join(sources.select("source", "title", "cluster", "q"), "source").join(texts, ["fact", "source"], "left")
+    rows = rows.withColumn("supporting", F.coalesce("up", F.lit(""))).withColumn("contradicting", F.coalesce("down", F.lit("")))
+    made = _or_empty(rows, "contradiction_type", "rationale", "chronology_notes", "scope_notes")
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in EVIDENCE])
 
 
 def report(rows: DataFrame) -> DataFrame:
@@ -265,7 +355,7 @@ def partition_error(observed: Column, expected: Column) -> Column:
 
 
 def canonical_members(groups: DataFrame) -> DataFrame:
-    """canonical_id and member for groups (ids): the id is a digest of the sorted members."""
+    """canonical_id and member for groups (ids): the id is a digest of the sorted members. Groups are bounded components."""
     return groups.select(F.substring(F.sha2(F.array_join(F.array_sort("ids"), "\u0000"), 256), 1, 32).alias("canonical_id"), F.explode("ids").alias("member"))
 
 

@@ -146,7 +146,7 @@ _NUMBER = r"\+?\p{Nd}+(?:[ \x{A0}.,:/-]\p{Nd}+)*%?"
 
 @query(f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_NUMBER}')) AS token FROM documents) GROUP BY doc_id, token")
 def number_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.number_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(T.run_counts(T.number_tokens(F.col("text")))))
 
 
 _PAIRS = """
@@ -251,7 +251,7 @@ def token_limit_split(spark, sf_dir):
 
 @query("SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}]+')) AS w FROM documents) GROUP BY doc_id, w")
 def word_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.word_list(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(T.run_counts(T.word_list(F.col("text")), "word")))
 
 
 @query(
@@ -260,8 +260,9 @@ SELECT doc_id, count(*) AS lines, count(*) FILTER (NOT regexp_matches(line, '[^{
   count(*) FILTER (len(regexp_extract_all(line, '[^{_S}]+')) BETWEEN 1 AND 8 AND length(line) <= 80 AND NOT regexp_matches(regexp_replace(line, '[{_S}]+$', ''), '[.?!:;]$')) AS bylines FROM l GROUP BY doc_id"""
 )
 def byline_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(T.is_blank(F.col("line"))).alias("blank"), F.count_if(T.byline_like(F.col("line"))).alias("bylines"))
+    lines = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("ls"))
+    n = lambda f: F.size(F.filter("ls", f)).cast("long")
+    return lines.select("doc_id", F.size("ls").cast("long").alias("lines"), n(T.is_blank).alias("blank"), n(T.byline_like).alias("bylines"))
 
 
 @query("SELECT doc_id, CASE WHEN length(c) > 32767 THEN substr(c, 1, 32748) || '… [truncated]' ELSE c END AS cell FROM (SELECT doc_id, CASE WHEN regexp_matches(regexp_replace(text, '^[" + _S + "]+', ''), '^[=+@-]') THEN '''' || text ELSE text END AS c FROM documents)")
@@ -269,14 +270,20 @@ def cell_guard(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.cell_guard(F.col("text")).alias("cell"))
 
 
-@query("SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_-]+', '_', 'g') AS label, trim(regexp_replace(lower(p_type), '[^\\p{L}\\p{N}_-]', '-', 'g'), '-') AS dashed, substr(p_name, 1, 5) AS message FROM part")
+@query("SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_-]+', '_', 'g') AS label, trim(regexp_replace(lower(p_type), '[^\\p{L}\\p{N}_-]', '-', 'g'), '-') AS dashed, substr(p_name, 1, 4000) AS message FROM part")
 def output_labels(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", T.label(F.col("p_name")).alias("label"), T.dashed_label(F.col("p_type")).alias("dashed"), F.substring("p_name", 1, 5).alias("message"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.label(F.col("p_name")).alias("label"), T.dashed_label(F.col("p_type")).alias("dashed"), T.error_message(F.col("p_name")).alias("message"))
 
 
-@query("SELECT c_custkey, lower(regexp_extract(c_name, '^[^0-9]*')) || lpad(CAST(CAST(regexp_extract(c_name, '[0-9]+$') AS BIGINT) AS VARCHAR), 20, '0') AS sort_key FROM customer")
+@query(
+    """
+WITH n AS (SELECT c_custkey, regexp_extract_all(lower(c_name) || '-' || repeat(CAST(c_custkey AS VARCHAR), 9) || ' x', '[0-9]+|[^0-9]+') AS ps FROM customer)
+SELECT c_custkey, array_to_string(list_transform(ps, lambda p: CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(CAST(length(regexp_replace(p, '^0+([0-9])', '\\1')) AS VARCHAR), 10, '0') || regexp_replace(p, '^0+([0-9])', '\\1') ELSE p END), '') AS sort_key FROM n
+"""
+)
 def natural_sort(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", T.natural_key(F.col("c_name")).alias("sort_key"))
+    name = F.concat("c_name", F.lit("-"), F.repeat(F.col("c_custkey").cast("string"), 9), F.lit(" x"))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.natural_key(name).alias("sort_key"))
 
 
 @query(
@@ -300,11 +307,11 @@ def crop_boxes(spark, sf_dir):
 
 @query("SELECT l_orderkey, min(l_quantity) AS l, min(l_tax) AS t, max(l_quantity) AS r, max(l_tax) AS b FROM lineitem GROUP BY l_orderkey")
 def union_boxes(spark, sf_dir):
-    boxes = F.collect_list(F.struct(F.col("l_quantity").alias("l"), F.col("l_tax").alias("t"), F.col("l_quantity").alias("r"), F.col("l_tax").alias("b")))
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(boxes.alias("boxes")).select("l_orderkey", T.union_box(F.col("boxes")).alias("u")).select("l_orderkey", "u.*")
+    box = F.struct(F.col("l_quantity").alias("l"), F.col("l_tax").alias("t"), F.col("l_quantity").alias("r"), F.col("l_tax").alias("b"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*T.box_around(box))
 
 
-# --- Markdown, segments, placeholders: row functions without SQL ---------------------------------------------------
+# --- Markdown, segments, placeholders ---------------------------------------------------------------------------------
 
 
 @query()
@@ -322,26 +329,76 @@ def markdown_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(markdown.chunks_column(F.col("text"))).alias("pos", "c")).select("doc_id", "pos", "c.*")
 
 
-@query()
+# the targets of links aren't in the SQL, whose engine has no look-behind; the documents hold no links
+_SIGNS = "|".join(x for x in markdown.SIGNS if "?<=" not in x)
+
+
+@query(
+    f"""
+WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '{_SIGNS}') AS signs FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, signs, string_split(regexp_replace(text, '{_SIGNS}', chr(1), 'g'), chr(1)) AS parts FROM s)
+SELECT doc_id, array_to_string(list_transform(parts, lambda x, i: x || CASE WHEN i <= len(signs) THEN 'ZXQMARKDOWN' || (i - 1) || 'QXZ' ELSE '' END), '') AS text, len(signs) AS tokens, true AS restored FROM p
+"""
+)
 def markdown_tokens(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", markdown.shield_column(F.col("text")).alias("s")).select("doc_id", "s.text", F.size("s.tokens").alias("tokens"))
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("own"), markdown.shield_column(F.col("text")).alias("s"))
+    return rows.select("doc_id", "s.text", F.size("s.tokens").cast("long").alias("tokens"), (markdown.unshield_column(F.col("s.text"), F.col("s.tokens")) == F.col("own")).alias("restored"))
 
 
-@query()
+_CUT = "'# Report ' || doc_id || chr(10) || chr(10) || 'It was ' || substr(w, 1, 3) || '-' || chr(10) || chr(10) || '## ' || said || chr(10) || chr(10) || substr(w, 4) || ' and more.' || chr(10) || chr(10) || body"
+_CUT_WORD = r"'[a-z]{6,}'"
+
+
+@query(
+    f"""
+WITH d AS (SELECT doc_id, regexp_extract(text, {_CUT_WORD}) AS w, 'Writer ' || doc_id % 7 || CASE WHEN doc_id % 5 = 0 THEN '.' ELSE '' END AS said, replace(text, '#', '') AS body FROM documents WHERE regexp_matches(text, {_CUT_WORD}))
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN {_CUT} ELSE '# Report ' || doc_id || chr(10) || chr(10) || '*' || said || '*' || chr(10) || chr(10) || 'It was ' || w || ' and more.' || chr(10) || chr(10) || body END AS text,
+  CASE WHEN doc_id % 5 = 0 THEN NULL ELSE w END AS joined_word, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'Report ' || doc_id END AS attached_to FROM d
+"""
+)
 def interrupted_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", markdown.join_interrupted_column(F.col("text")).alias("j")).select("doc_id", "j.text", F.size("j.changes").alias("changes"))
+    """A word of each document is cut in two by a heading, which in four of five documents is a byline."""
+    word, body = F.expr(f"regexp_extract(text, {_CUT_WORD}, 0)"), F.replace(F.col("text"), F.lit("#"), F.lit(""))
+    said = F.concat(F.lit("Writer "), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 5 == 0, ".").otherwise(""))
+    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(_CUT_WORD[1:-1])).select("doc_id", word.alias("w"), said.alias("said"), body.alias("body"))
+    cut = rows.select("doc_id", F.expr(_CUT.replace("chr(10)", "char(10)")).alias("text"))
+    joined = cut.select("doc_id", markdown.join_interrupted_column(F.col("text")).alias("j"))
+    return joined.select("doc_id", "j.text", F.get("j.changes", 0)["joined_word"].alias("joined_word"), F.get("j.changes", 0)["attached_to"].alias("attached_to"))
 
 
-@query()
+@query(
+    f"""
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS k, unnest(ls) AS line FROM (SELECT doc_id, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+$') AS ls FROM documents)),
+e AS (SELECT *, regexp_extract(line, '^[ \\t\\f\\v]*') AS indent, regexp_extract(line, '[ \\t\\f\\v]*\\n?$') AS tail FROM l),
+s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(substr(line, length(indent) + 1, greatest(0, length(line) - length(indent) - length(tail))), '([.!?。！？।])', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[{_S}]+|[{_S}]+$', '', 'g')), lambda x: length(x) > 0) AS ss FROM e),
+w AS (SELECT *, flatten(list_transform(ss, lambda x: CASE WHEN len(regexp_extract_all(x, '[^{_S}]+')) <= 12 THEN [x] ELSE list_transform(range(0, CAST(ceil(len(regexp_extract_all(x, '[^{_S}]+')) / 12) AS BIGINT)), lambda i: array_to_string(regexp_extract_all(x, '[^{_S}]+')[12 * i + 1:12 * i + 12], ' ')) END)) AS ps FROM s),
+g AS (SELECT *, count(*) FILTER (len(ps) > 0) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM w),
+b AS (SELECT doc_id, g, string_agg(line, '' ORDER BY k) AS blank FROM g WHERE len(ps) = 0 GROUP BY doc_id, g),
+f AS (SELECT g.doc_id, k, unnest(range(1, len(ps) + 1)) AS i, len(ps) AS n, unnest(ps) AS text, CASE WHEN g.g = 1 THEN coalesce(lead.blank, '') ELSE '' END || indent AS front, tail || coalesce(b.blank, '') AS back
+  FROM g LEFT JOIN b ON b.doc_id = g.doc_id AND b.g = g.g LEFT JOIN b lead ON lead.doc_id = g.doc_id AND lead.g = 0 WHERE len(ps) > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS INT) AS pos, CASE WHEN i = 1 THEN front ELSE '' END AS prefix, text, CASE WHEN i < n THEN ' ' ELSE back END AS separator FROM f
+"""
+)
 def segments(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(segment.segment(F.col("text"))).alias("pos", "s")).select("doc_id", "pos", "s.*")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(segment.segment(F.col("text"), 12)).alias("pos", "s")).select("doc_id", "pos", "s.*")
 
 
-@query()
+_VALUE = r"https?://[^\x{09}-\x{0D}\x{20}]+|[\p{L}\p{N}_][\p{L}\p{N}_.+-]*@[\p{L}\p{N}_.-]+\.[A-Za-z]{2,}|" + _NUMBER + "|(?i:rabbit)"
+
+
+@query(
+    f"""
+WITH s AS (SELECT doc_id, regexp_extract_all(text || ' rabbit', '{_VALUE}') AS found, string_split(regexp_replace(text || ' rabbit', '{_VALUE}', chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, parts, list_transform(found, lambda x: CASE WHEN lower(x) = 'rabbit' THEN 'HASE' ELSE x END) AS puts, list_transform(found, lambda x: NOT regexp_matches(x, '^\\+?[0-9][^A-Za-z]*$') OR length(regexp_replace(x, '[^0-9]', '', 'g')) >= 7) AS hides FROM s),
+n AS (SELECT *, list_transform(hides, lambda h, i: len(list_filter(hides[1:i - 1], lambda y: y))) AS before FROM m)
+SELECT doc_id, array_to_string(list_transform(parts, lambda x, i: x || CASE WHEN i > len(puts) THEN '' WHEN hides[i] THEN '<x' || before[i] || '>' ELSE puts[i] END), '') AS text,
+  len(list_filter(hides, lambda x: x)) AS placeholders, list_transform(list_filter(puts, lambda x, i: hides[i] AND before[i] >= 10), lambda x: 'missing protected value: ' || x) AS issues FROM n
+"""
+)
 def protect_values(spark, sf_dir):
-    glossary = F.create_map(F.lit("the"), F.lit("DER"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", protect.protected(F.col("text"), glossary).alias("p"))
-    return rows.select("doc_id", "p.text", F.size("p.replacements").alias("placeholders"), protect.restored(F.col("p.text"), F.col("p.replacements"))["issues"].alias("issues"))
+    glossary = F.create_map(F.lit("rabbit"), F.lit("HASE"))
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", protect.protected(F.concat("text", F.lit(" rabbit")), glossary).alias("p"))
+    return rows.select("doc_id", "p.text", F.size("p.replacements").cast("long").alias("placeholders"), protect.restored(F.col("p.text"), F.col("p.replacements"))["issues"].alias("issues"))
 
 
 _WORDS = "SELECT unnest(['modern', 'rnodern', 'clear', 'hello', 'he11o', 'dear', 'vvell', 'well', 'rn', 'corner', '1234']) AS word"
@@ -399,8 +456,9 @@ def quote_grounding(spark, sf_dir):
     return quotes.contained(b, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("page")))
 
 
-@query()
+@query(f"SELECT item_id AS quote_id, doc_id AS page_id, regexp_replace(b.text, '^[{_S}]+|[{_S}]+$', '', 'g') AS resolved FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_resolution(spark, sf_dir):
+    """Quotations with other white space than the pages that hold them, resolved to the pages' wording."""
     pairs = quote_grounding(spark, sf_dir)
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     loose = F.regexp_replace(b["text"], " ", "\n  ")
@@ -426,10 +484,13 @@ def exact_dup_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-@query("SELECT substr(sha256(string_agg(CAST(c_custkey AS VARCHAR), chr(0) ORDER BY CAST(c_custkey AS VARCHAR))), 1, 32) AS canonical_id, count(*) AS members FROM customer GROUP BY c_nationkey")
+_MEMBER = "l_partkey || '-' || l_suppkey || '-' || l_linenumber"
+
+
+@query(f"SELECT id AS canonical_id, m AS member FROM (SELECT l_orderkey, {_MEMBER} AS m FROM lineitem) JOIN (SELECT l_orderkey, substr(sha256(string_agg({_MEMBER}, chr(0) ORDER BY {_MEMBER})), 1, 32) AS id FROM lineitem GROUP BY l_orderkey) USING (l_orderkey)")
 def canonical_ids(spark, sf_dir):
-    groups = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list(F.col("c_custkey").cast("string")).alias("ids"))
-    return claims.canonical_members(groups).groupBy("canonical_id").agg(F.count("*").alias("members"))
+    groups = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.concat_ws("-", "l_partkey", "l_suppkey", "l_linenumber")).alias("ids"))
+    return claims.canonical_members(groups)
 
 
 @query(
