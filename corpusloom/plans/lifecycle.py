@@ -69,3 +69,13 @@ def valid_cache(entries: DataFrame, wanted: DataFrame, files: DataFrame) -> Data
     e = entries.select("name", F.col("input_hash").alias("_i"), F.col("signature").alias("_s"))
     same = F.col("input_hash").eqNullSafe(F.col("_i")) & F.col("signature").eqNullSafe(F.col("_s"))
     return wanted.join(e, "name", "left").join(each, "name", "left").select("name", (F.col("_i").isNotNull() & same & F.coalesce("whole", F.lit(True))).alias("valid"))
+
+
+def cache_namespace(signature: str, model_digest: str, forced_at: float | None = None) -> str:
+    """Where corrections of a model are kept: another signature, model or forced run doesn't see them."""
+    return fingerprint(signature=signature, model=model_digest, forced_at=forced_at)
+
+
+def cached(requests: DataFrame, cache: DataFrame, namespace: str) -> DataFrame:
+    """requests (key) with the value that the namespace holds, null where there's none. cache: namespace, key, value."""
+    return requests.join(cache.where(F.col("namespace") == namespace).select("key", "value"), "key", "left")

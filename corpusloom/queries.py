@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import chunk, graph, layout, markdown, protect, quotes, segment, similarity
 from corpusloom.plans import claims, lifecycle, models, translation
+from corpusloom.plans.storage import cut_lineage
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -581,13 +582,13 @@ WITH src AS (SELECT s_suppkey AS source, s_nationkey AS cluster, s_name AS title
 ev AS (SELECT l_orderkey AS fact, l_suppkey AS source, CAST(l_quantity AS BIGINT) % 7 AS k, greatest(0.0, least(1.0, 1 - 5 * l_discount)) AS conf, l_returnflag AS flag, l_tax < 0.02 AS low, l_tax AS tax FROM lineitem),
 f AS (SELECT *, ({_MULT_CASE}) * conf AS f, flag IN ('A', 'N') AS up, flag = 'R' AND low AS down FROM ev),
 dec AS (SELECT fact, source, count(*) FILTER (up) AS n_up, count(*) FILTER (down) AS n_down, count(*) FILTER (flag = 'A') AS n_a, coalesce(max(f) FILTER (up), 0) AS up, coalesce(max(f) FILTER (down), 0) AS down, max(CASE WHEN up AND k = 0 THEN 1 ELSE 0 END) AS e1, max(CASE WHEN up AND k = 1 THEN 1 ELSE 0 END) AS e2, max(CASE WHEN up AND k = 3 THEN 1 ELSE 0 END) AS e4, round(1 - max(tax), 6) AS conf FROM f GROUP BY fact, source),
-st AS (SELECT *, CASE WHEN n_up > 0 AND n_down > 0 THEN 'mixed' WHEN n_up > 0 THEN CASE WHEN n_a > 0 THEN 'explicit_support' ELSE 'implicit_support' END WHEN n_down > 0 THEN 'explicit_contradiction' ELSE 'silent' END AS stance FROM dec),
+st AS (SELECT *, CASE WHEN n_up > 0 AND n_down > 0 THEN 'mixed' WHEN n_up > 0 THEN CASE WHEN n_a > 0 THEN 'explicit_support' ELSE 'implicit_support' END WHEN n_down > 0 THEN 'explicit_contradiction' ELSE 'silent' END AS stance, n_up = 0 AND n_down = 0 AND source % 3 = 0 AS nc FROM dec),
 con AS (SELECT st.*, src.cluster, src.q, src.title, src.q * conf * up * CASE WHEN stance IN ('explicit_support', 'mixed') THEN 1.0 WHEN stance = 'implicit_support' THEN 0.5 ELSE 0.0 END AS support, src.q * conf * down * CASE WHEN stance IN ('explicit_contradiction', 'mixed') THEN 1.5 ELSE 0.0 END AS against FROM st JOIN src ON st.source = src.source),
-cl AS (SELECT fact, cluster, max(support) AS support, max(against) AS against, max(q) AS covered, count(*) FILTER (support > 0) AS supporting, count(*) FILTER (against > 0) AS contradicting, sum(e1) AS e1, sum(e2) AS e2, sum(e4) AS e4 FROM con GROUP BY fact, cluster),
+cl AS (SELECT fact, cluster, max(support) AS support, max(against) AS against, max(q) FILTER (NOT nc) AS covered, count(*) FILTER (support > 0) AS supporting, count(*) FILTER (against > 0) AS contradicting, sum(e1) AS e1, sum(e2) AS e2, sum(e4) AS e4 FROM con GROUP BY fact, cluster),
 tot AS (SELECT sum(q) AS total FROM (SELECT max(q) AS q FROM src GROUP BY cluster)),
-sums AS (SELECT fact, sum(support) AS a, sum(against) AS d, sum(covered) AS covered, count(*) FILTER (support >= 0.2) AS ind, greatest(0, sum(supporting) - count(*) FILTER (support > 0)) AS dep, sum(e1) AS e1, sum(e2) AS e2, sum(e4) AS e4, sum(contradicting) AS ser FROM cl GROUP BY fact),
+sums AS (SELECT fact, sum(support) AS a, sum(against) AS d, coalesce(sum(covered), 0) AS covered, count(*) FILTER (support >= 0.2) AS ind, greatest(0, sum(supporting) - count(*) FILTER (support > 0)) AS dep, sum(e1) AS e1, sum(e2) AS e2, sum(e4) AS e4, sum(contradicting) AS ser FROM cl GROUP BY fact),
 sc AS (SELECT fact, a, d, 100 * (a - d) / (1 + a + d) AS idx, 100 * (1 - exp(-(a + d))) AS strength, CASE WHEN a + d > 0 THEN 2 * least(a, d) / (a + d) ELSE 0 END AS conflict, covered / total AS coverage, ind, dep, e1, e2, e4, ser,
-  CASE WHEN d >= 0.45 AND a >= 0.2 THEN 'FACT_CONTESTED' WHEN a >= 1.2 AND ind >= 2 AND (e1 >= 1 OR ind >= 3) AND d < 0.45 THEN 'FACT_ESTABLISHED' WHEN a >= 0.65 AND ind >= 1 AND d < 0.45 THEN 'FACT_PROBABLE' WHEN a >= 0.2 AND d < 0.45 THEN 'FACT_PLAUSIBLE' ELSE 'FACT_UNVERIFIED' END AS grade FROM sums, tot)
+  CASE WHEN fact % 9 = 1 THEN 'INTERPRETATION' WHEN fact % 9 IN (2, 3) THEN 'CAUSAL_INTERPRETATION' WHEN fact % 9 = 4 THEN 'SOURCE_REPORT' WHEN d >= 0.45 AND a >= 0.2 THEN 'FACT_CONTESTED' WHEN a >= 1.2 AND ind >= 2 AND (e1 >= 1 OR ind >= 3) AND d < 0.45 THEN 'FACT_ESTABLISHED' WHEN a >= 0.65 AND ind >= 1 AND d < 0.45 THEN 'FACT_PROBABLE' WHEN a >= 0.2 AND d < 0.45 THEN 'FACT_PLAUSIBLE' ELSE 'FACT_UNVERIFIED' END AS grade FROM sums, tot)
 """
 
 
@@ -600,11 +601,14 @@ def _ledger(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("source"), classes.alias("evidence_class"), (1 - 5 * F.col("l_discount")).alias("confidence"), "l_returnflag", "l_tax")
     lines = lines.withColumn("id", F.concat_ws(":", "fact", "source", "evidence_class", "confidence"))
     up, down = F.col("l_returnflag").isin("A", "N"), (F.col("l_returnflag") == "R") & (F.col("l_tax") < 0.02)
-    grouped = lines.groupBy("fact", "source").agg(F.collect_list(F.when(up, F.col("id"))).alias("support"), F.collect_list(F.when(down, F.col("id"))).alias("against"), F.max(F.col("l_returnflag") == "A").alias("any_a"), F.round(1 - F.max("l_tax"), 6).alias("confidence"))
+    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("id"))))
+    grouped = lines.groupBy("fact", "source").agg(ids(up).alias("support"), ids(down).alias("against"), F.max(F.col("l_returnflag") == "A").alias("any_a"), F.round(1 - F.max("l_tax"), 6).alias("confidence"))
     said = claims.sanitized(F.when(F.col("any_a"), "explicit_support").otherwise("implicit_support"), F.col("support"), F.col("against"), F.lit("D1_FACTUAL"), F.concat("support", "against"))
     decisions = grouped.select("fact", "source", "confidence", said.alias("s")).select("fact", "source", "confidence", "s.*")
+    decisions = decisions.withColumn("coverage", F.when((F.col("stance") == "silent") & (F.col("source") % 3 == 0), "not_covered").otherwise(F.col("coverage")))
     evidence = lines.select("id", "evidence_class", "confidence", F.lit(True).alias("verified")).distinct()
-    facts = lines.select("fact").distinct().withColumn("claim_type", F.lit("FACT"))
+    kinds = F.array(*[F.lit(x) for x in ("EVENT", "INTERPRETATION", "CAUSAL_INTERPRETATION", "MOTIVE_CLAIM", "REPORTED_SPEECH")])
+    facts = lines.select("fact").distinct().withColumn("claim_type", F.coalesce(F.get(kinds, (F.col("fact") % 9).cast("int")), F.lit("EVENT")))
     return facts, decisions, evidence, sources
 
 
@@ -642,18 +646,52 @@ def ledger_order(spark, sf_dir):
     return claims.ledger_order(rows, "fact").select("label", "fact", "grade")
 
 
-@query(_LEDGER + "SELECT fact, " + ", ".join(f"coalesce(string_agg(title, chr(10) ORDER BY source) FILTER (stance = '{b}'), '') AS {b}" for b in claims.BUCKETS[:4]) + ", coalesce(string_agg(title, chr(10) ORDER BY source) FILTER (stance = 'silent'), '') AS covered_but_silent, '' AS not_covered FROM con GROUP BY fact")
+@query(_LEDGER + "SELECT fact, " + ", ".join(f"coalesce(string_agg(title, chr(10) ORDER BY source) FILTER (stance = '{b}'), '') AS {b}" for b in claims.BUCKETS[:4]) + ", coalesce(string_agg(title, chr(10) ORDER BY source) FILTER (stance = 'silent' AND NOT nc), '') AS covered_but_silent, coalesce(string_agg(title, chr(10) ORDER BY source) FILTER (nc), '') AS not_covered FROM con GROUP BY fact")
 def ledger_buckets(spark, sf_dir):
     _, decisions, _, sources = _ledger(spark, sf_dir)
     return claims.source_buckets(decisions, sources.select("source", "title"))
 
 
-@query(_LEDGER + "SELECT fact, grade, round(strength, 4) AS strength_pct, round(coverage * 100, 4) AS coverage_pct, round(conflict * 100, 4) AS conflict_pct FROM sc")
-def csv_ledger(spark, sf_dir):
+_KIND = "CASE fact % 9 WHEN 1 THEN 'INTERPRETATION' WHEN 2 THEN 'CAUSAL_INTERPRETATION' WHEN 3 THEN 'MOTIVE_CLAIM' WHEN 4 THEN 'REPORTED_SPEECH' ELSE 'EVENT' END"
+_TIER = "CASE grade " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in claims.TIERS.items()) + " END"
+_PLACE = "'F' || lpad(CAST(row_number() OVER (ORDER BY CASE grade WHEN 'FACT_CONTESTED' THEN 0 WHEN 'FACT_ESTABLISHED' THEN 1 WHEN 'FACT_PROBABLE' THEN 2 WHEN 'FACT_PLAUSIBLE' THEN 3 ELSE 4 END, round(strength, 6) DESC, claim) AS VARCHAR), 6, '0')"
+_CLAIMS = _LEDGER + """, o AS (SELECT sc.*, 'Order ' || fact AS claim, o_orderpriority AS event, o_orderstatus AS taxonomy, strftime(o_orderdate, '%Y-%m-%d') AS source_date FROM sc LEFT JOIN orders ON fact = o_orderkey)
+"""
+
+
+def _claims(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Facts in the ledger's order with what is said of them; decisions, evidence, sources."""
     facts, decisions, evidence, sources = _ledger(spark, sf_dir)
-    scored = claims.score_facts(facts, decisions, evidence, sources).withColumn("claim", F.col("fact").cast("string"))
-    rows = claims.ledger_rows(claims.ledger_order(scored, "fact"), claims.source_buckets(decisions, sources.select("source", "title")))
-    return rows.select("fact", "grade", "strength_pct", "coverage_pct", "conflict_pct")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact"), F.col("o_orderpriority").alias("event"), F.col("o_orderstatus").alias("taxonomy"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("source_date"))
+    decisions = cut_lineage(decisions)
+    scored = claims.score_facts(facts.join(orders, "fact", "left"), decisions, evidence, sources).withColumn("claim", F.concat(F.lit("Order "), F.col("fact").cast("string"))).withColumn("evidence_strength", F.round("evidence_strength", 6))
+    return claims.ledger_order(scored), decisions, evidence, sources
+
+
+@query(
+    _CLAIMS
+    + f""", b AS (SELECT fact, {", ".join(f"string_agg(title, chr(10) ORDER BY source) FILTER (stance = '{b}') AS {b}" for b in claims.BUCKETS[:4])}, string_agg(title, chr(10) ORDER BY source) FILTER (stance = 'silent' AND NOT nc) AS covered_but_silent, string_agg(title, chr(10) ORDER BY source) FILTER (nc) AS not_covered FROM con GROUP BY fact)
+SELECT o.fact, {_PLACE} AS label, coalesce(event, '') AS event, coalesce(taxonomy, '') AS taxonomy, claim, {_KIND.replace("fact", "o.fact")} AS claim_type, coalesce(source_date, '') AS source_date, '' AS normalized_date, '' AS calendar, '' AS location, grade, {_TIER} AS confidence_tier,
+  round(idx, 4) AS research_index, round(round(strength, 6), 4) AS strength_pct, round(coverage * 100, 4) AS coverage_pct, round(conflict * 100, 4) AS conflict_pct, CAST(ind AS BIGINT) AS independent_support_count, CAST(dep AS BIGINT) AS dependent_support_count,
+  CAST(e1 AS BIGINT) AS primary_document_count, CAST(e2 AS BIGINT) AS eyewitness_count, CAST(e4 AS BIGINT) AS scholarly_count, CAST(ser AS BIGINT) AS serious_contradiction_count, {", ".join(f"coalesce({b}, '') AS {b}" for b in claims.BUCKETS)} FROM o JOIN b ON o.fact = b.fact"""
+)
+def csv_ledger(spark, sf_dir):
+    ordered, decisions, _, sources = _claims(spark, sf_dir)
+    return claims.ledger_rows(ordered, claims.source_buckets(decisions, sources.select("source", "title")))
+
+
+@query(
+    _CLAIMS
+    + f""", t AS (SELECT fact, {_PLACE} AS label, claim FROM o),
+e AS (SELECT l_orderkey AS fact, l_suppkey AS source, CAST(l_quantity AS BIGINT) % 7 + 1 AS k, CAST(1 - 5 * l_discount AS VARCHAR) AS c, l_returnflag IN ('A', 'N') AS up, l_returnflag = 'R' AND l_tax < 0.02 AS down FROM lineitem),
+x AS (SELECT fact, source, string_agg('Class E' || k, chr(10) || chr(10) ORDER BY k, c) FILTER (up) AS up, string_agg('Class E' || k, chr(10) || chr(10) ORDER BY k, c) FILTER (down) AS down FROM e GROUP BY fact, source)
+SELECT label, con.fact, claim, con.source, title, cluster, round(q, 6) AS q, CASE WHEN nc THEN 'not_covered' WHEN stance = 'silent' THEN 'covered_but_silent' ELSE 'covered' END AS coverage, stance, CASE WHEN n_down > 0 THEN 'D1_FACTUAL' ELSE '' END AS contradiction_type, conf AS confidence,
+  coalesce(x.up, '') AS supporting, coalesce(x.down, '') AS contradicting, '' AS rationale, '' AS chronology_notes, '' AS scope_notes FROM con JOIN t ON con.fact = t.fact JOIN x ON con.fact = x.fact AND con.source = x.source"""
+)
+def source_evidence(spark, sf_dir):
+    ordered, decisions, evidence, sources = _claims(spark, sf_dir)
+    texts = evidence.select("id", F.concat(F.lit("Class "), "evidence_class").alias("text"))
+    return claims.source_evidence(ordered, decisions, sources, texts).withColumn("q", F.round("q", 6))
 
 
 @query("SELECT o_orderkey AS fact, count(DISTINCT l_suppkey) AS have, (SELECT count(*) FROM supplier) AS need FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey HAVING count(DISTINCT l_suppkey) < (SELECT count(*) FROM supplier)")

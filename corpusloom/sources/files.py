@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,15 @@ def collisions(files: DataFrame) -> DataFrame:
     return files.withColumn("stem", stem).groupBy("stem").agg(F.array_sort(F.collect_list("name")).alias("names")).where(F.size("names") > 1)
 
 
+def inside(files: DataFrame, folder: str) -> DataFrame:
+    """Files of a local folder whose path, links resolved, stays in the folder."""
+    from corpusloom.operators.rows import arrow
+
+    root = os.path.realpath(folder.removeprefix("file:"))
+    stays = arrow(lambda p: os.path.commonpath([root, os.path.realpath(re.sub(r"^file:/*", "/", p))]) == root, "boolean")
+    return files.where(stays(F.col("path")))
+
+
 def by_name(files: DataFrame) -> DataFrame:
     return files.orderBy(F.lower("name"), "name")
 
@@ -121,12 +132,17 @@ def read_stage(spark: SparkSession, path: str, stage: str, source_hash: str) ->
     return spark.read.parquet(f"{path}/data")
 
 
+#: Tells spreadsheets that a file is UTF-8.
+BOM = "\ufeff"
+
+
 def write_ledger(rows: DataFrame, path: str, guard: bool = False) -> None:
-    """CSV parts with headers; with guard, cells can't start formulas in spreadsheets."""
+    """CSV parts with headers that begin with a byte order mark; with guard, cells can't start formulas in spreadsheets."""
     from corpusloom.functions.text import cell_guard
 
     text = {c for c, kind in rows.dtypes if kind == "string"}
-    rows.select(*[cell_guard(F.col(c)).alias(c) if guard and c in text else F.col(c) for c in rows.columns]).write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
+    named = rows.select(*[cell_guard(F.col(c)).alias(c) if guard and c in text else F.col(c) for c in rows.columns])
+    named.withColumnRenamed(rows.columns[0], BOM + rows.columns[0]).write.option("header", True).option("escape", '"').mode("errorifexists").csv(path)
 
 
 def write_report(sections: DataFrame, path: str) -> None:
@@ -134,6 +150,27 @@ def write_report(sections: DataFrame, path: str) -> None:
     sections.repartitionByRange("label").sortWithinPartitions("label").select(F.concat("markdown", F.lit("\n")).alias("value")).write.mode("errorifexists").text(path)
 
 
+def write_pairs(rows: DataFrame, path: str) -> None:
+    """Texts and reports by name: rows (name, text, report as JSON) in two folders that must be new."""
+    rows.select("name", "text").write.mode("errorifexists").json(f"{path}/text")
+    rows.select("name", "report").write.mode("errorifexists").json(f"{path}/report.json")
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small text file, put in place once it's whole."""
+    names = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.{uuid.uuid4().hex}", path)]
+    files = names[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = files.create(names[0], True)
+    try:
+        stream.write(bytearray(text.encode()))
+        stream.hsync()
+    finally:
+        stream.close()
+    files.delete(names[1], False)
+    if not files.rename(names[0], names[1]):
+        raise OSError(f"{path} couldn't be put in place")
+
+
 def append_reviews(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
