@@ -519,13 +519,17 @@ def test_signature_trees_lose_no_link(spark, monkeypatch, n, percent, tree):
 
 def test_signature_trees_bound_every_task(spark, monkeypatch):
     """Two families in one group, each held together by passages that don't suffice for a link, but for a few members."""
-    most, run = [], signature_trees._run_trees
+    most = []
 
-    def watched(rows, tasks, *more, **named):
-        most.append(tasks.distinct().groupBy("group", "piece").count().agg(F.max("count")).first()[0] or 0)
-        return run(rows, tasks, *more, **named)
+    def watch(run):
+        def watched(rows, tasks, *more):
+            most.append(tasks.distinct().groupBy("group", "piece").count().agg(F.max("count")).first()[0] or 0)
+            return run(rows, tasks, *more)
 
-    monkeypatch.setattr(signature_trees, "_run_trees", watched)
+        return watched
+
+    monkeypatch.setattr(signature_trees, "_sent", watch(signature_trees._sent))
+    monkeypatch.setattr(signature_trees, "_sent_again", watch(signature_trees._sent_again))
     base, data = [f"w{i}" for i in range(400)], []
     for i in range(240):
         words = list(base)
@@ -537,6 +541,20 @@ def test_signature_trees_bound_every_task(spark, monkeypatch):
     assert len(most) == 2 and 0 < most[1] <= 2 * 40
 
 
+def test_tables_go_when_a_query_ends(spark):
+    from pathlib import Path
+
+    from corpusloom.plans import storage
+
+    storage.shared_folder(spark)
+    folder = Path((spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).removeprefix("file:"))
+    before = set(folder.glob("corpusloom-*"))
+    with storage.temporary():
+        assert signature_trees.join(cases.documents(spark)).count() == len(cases.rows())
+        assert set(folder.glob("corpusloom-*")) > before
+    assert set(folder.glob("corpusloom-*")) == before
+
+
 def test_tree_is_exact():
     r = np.random.default_rng(2)
     sets = []
