@@ -36,8 +36,21 @@ class Policy:
     def __post_init__(self):
         if abs(sum(self.weights.values()) - 1) > 1e-6:
             raise ValueError("dimension weights must sum to 1")
-        if any(not 0 <= m <= 1 for m in self.multipliers.values()):
-            raise ValueError("class multipliers lie between 0 and 1")
+        own, s = Policy.__dataclass_fields__, self.stances
+        for name in ("weights", "multipliers", "stances"):
+            if set(getattr(self, name)) != set(own[name].default_factory()):
+                raise ValueError(f"{name} must name each of {', '.join(own[name].default_factory())}")
+        checks = {
+            "class multipliers lie between 0 and 1": all(0 <= m <= 1 for m in self.multipliers.values()),
+            "dimension weights lie between 0 and 1": all(0 <= w <= 1 for w in self.weights.values()),
+            "silent and mixed stances have the value 0": s["silent"] == s["mixed"] == 0,
+            "support is positive, implicit support no more than explicit, contradiction negative": s["explicit_support"] > 0 and 0 <= s["implicit_support"] <= s["explicit_support"] and s["explicit_contradiction"] < 0,
+            "only D1_FACTUAL is penalised": set(self.penalised) <= {"D1_FACTUAL"},
+            "thresholds are positive": min(self.meaningful, self.serious, self.plausible) > 0,
+            "established needs at least what probable needs, and that what plausible needs": self.established >= self.probable >= self.plausible and self.established_clusters >= self.probable_clusters >= 1,
+        }
+        if failed := [what for what, ok in checks.items() if not ok]:
+            raise ValueError("; ".join(failed))
 
 
 def source_quality(dimensions: dict[str, Column], policy: Policy = Policy()) -> Column:

@@ -10,6 +10,11 @@ def _between(name: str, value: float, low: float, high: float) -> None:
         raise ValueError(f"{name} must lie between {low} and {high}, not {value}")
 
 
+def _one_of(name: str, value, *allowed) -> None:
+    if value not in allowed:
+        raise ValueError(f"{name} must be one of {', '.join(map(str, allowed))}, not {value}")
+
+
 @dataclass(frozen=True)
 class Ledger:
     """Chunking, similarity and retrieval of the claim ledger."""
@@ -40,8 +45,20 @@ class Cleanup:
     context_chars: int = 500
     max_corrections: int = 64
     use_model: bool = True
+    confidence: float = 0.5
+    max_pages: int = 2000
+    max_pixels: int = 100_000_000
+    timeout: float = 600
+    batch: int = 4
+    layout: str = "0"
+    direction: str = "lr"
 
     def __post_init__(self):
+        for name in ("max_pages", "max_pixels", "timeout", "batch"):
+            _between(name, getattr(self, name), 1e-9, float("inf"))
+        _between("confidence", self.confidence, 0, 1)
+        _one_of("layout", self.layout, "0", "1", "1.5", "2")
+        _one_of("direction", self.direction, "lr", "rl")
         _between("dpi", self.dpi, 72, 1200)
         _between("context_chars", self.context_chars, 20, 10_000)
         _between("max_corrections", self.max_corrections, 0, 100_000)

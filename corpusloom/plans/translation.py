@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.metrics import bleu_column, chrf_column
 from corpusloom.functions.text import clamp, is_blank, length_ratio, number_tokens, numbers_kept, repetition_ratio, windows
 from corpusloom.operators.rows import arrow
 
@@ -57,6 +59,26 @@ def combined(**scores: Column) -> Column:
     return F.when(weight > 0, total / weight)
 
 
+def scored(pairs: DataFrame, estimate: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """pairs (key, source, candidate, reference, heuristic) with chrf, bleu, comet and score, their weighted mean.
+
+    estimate: a model's function from (key, source, candidate, reference) to (key, comet); without it comet is null, as
+    chrf and bleu are without a reference."""
+    rows = pairs.withColumn("chrf", chrf_column(F.col("candidate"), F.col("reference"))).withColumn("bleu", bleu_column(F.col("candidate"), F.col("reference")))
+    if estimate is None:
+        rows = rows.withColumn("comet", F.lit(None).cast("double"))
+    else:
+        told = estimate(pairs.select("key", "source", "candidate", "reference")).select("key", clamp(F.col("comet")).alias("comet"))
+        rows = rows.join(told, "key", "left")
+    return rows.withColumn("score", F.round(combined(**{c: F.col(c) for c in ("heuristic", "comet", "chrf", "bleu")}), 4))
+
+
+def in_order(rows: DataFrame, doc: str, pos: str, text: str) -> DataFrame:
+    """doc, text and place: each document's different texts in the order of their first occurrence."""
+    first = rows.groupBy(doc, text).agg(F.min(pos).alias("_at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(doc).orderBy("_at", text))).drop("_at")
+
+
 def best_attempts(attempts: DataFrame, *key: str) -> DataFrame:
     """The attempt that counts for each key, and how many were made up to the first that passed.
 

@@ -288,11 +288,14 @@ def natural_sort(spark, sf_dir):
 
 
 @query(
-    f"""WITH m AS (SELECT page_id, html FROM pages), a AS (SELECT page_id, regexp_replace(html, '`+[^`\\n]*`+', ' ', 'g') AS t FROM m), b AS (SELECT page_id, regexp_replace(t, 'https?://[^{_S})>]+', ' ', 'g') AS t FROM a), c AS (SELECT page_id, regexp_replace(t, '<[^>\\n]+>', ' ', 'g') AS t FROM b)
+    f"""WITH f AS (SELECT page_id, regexp_replace('---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || chr(10) || '# Head' || chr(10) || chr(10) || '```py' || chr(10) || 'code' || chr(10) || '```' || chr(10) || html, '(?s)^---[ \\t]*\\n.*?\\n---[ \\t]*(?:\\n[ \\t]*\\n*)', ' ') AS t FROM pages),
+m AS (SELECT page_id, regexp_replace(t, '(?ms)^```[^\\n]*\\n.*?^```[ \\t]*$', ' ', 'g') AS t FROM f), a AS (SELECT page_id, regexp_replace(t, '`+[^`\\n]*`+', ' ', 'g') AS t FROM m), b AS (SELECT page_id, regexp_replace(t, 'https?://[^{_S})>]+', ' ', 'g') AS t FROM a), c AS (SELECT page_id, regexp_replace(t, '<[^>\\n]+>', ' ', 'g') AS t FROM b)
 SELECT page_id, sha256(regexp_replace(t, '(?m)^\\s{{0,3}}(?:#{{1,6}}\\s+|>\\s?|[-+*]\\s+|\\p{{Nd}}+[.)]\\s+)', ' ', 'g')) AS digest FROM c"""
 )
 def detection_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.detection_text(F.col("html")), 256).alias("digest"))
+    """Pages behind front matter and a block of code."""
+    text = F.concat(F.lit("---\ntitle: x\n---\n\n# Head\n\n```py\ncode\n```\n"), "html")
+    return table(spark, sf_dir, "pages").select("page_id", F.sha2(T.detection_text(text), 256).alias("digest"))
 
 
 @query("SELECT doc_id, CAST(unnest(range(0, greatest(1, CAST(ceil(length(text) / 1000) AS BIGINT)))) AS INT) AS pos, md5(substr(text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 1000) AS BIGINT)))) * 1000 + 1, 1000)) AS part FROM documents")
@@ -874,6 +877,52 @@ def recognised_cells(spark, sf_dir):
     return layout.cells(pages).select("page", "index", "text", "l", "t")
 
 
+# --- small functions over tables ---------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY since, text) AS INT) AS place FROM (SELECT conv_id, text, min(turn) AS since FROM conversations WHERE role = 'user' GROUP BY conv_id, text)")
+def distinct_questions(spark, sf_dir):
+    return translation.in_order(table(spark, sf_dir, "conversations").where("role = 'user'"), "conv_id", "turn", "text")
+
+
+@query("SELECT p_brand, array_to_string(list(p_type ORDER BY length(p_type) DESC, p_type), '|') AS terms FROM (SELECT DISTINCT p_brand, p_type FROM part) GROUP BY p_brand")
+def glossary_terms(spark, sf_dir):
+    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set("p_type").alias("ts")).select("p_brand", F.array_join(protect.glossary_order(F.col("ts")), "|").alias("terms"))
+
+
+@query(
+    f"""
+WITH d AS (SELECT doc_id, text, regexp_extract(text, '[a-z]{{7,}}') AS w FROM documents), s AS (SELECT doc_id, text, w, instr(text, w) - 1 AS a FROM d WHERE w <> ''),
+c AS (SELECT doc_id, regexp_replace(regexp_extract(substr(text, 1, a), '[^.!?।॥\\n]*$') || w || regexp_extract(substr(text, a + length(w) + 1), '^[^.!?।॥\\n]*[.!?।॥\\n]?'), '^[{_S}]+|[{_S}]+$', '', 'g') AS context FROM s)
+SELECT doc_id, CASE WHEN length(context) <= 200 THEN context END AS context FROM c
+"""
+)
+def word_contexts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract("text", "[a-z]{7,}", 0).alias("w")).where("w <> ''").withColumn("a", F.instr("text", F.col("w")) - 1)
+    return rows.select("doc_id", T.sentence_context(F.col("text"), F.col("a"), F.col("a") + F.length("w"), 200).alias("context"))
+
+
+@query("SELECT p_partkey, ['$' || p_name || '$', '\\(' || p_brand || '\\)', '$$' || p_type || '$$'] AS spans, p_name || '^{' || p_size || '}' AS body FROM part")
+def formulas(spark, sf_dir):
+    text = F.concat(F.lit("so $"), "p_name", F.lit("$ and \\("), "p_brand", F.lit("\\), \\$5: $$"), "p_type", F.lit("$$."))
+    body = F.concat(F.lit("$$ "), "p_name", F.lit("^{"), F.col("p_size").cast("string"), F.lit("} $$"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.math_spans(text).alias("spans"), T.latex_body(body).alias("body"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE regexp_matches(text, '[^" + _S + "]')")
+def segments_joined(spark, sf_dir):
+    """Texts put together again from their segments: where all gaps between sentences are one space, as they were."""
+    parts = table(spark, sf_dir, "documents").where(~T.is_blank(F.col("text"))).select("doc_id", "text", segment.segment(F.regexp_replace("text", r"([.!?。！？।])", "$1"), 100_000).alias("s"))
+    same = F.regexp_replace(segment.joined(F.col("s")), r"\s+", "") == F.regexp_replace("text", r"\s+", "")
+    return parts.select("doc_id", F.when(same, F.sha2("text", 256)).alias("digest"))
+
+
+@query("SELECT conv_id AS doc, 'pending_human_review' AS status FROM conversations GROUP BY conv_id HAVING bool_or(length(text) < 40)")
+def review_records(spark, sf_dir):
+    docs = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc")).agg((F.min(F.length("text")) < 40).alias("needs_review"))
+    return translation.review_records(docs).select("doc", "status")
+
+
 # --- joins and checks of the ledger's tables -----------------------------------------------------------------------------
 
 

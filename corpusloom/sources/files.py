@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import re
 import unicodedata
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
@@ -90,6 +91,41 @@ def expand(files: DataFrame, read, kind: str) -> DataFrame:
     return files.select("name", "content").mapInArrow(run, f"name string, {kind}")
 
 
+def described(files: DataFrame, read) -> DataFrame:
+    """name, encrypted, labels (of pages, in order) and metadata of every file; read(bytes) gives these three as a dict.
+
+    Of encrypted files only that is known."""
+    rows = expand(files, lambda content: [read(content)], "encrypted boolean, labels array<string>, metadata map<string,string>")
+    open_ = ~F.coalesce("encrypted", F.lit(False))
+    return rows.select("name", (~open_).alias("encrypted"), F.when(open_, F.col("labels")).alias("labels"), F.when(open_, F.col("metadata")).alias("metadata"))
+
+
+def rasterised(files: DataFrame, sizes, render, dpi: int, max_pages: int, max_pixels: int) -> DataFrame:
+    """name, page_number, width, height, image and error: pages rendered at so many dots per inch.
+
+    sizes(bytes) gives the pages' widths and heights in points, or None for an encrypted file; render(bytes, page, dpi)
+    an image. A file with too many pages, or none, is one row with its error, a page with too many pixels as well."""
+
+    def read(content):
+        pages = sizes(content)
+        if pages is None or not 0 < len(pages) <= max_pages:
+            yield {"page_number": None, "width": None, "height": None, "image": None, "error": "encrypted" if pages is None else f"{len(pages)} pages, allowed are 1 to {max_pages}"}
+            return
+        for i, (w, h) in enumerate(pages, 1):
+            wide, high = math.ceil(w * dpi / 72), math.ceil(h * dpi / 72)
+            fits = wide * high <= max_pixels
+            yield {"page_number": i, "width": wide, "height": high, "image": render(content, i, dpi) if fits else None, "error": None if fits else f"{wide * high} pixels, allowed are {max_pixels}"}
+
+    return expand(files, lambda content: list(read(content)), "page_number int, width int, height int, image binary, error string")
+
+
+def manifest_errors(sources: DataFrame) -> DataFrame:
+    """source and errors of entries whose id or file name is used twice, whatever its case, or whose file is no PDF's plain name."""
+    twice = lambda c: F.count("*").over(Window.partitionBy(F.lower(c))) > 1
+    checks = ((twice("source"), "source ids must be unique"), (twice("filename"), "file names must be unique"), (~F.col("filename").rlike(r"(?i)^[^/\\]+\.pdf$"), "file names are names of PDFs, without folders"))
+    return sources.select("source", F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks])).alias("errors")).where(F.size("errors") > 0)
+
+
 def marked_yaml(text: str, begin: str, end: str) -> dict:
     """The YAML document between two markers of a text; keys may be merged from anchors."""
     import yaml
