@@ -21,7 +21,11 @@ def _grams(units, n: int) -> Counter:
 
 def _words(text: str) -> list[str]:
     """Words, with a punctuation mark at their end, or else at their start, as a word of its own."""
-    return [x for w in text.split() for x in ((m := _MARKED.fullmatch(w)) and filter(None, m.groups())) or [w]]
+    out: list[str] = []
+    for word in text.split():
+        m = _MARKED.fullmatch(word)
+        out += filter(None, m.groups()) if m else [word]
+    return out
 
 
 def chrf(candidate: str, reference: str) -> float:
