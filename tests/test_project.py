@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.plans import claims, lifecycle, project
+from corpusloom.plans import claims, lifecycle, project, storage
 from corpusloom.plans.settings import Ledger
 from corpusloom.sources import files
 
@@ -111,3 +111,18 @@ def test_cache(spark):
     cache = spark.createDataFrame([(n, "k", "v"), ("other", "l", "w")], "namespace string, key string, value string")
     got = lifecycle.cached(spark.createDataFrame([("k",), ("l",)], "key string"), cache, n)
     assert {r["key"]: r["value"] for r in got.collect()} == {"k": "v", "l": None}
+
+
+def test_clusters_must_name_a_shared_folder():
+    class Session:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getCheckpointDir():
+                return None
+
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(Session)
