@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept; all but the last return the
 columns of `documents`. Null doc_ids, empty texts and repeated rows are handled as each stage's function says; an empty
-table passes through all stages. Columns beyond those of `documents` are dropped at the first stage.
+table passes through all stages. Texts may be of any length: each stage reads them whole. Columns beyond those of `documents` are dropped at the first stage.
 """
 
 from __future__ import annotations
