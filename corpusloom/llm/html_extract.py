@@ -3,9 +3,8 @@
 A page is read into elements and blocks of text. Every block has the path of tags and classes from the root to it; for
 each path, text length and punctuation are summed and divided by the path's blocks. The ratios are smoothed over the
 blocks in page order and fused, and paths above a share of the mean are chosen. Elements that directly hold a block of a
-chosen path are content nodes. The text is all blocks of chosen paths, all other blocks that content nodes directly
-hold or that lie between their chosen ones, and headings before these; where most chosen text is in articles, all blocks
-of the articles that hold chosen paths. Parts that by tag, class, id or role are menus, adverts, forms, notices, comments
+chosen path are content nodes. The text is all blocks that content nodes directly hold or that lie between two of these,
+and headings before them; where most chosen text is in articles, all blocks of the articles that hold chosen paths. Parts that by tag, class, id or role are menus, adverts, forms, notices, comments
 and the like are never text, but for a marked element that holds the article.
 
 Null or empty HTML, and pages without any text but such parts, give an empty text. Tags left open and a cut-off end are
@@ -289,19 +288,23 @@ def main_text(source: str | None) -> str:
     if weight[article > 0].sum() >= weight[article == 0].sum():
         boxes = set(article[chosen & (article > 0)].tolist())
         return "\n".join(t for (_, t), a in zip(held, article.tolist()) if a in boxes)
-    # content nodes: what directly holds chosen blocks. All blocks between two of these lie below the node
+    if len(set(article.tolist()) - {0}) > 1:  # beside the text, several articles are teasers of others
+        outer = article == 0
+        held, chosen = [x for x, k in zip(held, outer) if k], chosen[outer]
+    # content nodes: what directly holds chosen blocks. All blocks between two that a node directly holds lie below it
     box = [0] * len(page.tags)  # the nearest element that isn't a paragraph, list, quotation or part of a table
     for i in range(1, len(box)):
         box[i] = box[page.parents[i]] if page.tags[i] in PROSE else i
     at = np.array([box[i] for i, _ in held])
-    nodes = np.flatnonzero(chosen)
+    direct = np.isin(at, at[chosen])
+    nodes = np.flatnonzero(direct)
     first, last = dict(zip(at[nodes[::-1]].tolist(), nodes[::-1].tolist())), dict(zip(at[nodes].tolist(), nodes.tolist()))
     cover = np.zeros(len(held) + 1, int)
     for b in first:
         if page.tags[b] not in ("html", "body"):
             cover[first[b]] += 1
             cover[last[b]] -= 1
-    kept = chosen | (np.cumsum(cover[:-1]) > 0) | np.isin(at, list(first))
+    kept = direct | (np.cumsum(cover[:-1]) > 0)
     for k in range(len(held) - 2, -1, -1):
         kept[k] |= kept[k + 1] and page.tags[held[k][0]] in HEADINGS
     return "\n".join(t for (_, t), k in zip(held, kept) if k)

@@ -200,11 +200,11 @@ def brute_text(tree):
     least = html_extract.THRESHOLD * sum(s * len(t) for s, (_, t) in zip(score, found)) / sum(len(t) for _, t in found)
     chosen = [s >= least or (n[-1][0] == "p" and m >= 1 and t >= html_extract.SENTENCE) for s, n, (t, m) in zip(score, names, ratios)]
     box = [[x for x in p if x[1] not in html_extract.PROSE][-1] for p, _ in found]
-    kept = list(chosen)
+    direct = [any(c and b == box[i] for c, b in zip(chosen, box)) for i in range(len(found))]
+    kept = list(direct)
     for i in range(len(found)):
-        for j in range(len(found)):
-            kept[i] |= chosen[j] and box[i] == box[j]
-            kept[i] |= any(chosen[j] and chosen[k] and box[j] == box[k] and j < i < k and box[j][1] != "body" for k in range(len(found)))
+        for j in range(i):
+            kept[i] |= any(direct[j] and box[j] == box[k] and box[j][1] != "body" for k in range(i + 1, len(found)))
     for i in range(len(found) - 2, -1, -1):
         kept[i] |= kept[i + 1] and found[i][0][-1][1] == "h2"
     return "\n".join(t for (_, t), k in zip(found, kept) if k)
@@ -239,6 +239,16 @@ def test_html_extract_loses_no_text():
     assert html_extract.main_text("<pre>a <span class='token comment'># b</span></pre>") == "a # b"
 
 
+def test_html_extract_tells_articles_from_teasers():
+    text = "The river rose in spring, and the town was flooded for weeks."
+    body = f"<h1>T</h1><div class=meta>2020, Jo</div><p>{text}</p><p>{text}</p><ul><li>One</li></ul><p>{text}</p>"
+    want = "\n".join(["T", "2020, Jo", text, text, "One", text])
+    cards = "".join(f"<article><h3>Other {i}</h3><p>Teaser, short.</p></article>" for i in range(3))
+    assert html_extract.main_text(f"<body><div class=content>{body}</div><div class=more>{cards}</div></body>") == want
+    assert html_extract.main_text(f"<body><article>{body}</article><ol class=commentlist><li><article class=comment><p>{text * 9}</p></article></ol></body>") == want
+    assert html_extract.main_text(f"<body><table><tr><td class=nav><a>1</a><td>{body}<td class=ad>Buy, now.</table></body>") == want
+
+
 def test_html_extract_takes_linear_time():
     import time
 
