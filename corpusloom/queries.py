@@ -923,6 +923,31 @@ def review_records(spark, sf_dir):
     return translation.review_records(docs).select("doc", "status")
 
 
+@query(
+    """
+WITH o AS (SELECT l_orderkey AS page, list_sort(list(DISTINCT CAST(l_linenumber AS VARCHAR))) AS ids, l_orderkey % 5 AS k FROM lineitem GROUP BY l_orderkey)
+SELECT page, k IN (0, 4) AS valid, k <> 2 AND len(ids) > 1 AS attach FROM o
+"""
+)
+def reading_orders(spark, sf_dir):
+    """Decisions on pages' orders: some leave a block out, are too sure, know no such role, or attach to nothing."""
+    o = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))).alias("ids")).withColumn("k", F.col("page") % 5)
+    role = lambda i, n: F.when(n == 0, "title").when(n == 1, "byline").when(F.col("k") == 3, "other").otherwise("body")
+    o = o.withColumn("roles", F.map_from_arrays("ids", F.when((F.col("k") == 3), F.transform("ids", lambda i: F.lit("other"))).otherwise(F.transform("ids", role))))
+    order = F.when(F.col("k") == 1, F.slice("ids", F.lit(2), F.size("ids"))).otherwise(F.reverse("ids"))
+    sure = F.when(F.col("k") == 2, 1.5).otherwise(0.9)
+    valid = layout.valid_order(order, F.col("roles"), F.create_map(F.get("ids", 0), F.lit(None).cast("string")), sure, F.col("ids"))
+    own = F.map_from_arrays("ids", F.transform("ids", lambda i, n: F.when(n == 0, "title").otherwise("byline")))
+    attach = layout.may_attach(own, F.get("ids", 1), F.get("ids", 0), F.when(F.col("k") == 2, 0.7).otherwise(0.8))
+    return o.select("page", valid.alias("valid"), attach.alias("attach"))
+
+
+@query("SELECT p_partkey, p_size % 3 <> 0 AND p_size % 4 = 0 AND p_size % 5 = 0 AS publish FROM part")
+def publishable(spark, sf_dir):
+    made = F.when(F.col("p_size") % 3 == 0, "old").otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", layout.may_publish(F.col("p_name"), made, F.col("p_size") % 4, F.col("p_size") % 5).alias("publish"))
+
+
 # --- joins and checks of the ledger's tables -----------------------------------------------------------------------------
 
 
