@@ -160,18 +160,23 @@ def detected(text: Column, code: Column, probability: Column) -> Column:
 
 def text_quality(text: Column) -> Column:
     """usable, language, reason, characters, letters, symbol_ratio, latin_ratio, script: how well text was extracted."""
-    n = lambda c: count_of(text, c)
-    scripts = F.array(*[F.struct(n(c).alias("n"), (-F.length(F.regexp_extract(text, f"^[^{c}]*", 0))).alias("first"), F.lit(k).alias("k")) for k, c in SCRIPTS.items()])
-    counts = F.struct(
-        n(r"\p{L}").alias("letters"),
-        n("A-Za-z").alias("ascii"),
-        n(r"\p{Sk}\p{Sm}\p{So}").alias("symbols"),
-        n(f"^{SPACE}").alias("visible"),
-        F.length(strip(text)).alias("stripped"),
-        F.length(text).cast("long").alias("characters"),
-        # one look tells the many texts that have none of the scripts
-        F.when(text.rlike(f"[{''.join(SCRIPTS.values())}]"), F.array_max(scripts)).otherwise(F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("first"), F.lit("").alias("k"))).alias("top"),
-    )
+    scripts = F.array(*[F.struct(count_of(text, c).alias("n"), (-F.length(F.regexp_extract(text, f"^[^{c}]*", 0))).alias("first"), F.lit(k).alias("k")) for k, c in SCRIPTS.items()])
+
+    def counted(rest):
+        """rest: the text without ASCII letters, in which all else is counted, as it's short for most texts."""
+        ascii_ = (F.length(text) - F.length(rest)).cast("long")
+        return F.struct(
+            (ascii_ + count_of(rest, r"\p{L}")).alias("letters"),
+            ascii_.alias("ascii"),
+            count_of(rest, r"\p{Sk}\p{Sm}\p{So}").alias("symbols"),
+            (ascii_ + count_of(rest, f"^{SPACE}")).alias("visible"),
+            F.length(strip(text)).alias("stripped"),
+            F.length(text).cast("long").alias("characters"),
+            # one look tells the many texts that have none of the scripts
+            F.when(rest.rlike(f"[{''.join(SCRIPTS.values())}]"), F.array_max(scripts)).otherwise(F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("first"), F.lit("").alias("k"))).alias("top"),
+        )
+
+    counts = let(F.regexp_replace(text, "[A-Za-z]+", ""), counted)
     ratios = lambda c: F.struct(
         c.alias("c"),
         (c["symbols"] / F.greatest(F.lit(1), c["visible"])).alias("symbol"),
