@@ -65,6 +65,13 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     winners = expressions.join(hint(ready), F.col("_short") == F.col("r_short")).where("_digest = r_digest").groupBy("_u").agg(F.max(order).alias("_win"))
     won = winners.select("_u", F.col("_win.rule").alias("_rule"), F.when(F.col("_win.c"), "block").otherwise("allow").alias("_verdict"))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    # null URLs are dealt by their rows: nothing meets them
-    key = F.coalesce(pages[url], F.concat(F.lit("\n"), F.xxhash64(*[pages[c] for c in kept if pages.schema[c].dataType.typeName() not in ("map", "variant")]).cast("string")))
-    return pages.join(won, key == won["_u"], "left").select(*[pages[c] for c in kept], host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), won["_rule"].alias("rule"), F.coalesce(won["_verdict"], F.lit(default)).alias("verdict"))
+
+    own = lambda c: F.col(f"p.`{c}`")  # noqa: E731  the input may have columns of any names
+
+    def judged(rows: DataFrame, rule: Column, verdict: Column) -> DataFrame:
+        return rows.select(*[own(c).alias(c) for c in kept], host_of(own(url)).alias("host"), path_of(own(url)).alias("path"), rule.alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict"))
+
+    named, none = pages.select(*kept).alias("p"), F.lit(None).cast("string")
+    met = named.where(own(url).isNotNull()).join(won.alias("w"), own(url) == F.col("w._u"), "left")
+    # rows without a URL meet nothing: they don't go through the join, where they'd be one task
+    return judged(met, F.col("w._rule"), F.col("w._verdict")).unionByName(judged(named.where(own(url).isNull()), none, none))
