@@ -248,7 +248,7 @@ def grade_histogram(scored: DataFrame) -> DataFrame:
     return scored.groupBy("grade").agg(F.count("*").alias("n"))
 
 
-# The export's columns with their names there, and the rows of its methodology.
+# The export's columns with their names there.
 LEDGER = {
     "label": "Fact ID",
     "event": "Event",
@@ -296,16 +296,6 @@ EVIDENCE = {
     "chronology_notes": "Chronology notes",
     "scope_notes": "Scope notes",
 }
-METHODOLOGY = {
-    "Research index": "I(F)=100(A−D)/(1+A+D), range −100 to +100; not truth probability.",
-    "Evidence strength": "E(F)=100(1−exp(−(A+D))); amount of weighted evidence.",
-    "Source quality": "Weighted geometric mean of six positive dimensions and bias safety.",
-    "Dependence": "Within each independence cluster only the strongest contribution per direction counts.",
-    "Stances": "+1 explicit, +0.5 implicit, 0 silence, −1.5 explicit D1 contradiction.",
-    "Disagreements": "D2–D9 remain visible but only D1 receives an automatic penalty.",
-    "Silence": "Covered-but-silent and not-covered are distinct; neither is contradiction.",
-    "Audit rule": "Every quoted passage is matched to extracted page text and carries PDF/printed pagination.",
-}
 
 
 def _or_empty(rows: DataFrame, *names: str) -> dict[str, Column]:

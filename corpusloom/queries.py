@@ -396,13 +396,13 @@ WITH s AS (SELECT doc_id, regexp_extract_all(text || ' rabbit', '{_VALUE}') AS f
 m AS (SELECT doc_id, parts, list_transform(found, lambda x: CASE WHEN lower(x) = 'rabbit' THEN 'HASE' ELSE x END) AS puts, list_transform(found, lambda x: NOT regexp_matches(x, '^\\+?[0-9][^A-Za-z]*$') OR length(regexp_replace(x, '[^0-9]', '', 'g')) >= 7) AS hides FROM s),
 n AS (SELECT *, list_transform(hides, lambda h, i: len(list_filter(hides[1:i - 1], lambda y: y))) AS before FROM m)
 SELECT doc_id, array_to_string(list_transform(parts, lambda x, i: x || CASE WHEN i > len(puts) THEN '' WHEN hides[i] THEN '<x' || before[i] || '>' ELSE puts[i] END), '') AS text,
-  len(list_filter(hides, lambda x: x)) AS placeholders, list_transform(list_filter(puts, lambda x, i: hides[i] AND before[i] >= 10), lambda x: 'missing protected value: ' || x) AS issues FROM n
+  len(list_filter(hides, lambda x: x)) AS placeholders, array_to_string(list_transform(list_filter(puts, lambda x, i: hides[i] AND before[i] >= 10), lambda x: 'missing protected value: ' || x), '|') AS issues FROM n
 """
 )
 def protect_values(spark, sf_dir):
     glossary = F.create_map(F.lit("rabbit"), F.lit("HASE"))
     rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", protect.protected(F.concat("text", F.lit(" rabbit")), glossary).alias("p"))
-    return rows.select("doc_id", "p.text", F.size("p.replacements").cast("long").alias("placeholders"), protect.restored(F.col("p.text"), F.col("p.replacements"))["issues"].alias("issues"))
+    return rows.select("doc_id", "p.text", F.size("p.replacements").cast("long").alias("placeholders"), F.array_join(protect.restored(F.col("p.text"), F.col("p.replacements"))["issues"], "|").alias("issues"))
 
 
 _WORDS = "SELECT unnest(['modern', 'rnodern', 'clear', 'hello', 'he11o', 'dear', 'vvell', 'well', 'rn', 'corner', '1234']) AS word"
@@ -902,11 +902,11 @@ def word_contexts(spark, sf_dir):
     return rows.select("doc_id", T.sentence_context(F.col("text"), F.col("a"), F.col("a") + F.length("w"), 200).alias("context"))
 
 
-@query("SELECT p_partkey, ['$' || p_name || '$', '\\(' || p_brand || '\\)', '$$' || p_type || '$$'] AS spans, p_name || '^{' || p_size || '}' AS body FROM part")
+@query("SELECT p_partkey, '$' || p_name || '$|\\(' || p_brand || '\\)|$$' || p_type || '$$' AS spans, p_name || '^{' || p_size || '}' AS body FROM part")
 def formulas(spark, sf_dir):
     text = F.concat(F.lit("so $"), "p_name", F.lit("$ and \\("), "p_brand", F.lit("\\), \\$5: $$"), "p_type", F.lit("$$."))
     body = F.concat(F.lit("$$ "), "p_name", F.lit("^{"), F.col("p_size").cast("string"), F.lit("} $$"))
-    return table(spark, sf_dir, "part").select("p_partkey", T.math_spans(text).alias("spans"), T.latex_body(body).alias("body"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.math_spans(text), "|").alias("spans"), T.latex_body(body).alias("body"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE regexp_matches(text, '[^" + _S + "]')")
