@@ -33,6 +33,8 @@ SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 RANK_BUCKETS = 1 << 13
 #: Distinct words that are encoded once and shipped with the plan, and the bytes that such a word has at most.
 FREQUENT, FREQUENT_BYTES = 131_072, 48
+#: Places in that table from which on they're filled with a part of the next less frequent words.
+FILL = 1000
 WORD_BUCKETS = 1 << 16
 #: From so many bytes on, all occurrences of the lowest pair are merged in one step.
 LONG = 384
@@ -142,16 +144,18 @@ def frequent_words(docs: DataFrame, path: str, pattern: str, most: int = FREQUEN
     """w and ids of the corpus' most frequent words: counted over all documents, each distinct word folded once.
 
     Words are taken by their counts' sixteenth powers of two, from the top down, as far as all words of a level fit into
-    `most`. So words of at most FREQUENT_BYTES bytes and no more than `most` come to the driver, however large the corpus."""
+    `most`; of the next level as many as there's room for. So words of at most FREQUENT_BYTES bytes and no more than `most` come to the driver, however large the corpus."""
     words = docs.select(F.explode(words_of(F.col("text"), pattern)).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.octet_length("w") <= FREQUENT_BYTES)
     counted = cut_lineage(words.withColumn("level", F.floor(16 * F.log2("n"))))
-    least, held = 1 << 62, 0
+    least, held, part = 1 << 62, 0, F.lit(False)
     for level, n in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
-        held += n
-        if held > most:
+        if held + n > most:
+            if most - held >= FILL:  # places are left for a part of the level, drawn by a digest
+                part = (F.col("level") == level) & (F.pmod(F.xxhash64("w"), F.lit(1 << 20)) < int(0.95 * (most - held) / n * (1 << 20)))
             break
+        held += n
         least = level
-    top = counted.where(F.col("level") >= least).select(byte_string(F.col("w")).alias("w")).repartition(max(8, most // 4096))
+    top = counted.where((F.col("level") >= least) | part).select(byte_string(F.col("w")).alias("w")).repartition(max(8, most // 4096))
     found = top.select("w", let(ranks_literal(path), lambda ranks: word_ids(F.col("w"), ranks)).alias("ids")).toArrow()
     drop(counted)
     return found
