@@ -322,10 +322,13 @@ def plain_spans(x):
     return sorted(out + [(m.start(), 3, m.end()) for m in PHONE.finditer(x) if 10 <= len(digits(m)) <= 15])
 
 
-def test_frequent_words_are_bounded(spark):
+def test_frequent_words_are_bounded(spark, monkeypatch):
     rows = spark.createDataFrame([(f"{'a ' * 9}{'b ' * 9}{'c ' * 3}d e f g",)], "text string")
     for most, want in ((2, {" a", " b"}), (3, {" a", " b", " c"}), (4, {" a", " b", " c"}), (100, {"a", " a", " b", " c", " d", " e", " f", " g"})):
         assert set(bpe.frequent_words(rows, PATH, public_tokenizers.PATTERN, most).column("w").to_pylist()) == want
+    many = spark.createDataFrame([(" ".join(f"w{i}" for i in range(6000)),)], "text string")
+    monkeypatch.setattr(bpe, "FILL", 500)
+    assert 800 < bpe.frequent_words(many, PATH, public_tokenizers.PATTERN, 1000).num_rows <= 1000
 
 
 def test_pii(docs, empty):
@@ -372,9 +375,11 @@ def test_pii_takes_runs_of_any_length_and_number():
 
     at = time.time()
     secret = "aB3_" * 1250
-    assert pii.redact(x := f"my token: {secret} ends", pii.candidates(x, pii.base_spans(x))) == "my token: <SECRET> ends"
+    held = f"my token: {secret} ends"
+    assert pii.redact(held, pii.candidates(held, pii.base_spans(held))) == "my token: <SECRET> ends"
     mail = f"{'a' * 500} [at] {'b' * 300} [dot] {'c' * 100} [dot] de"
-    assert [x[s:e] for x in [f"write {mail} now"] for s, _, e in pii.candidates(x, [])] == [mail]
+    written = f"write {mail} now"
+    assert [written[s:e] for s, _, e in pii.candidates(written, [])] == [mail]
     many = "mail a.b@c.example.com or 10.0.0.1, ssn 123-45-6789; " * 17_000
     assert len(pii.candidates(many, pii.base_spans(many))) == 51_000
     assert pii.candidates("a" * 300_000, []) == [] == pii.candidates("a" * 300_000 + " [at] ", [])

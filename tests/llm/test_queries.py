@@ -50,6 +50,11 @@ def test_pipeline(spark):
     want = {r["doc_id"]: r["taken"] for r in mixing.mix(mixing.sized(clean.withColumn("doc_id", F.xxhash64("doc_id", "source", "text")))).collect()}
     got = {r["k"]: r["n"] for r in mixing.sized(mix).join(clean.select("doc_id", F.xxhash64("doc_id", "source", "text").alias("k")), "doc_id").groupBy("k").agg(F.sum("size").alias("n")).collect()}
     assert got == {k: n for k, n in want.items() if n}
+    # rows come in the order of the mix
+    keyed = clean.withColumn("k", F.xxhash64("doc_id", "source", "text"))
+    _, turns = mixing.plan(mixing.sized(keyed.withColumn("doc_id", F.col("k"))))
+    order = turns.join(keyed.select("k", "doc_id"), F.col("_d") == F.col("k")).orderBy("slot", "turn", "doc_id").select("doc_id").collect()
+    assert [r["doc_id"] for r in corpus_pipeline.mixed(spark, clean, SF).collect()] == [r["doc_id"] for r in order]
     out = corpus_pipeline.encoded(spark, mix, SF).collect()
     assert sorted((r["doc_id"], r["decoded_sha256"]) for r in out) == sorted((r["doc_id"], cases.sha(r["text"])) for r in mix.collect())
 
