@@ -667,15 +667,17 @@ def _claims(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     facts, decisions, evidence, sources = _ledger(spark, sf_dir)
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact"), F.col("o_orderpriority").alias("event"), F.col("o_orderstatus").alias("taxonomy"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("source_date"))
     decisions = cut_lineage(decisions)
-    scored = claims.score_facts(facts.join(orders, "fact", "left"), decisions, evidence, sources).withColumn("claim", F.concat(F.lit("Order "), F.col("fact").cast("string"))).withColumn("evidence_strength", F.round("evidence_strength", 6))
-    return claims.ledger_order(scored), decisions, evidence, sources
+    scored = claims.score_facts(facts.join(orders, "fact", "left"), decisions, evidence, sources).withColumn("claim", F.concat(F.lit("Order "), F.col("fact").cast("string")))
+    # the order is by rounded strengths, as sums differ in their last digits by engine
+    ordered = claims.ledger_order(scored.withColumn("_strength", F.col("evidence_strength")).withColumn("evidence_strength", F.round("evidence_strength", 6)))
+    return ordered.withColumn("evidence_strength", F.col("_strength")).drop("_strength"), decisions, evidence, sources
 
 
 @query(
     _CLAIMS
     + f""", b AS (SELECT fact, {", ".join(f"string_agg(title, chr(10) ORDER BY source) FILTER (stance = '{b}') AS {b}" for b in claims.BUCKETS[:4])}, string_agg(title, chr(10) ORDER BY source) FILTER (stance = 'silent' AND NOT nc) AS covered_but_silent, string_agg(title, chr(10) ORDER BY source) FILTER (nc) AS not_covered FROM con GROUP BY fact)
 SELECT o.fact, {_PLACE} AS label, coalesce(event, '') AS event, coalesce(taxonomy, '') AS taxonomy, claim, {_KIND.replace("fact", "o.fact")} AS claim_type, coalesce(source_date, '') AS source_date, '' AS normalized_date, '' AS calendar, '' AS location, grade, {_TIER} AS confidence_tier,
-  round(idx, 4) AS research_index, round(round(strength, 6), 4) AS strength_pct, round(coverage * 100, 4) AS coverage_pct, round(conflict * 100, 4) AS conflict_pct, CAST(ind AS BIGINT) AS independent_support_count, CAST(dep AS BIGINT) AS dependent_support_count,
+  round(idx, 4) AS research_index, round(strength, 4) AS strength_pct, round(coverage * 100, 4) AS coverage_pct, round(conflict * 100, 4) AS conflict_pct, CAST(ind AS BIGINT) AS independent_support_count, CAST(dep AS BIGINT) AS dependent_support_count,
   CAST(e1 AS BIGINT) AS primary_document_count, CAST(e2 AS BIGINT) AS eyewitness_count, CAST(e4 AS BIGINT) AS scholarly_count, CAST(ser AS BIGINT) AS serious_contradiction_count, {", ".join(f"coalesce({b}, '') AS {b}" for b in claims.BUCKETS)} FROM o JOIN b ON o.fact = b.fact"""
 )
 def csv_ledger(spark, sf_dir):
