@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, html_extract, language_id, mixing, order_minhash, pii, quality_rules, signature_trees, substring_dedup, url_filters
+from corpusloom.llm import bpe, html_extract, language_id, mixing, order_minhash, pii, pivot_search, quality_rules, signature_trees, spelling, substring_dedup, turn_repair, url_filters
 from corpusloom.llm.common import table
 
 QUERIES: dict = {}
@@ -208,3 +208,127 @@ WITH RECURSIVE d AS (
 )
 SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(r.j) AS component_id FROM s JOIN r ON s.doc_id = r.i GROUP BY s.doc_id, g
 """
+
+
+@query
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one in 199 damaged, with their near words, forms and roots."""
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), every=199)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# the checksum takes each byte, then eight shifts
+ORACLES["op11_spelling"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), r AS (
+  SELECT run, count(*) AS n, doc_id || ':' || run AS k FROM d WHERE length(run) >= 6 GROUP BY doc_id, run
+), b AS (
+  SELECT run, n, flatten(list_transform(string_split(k, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END)) AS bytes FROM r
+), h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(bytes, lambda x: [x::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) AS h FROM b
+), m AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h
+), v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), p AS (
+  SELECT word, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, CAST(unnest(range(1, length(word) + 1)) AS INT) AS i FROM v)
+), e AS (
+  SELECT a.word, b.word AS other FROM p a JOIN p b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT p.word, v.word FROM p JOIN v ON p.cut = v.word
+  UNION SELECT v.word, p.word FROM p JOIN v ON p.cut = v.word
+), g AS (
+  SELECT e.word, count(*) AS n_near, max(o.n) AS most FROM e JOIN v o ON e.other = o.word GROUP BY e.word
+), f AS (
+  SELECT g.word, min(o.word) AS form, any_value(g.most) AS form_n FROM g JOIN v ON g.word = v.word JOIN e ON e.word = g.word JOIN v o ON o.word = e.other AND o.n = g.most WHERE g.most >= 5 * v.n GROUP BY g.word
+), t(word, root) AS (
+  SELECT word, word FROM v UNION ALL SELECT t.word, f.form FROM t JOIN f ON t.root = f.word
+)
+SELECT v.word, f.form, t.root, v.n, coalesce(g.n_near, 0) AS n_near, f.form_n
+FROM v LEFT JOIN g ON v.word = g.word LEFT JOIN f ON v.word = f.word JOIN t ON v.word = t.word WHERE t.root NOT IN (SELECT word FROM f)
+"""
+
+
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text with one of five faults in a quarter of the rows, by a checksum of conversation and turn."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(space("text"), "[.!?]", "")).otherwise(space("text"))
+    rows = conversations.withColumn("_kind", kind).where("_kind != 0")
+    return rows.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(space("role")).alias("role"), text.alias("text"), F.explode(F.when(F.col("_kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")).drop("_copy")
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, of which a quarter of the rows are damaged."""
+    conversations = table(spark, sf_dir, "conversations")
+    report, turns = turn_repair.repair(damaged_turns(conversations))
+    digests = turn_repair.digests(turns).withColumnsRenamed({"conv_id": "_d"})
+    every = conversations.select(F.col("conv_id").alias("_c")).distinct()
+    rows = every.join(report, F.col("_c").eqNullSafe(F.col("conv_id")), "left").join(digests, F.col("_c").eqNullSafe(F.col("_d")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select(F.col("_c").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+# states 0 to 3: nothing, system, user, assistant; w: a turn's edit and the insertions after it, best first
+ORACLES["op12_turn_repair"] = """
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    flatten(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: [unicode(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END)) % 20 AS kind FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM d
+), t AS (
+  SELECT *, substr(role, 1, 1) AS c, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault FROM n
+), ins(a, b, cost, audit) AS (
+  VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 5, 'I'), (1, 2, 5, 'I'), (2, 3, 5, 'I'), (3, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 3, 10, 'II')
+), step(a, b, c) AS (
+  VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')
+), move AS (
+  SELECT conv_id, i, s.a, s.b, 0 AS cost, 'K' AS e FROM t JOIN step s ON s.c = t.c WHERE fault IN ('none', 'truncated')
+  UNION ALL SELECT conv_id, i, s.a, s.b, 1, 'R' FROM t JOIN step s ON s.c IN ('u', 'a') WHERE fault IN ('none', 'truncated')
+), edit AS (
+  SELECT m.conv_id, m.i, a, b, m.cost + CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS cost, e FROM move m JOIN t ON t.conv_id IS NOT DISTINCT FROM m.conv_id AND t.i = m.i
+  UNION ALL SELECT conv_id, i, a, a, 2, 'D' FROM t, (SELECT unnest([0, 1, 2, 3]) AS a)
+), w AS (
+  SELECT conv_id, i, edit.a, ins.b, min({'cost': edit.cost + ins.cost, 'audit': e || ins.audit}) AS w FROM edit JOIN ins ON edit.b = ins.a GROUP BY conv_id, i, edit.a, ins.b
+), r(conv_id, i, b, w) AS (
+  SELECT conv_id, 0::BIGINT, b, {'cost': cost, 'audit': audit} FROM (SELECT DISTINCT conv_id FROM t), ins WHERE a = 0
+  UNION ALL SELECT r.conv_id, r.i + 1, w.b, min({'cost': r.w.cost + w.w.cost, 'audit': r.w.audit || w.w.audit}) FROM r JOIN w ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.i = r.i + 1 AND w.a = r.b GROUP BY r.conv_id, r.i, w.b
+), q AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id
+), z AS (
+  SELECT r.conv_id, min(r.w) AS w FROM r JOIN q ON q.conv_id IS NOT DISTINCT FROM r.conv_id AND q.rows = r.i WHERE r.b IN (0, 3) GROUP BY r.conv_id
+), l AS (
+  SELECT conv_id, unnest(string_split(w.audit, '')) AS e, generate_subscripts(string_split(w.audit, ''), 1) AS p, length(replace(w.audit, 'D', '')) % 2 AS odd FROM z WHERE w.audit <> ''
+), o AS (
+  SELECT *, CAST(coalesce(sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER up, 0) AS BIGINT) AS i, CAST(coalesce(sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER up, 0) AS BIGINT) AS k FROM l WINDOW up AS (PARTITION BY conv_id ORDER BY p)
+), x AS (
+  SELECT o.conv_id, string_agg(CASE WHEN e = 'K' THEN t.role WHEN (k - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY p) AS content
+  FROM o LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM o.conv_id AND t.i = o.i WHERE e <> 'D' GROUP BY o.conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(z.w.cost, 0) AS BIGINT) AS cost, coalesce(z.w.audit, '') AS audit, sha256(coalesce(content, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN x ON x.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query
+def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors with the largest integer inner products for every fiftieth vector."""
+    return pivot_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op13_pivot_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
