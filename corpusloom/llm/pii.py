@@ -3,11 +3,13 @@
 Fixed patterns find the base spans: emails, IP addresses, card numbers, phone numbers. Wider patterns propose further
 spans. Regex, gazetteer and context labelers vote on every candidate; the votes are counted by pattern over all
 documents, expectation-maximisation estimates each labeler's reliability from the counts, and a logistic classifier is
-trained on the resulting beliefs. Candidates that it accepts are added; base spans always stay.
+trained on the resulting beliefs. Candidates that it accepts are added; base spans always stay. What base spans leave of a
+secret, be it ever so short, is judged as the whole secret is.
 
 A null text counts as empty and has no spans. Repeated rows get equal spans; an empty table trains a classifier that
 adds nothing. Offsets count code points. Added spans never overlap base spans or each other. Texts may be of any length
-and hold any number of spans: patterns read runs of any length once, and overlaps are found by bisection.
+and hold any number of spans: patterns read runs of any length once, and overlaps are found by bisection. Other columns
+don't disturb, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,8 +49,6 @@ WIDER = (
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?P<it>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|sk[-_][A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])"), "AKIAgh_sk"),
     ("email", re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]++ ?[\[(]at[\])] ?[a-z0-9-]++(?: ?(?:[\[(]dot[\])]|\.) ?[a-z0-9-]{2,}+)++"), "])"),
 )
-#: Secrets longer than this are kept beside base spans that lie within them.
-LONG = 128
 #: Gazetteers: endings of mail hosts, digits that cards begin with, countries of bank accounts, words near such data.
 TLDS = frozenset("com net org edu gov io de fr es it uk us eu info biz ch at nl be pl se jp cn in br ru ca au".split())
 ISSUERS = frozenset("3456")
@@ -134,20 +134,26 @@ class Taken:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Base spans and wider ones that overlap none of them, nor each other; the earlier and then the longer stays."""
+    """Base spans and wider ones that overlap none of them, nor each other; the earlier and then the longer stays. Of a
+    secret, what base spans leave of it."""
+    return [span for span, _ in proposed(text, base)]
+
+
+def proposed(text: str, base: list[tuple[int, int, int]]) -> list[tuple[tuple[int, int, int], tuple[int, int, int]]]:
+    """Candidates, each with the span that is voted on: for parts of a secret the whole secret."""
     wider, taken = [], Taken(base)
     for kind, pattern, hint in WIDER:
         if any(c in text for c in hint):
             for m in pattern.finditer(text):
                 start, end = m.span("it") if "it" in pattern.groupindex else m.span()
-                parts = list(taken.free(start, end))
-                if kind == "secret" and end - start > LONG or parts == [(start, end)]:
-                    wider += [(a, KINDS.index(kind), b) for a, b in parts]
-    out, last = list(base), 0
-    for s, k, e in sorted(wider, key=lambda x: (x[0], -x[2], x[1])):
-        if s >= last:
-            out.append((s, k, e))
-            last = e
+                parts, whole = list(taken.free(start, end)), (start, KINDS.index(kind), end)
+                if kind == "secret" or parts == [(start, end)]:
+                    wider += [((a, whole[1], b), whole) for a, b in parts]
+    out, last = [(span, span) for span in base], 0
+    for span, whole in sorted(wider, key=lambda x: (x[0][0], -x[0][2], x[0][1], x[1])):
+        if span[0] >= last:
+            out.append((span, whole))
+            last = span[2]
     return sorted(out)
 
 
@@ -198,8 +204,8 @@ def vote_counts(docs: DataFrame) -> DataFrame:
                 if text:
                     base = base_spans(text)
                     known = set(base)
-                    for span in candidates(text, base):
-                        key = votes(text, span, span in known)
+                    for span, whole in proposed(text, base):
+                        key = votes(text, whole, span in known)
                         held[key] = held.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in held], pa.list_(pa.int32())), pa.array(list(held.values()), pa.int64())], ["votes", "n"])
 
@@ -275,7 +281,7 @@ def spans(text: str | None, accepts) -> tuple[list, list]:
         return [], []
     base = base_spans(text)
     held = set(base)
-    return base, [s for s in candidates(text, base) if s in held or accepts(votes(text, s, False))]
+    return base, [s for s, whole in proposed(text, base) if s in held or accepts(votes(text, whole, False))]
 
 
 def redact(text: str, found: list[tuple[int, int, int]]) -> str:

@@ -368,6 +368,14 @@ def test_pii_takes_whole_secrets():
     x = f"token={long}/4111111111111111/{long} ends"
     assert held(x) == [long + "/", "/" + long]
     assert held("token=" * 50_000) and not held("sk-" * 5)
+    # nothing of a secret stays, however long it is and wherever base spans lie in it
+    redacted = lambda x: pii.redact(x, pii.spans(x, lambda _: True)[1])
+    assert redacted("token=4111111111111111-secretpart99 .") == "token=<CARD><SECRET> ."
+    assert redacted("api_key=abcdef1.2.3.4ghijkl .") == redacted(f"api_key={'abc' * 80}def1.2.3.4ghijkl .") == "api_key=<SECRET><IP><SECRET> ."
+    assert redacted("token=x1.2.3.4y5.6.7.8z99 .") == "token=<SECRET><IP><SECRET><IP><SECRET> ."
+    asked = []
+    pii.spans("the isbn token=x1.2.3.4y5.6.7.8z99 .", lambda v: asked.append(v) or True)
+    assert len(asked) == 3 and len(set(asked)) == 1
 
 
 def test_pii_takes_runs_of_any_length_and_number():
@@ -396,12 +404,22 @@ def test_pii_by_brute_force(spark):
         for kind, pattern, _ in pii.WIDER:
             for m in pattern.finditer(t):
                 wide.append((*(m.span("it") if "it" in pattern.groupindex else m.span()), pii.KINDS.index(kind)))
-        out = list(base)
-        for s, e, k in sorted(wide, key=lambda x: (x[0], -x[1], x[2])):
-            if not any(a < e and s < b for a, _, b in out) and e - s <= pii.LONG:
-                out.append((s, k, e))
+        covered = {i for a, _, b in base for i in range(a, b)}
+        parts = []
+        for s, e, k in wide:
+            if pii.KINDS[k] != "secret":
+                parts += [(s, k, e, (s, k, e))] if covered.isdisjoint(range(s, e)) else []
+                continue
+            free = [i for i in range(s, e) if i not in covered]
+            for i in free:
+                if i - 1 not in free:
+                    parts.append((i, k, next(j for j in range(i, e + 1) if j not in free), (s, k, e)))
+        out = [(x, x) for x in base]
+        for s, k, e, whole in sorted(parts, key=lambda x: (x[0], -x[2], x[1], x[3])):
+            if not any(a < e and s < b for (a, _, b), _ in out):
+                out.append(((s, k, e), whole))
         found[t] = sorted(out)
-        counts.update(pii.votes(t, x, x in base) for x in out)
+        counts.update(pii.votes(t, whole, x in base) for x, whole in out)
     got = {tuple(r["votes"]): r["n"] for r in pii.vote_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
     assert got == dict(counts)
     rows = sorted(counts.items())
@@ -425,7 +443,7 @@ def test_pii_by_brute_force(spark):
     for r in pii.annotate(docs, model, "text").collect():
         said = [(s["start"], pii.KINDS.index(s["kind"]), s["end"]) for s in r["spans"]]
         base = plain_spans(r["text"] or "")
-        assert said == [x for x in found.get(r["text"], []) if x in base or model.accepts(pii.votes(r["text"], x, False))]
+        assert said == [x for x, whole in found.get(r["text"], []) if x in base or model.accepts(pii.votes(r["text"], whole, False))]
 
 
 def test_pii_finds_the_reliable_labelers():
