@@ -2,12 +2,13 @@
 
 A page is read into elements and blocks of text. Every block has the path of tags and classes from the root to it; for
 each path, text length and punctuation are summed and divided by the path's blocks. The ratios are smoothed over the
-blocks in page order and fused, and paths above a share of the mean are chosen. Elements that directly hold a block of a
-chosen path are content nodes. The text is all blocks that content nodes directly hold or that lie between two of these,
-and headings before them; where most chosen text is in articles, all blocks of the articles that hold chosen paths. Parts that by tag, class, id or role are menus, adverts, forms, notices, comments
-and the like are never text, but for a marked element that holds the article.
+blocks in page order and fused, and paths above a share of the mean are chosen. Elements whose own text is for the greater
+part on chosen paths are content nodes. The text is all blocks of chosen paths, those that content nodes directly hold or
+that lie between two of these, and headings before them; where most chosen text is in articles, of the articles alone.
+Parts that by tag, class, id or role are menus, adverts, forms, notices, comments and the like are never text, but for a
+marked element that holds the article, and for marked paragraphs where these hold most of the articles' text.
 
-Null or empty HTML, and pages without any text but such parts, give an empty text. Tags left open and a cut-off end are
+An empty table gives an empty result. Null or empty HTML, and pages without any text but such parts, give an empty text. Tags left open and a cut-off end are
 read as far as they go; a `<` that begins no tag is text. Paths with equal ratios are chosen alike. Pages of any length
 and depth take time in proportion to their length. Repeated rows are extracted alike; other columns are carried by `keep`.
 """
@@ -46,6 +47,7 @@ OUTSIDE = frozenset("head script style noscript template nav footer aside button
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar".split())
 #: Words of classes and ids that mark such parts, those that mark what readers wrote, and words that may stand with them.
 PARTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs nav navbar navigation menu footer toolbar pagination pager search skip copyright".split())
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion".split())
 REPLIES = frozenset("comment comments commentlist respond disqus replies reply".split())
 HEADERS = frozenset("header masthead topbar banner".split())
 PLAIN = frozenset("area bar block bottom box button buttons container content first form group holder inner item items last left link links list main mobile page panel post posts primary right row secondary section side site slot small text thread title top unit wrap wrapper".split())
@@ -67,7 +69,7 @@ SENTENCE = 40
 #: Marks of sentences that make a text an article.
 SENTENCES = 3
 
-HARD, SOFT = 2, 1
+HARD, SOFT, QUIET = 2, 1, 3
 
 
 @dataclass
@@ -87,10 +89,13 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
 
 
+WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
 def _names(value: str, words: frozenset) -> bool:
     """Whether some name consists of words that mark a part, and of such as may stand with them."""
-    for name in value.lower().split():
-        said = [x for x in re.split(r"[^a-z]+", name) if x]
+    for name in value.split():
+        said = [x.lower() for x in WORDS.findall(name)]
         if any(x in words for x in said) and all(x in words or x in PLAIN or x in PARTS for x in said):
             return True
     return False
@@ -103,9 +108,11 @@ def _mark(tag: str, attributes: dict[str, str], article: int) -> int:
         return HARD
     if tag == "form":
         return SOFT
-    if tag in ("html", "body", "main") or (article and tag in PROSE and tag not in LISTS):
+    if tag in ("html", "body", "main"):
         return 0
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    if article and tag in PROSE and tag not in LISTS:
+        return QUIET if _names(named, PARTS | REPLIES) else 0
     if _names(named, REPLIES):
         return HARD
     if tag == "article":
@@ -120,6 +127,11 @@ def read(source: str) -> Page:
     blocks: list[int] = []  # where in the stack tags are open that aren't inline
     text: list[str] = []
     endless: set[str] = set()  # tags that have no end from here on
+    muted: list[int] = []  # where in the stack inline adverts are open
+
+    def say(said: str):
+        if not muted:
+            text.append(said)
 
     def flush():
         said = " ".join("".join(text).split())
@@ -133,6 +145,8 @@ def read(source: str) -> Page:
             places[tag].pop()
             if tag not in INLINE:
                 blocks.pop()
+            if muted and muted[-1] == len(stack):
+                muted.pop()
 
     def start(tag: str, raw: str):
         over = stack[-1][1] if stack else 0
@@ -149,6 +163,10 @@ def read(source: str) -> Page:
             page.tags.append(tag)
             over = len(page.tags) - 1
             blocks.append(len(stack))
+        elif "class" in raw or "id" in raw or not raw.islower():
+            named = _attributes(raw)
+            if _names(f"{named.get('class', '')} {named.get('id', '')}", ADVERTS):
+                muted.append(len(stack))
         places.setdefault(tag, []).append(len(stack))
         stack.append((tag, over))
 
@@ -166,21 +184,21 @@ def read(source: str) -> Page:
     while at < size:
         m = TOKEN.search(source, at)
         if m is None:
-            text.append(_html.unescape(source[at:]))
+            say(_html.unescape(source[at:]))
             break
         tag, raw = (m["tag"] or "").lower(), m["attributes"] or ""
         if tag and not m["stop"] and (m.end() < size or ("=" not in raw and raw.strip(" /"))):
-            text.append(_html.unescape(source[at : m.end()]))  # no tag, but text
+            say(_html.unescape(source[at : m.end()]))  # no tag, but text
             at = m.end()
             continue
         if m.start() > at:
-            text.append(_html.unescape(source[at : m.start()]))
+            say(_html.unescape(source[at : m.start()]))
         at = m.end()
         if not tag:
             continue
         flows = tag in INLINE or tag in PASSED or (tag in VOID and tag != "hr")
         if tag == "br":
-            text.append(" ")
+            say(" ")
         elif m["end"]:
             if not flows:
                 flush()
@@ -247,9 +265,15 @@ def outside(page: Page) -> list[bool]:
             break
         taken.add(best)
         plain, sentences, at = plain + size[best], sentences + said[best], best
-    out = [False] * n
+    out, quiet = [False] * n, [False] * n
     for i in range(1, n):
-        out[i] = out[page.parents[i]] or page.marks[i] == HARD or (page.marks[i] == SOFT and i not in taken)
+        p = page.parents[i]
+        out[i] = out[p] or page.marks[i] == HARD or (page.marks[i] == SOFT and i not in taken)
+        quiet[i] = quiet[p] or page.marks[i] == QUIET
+    inside = [(len(t), quiet[i]) for i, t in page.blocks if page.articles[i] and not out[i]]
+    # marked paragraphs that hold most of the articles' text are the text
+    if sum(k for k, q in inside if q) <= sum(k for k, q in inside if not q):
+        out = [o or q for o, q in zip(out, quiet)]
     return out
 
 
@@ -286,17 +310,20 @@ def main_text(source: str | None) -> str:
     weight = score * np.array([len(t) for _, t in held]) * chosen
     article = np.array([page.articles[i] for i, _ in held])
     if weight[article > 0].sum() >= weight[article == 0].sum():
-        boxes = set(article[chosen & (article > 0)].tolist())
-        return "\n".join(t for (_, t), a in zip(held, article.tolist()) if a in boxes)
-    if len(set(article.tolist()) - {0}) > 1:  # beside the text, several articles are teasers of others
-        outer = article == 0
-        held, chosen = [x for x, k in zip(held, outer) if k], chosen[outer]
-    # content nodes: what directly holds chosen blocks. All blocks between two that a node directly holds lie below it
-    box = [0] * len(page.tags)  # the nearest element that isn't a paragraph, list, quotation or part of a table
+        part = np.isin(article, article[chosen & (article > 0)])
+    else:  # beside the text, several articles are teasers of others
+        part = article == 0 if len(set(article.tolist()) - {0}) > 1 else np.ones(len(held), bool)
+    held, chosen = [x for x, k in zip(held, part) if k], chosen[part]
+    # content nodes: more than half of what they directly hold is chosen. All blocks between two that a node directly
+    # holds lie below it
+    box = [0] * len(page.tags)  # the nearest element that isn't a paragraph, list, quotation, part of a table or article's header
     for i in range(1, len(box)):
-        box[i] = box[page.parents[i]] if page.tags[i] in PROSE else i
+        box[i] = box[page.parents[i]] if page.tags[i] in PROSE or (page.tags[i] == "header" and page.articles[i]) else i
     at = np.array([box[i] for i, _ in held])
-    direct = np.isin(at, at[chosen])
+    size = np.array([len(t) for _, t in held])
+    holder = np.unique(at, return_inverse=True)[1]
+    share = np.bincount(holder, size * chosen) > 0.5 * np.bincount(holder, size)
+    direct = share[holder]
     nodes = np.flatnonzero(direct)
     first, last = dict(zip(at[nodes[::-1]].tolist(), nodes[::-1].tolist())), dict(zip(at[nodes].tolist(), nodes.tolist()))
     cover = np.zeros(len(held) + 1, int)
@@ -304,7 +331,7 @@ def main_text(source: str | None) -> str:
         if page.tags[b] not in ("html", "body"):
             cover[first[b]] += 1
             cover[last[b]] -= 1
-    kept = direct | (np.cumsum(cover[:-1]) > 0)
+    kept = chosen | direct | (np.cumsum(cover[:-1]) > 0)
     for k in range(len(held) - 2, -1, -1):
         kept[k] |= kept[k + 1] and page.tags[held[k][0]] in HEADINGS
     return "\n".join(t for (_, t), k in zip(held, kept) if k)

@@ -150,7 +150,7 @@ def test_html_extract_reads_marked_wrappers():
 
 
 def random_page(r):
-    """A tree of (tag, class, children or text): pages without article, marked parts included."""
+    """A tree of (tag, class, children or text), with marked parts, and with articles in half of all pages."""
 
     def words(n):
         return " ".join(r.choice(["alpha", "beta,", "gamma.", "delta", "eps;"]) for _ in range(n))
@@ -158,15 +158,18 @@ def random_page(r):
     def grow(depth):
         out = []
         for _ in range(r.randrange(1, 5)):
-            kind = r.choice(["p", "p", "p", "h2", "ul", "div", "div", "section"])
-            if kind in ("div", "section") and depth < 4:
+            kind = r.choice(["p", "p", "p", "h2", "ul", "div", "div", "section", *articles])
+            if kind == "article" and depth == 0:
+                out.append((kind, "", grow(depth + 1)))
+            elif kind in ("div", "section") and depth < 4:
                 out.append((kind, r.choice(["", "", "body", "intro", "links", "ad", "site-nav", "comments", "has-sidebar"]), grow(depth + 1)))
             elif kind == "ul":
                 out.append((kind, "", [("li", "", words(r.choice([1, 3, 20]))) for _ in range(r.randrange(1, 5))]))
             elif kind in ("p", "h2"):
-                out.append((kind, "", words(r.choice([1, 4, 30, 80]) if kind == "p" else 3)))
+                out.append((kind, r.choice(["", "", "", "", "", "ad", "adBox"]) if kind == "p" and articles else "", words(r.choice([1, 4, 30, 80]) if kind == "p" else 3)))
         return out
 
+    articles = r.choice([[], ["article", "article"]])
     return ("body", "", [*grow(0), ("p", "", "One. Two. Three. Four.")])  # sentences outside of marks: no marked part holds the text
 
 
@@ -183,7 +186,12 @@ def brute_text(tree):
             found.append((path, node[2]))
 
     walk(tree, ())
-    found = [(p, t) for p, t in found if not any(c in ("ad", "site-nav", "comments") for _, _, c in p)]
+    inside = lambda p: next((x[0] for x in p if x[1] == "article"), 0)
+    marked = ("ad", "adBox", "site-nav", "comments")
+    quiet = lambda p: inside(p) and p[-1][1] == "p" and p[-1][2] in marked
+    found = [(p, t) for p, t in found if not any(c in marked for _, _, c in (p[:-1] if quiet(p) else p))]
+    if sum(len(t) for p, t in found if quiet(p)) <= sum(len(t) for p, t in found if inside(p) and not quiet(p)):
+        found = [(p, t) for p, t in found if not quiet(p)]
     if not found:
         return ""
     names = [tuple(x[1:] for x in p) for p, _ in found]
@@ -199,9 +207,17 @@ def brute_text(tree):
     score = [mean(fused, n) for n in names]
     least = html_extract.THRESHOLD * sum(s * len(t) for s, (_, t) in zip(score, found)) / sum(len(t) for _, t in found)
     chosen = [s >= least or (n[-1][0] == "p" and m >= 1 and t >= html_extract.SENTENCE) for s, n, (t, m) in zip(score, names, ratios)]
+    weight = [s * len(t) * c for s, (_, t), c in zip(score, found, chosen)]
+    within = [inside(p) for p, _ in found]
+    if sum(w for w, a in zip(weight, within) if a) >= sum(w for w, a in zip(weight, within) if not a):
+        part = {a for a, c in zip(within, chosen) if a and c}
+    else:
+        part = {0} if len(set(within) - {0}) > 1 else set(within)
+    found, chosen = [x for x, a in zip(found, within) if a in part], [c for c, a in zip(chosen, within) if a in part]
     box = [[x for x in p if x[1] not in html_extract.PROSE][-1] for p, _ in found]
-    direct = [any(c and b == box[i] for c, b in zip(chosen, box)) for i in range(len(found))]
-    kept = list(direct)
+    own = lambda b, only: sum(len(t) for (_, t), c, x in zip(found, chosen, box) if x == b and (c or not only))
+    direct = [2 * own(b, True) > own(b, False) for b in box]
+    kept = [d or c for d, c in zip(direct, chosen)]
     for i in range(len(found)):
         for j in range(i):
             kept[i] |= any(direct[j] and box[j] == box[k] and box[j][1] != "body" for k in range(i + 1, len(found)))
@@ -227,6 +243,34 @@ def test_html_extract_by_brute_force():
     assert checked > 200
 
 
+def test_html_extract_goes_by_its_ratios(spark, monkeypatch):
+    """Pages with an article lose text if other paths than those of high ratios are chosen."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    right = [html_extract.main_text(x) for x in pages]
+    plain = html_extract.chosen_paths
+
+    def turned(paths, texts, prose):
+        _, score = plain(paths, texts, prose)
+        worst = min(set(paths), key=lambda p: score[paths.index(p)])
+        return np.array([p == worst for p in paths]), score
+
+    monkeypatch.setattr(html_extract, "chosen_paths", turned)
+    changed = [html_extract.main_text(x) != y for x, y in zip(pages, right) if y.count("\n")]
+    assert sum(changed) > 0.9 * len(changed) > 0
+
+
+def test_html_extract_leaves_adverts_and_comments_in_articles():
+    text = "The river rose in spring, and the town was flooded for weeks."
+    page = lambda x: html_extract.main_text(f"<nav>x</nav><article><h1>T</h1><p>{text}</p>{x}<p>{text}</p><p>End.</p></article>")
+    want = f"T\n{text}\n{text}\nEnd."
+    for x in ("<p class='ad'>BUY NOW</p>", "<span class='ad'>BUY NOW</span>", "<a class='adBox' href=x>BUY <b>NOW</b></a>", "<p class='comment'>reader says</p>", "<div class='adBox'>BUY NOW</div>", "<div id=sponsoredPost><p>BUY, now. And now.</p></div>"):
+        assert page(x) == want, x
+    assert page("<p id='search-for-truth'>Short.</p>") == want.replace(f"{text}\n{text}", f"{text}\nShort.\n{text}")
+    assert page("<p>So <span class='ad-hoc'>it</span> <i class=promo>(buy)</i> goes.</p>") == f"T\n{text}\nSo it goes.\n{text}\nEnd."
+    # marked paragraphs that hold the text are it
+    assert html_extract.main_text("<article><h1>T</h1>" + f"<p class=notice>{text}</p>" * 3 + "</article>") == "\n".join(["T", text, text, text])
+
+
 def test_html_extract_loses_no_text():
     text = "Some words, and more. " * 10
     inside = [f"<p id='search-for-truth'>{text}</p>", f"<h2 id='comments-on-method'>{text}</h2>", f"<p data-id='ad-3'>{text}</p>", f"<p title=don't>It's lost. {text}</p>", f"<p>{text}</p>"]
