@@ -10,7 +10,8 @@ they're connected already. Remaining pairs are verified exactly.
 
 A text with fewer words than n is one n-gram; a null text, or one without words, has an empty set and is linked with
 nothing. Rows that share a doc_id count as one document, linked with all that any of its texts is linked with; a null
-doc_id has the component null. Repeated rows are given back as often as they come; an empty table gives no rows.
+doc_id has the component null. Repeated rows are given back as often as they come; an empty table gives no rows. Texts may
+be of any length: one is held whole by a task, with its n-grams. Other columns don't disturb, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ NGRAM, PERCENT = 3, 90
 #: Keys that one range holds, documents that one tree holds before its group is dealt into pieces, bits of a bitmap.
 RANGE_KEYS, TREE, BITS = 1 << 20, 1000, 4096
 PIVOTS = 16
-#: Tasks over which a group's rows are spread where they meet what is known of the group.
-SALTS = 64
+#: A group's rows that meet what is known of the group in one place, at least; groups with more rows, at most.
+SHARE, HOT = 1 << 16, 1 << 16
 FANOUT = 8
 
 
@@ -338,17 +339,25 @@ def _tree_links(n: int, percent: int):
     return run
 
 
+SENT = ["doc_id", "text", "group", "piece", "again", "pieces"]
+
+
 def _send(key, docs, own):
-    """The block's documents, once for each group that they're in."""
+    """The block's documents, once for each group that they're in; a document has one group of a size class at most."""
     if not docs.num_rows or not own.num_rows:
-        return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.bool_())], names=["doc_id", "text", "group", "again"])
-    return docs.select(["doc_id", "text"]).join(own.select(["d", "group", "again"]), "doc_id", "d", "inner").combine_chunks().select(["doc_id", "text", "group", "again"])
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int32())], names=SENT)
+    return docs.select(["doc_id", "text"]).join(own.select(["d", *SENT[2:]]), "doc_id", "d", "inner").combine_chunks().select(SENT)
+
 
+def _known(rows: DataFrame, few: DataFrame, key: str, doc: str, share: int) -> DataFrame:
+    """rows with the columns of few, one row for each key, in which _rows counts the key's rows; null where there's none.
 
-def _known(rows: DataFrame, few: DataFrame, key: str, doc: str) -> DataFrame:
-    """rows with the columns of few, one row for each key; null where there's none. No key's rows are one task."""
-    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.expr(f"cast(pmod(xxhash64({doc}, 5), {SALTS}) as int)")).join(salted, [key, "_salt"], "left").drop("_salt")
+    Keys with more than `share` rows, of which there are HOT at most, are spread over as many places as that needs."""
+    hot = few.where(F.col("_rows") > share).select(F.col(key).alias("_key"), F.ceil(F.col("_rows") / share).cast("int").alias("_salts"))
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("_rows") / share).cast("int") - 1)))).drop("_rows")
+    named = rows.withColumn("_join", F.expr(key)).join(F.broadcast(hot), F.col("_join") == F.col("_key"), "left")
+    placed = named.withColumn("_salt", F.expr(f"cast(coalesce(pmod(xxhash64({doc}, 5), _salts), 0) as int)")).drop("_key", "_salts", "_join")
+    return placed.join(salted, [key, "_salt"], "left").drop("_salt")
 
 
 def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TREE) -> DataFrame:
@@ -365,7 +374,8 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
 
     tagged = cut_lineage(rows.mapInArrow(tidied(tag), "doc_id long, n_shingles long, one long, two long"))
     reps = cut_lineage(tagged.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    total, n_docs = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    share = max(SHARE, -(-n_docs // HOT))
     n_blocks = max(1, int(-(-total // (BLOCK_BYTES * growth(total)))))
     n_ranges = max(1, int(-(-total // 16 // (RANGE_KEYS * growth(total)))))
     block = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {n_blocks}) as int)").alias("block")
@@ -378,21 +388,21 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
     # groups that may hold links, by join class; the tree's task gets their texts
     node = lambda x: F.struct("c", F.col(x).alias("id"))
     maybe = components(agreed.select(node("hub").alias("src"), node("doc").alias("dst")))
-    sizes = maybe.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > tree)
-    grouped = cut_lineage(_known(maybe, sizes, "label", "node.id").select(F.col("node.id").alias("doc_id"), F.xxhash64("label").alias("group"), "size"))
+    sizes = maybe.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > tree).withColumn("_rows", F.col("size"))
+    grouped = cut_lineage(_known(maybe, sizes, "label", "node.id", share).select(F.col("node.id").alias("doc_id"), F.xxhash64("label").alias("group"), "size"))
     drop(agreed)
     large = grouped.where("size IS NOT NULL")
     pieces = lambda: F.expr(f"cast(ceil(size / {tree / 2}) as int)")
     piece = lambda: F.expr(f"cast(pmod(xxhash64(doc_id, 7), ceil(size / {tree / 2})) as int)")
-    # a large group's pieces share a few documents, which connect most of what is linked
-    rank = Window.partitionBy("group", "piece").orderBy("mark")
-    few = large.withColumn("piece", piece()).withColumn("mark", F.xxhash64("doc_id", F.lit(3))).withColumn("k", F.row_number().over(rank)).where("k <= 2").withColumn("k", F.row_number().over(Window.partitionBy("group").orderBy("mark"))).where(F.col("k") <= PIVOTS)
-    tasks = grouped.where("size IS NULL").select("doc_id", "group", F.lit(0).alias("piece"), F.lit(False).alias("again"))
+    # a large group's pieces share a few documents, which connect most of what is linked; each task ranks its own first
+    rank = Window.partitionBy("group").orderBy("mark", "doc_id")
+    few = large.withColumn("mark", F.xxhash64("doc_id", F.lit(3))).withColumn("k", F.row_number().over(rank)).where(F.col("k") <= PIVOTS)
+    tasks = grouped.where("size IS NULL").select("doc_id", "group", F.lit(0).alias("piece"), F.lit(False).alias("again"), F.lit(None).cast("int").alias("pieces"))
     some = not large.isEmpty()
     if some:
+        marked = few.select(F.col("doc_id").alias("_d"), F.col("group").alias("_g"), pieces().alias("pieces"))
         own = large.select("doc_id", "group", piece().alias("piece"), F.lit(True).alias("again"))
-        shared = few.select("doc_id", "group", F.explode(F.sequence(F.lit(0), pieces() - 1)).alias("piece"), F.lit(False).alias("again"))
-        tasks = tasks.unionByName(own.unionByName(shared).groupBy("doc_id", "group", "piece").agg(F.max("again").alias("again")))
+        tasks = tasks.unionByName(own.join(marked, (F.col("doc_id") == F.col("_d")) & (F.col("group") == F.col("_g")), "left").drop("_d", "_g"))
     sent = _sent(rows, tasks, n_blocks)
     if some:
         sent = cut_lineage(sent)
@@ -402,9 +412,9 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
         first = components(links)
         named = large.join(first, F.col("doc_id") == F.col("node"), "left").select("doc_id", "group", "size", F.coalesce("label", "doc_id").alias("label"))
         counts = named.groupBy("group", "label").agg(F.count("*").alias("m"))
-        bulk = counts.groupBy("group").agg(F.max(F.struct("m", "label"))["label"].alias("bulk"))
-        split = cut_lineage(_known(named, bulk, "group", "doc_id").select("doc_id", "group", (F.col("label") != F.col("bulk")).alias("apart")))
-        every = cut_lineage(links.unionByName(_run_trees(_sent_again(sent, _paired(split, tree)), n, percent)))
+        bulk = counts.groupBy("group").agg(F.max(F.struct("m", "label"))["label"].alias("bulk"), F.sum("m").alias("_rows"))
+        split = cut_lineage(_known(named, bulk, "group", "doc_id", share).select("doc_id", "group", (F.col("label") != F.col("bulk")).alias("apart")))
+        every = cut_lineage(links.unionByName(_run_trees(_sent_again(sent, _paired(split, tree, share)), n, percent)))
         drop(links, split, sent)
         links = every
     drop(grouped)
@@ -415,24 +425,29 @@ def join(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, tree: int = TR
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _paired(docs: DataFrame, tree: int) -> DataFrame:
+def _paired(docs: DataFrame, tree: int, share: int) -> DataFrame:
     """doc_id, group, piece: tasks of some `tree` documents in which each document that's apart meets all of its group.
 
     docs: doc_id, group, apart. Both kinds are dealt into pieces of half a tree, those apart first; each pair of pieces
     of which one at least is apart is a task."""
-    sizes = docs.groupBy("group").agg(*[F.ceil(F.count_if(c) / (tree / 2)).cast("int").alias(n) for n, c in (("m", F.col("apart")), ("k", ~F.col("apart")))]).where("m > 0")
-    at = _known(docs, sizes, "group", "doc_id").where("m > 0").withColumn("p", F.expr("cast(if(apart, pmod(xxhash64(doc_id, 11), m), m + pmod(xxhash64(doc_id, 11), k)) as int)"))
+    sizes = docs.groupBy("group").agg(*[F.ceil(F.count_if(c) / (tree / 2)).cast("int").alias(n) for n, c in (("m", F.col("apart")), ("k", ~F.col("apart")))], F.count("*").alias("_rows")).where("m > 0")
+    at = _known(docs, sizes, "group", "doc_id", share).where("m > 0").withColumn("p", F.expr("cast(if(apart, pmod(xxhash64(doc_id, 11), m), m + pmod(xxhash64(doc_id, 11), k)) as int)"))
     others = F.expr("if(apart, filter(sequence(0, m + k - 1), q -> q <> p), sequence(0, m - 1))")
     pair = at.select("doc_id", "group", "p", F.explode(others).alias("q"))
     return pair.select("doc_id", "group", F.struct(F.least("p", "q").alias("one"), F.greatest("p", "q").alias("two")).alias("piece"))
 
 
 def _sent(rows: DataFrame, tasks: DataFrame, n_blocks: int) -> DataFrame:
-    """Texts with their group and task, for tasks of doc_id, group, piece and again. Small groups share a task."""
+    """Texts with their group and task, for tasks of doc_id, group, piece, again and pieces (in how many pieces of its group a
+    document is, null: only this one). Texts leave their block once for each group and are copied row by row. Small groups
+    share a task."""
     block = lambda c: F.expr(f"cast(pmod(xxhash64({c}), {n_blocks}) as int)").alias("block")
-    own = tasks.select(F.col("doc_id").alias("d"), F.xxhash64("group", "piece").alias("group"), "again", block("doc_id"))
+    own = tasks.select(F.col("doc_id").alias("d"), "group", "piece", "again", "pieces", block("doc_id"))
     named = rows.where("doc_id IS NOT NULL").select("doc_id", "text", block("doc_id"))
-    sent = named.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(tidied(_send), "doc_id long, text string, group long, again boolean")
+    once = named.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(tidied(_send), "doc_id long, text string, group long, piece int, again boolean, pieces int")
+    every = F.when(F.col("pieces").isNull(), F.array("piece")).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))
+    copied = once.select("doc_id", "text", "group", (F.col("again")).alias("_again"), F.col("piece").alias("_own"), F.explode(every).alias("_piece"))
+    sent = copied.select("doc_id", "text", F.xxhash64("group", "_piece").alias("group"), (F.col("_again") & (F.col("_piece") == F.col("_own"))).alias("again"))
     return sent.withColumn("task", F.expr(f"pmod(xxhash64(group, 9), {4 * n_blocks})"))
 
 

@@ -618,6 +618,26 @@ def test_signature_trees_bound_every_task(spark, monkeypatch):
     assert len(most) == 2 and 0 < most[1] <= 2 * 40
 
 
+def test_signature_trees_copy_texts_row_by_row(spark):
+    """A document that all pieces of its group share leaves its block once, and Spark copies it."""
+    import pyarrow as pa
+
+    docs = pa.table({"doc_id": [1, 2], "text": ["x" * 100_000, "y"], "block": [0, 0]})
+    own = pa.table({"d": [1, 2], "group": [9, 9], "piece": pa.array([3, 5], pa.int32()), "again": [True, True], "pieces": pa.array([4000, None], pa.int32())})
+    assert signature_trees._send(None, docs, own).nbytes < 101_000
+    tasks = spark.createDataFrame([(1, 9, 3, True, 4000), (2, 9, 5, True, None)], "doc_id long, group long, piece int, again boolean, pieces int")
+    sent = signature_trees._sent(spark.createDataFrame([(1, "x" * 100), (2, "y")], "doc_id long, text string"), tasks, 2)
+    got = sent.groupBy("doc_id").agg(F.count_distinct("group").alias("groups"), F.count_if("again").alias("again"), F.min(F.length("text")).alias("n")).collect()
+    assert sorted(map(tuple, got)) == [(1, 4000, 1, 100), (2, 1, 1, 1)]
+
+
+def test_signature_trees_spread_large_groups(spark):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 30_000, 1).otherwise(F.col("id")).alias("group"))
+    few = rows.groupBy("group").agg(F.count("*").alias("_rows"), F.max("doc_id").alias("best"))
+    got = signature_trees._known(rows, few, "group", "doc_id", 1000)
+    assert got.count() == 40_000 and got.where("best IS NULL").isEmpty() and got.columns == ["group", "doc_id", "best"]
+
+
 def test_tables_go_when_a_query_ends(spark):
     from pathlib import Path
 
