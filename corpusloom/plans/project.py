@@ -1,8 +1,8 @@
 """Runs of the claim ledger over a folder of Parquet tables, stage by stage; each stage adds what is still missing.
 
 Given: sources (source, title, cluster, q), pages (source, page_number, text). Made: chunks, extracted, raw_facts,
-canonical_facts, fact_members, stances, scores, runs. What models answer comes from functions of DataFrames; answers
-count only where they fit the text or the evidence that was asked about.
+fact_vectors, fact_cells, cell_centres, canonical_facts, fact_members, stances, scores, runs. What models answer comes from
+functions of DataFrames; answers count only where they fit the text or the evidence that was asked about.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunk, graph, quotes
-from corpusloom.operators.similarity import radius_pairs
-from corpusloom.plans import claims, lifecycle
+from corpusloom.operators import cells, chunk, graph, quotes, similarity
+from corpusloom.plans import claims, lifecycle, models, storage
 from corpusloom.plans.settings import Ledger
 
 STAGES = ("parse", "extract", "deduplicate", "align", "score", "export")
@@ -30,15 +30,19 @@ class Models:
     """extract: chunks (chunk_id, source, page_number, chunk) to claims (chunk_id, claim, claim_type, quote, evidence_class,
     confidence and perhaps event, taxonomy, source_date, normalized_date, calendar, location). embed: facts (id, text) to
     (id, embedding). align: open pairs (fact, claim, source, ids) to decisions (fact, source, stance, contradiction_type,
-    confidence, support_ids, contradiction_ids and perhaps rationale, chronology_notes, scope_notes)."""
+    confidence, support_ids, contradiction_ids and perhaps rationale, chronology_notes, scope_notes). embedding_model names
+    what embed uses: vectors of another name are made anew."""
 
     extract: Callable[[DataFrame], DataFrame]
     embed: Callable[[DataFrame], DataFrame]
     align: Callable[[DataFrame], DataFrame]
+    embedding_model: str = "default"
 
 
 DETAILS = ("event", "taxonomy", "source_date", "normalized_date", "calendar", "location")
 NOTES = ("rationale", "chronology_notes", "scope_notes")
+#: Why a source without anything to show doesn't cover a fact.
+UNSHOWN = "Nothing extracted from this source is similar enough."
 
 
 @dataclass
@@ -58,20 +62,39 @@ class Project:
         there = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         return there, there.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def has(self, name: str) -> bool:
+    def _exists(self, name: str) -> bool:
         there, files = self._files(name)
         return files.exists(there)
 
+    def _rename(self, old: str, new: str) -> None:
+        (there, files), (to, _) = self._files(old), self._files(new)
+        if not files.rename(there, to):
+            raise OSError(f"{there} can't be renamed to {to}")
+
+    def has(self, name: str) -> bool:
+        """Whether the table is there. One whose replacement broke off is put back."""
+        if self._exists(name):
+            return True
+        if self._exists(f"{name}.old"):
+            self._rename(f"{name}.old", name)
+            return True
+        return False
+
     def table(self, name: str) -> DataFrame:
+        self.has(name)
         return self.spark.read.parquet(self.path(name))
 
     def replace(self, name: str, rows: DataFrame) -> int:
-        """Writes the rows beside the table and puts them in its place once they're whole; the number of rows."""
+        """Writes the rows beside the table and puts them in its place once they're whole; the number of rows.
+
+        The old rows go last: a run that breaks off leaves them in place, or beside, from where `has` and `table` put them back."""
         seen, new = Observation(f"{name}-{uuid.uuid4().hex}"), f"{name}.{uuid.uuid4().hex}"
         rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(self.path(new))
-        (there, files), (ready, _) = self._files(name), self._files(new)
-        files.delete(there, True)
-        files.rename(ready, there)
+        if self.has(name):
+            self.clear([f"{name}.old"])
+            self._rename(name, f"{name}.old")
+        self._rename(new, name)
+        self.clear([f"{name}.old"])
         return seen.get["rows"]
 
     def add(self, name: str, rows: DataFrame) -> int:
@@ -82,8 +105,9 @@ class Project:
 
     def clear(self, names) -> None:
         for name in names:
-            there, files = self._files(name)
-            files.delete(there, True)
+            for kept in (f"{name}.old", name):
+                there, files = self._files(kept)
+                files.delete(there, True)
 
     # --- stages: each gives its counts ---
 
@@ -143,30 +167,83 @@ class Project:
         if self.has("canonical_facts") and self.has("fact_members"):
             return {"facts": self.table("canonical_facts").count(), "new": 0}
         raw = self.table("raw_facts")
-        vectors = self.models.embed(raw.select("id", F.col("claim").alias("text"))).select("id", "embedding")
+        self.embed()
+        vectors = self.table("fact_vectors").select("id", "embedding")
         groups = graph.bounded_components(vectors, self.settings.same_fact, self.settings.component)
         families = groups.groupBy("group", "slice").agg(F.collect_list("id").alias("ids"))  # bounded by the component's size
         members = claims.canonical_members(families).select(F.col("canonical_id").alias("fact"), F.col("member").alias("id"))
         self.replace("fact_members", members)
         best = F.max(F.struct("confidence", *(F.col(c) for c in ("id", "claim", "claim_type", *DETAILS))))
-        facts = self.table("fact_members").join(raw, "id").groupBy("fact").agg(best.alias("b")).select("fact", "b.claim", "b.claim_type", *[f"b.{c}" for c in DETAILS])
+        facts = self.table("fact_members").join(raw, "id").groupBy("fact").agg(best.alias("b")).select("fact", F.col("b.id").alias("head"), "b.claim", "b.claim_type", *[f"b.{c}" for c in DETAILS])
         n = self.replace("canonical_facts", facts)
         return {"facts": n, "new": n}
 
+    def embed(self) -> int:
+        """Vectors of facts that have none, or another model's; how many were made."""
+        facts, name = self.table("raw_facts").select("id", F.col("claim").alias("text")), self.models.embedding_model
+        if self.has("fact_vectors"):
+            held = facts.join(self.table("fact_vectors"), "id", "left")
+            todo = models.stale(held, name).select("id", "text")
+            kept = held.join(todo.select("id"), "id", "left_anti").select("id", "embedding", "embedding_model")
+        else:
+            todo, kept = facts, None
+        todo = storage.cut_lineage(todo)
+        n = todo.count()
+        if n or kept is None:
+            made = self.models.embed(todo).select("id", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(name).alias("embedding_model"))
+            kept = made if kept is None else kept.unionByName(made)
+        elif kept.count() == self.table("fact_vectors").count():
+            return 0
+        self.replace("fact_vectors", kept)
+        return n
+
+    def filed(self) -> tuple[DataFrame, np.ndarray]:
+        """All facts in cells by their vectors, and the cells' centres. Only facts that are new, or whose vector changed, are
+        dealt; once there are four times as many facts as the centres were fitted for, all are dealt anew."""
+        vectors = self.table("fact_vectors").select("id", "embedding", F.xxhash64("embedding").alias("mark"))
+        facts = self.table("raw_facts").select("id", "source").join(vectors, "id").withColumnRenamed("id", "item_id")
+        n = facts.count()
+        centres = self.table("cell_centres").orderBy("cell").collect() if self.has("cell_centres") else []  # at most cells.MOST_CELLS
+        if not centres or not self.has("fact_cells") or n > 4 * max(1, centres[0]["facts"]):
+            filed, at = cells.index(facts)
+            self.replace("cell_centres", self.spark.createDataFrame([(i, n, c.tolist()) for i, c in enumerate(at)] or [(cells.NOWHERE, n, [])], "cell int, facts long, centre array<double>"))
+            marked = filed.join(facts.select("item_id", "mark"), "item_id")
+        else:
+            at = np.array([c["centre"] for c in centres if c["cell"] != cells.NOWHERE], float).reshape(-1, len(centres[0]["centre"]))
+            old = self.table("fact_cells").join(facts.select("item_id", "source", "mark"), ["item_id", "source", "mark"], "left_semi")
+            new = facts.join(old.select("item_id"), "item_id", "left_anti")
+            dealt = cells.deal(cells.unit_items(new), at).join(new.select("item_id", "mark"), "item_id")
+            marked = old.unionByName(dealt)
+        self.replace("fact_cells", marked)
+        return self.table("fact_cells").drop("mark"), at
+
+    def shown(self) -> DataFrame:
+        """fact, source and ids: the evidence that the model is shown of every source, the fact's own members first, then
+        similar facts, up to the places that the settings give."""
+        heads = self.table("canonical_facts").select(F.col("fact").alias("query_id"), F.col("head").alias("id")).join(self.table("fact_vectors"), "id")
+        members = self.table("fact_members").select(F.col("fact").alias("query_id"), F.col("id").alias("item_id"))
+        found = similarity.retrieve(heads, None, members, self.settings.retrieval, self.settings.top_k, self.filed())
+        return similarity.candidates(found).withColumnRenamed("query_id", "fact")
+
     def align(self, force: bool = False) -> dict:
-        """A decision for each fact and source that has none; only evidence of the fact's own members counts."""
+        """A decision for each fact and source that has none. The model is asked where the source has anything to show, and
+        only what it was shown counts; a source with nothing to show doesn't cover the fact."""
         if force:
             self.clear(lifecycle.cleared_from("align"))
         facts, sources = self.table("canonical_facts"), self.table("sources")
         done = self.table("stances").select("fact", "source") if self.has("stances") else facts.select("fact").where("false").withColumn("source", F.lit(None).cast(sources.schema["source"].dataType))
-        evidence = self.table("fact_members").join(self.table("raw_facts"), "id").groupBy("fact", "source").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        pairs = claims.open_pairs(facts, sources, done).join(facts.select("fact", "claim"), "fact").join(evidence, ["fact", "source"], "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+        opened = storage.cut_lineage(claims.open_pairs(facts, sources, done))
+        if opened.isEmpty():
+            return {"pairs": 0}
+        pairs = storage.cut_lineage(opened.join(facts.select("fact", "claim"), "fact").join(self.shown(), ["fact", "source"]).select("fact", "claim", "source", "ids"))
         told = self.models.align(pairs)
         said = told.join(pairs.select("fact", "source", "ids"), ["fact", "source"])
         held = claims.sanitized(F.col("stance"), F.col("support_ids"), F.col("contradiction_ids"), F.col("contradiction_type"), F.col("ids"))
         notes = [(F.col(c) if c in told.columns else F.lit(None)).cast("string").alias(c) for c in NOTES]
-        covered = F.when((F.size("ids") == 0) & (F.col("s.stance") == "silent"), "not_covered").otherwise(F.col("s.coverage")).alias("coverage")
-        rows = said.withColumn("s", held).select("fact", "source", covered, "s.stance", "s.contradiction_type", F.col("confidence").cast("double").alias("confidence"), "s.support_ids", "s.contradiction_ids", *notes)
+        rows = said.withColumn("s", held).select("fact", "source", "s.coverage", "s.stance", "s.contradiction_type", F.col("confidence").cast("double").alias("confidence"), "s.support_ids", "s.contradiction_ids", *notes)
+        bare = similarity.unshown(opened.withColumnRenamed("fact", "query_id"), pairs.withColumnRenamed("fact", "query_id")).withColumnRenamed("query_id", "fact")
+        rows = rows.unionByName(bare.select("fact", "source", "coverage", "stance", "confidence", F.lit(UNSHOWN).alias("rationale")), allowMissingColumns=True)
+        rows = rows.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("support_ids", "contradiction_ids")})
         n = self.add("stances", lifecycle.insert_new(rows.limit(0), rows, "fact", "source", order="stance"))
         if n:
             self.clear(["scores"])

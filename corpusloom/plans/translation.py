@@ -17,6 +17,8 @@ LENGTH = (0.35, 3.0)
 COPY, REPEAT = 0.85, 0.35
 WEIGHTS = {"heuristic": 0.5, "comet": 0.5, "chrf": 0.3, "bleu": 0.1}
 THRESHOLD = 0.72
+#: Why a document that passes by rules alone is reviewed.
+UNESTIMATED = "quality was not estimated by a model: human review required"
 
 
 def copy_ratio(source: Column, candidate: Column) -> Column:
@@ -90,14 +92,17 @@ def best_attempts(attempts: DataFrame, *key: str) -> DataFrame:
     return numbered.where("_k = 1").drop("_k", "_first")
 
 
-def gate(segments: DataFrame, documents: DataFrame, threshold: float = THRESHOLD, strict: bool = False) -> DataFrame:
+def gate(segments: DataFrame, documents: DataFrame, threshold: float = THRESHOLD, strict: bool = False, estimated: bool = True) -> DataFrame:
     """doc, score, passed, needs_review and issues: a document is as good as its own score and its segments' mean.
 
-    segments: doc, pos, score, passed, issues. documents: doc, score, issues. A strict gate lets no document issue pass."""
+    segments: doc, pos, score, passed, issues. documents: doc, score, issues. A strict gate lets no document issue pass.
+    Where no model estimated the quality, what passes is reviewed as well, and an issue says so."""
     parts = segments.groupBy("doc").agg(F.round(F.avg("score"), 4).alias("mean"), F.every("passed").alias("all_passed"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "issues"))), lambda x: x["issues"])).alias("found"))
     both = documents.join(parts, "doc").withColumn("total", F.round(F.least("score", "mean"), 4))
     passed = F.col("all_passed") & (F.col("total") >= threshold) & (F.lit(not strict) | (F.size("issues") == 0))
-    return both.select("doc", F.col("total").alias("score"), passed.alias("passed"), (~passed).alias("needs_review"), F.array_distinct(F.concat("found", "issues")).alias("issues"))
+    alone = passed & F.lit(not estimated)
+    issues = F.array_distinct(F.concat("found", "issues", F.when(alone, F.array(F.lit(UNESTIMATED))).otherwise(F.array().cast("array<string>"))))
+    return both.select("doc", F.col("total").alias("score"), (passed & ~alone).alias("passed"), (~passed | alone).alias("needs_review"), issues.alias("issues"))
 
 
 def carried_glossary(proposals: DataFrame) -> DataFrame:

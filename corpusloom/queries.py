@@ -127,19 +127,26 @@ def language_normalize(spark, sf_dir):
     return values.select("value", T.normalize_language(F.col("value")).alias("language"), T.language_code(F.col("value")).alias("code"))
 
 
+_TARGETS = ("en", "hi", "bn", "fr", "Tamil", "bad")
+_INDIC_FOR = {"en": "en", "fr": "hi", "de": "sa", "es": "Tamil"}
+_INSTEAD = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _INDIC_FOR.items()) + " END"
 _INDIC = ", ".join(f"'{c}'" for c in T.INDIC)
 _SHORT_CASE = "CASE lower(v) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {**T.CODE_OF, **T.INDIC_SHORT}.items()) + " ELSE v END"
 
 
 @query(
     f"""
-WITH v AS (SELECT unnest(['en', 'hi', 'bn', 'kn', 'fr', 'bad', 'sa', 'Tamil']) AS v), c AS (SELECT v, {_SHORT_CASE} AS c FROM v)
-SELECT a.v AS source, b.v AS target, CASE WHEN a.c = b.c OR NOT (a.c IN ({_INDIC}, 'eng_Latn') AND b.c IN ({_INDIC}, 'eng_Latn')) THEN NULL WHEN a.c = 'eng_Latn' THEN 'en_indic' WHEN b.c = 'eng_Latn' THEN 'indic_en' ELSE 'indic_indic' END AS route FROM c a, c b
+WITH d AS (SELECT lang, doc_id % 3 AS part, n_chars, unnest({list(_TARGETS)}) AS t FROM documents), e AS (SELECT CASE part WHEN 0 THEN lang ELSE {_INSTEAD} END AS s, t, n_chars FROM d), v AS (SELECT DISTINCT s AS v FROM e UNION SELECT DISTINCT t FROM e), c AS (SELECT v, {_SHORT_CASE} AS c FROM v)
+SELECT e.s AS source, e.t AS target, CASE WHEN a.c = b.c OR NOT (a.c IN ({_INDIC}, 'eng_Latn') AND b.c IN ({_INDIC}, 'eng_Latn')) THEN NULL WHEN a.c = 'eng_Latn' THEN 'en_indic' WHEN b.c = 'eng_Latn' THEN 'indic_en' ELSE 'indic_indic' END AS route, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS characters
+FROM e LEFT JOIN c a ON a.v = e.s LEFT JOIN c b ON b.v = e.t GROUP BY ALL
 """
 )
 def language_routes(spark, sf_dir):
-    v = spark.createDataFrame([(x,) for x in ("en", "hi", "bn", "kn", "fr", "bad", "sa", "Tamil")], "source string")
-    return v.crossJoin(v.withColumnRenamed("source", "target")).withColumn("route", T.language_route(F.col("source"), F.col("target")))
+    """Documents and characters by the way that they'd be translated: from their language, or for two of three an Indic one in its place."""
+    held = table(spark, sf_dir, "documents").select("lang", "n_chars", F.expr("doc_id % 3").alias("part"), F.explode(F.array(*map(F.lit, _TARGETS))).alias("target"))
+    source = F.when(F.col("part") == 0, F.col("lang")).otherwise(T.lookup(F.col("lang"), _INDIC_FOR)).alias("source")
+    rows = held.select(source, "target", "n_chars").groupBy("source", "target").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("characters"))
+    return rows.select("source", "target", T.language_route(F.col("source"), F.col("target")).alias("route"), "documents", "characters")
 
 
 _NUMBER = r"\+?\p{Nd}+(?:[ \x{A0}.,:/-]\p{Nd}+)*%?"
@@ -405,22 +412,24 @@ def protect_values(spark, sf_dir):
     return rows.select("doc_id", "p.text", F.size("p.replacements").cast("long").alias("placeholders"), F.array_join(protect.restored(F.col("p.text"), F.col("p.replacements"))["issues"], "|").alias("issues"))
 
 
-_WORDS = "SELECT unnest(['modern', 'rnodern', 'clear', 'hello', 'he11o', 'dear', 'vvell', 'well', 'rn', 'corner', '1234']) AS word"
+#: Occurrences per so many words that frequencies of the small test tables are the logarithms of; their shapes read wrongly.
+_PER, _SHAPES = 1e7, (("rn", "m"), ("cl", "d"), ("vv", "w"), ("1", "l"), ("1", "I"), ("0", "O"), ("ri", "n"), ("c", "e"), ("li", "h"), ("a", "o"), ("i", "e"))
 
 
 @query(
     f"""
-WITH f(word, zipf) AS (VALUES ('modern', 5.0), ('clear', 5.0), ('hello', 5.0), ('well', 5.0), ('dear', 5.0), ('corner', 4.0), ('he1lo', 2.6)), t AS ({_WORDS}),
-o AS (SELECT t.word, coalesce(f.zipf, 0.0) AS zipf FROM t LEFT JOIN f ON t.word = f.word WHERE length(t.word) BETWEEN 3 AND 64 AND NOT regexp_matches(t.word, '^[0-9]+$') AND coalesce(f.zipf, 0.0) < 3.5),
-p(a, b) AS (VALUES ('rn', 'm'), ('cl', 'd'), ('vv', 'w'), ('1', 'l'), ('1', 'I'), ('0', 'O')),
+WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')) AS word FROM documents), n AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+f AS (SELECT word, log10(n / CAST((SELECT sum(n) FROM n) AS DOUBLE) * {_PER}) AS zipf FROM n),
+o AS (SELECT word, zipf FROM f WHERE length(word) BETWEEN 3 AND 64 AND NOT regexp_matches(word, '^\\p{{N}}+$') AND zipf < 3.5),
+p(a, b) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in _SHAPES)}),
 x AS (SELECT DISTINCT word, zipf, substr(word, 1, i - 1) || b || substr(word, i + length(a)) AS other FROM (SELECT o.*, p.*, unnest(range(1, length(word) + 1)) AS i FROM o, p) WHERE substr(word, i, length(a)) = a)
 SELECT x.word, array_to_string(list_sort(list(DISTINCT other)), ',') AS choices FROM x JOIN f ON x.other = f.word WHERE f.zipf >= 2.5 AND f.zipf >= x.zipf + 0.8 GROUP BY x.word
 """
 )
 def misread_words(spark, sf_dir):
-    freq = spark.createDataFrame([("modern", 5.0), ("clear", 5.0), ("hello", 5.0), ("well", 5.0), ("dear", 5.0), ("corner", 4.0), ("he1lo", 2.6)], "word string, zipf double")
-    words = spark.createDataFrame([(w,) for w in ("modern", "rnodern", "clear", "hello", "he11o", "dear", "vvell", "well", "rn", "corner", "1234")], "word string")
-    return markdown.pick_corrections(words, freq).select("word", F.array_join("choices", ",").alias("choices"))
+    """Rare words of the documents that a misread shape would make out of a frequent one."""
+    freq = cut_lineage(markdown.corpus_frequencies(F.col("text"), table(spark, sf_dir, "documents"), _PER))
+    return markdown.pick_corrections(freq, freq, _SHAPES).select("word", F.array_join("choices", ",").alias("choices"))
 
 
 @query("SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '|') AS before, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING), '|') AS after FROM conversations")
@@ -460,6 +469,24 @@ def quote_grounding(spark, sf_dir):
     return quotes.contained(b, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.col("text").alias("page")))
 
 
+@query(
+    f"""
+WITH p AS (SELECT doc_id, text, regexp_replace(regexp_replace(replace(text, chr(173), ''), '(\\p{{L}})-[\\r\\n][{_S}]*(\\p{{L}})', '\\1\\2', 'g'), '[{_S}]+', ' ', 'g') AS plain FROM documents)
+SELECT item_id AS quote_id, doc_id AS page_id, CASE WHEN contains(p.text, b.text) THEN CAST(instr(p.text, b.text) - 1 AS INT) END AS start, CASE WHEN contains(p.text, b.text) THEN CAST(instr(p.text, b.text) - 1 + length(b.text) AS INT) END AS "end"
+FROM benchmark b JOIN p ON contains(p.plain, regexp_replace(regexp_replace(b.text, '[{_S}]+', ' ', 'g'), '^ +| +$', '', 'g'))
+"""
+)
+def loose_quotations(spark, sf_dir):
+    """Quotations broken by soft hyphens and by hyphens at line ends, sought on all pages; and their places where a page has them unbroken."""
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    soft = F.regexp_replace("text", r"(\p{L}{3})(\p{L}{3})", "$1\u00ad$2")
+    broken = F.regexp_replace(F.regexp_replace(soft, r"(\p{L}{2})(\p{L})(?=\s)", "$1-\n $2"), " (?=\\p{L})", "\n\t ")
+    found = quotes.sought(b.select(F.col("item_id").alias("quote_id"), broken.alias("quote")), d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("page")))
+    whole = found.join(b.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), "quote_id").join(d.select(F.col("doc_id").alias("page_id"), F.col("text").alias("page")), "page_id")
+    literal = F.instr("page", F.col("quote")) > 0
+    return whole.select("quote_id", "page_id", F.when(literal, F.col("start")).alias("start"), F.when(literal, F.col("end")).alias("end"))
+
+
 @query(f"SELECT item_id AS quote_id, doc_id AS page_id, regexp_replace(b.text, '^[{_S}]+|[{_S}]+$', '', 'g') AS resolved FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def quote_resolution(spark, sf_dir):
     """Quotations with other white space than the pages that hold them, resolved to the pages' wording."""
@@ -561,6 +588,28 @@ def _retrieved(spark, sf_dir) -> DataFrame:
     return similarity.retrieve(q, items, members, 0.25, 3)
 
 
+@query(
+    f"""
+WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT q.query_id, e.vec_id AS item_id, e.label AS source, round(list_cosine_similarity(q.v, CAST(e.embedding AS DOUBLE[])), 6) AS similarity, e.vec_id // 10 = q.query_id // 10 AS direct FROM q, embeddings e),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY direct DESC, similarity DESC, item_id) AS rank FROM s WHERE direct OR similarity >= 0.3),
+g AS (SELECT query_id, source, string_agg(item_id, ',' ORDER BY rank) AS ids, count(*) AS n FROM r WHERE direct OR rank <= 16 GROUP BY query_id, source)
+SELECT q.query_id, l.source, coalesce(ids, '') AS ids, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'not_covered' ELSE 'asked' END AS coverage FROM q CROSS JOIN (SELECT DISTINCT label AS source FROM embeddings) l LEFT JOIN g ON g.query_id = q.query_id AND g.source = l.source
+"""
+)
+def aligned_candidates(spark, sf_dir):
+    """What alignment shows of every source: a family's own members first, then similar facts, up to 16 places."""
+    e = table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    items = e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("source"), "embedding")
+    members = e.select((F.col("vec_id") - F.col("vec_id") % 10).alias("query_id"), F.col("vec_id").alias("item_id"))
+    shown = similarity.candidates(similarity.retrieve(q, items, members, 0.3, 16))
+    bare = similarity.not_covered(q, items, shown)
+    return shown.select("query_id", "source", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), F.size("ids").cast("long").alias("n"), F.lit("asked").alias("coverage")).unionByName(
+        bare.select("query_id", "source", F.lit("").alias("ids"), F.lit(0).cast("long").alias("n"), "coverage")
+    )
+
+
 @query(
     f"""
 WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0),
@@ -911,12 +960,11 @@ def formulas(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(T.math_spans(text), "|").alias("spans"), T.latex_body(body).alias("body"))
 
 
-@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE regexp_matches(text, '[^" + _S + "]')")
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '([.!?。！？।])', '\\1 ', 'g'), '[" + _S + "]+', ' ', 'g'), '^ +| +$', '', 'g')) AS digest FROM documents WHERE regexp_matches(text, '[^" + _S + "]')")
 def segments_joined(spark, sf_dir):
-    """Texts put together again from their segments: where all gaps between sentences are one space, as they were."""
-    parts = table(spark, sf_dir, "documents").where(~T.is_blank(F.col("text"))).select("doc_id", "text", segment.segment(F.regexp_replace("text", r"([.!?。！？।])", "$1"), 100_000).alias("s"))
-    same = F.regexp_replace(segment.joined(F.col("s")), r"\s+", "") == F.regexp_replace("text", r"\s+", "")
-    return parts.select("doc_id", F.when(same, F.sha2("text", 256)).alias("digest"))
+    """Texts put together again from their segments; the joined text's digest, with one space for any white space."""
+    parts = table(spark, sf_dir, "documents").where(~T.is_blank(F.col("text"))).select("doc_id", segment.segment(F.col("text"), 100_000).alias("s"))
+    return parts.select("doc_id", F.sha2(T.collapse(segment.joined(F.col("s"))), 256).alias("digest"))
 
 
 @query("SELECT conv_id AS doc, 'pending_human_review' AS status FROM conversations GROUP BY conv_id HAVING bool_or(length(text) < 40)")

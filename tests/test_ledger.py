@@ -1,11 +1,13 @@
 """The claim ledger, translation checks, model tables and incremental runs on hand-made cases."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph, similarity
+from corpusloom.operators import cells, graph, similarity
 from corpusloom.plans import claims, lifecycle, models, translation
 from corpusloom.sources import files
 
@@ -89,6 +91,15 @@ def test_components(spark):
     assert graph.connected_components(edges.limit(0)).count() == 0
 
 
+def test_hubs_are_split(spark):
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).unionByName(spark.createDataFrame([(200_000, 200_001)], "src long, dst long"))
+    both, hubs = graph._salted(star, "src", "dst")
+    sizes = [r["count"] for r in both.repartition(8, "b", "salt").groupBy(F.spark_partition_id()).count().collect()]
+    assert hubs.count() == 1 and max(sizes) < 2 * sum(sizes) / 8
+    got = graph.connected_components(star).groupBy("label").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 100_001), (200_000, 2)]
+
+
 def test_bounded_components(spark):
     angles = [0.0, 0.1, 0.2, 0.3, 0.4, 2.0, 2.01, 2.02, 2.03, 2.04, 2.05]
     v = spark.createDataFrame([(i, [math.cos(a), math.sin(a)]) for i, a in enumerate(angles)], "id long, embedding array<double>")
@@ -96,15 +107,87 @@ def test_bounded_components(spark):
     assert len({got[i] for i in range(5)}) >= 2 and {got[i] for i in range(5, 9)} == {(5, 0)} and {got[9], got[10]} == {(5, 1)}
 
 
-def test_radius_blocks(spark, monkeypatch):
-    import random
-
-    r = random.Random(1)
-    data = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(150)]
-    v = spark.createDataFrame(data, "id long, embedding array<double>")
-    whole = sorted((x["a"], x["b"]) for x in similarity.radius_pairs(v, 0.6).collect())
-    monkeypatch.setattr(similarity, "BLOCK", 20)
-    assert whole and sorted((x["a"], x["b"]) for x in similarity.radius_pairs(v, 0.6).collect()) == whole
+def similar(data, threshold):
+    unit = {i: np.array(v) / max(np.linalg.norm(v), 1e-12) for i, v in data}
+    return {(a, b): unit[a] @ unit[b] for a in unit for b in unit if a < b and unit[a] @ unit[b] >= threshold}
+
+
+def grouped(groups, each, dims, spread, seed):
+    g = np.random.default_rng(seed)
+    centres = g.normal(size=(groups, dims))
+    return [(int(i), (centres[i % groups] + g.normal(size=dims) * spread).tolist()) for i in range(groups * each)]
+
+
+@pytest.mark.parametrize("threshold", [0.6, -0.5])
+def test_radius_pairs_in_cells(spark, monkeypatch, threshold):
+    monkeypatch.setattr(cells, "CELL", 30)
+    monkeypatch.setattr(cells, "BLOCK", 25)
+    data = grouped(10, 12, 5, 0.3, 1) + [(1000, [0.0] * 5), (1001, [0.0] * 5), (1002, [1.0] + [0.0] * 4), (1003, [1.0] + [0.0] * 4)]
+    v = spark.createDataFrame([*data, (2000, None)], "id long, embedding array<double>")
+    got = [(r["a"], r["b"], round(r["similarity"], 9)) for r in similarity.radius_pairs(v, threshold).collect()]
+    assert sorted(got) == sorted((a, b, round(s, 9)) for (a, b), s in similar(data, threshold).items()) and got
+    named = v.withColumn("id", F.col("id").cast("string"))
+    assert similarity.radius_pairs(named, threshold).count() == len(got) == similarity.radius_pairs(named.withColumn("part", F.lit(1)), threshold, "part").count()
+    # the forest of each task keeps all components
+    edges = similarity.similar_trees(v, threshold).collect()
+    assert all(round(similar(data, threshold)[r["a"], r["b"]] - r["similarity"], 9) == 0 for r in edges)
+    for at in (threshold, threshold + 0.05):
+        assert partition([i for i, _ in data], [(r["a"], r["b"]) for r in edges if r["similarity"] >= at]) == partition([i for i, _ in data], list(similar(data, at)))
+
+
+def partition(nodes, edges):
+    label = {n: n for n in nodes}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((find(a), find(b)))
+        label[q] = p
+    return {n: find(n) for n in nodes}
+
+
+def test_radius_pairs_multiply_less_than_the_square(spark, monkeypatch):
+    monkeypatch.setattr(cells, "CELL", 20)
+    work = []
+    for groups in (20, 200):
+        v = spark.createDataFrame(grouped(groups, 10, 16, 0.05, 2), "id long, embedding array<double>")
+        work.append(cells.multiplied(cells.met(similarity._scoped(v), 0.9)))
+    assert work[1] < 30 * work[0] and work[0] < 200 * 199 / 2
+
+
+def test_spanning_forest(spark):
+    r = random.Random(4)
+    edges = [(a, b, r.randrange(8) / 8) for a in range(60) for b in range(a + 1, 60) if r.random() < 0.07 and a % 3 == b % 3]
+    got = graph.spanning_forest(spark.createDataFrame(edges, "a long, b long, similarity double")).collect()
+    assert {(x["a"], x["b"], x["similarity"]) for x in got} <= set(edges)
+    nodes = sorted({n for a, b, _ in edges for n in (a, b)})
+    assert len(got) == len(nodes) - len(set(partition(nodes, [e[:2] for e in edges]).values()))
+    for at in range(9):
+        assert partition(nodes, [(x["a"], x["b"]) for x in got if x["similarity"] >= at / 8]) == partition(nodes, [e[:2] for e in edges if e[2] >= at / 8])
+    assert graph.spanning_forest(spark.createDataFrame([], "a long, b long, similarity double")).count() == 0
+
+
+@pytest.mark.parametrize("threshold, k", [(0.5, 3), (-0.2, 4)])
+def test_retrieval_from_lists(spark, monkeypatch, threshold, k):
+    monkeypatch.setattr(cells, "CELL", 40)
+    monkeypatch.setattr(cells, "BLOCK", 15)
+    data = [(i, f"s{i % 3}", v) for i, v in grouped(12, 15, 6, 0.4, 3)] + [(900, "s0", [0.0] * 6), (901, None, grouped(1, 1, 6, 0, 9)[0][1])]
+    queries = [(i, v) for i, _, v in data if i % 7 == 0] + [(999, [0.0] * 6)]
+    members = [(q, i) for q, _ in queries for i in range(q, q + 4)]
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    got = similarity.retrieve(frame(queries, "query_id long, embedding array<double>"), frame(data, "item_id long, source string, embedding array<double>"), frame(members, "query_id long, item_id long"), threshold, k)
+    unit = lambda v: np.array(v) / max(np.linalg.norm(v), 1e-12)
+    want = []
+    for q, v in queries:
+        for source in ("s0", "s1", "s2", None):
+            found = [((q, i) not in members, -round(float(unit(v) @ unit(w)), 6), i) for i, s, w in data if s == source]
+            found = sorted(x for x in found if not x[0] or -x[1] >= threshold)
+            want += [(q, source, i, -s, not far, n) for n, (far, s, i) in enumerate(found, 1) if not far or n <= k]
+    rows = [tuple(r[c] for c in ("query_id", "source", "item_id", "similarity", "direct", "rank")) for r in got.collect()]
+    assert sorted(rows, key=repr) == sorted(want, key=repr)
 
 
 def test_direct_members_come_first(spark):

@@ -146,7 +146,8 @@ def test_copy_ratio(spark):
     assert {(r["conv_id"], r["turn"]): r["ratio"] for r in QUERIES["copy_ratio"](spark, SF).collect()} == want and want
 
 
-def test_bounded_components(spark):
+@pytest.mark.parametrize("whole", [1 << 18, 12])
+def test_bounded_components(spark, monkeypatch, whole):
     """Components at a threshold, those that are too large again at higher ones, and at last in slices."""
     rows = sorted(((r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()), key=lambda x: x[0])
     ids = [i for i, _ in rows]
@@ -175,9 +176,41 @@ def test_bounded_components(spark):
             else:
                 yield from bounded(own, threshold + 0.03, most)
 
-    for threshold, most in ((0.40, 4), (0.05, 3), (-1.0, 7)):
+    monkeypatch.setattr(graph, "WHOLE", whole)  # components that are cut by joins as well
+    for threshold, most in ((0.40, 4), (-1.0, 7)) if whole > 12 else ((0.3, 4),):
         want = sorted(bounded(range(len(ids)), threshold, most))
         got: dict = {}
         for r in graph.bounded_components(spark.read.parquet(f"{SF}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding"), threshold, most).collect():
             got.setdefault((r["group"], r["slice"]), []).append(ids.index(r["id"]))
         assert sorted(sorted(v) for v in got.values()) == want
+
+
+def test_loose_quotations(spark):
+    """Every quotation against every page, by the definition; long and short ones, broken in many ways."""
+    import random
+
+    from corpusloom.operators import quotes
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 9)))
+    texts = [[word() for _ in range(r.randint(1, 120))] for _ in range(40)]
+
+    def broken(words):
+        out = []
+        for w in words:
+            k = r.randint(1, max(1, len(w) - 1))
+            out.append(r.choice([w, w, w[:k] + "­" + w[k:], w[:k] + "-\n  " + w[k:] if len(w) > 1 else w]))
+        return "".join(w + r.choice([" ", " ", "\n", " \t", " "]) for w in out)
+
+    pages = [(i, broken(t)) for i, t in enumerate(texts)] + [(100, ""), (101, None), (102, "a-\n1 b-"), (103, " ­ ")]
+    picks = [(t, r.randrange(len(t))) for t in texts for _ in range(3)]
+    asked = [(i, broken(t[a : a + r.choice([1, 2, 5, 30])])) for i, (t, a) in enumerate(picks)] + [(900, ""), (901, None), (902, "not there at all, not anywhere"), (903, "b-"), (904, pages[3][1])]
+    want = {(q, p, *found) for q, a in asked for p, b in pages if a and a.strip() and b and (found := quotes.span(a, b))}
+    found = lambda: {tuple(x) for x in quotes.sought(spark.createDataFrame(asked, "quote_id long, quote string"), spark.createDataFrame(pages, "page_id long, page string")).select("quote_id", "page_id", "start", "end").collect()}
+    assert found() == want and len(want) > 100
+    some = quotes.LOOKED_UP
+    try:
+        quotes.LOOKED_UP = 3  # more grams than a task looks up: the same by a join
+        assert found() == want
+    finally:
+        quotes.LOOKED_UP = some

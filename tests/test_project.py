@@ -46,7 +46,7 @@ def test_run(spark, plan):
     parts = [p.read_bytes() for p in Path(told["export"]["folder"], "ledger").glob("part-*")]
     assert all(p.startswith(files.BOM.encode() + b"Fact ID,") for p in parts)
     assert ledger.columns == list(claims.LEDGER.values()) and {r["Event"] for r in ledger.collect()} == {"Bridge"}
-    assert {r["Rationale"] for r in spark.read.options(header=True, multiLine=True, escape="\"").csv(told["export"]["folder"] + "/evidence").collect()} == {"so it says"}
+    assert {r["Rationale"] for r in spark.read.options(header=True, multiLine=True, escape="\"").csv(told["export"]["folder"] + "/evidence").collect()} == {"so it says", project.UNSHOWN}
     # nothing is asked again, what is there stays
     again = plan.run()
     assert again["parse"]["new"] == again["extract"]["new"] == again["deduplicate"]["new"] == again["align"]["pairs"] == 0
@@ -56,6 +56,61 @@ def test_run(spark, plan):
     assert list(forced) == ["align", "score", "export"] and forced["align"] == {"pairs": 6}
 
 
+def test_alignment_finds_what_is_only_similar(spark, plan):
+    """A contradiction between facts that are no near-duplicates: the model is shown it because it's similar."""
+    asked = []
+
+    def embed(facts):
+        asked.append(facts.count())
+        built = F.when(F.col("text").contains("1901"), F.array(F.lit(1.0), F.lit(0.0))).when(F.col("text").contains("1902"), F.array(F.lit(0.7), F.lit(0.714)))
+        return facts.select("id", F.coalesce(built, F.array(F.lit(-1.0), F.lit(0.0))).alias("embedding"))
+
+    def align(pairs):
+        own = pairs.join(claimed(), F.array_contains("ids", F.col("id"))).groupBy("fact", "claim", "source", "ids").agg(F.collect_list(F.when(F.col("claim") == F.col("said"), F.col("id"))).alias("up"), F.collect_list(F.when(F.col("claim") != F.col("said"), F.col("id"))).alias("down"))
+        return own.select("fact", "source", F.lit("silent").alias("stance"), F.lit("D2_DATE").alias("contradiction_type"), F.lit(0.9).alias("confidence"), F.col("up").alias("support_ids"), F.col("down").alias("contradiction_ids"))
+
+    spark.createDataFrame([("S1", 1, PAGES[0][2]), ("S2", 1, "The bridge was built in 1902."), ("S3", 1, PAGES[2][2])], "source string, page_number int, text string").write.mode("overwrite").parquet(plan.path("pages"))
+    run = project.Project(spark, plan.folder, project.Models(extract, embed, align))
+    claimed = lambda: run.table("raw_facts").select("id", F.col("claim").alias("said"))
+    run.run()
+    held = {(r["claim"], r["source"]): (r["stance"], r["coverage"], r["contradiction_type"]) for r in run.table("stances").join(run.table("canonical_facts"), "fact").collect()}
+    first = "The bridge was built in 1901."
+    assert held[first, "S1"] == ("explicit_support", "covered", None) and held[first, "S2"] == ("explicit_contradiction", "covered", "D2_DATE") and held[first, "S3"] == ("silent", "not_covered", None)
+    assert held["The bridge was built in 1902.", "S1"][0] == "explicit_contradiction" and len(held) == 9
+    assert run.shown().count() == 5 and run.settings.top_k == 16
+    # vectors are kept, and only new facts are embedded and filed
+    assert run.run("deduplicate", True)["deduplicate"]["facts"] == 3 and asked == [3]
+    cells = {r["item_id"]: r["angle"] for r in run.table("fact_cells").collect()}
+    spark.createDataFrame([("S3", 2, "It fell in 1949.")], "source string, page_number int, text string").write.mode("append").parquet(plan.path("pages"))
+    run.run()
+    assert asked == [3, 1] and run.table("fact_vectors").count() == 4
+    assert {k: v for k, v in ((r["item_id"], r["angle"]) for r in run.table("fact_cells").collect()) if k in cells} == cells and run.table("fact_cells").count() == 4
+    other = project.Project(spark, plan.folder, project.Models(extract, embed, align, "another model"))
+    assert other.embed() == 4 and other.embed() == 0
+
+
+def test_a_table_survives_a_crash_while_it_is_replaced(spark, plan, monkeypatch):
+    rows = lambda n: spark.range(n).toDF("id")
+    plan.replace("t", rows(3))
+    plain = plan._rename
+    for fails in (1, 2):  # the first or the second rename
+        done = []
+
+        def rename(a, b):
+            done.append(a)
+            if len(done) == fails:
+                raise KeyboardInterrupt
+            plain(a, b)
+
+        monkeypatch.setattr(plan, "_rename", rename)
+        with pytest.raises(KeyboardInterrupt):
+            plan.replace("t", rows(5))
+        monkeypatch.setattr(plan, "_rename", plain)
+        assert plan.has("t") and plan.table("t").count() == 3
+    assert plan.replace("t", rows(5)) == 5 and plan.table("t").count() == 5
+    assert not plan.has("t.old")
+
+
 def test_changes(spark, plan):
     plan.run()
     new = [("S1", 1, PAGES[0][2]), ("S2", 1, "The bridge was built in 1902."), ("S3", 1, PAGES[2][2])]

@@ -185,6 +185,36 @@ def test_words_and_confusions(spark):
     assert not one(spark, markdown.accepted(F.lit("free text"), F.array(F.lit("modern")), F.lit("rnodern")))
 
 
+def test_misread_words_by_brute_force(spark):
+    """All exchanges of one shape, tried one by one."""
+    import random
+
+    r = random.Random(3)
+    for pairs in (markdown.CONFUSIONS, [("rn", "m"), ("a", "o"), ("o", "u"), ("m", "nn"), ("ab", "ou")]):
+        freq = {"".join(r.choice(["rn", "m", "cl", "d", "vv", "v", "w", "1", "l", "I", "0", "O", "a", "o", "u", "n", "ab"]) for _ in range(r.randint(1, 5))): r.randrange(60) / 10 for _ in range(3000)}
+        want = {}
+        for w, z in freq.items():
+            if 3 <= len(w) <= 64 and not w.isdigit() and z < 3.5:
+                others = {w[:i] + b + w[i + len(a) :] for a, b in pairs for i in range(len(w)) if w[i : i + len(a)] == a}
+                good = sorted(x for x in others - {w} if freq.get(x, 0) >= 2.5 and freq[x] >= z + 0.8)
+                if good:
+                    want[w] = good
+        df = spark.createDataFrame(list(freq.items()), "word string, zipf double")
+        assert {x["word"]: x["choices"] for x in markdown.pick_corrections(df, df, pairs).collect()} == want and len(want) > 20
+    assert markdown.shapes([("ab", "cd")]) == ({}, [("ab", "cd")])
+
+
+def test_numbers_kept_in_time(spark):
+    import time
+
+    kept = lambda a, b: one(spark, T.numbers_kept(F.array(*map(F.lit, a)), F.array(*map(F.lit, b))))
+    assert kept(["1", "2", "1"], ["1", "1", "3", "2"]) and not kept(["1", "1"], ["1", "2"]) and not kept(["1"], ["2"])
+    assert kept(["x"], ["x"]) and one(spark, T.numbers_kept(F.array().cast("array<string>"), F.array().cast("array<string>")))
+    at = time.time()
+    many = F.transform(F.sequence(F.lit(1), F.lit(32_000)), lambda i: (i % 9000).cast("string"))
+    assert one(spark, T.numbers_kept(many, F.reverse(many))) and time.time() - at < 8
+
+
 def test_reading_order(spark):
     ids = F.array(F.lit("b1"), F.lit("b2"))
     roles = F.create_map(F.lit("b1"), F.lit("title"), F.lit("b2"), F.lit("byline"))
