@@ -209,7 +209,7 @@ class Project:
             self.replace("cell_centres", self.spark.createDataFrame([(i, n, c.tolist()) for i, c in enumerate(at)] or [(cells.NOWHERE, n, [])], "cell int, facts long, centre array<double>"))
             marked = filed.join(facts.select("item_id", "mark"), "item_id")
         else:
-            at = np.array([c["centre"] for c in centres if c["cell"] != cells.NOWHERE], float).reshape(-1, len(centres[0]["centre"]))
+            at = np.array([c["centre"] for c in centres if c["cell"] != cells.NOWHERE] or np.zeros((0, 0)), float)
             old = self.table("fact_cells").join(facts.select("item_id", "source", "mark"), ["item_id", "source", "mark"], "left_semi")
             new = facts.join(old.select("item_id"), "item_id", "left_anti")
             dealt = cells.deal(cells.unit_items(new), at).join(new.select("item_id", "mark"), "item_id")
