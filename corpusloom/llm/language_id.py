@@ -6,7 +6,8 @@ are bit masks over the languages: one lookup returns all languages that hold a t
 the fullest language needs for a wanted rate of false positives; where memory doesn't allow so many, the rate rises. A
 text's per-language hit counts, corrected for the rate of false positives, decide.
 
-A text that is null or has no letter is `und` with score 0. Without any labelled document everything is `und`.
+A text that is null or has no letter is `und` with score 0. Without any labelled document everything is `und`; an empty table gives
+no rows.
 Ties go to the language that sorts first. Repeated rows get equal results, other columns are carried by `keep`. Texts
 may be of any length. A document without an id counts as held out: nothing is learned from it.
 """

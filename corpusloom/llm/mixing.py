@@ -6,6 +6,7 @@ through the sources' cumulative targets; a slot's rank within its source names t
 schedule alone decides how far a source is read, within a few blocks of its target, and in which order. Null texts have
 size 0 and are never taken; a source whose size is 0 has target 0; repeated rows are documents of their own; null ids are
 shuffled by their texts; an empty table gives an empty mix. The null source sorts last. Texts may have any length.
+Columns beside doc_id, source and text don't disturb, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ positions of two fingerprints is their likeness. A text shorter than k is one k-
 equal texts have equal fingerprints, and two empty texts are alike with 1.
 
 Of documents that share a doc_id, the one whose text sorts first comes first; a null doc_id sorts before all others.
-The next document of the last one is the first one, so a single document is its own next. An empty table gives no rows. Texts may be of any length.
+The next document of the last one is the first one, so a single document is its own next. An empty table gives no rows. Texts may be of any length. Columns
+beside doc_id and text don't disturb, whatever their names.
 """
 
 from __future__ import annotations

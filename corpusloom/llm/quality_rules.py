@@ -2,7 +2,8 @@
 
 Null text counts as empty. An empty text has no words, fails the rule too_short and is dropped by every policy
 that holds it. Repeated rows each get their own ledger row; an empty table gives an empty ledger; other columns
-of the input are carried by `keep` only, so that clashing names can't disturb.
+of the input are carried by `keep` only, so that clashing names can't disturb. Texts may be of any length; a value that
+equals a rule's limit doesn't fail it, as each rule's comparison says, and no rule depends on an order of rows.
 """
 
 from __future__ import annotations
