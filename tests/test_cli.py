@@ -86,12 +86,12 @@ def test_embed(spark):
     assert sorted(r["id"] for r in models.stale(old, "m").collect()) == [2, 3, 4]
 
 
-def test_math_shield():
+def test_math_shield(spark):
     text = r"a $x$ and \[y\] or \$5"
-    shielded, held = markdown.shield_math(text, "Q")
-    assert "$x$" not in shielded and markdown.unshield_math(shielded, held) == text
-    with pytest.raises(ValueError):
-        markdown.unshield_math("gone", held)
+    m = markdown.shield_math_column(F.col("t"), F.lit("Q"))
+    back = lambda said: markdown.unshield_math_column(said, m["formulas"])
+    got = spark.createDataFrame([(text,)], "t string").select(m["text"].alias("said"), back(m["text"]).alias("back"), back(F.lit("gone")).alias("gone")).first()
+    assert "$x$" not in got["said"] and got["back"] == text and got["gone"] is None
 
 
 def test_pieces_between_batches(spark):

@@ -1,7 +1,10 @@
 """Operators that SQL can't state, against plain versions, tables of cases, and properties."""
 
 import difflib
+import random
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import graph, markdown, segment
 from corpusloom.queries import QUERIES
+from tests import plain_markdown
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,16 +113,60 @@ TEXTS = st.text(st.sampled_from("ab. !#-\n`~$|\\[]()<>*_1é­\t"), max_size=120)
 def test_markdown_properties(text):
     runs = markdown.runs(text)
     assert "".join(text[a:b] for _, a, b in runs) == text
-    shielded, held = markdown.shield(text)
-    assert markdown.unshield(shielded, held) == text
     chunks = markdown.chunks(text, 6)
     assert "".join(x for x, _ in chunks) == text and all(len(x.split()) <= 6 for x, free in chunks if free)
-    formulas, kept = markdown.shield_math(text, "Q")
-    assert markdown.unshield_math(formulas, kept) == text
     parts = segment.segments(text, 8)
     assert "".join("".join("".join(p) for p in parts).split()) == "".join(text.split())
 
 
+def test_shields_by_brute_force(spark):
+    """Many texts at once: shields, whole and damaged ones taken back, formulas, bylines."""
+    r = random.Random(5)
+    bits = [*"ab. !#-\n`~$|\\[]()<>*_1é\t\r", "# ", "\n# ab\n", "\n## b\n", "1. ", "](http://a.b/c)", "https://x.y/z ", "$x$", "\\(y\\)", "\u00a0", "\u2028", "😀", "٣) ", "ZXQMARKDOWN0QXZ", "ZXQMARKDOWN01QXZ", "ZXQMARKDOWN999QXZ", "MATHqN0E"]
+    texts = ["", *("".join(r.choice(bits) for _ in range(r.randint(1, 40))) for _ in range(1500))]
+    rows = [(i, x, r.choice(["ab", "b", "a.b", "\\E"]), r.choice(["ab", "b"])) for i, x in enumerate(texts)]
+    df = spark.createDataFrame([*rows, (-1, None, None, None)], "i int, t string, said string, title string").repartition(8)
+    hurt = lambda c, name: F.when(F.col("i") % 3 == 0, c).when(F.col("i") % 3 == 1, F.replace(c, F.lit(name(1)), F.lit(""))).otherwise(F.concat(c, F.lit(" " + name(0))))
+    sign, math = "ZXQMARKDOWN{}QXZ".format, "MATHqN{}E".format
+    got = df.select("*", markdown.shield_column(F.col("t")).alias("s"), markdown.shield_math_column(F.col("t"), F.lit("q")).alias("m")).select(
+        "*",
+        markdown.unshield_column(F.col("s.text"), F.col("s.tokens")).alias("back"),
+        markdown.unshield_column(hurt(F.col("s.text"), sign), F.col("s.tokens")).alias("hurt"),
+        markdown.unshield_math_column(F.col("m.text"), F.col("m.formulas")).alias("mback"),
+        markdown.unshield_math_column(hurt(F.col("m.text"), math), F.col("m.formulas")).alias("mhurt"),
+        markdown.attach_byline_column(F.col("t"), F.col("said"), F.col("title")).alias("a"),
+        markdown.attach_byline_column(F.col("t"), F.col("said"), F.col("title"), True).alias("b"),
+    )
+    seen, harm = Counter(), lambda i, x, name: x if i % 3 == 0 else x.replace(name(1), "") if i % 3 == 1 else f"{x} {name(0)}"
+    for x in got.collect():
+        if x["i"] < 0:
+            assert all(x[c] is None for c in ("s", "m", "back", "hurt", "mback", "mhurt", "a", "b"))
+            continue
+        (said, held), (shown, kept) = plain_markdown.shield(x["t"]), plain_markdown.shield_math(x["t"], "q")
+        assert (x["s"]["text"], x["s"]["tokens"]) == (said, held)
+        assert x["back"] == plain_markdown.unshield(said, held)
+        assert x["hurt"] == plain_markdown.unshield(harm(x["i"], said, sign), held)
+        assert (x["m"]["text"], x["m"]["formulas"]) == (shown, kept)
+        if "MATHqN" not in x["t"]:  # a mark is chosen so that the text doesn't hold it
+            assert x["mback"] == x["t"] and x["mhurt"] == plain_markdown.unshield_math(harm(x["i"], shown, math), kept)
+        assert x["a"] == plain_markdown.attach_byline(x["t"], x["said"], x["title"])
+        assert x["b"] == plain_markdown.attach_byline(x["t"], x["said"], x["title"], True)
+        seen.update(back=x["back"] is None, hurt=x["hurt"] is None, whole=x["hurt"] is not None, kept=len(kept) > 1, moved=x["a"] is not None, put=x["b"] is not None)
+    assert min(seen.values()) > 5 and len(seen) == 6
+
+
+def test_shields_of_long_texts(spark):
+    text = "*a* [b](http://c/d)\n" * 20_000
+    df = spark.createDataFrame([(text,)], "t string").select("t", markdown.shield_column(F.col("t")).alias("s"))
+    at = time.time()
+    assert df.select((markdown.unshield_column(F.col("s.text"), F.col("s.tokens")) == F.col("t")).alias("ok")).first()["ok"] and time.time() - at < 20
+
+
+def test_shields_need_no_python(spark, capsys):
+    QUERIES["markdown_tokens"](spark, SF).explain()
+    assert "Python" not in capsys.readouterr().out
+
+
 def test_chunks_of_documents(spark):
     """Documents without headings, code or front matter: paragraphs are put together as long as the limit allows."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -149,24 +149,23 @@ def test_markdown_chunks():
         markdown.chunks("abc", 2, len)
 
 
-def test_shield():
+def test_shield(spark):
     text = "# A *b* [c](http://x.y/z) `d`\n- e <f>\n| g |\n---\n"
-    shielded, held = markdown.shield(text)
-    assert markdown.unshield(shielded, held) == text
-    with pytest.raises(ValueError):
-        markdown.unshield(shielded.replace("ZXQMARKDOWN0QXZ", ""), held)
+    s = markdown.shield_column(F.col("t"))
+    assert one(spark, markdown.unshield_column(s["text"], s["tokens"]), t=text) == text
+    assert one(spark, markdown.unshield_column(F.replace(s["text"], F.lit("ZXQMARKDOWN0QXZ"), F.lit("")), s["tokens"]), t=text) is None
 
 
-def test_interrupted():
+def test_interrupted(spark):
     text = "# Story\n\nIt was pro-\n\n# A Person\n\nlonged by rain."
     joined, changes = markdown.join_interrupted(text, lambda w: 5.0 if w == "prolonged" else 0.0)
     assert joined == "# Story\n\n*A Person*\n\nIt was prolonged by rain." and len(changes) == 1
     assert markdown.join_interrupted(text, lambda w: 0.0) == (text, [])
     assert markdown.join_interrupted("pro-\n\n# A Person\n\nlonged")[1] == []
-    assert markdown.attach_byline("# T\n\n## P\nbody", "P", "T") == "# T\n\n*P*\n\nbody"
-    with pytest.raises(ValueError):
-        markdown.attach_byline("# T", "P", "T")
-    assert markdown.attach_byline("# T", "P", "T", True) == "# T\n\n*P*"
+    moved = lambda text, *ok: one(spark, markdown.attach_byline_column(F.col("t"), F.lit("P"), F.lit("T"), *ok), t=text)
+    assert moved("# T\n\n## P\nbody") == "# T\n\n*P*\n\nbody"
+    assert moved("# T") is None
+    assert moved("# T", True) == "# T\n\n*P*"
 
 
 def test_refine_math():
