@@ -456,8 +456,7 @@ SELECT user_id, CAST(s AS INT) AS s, CAST(e AS INT) AS e FROM r WHERE taken
 def greedy_spans(spark, sf_dir):
     start = ((F.col("event_id") * 7) % 40).cast("int")
     rows = table(spark, sf_dir, "events").select("user_id", start.alias("start"), (start + 1 + F.col("event_id") % 7).cast("int").alias("end")).distinct()
-    held = rows.groupBy("user_id").agg(F.collect_list(F.struct("start", "end")).alias("xs"))
-    return held.select("user_id", F.explode(protect.non_overlapping(F.col("xs"))).alias("x")).select("user_id", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+    return protect.greedy(rows, "user_id").select("user_id", F.col("start").alias("s"), F.col("end").alias("e"))
 
 
 # --- quotations, facts ---------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph, markdown, segment
+from corpusloom.operators import graph, markdown, protect, segment
 from corpusloom.queries import QUERIES
 from tests import plain_markdown
 
@@ -167,6 +167,29 @@ def test_shields_need_no_python(spark, capsys):
     assert "Python" not in capsys.readouterr().out
 
 
+def test_greedy_spans_of_any_size(spark):
+    """Against the fold, with a key that holds most spans, in chains and apart, over many ranges; and a plain version."""
+    r = random.Random(7)
+    rows = [(r.choice(["hot"] * 6 + ["a", "b", None]), r.randrange(20_000), r.randrange(1, 30), f"x{i}") for i in range(6000)]
+    rows += [("chain", i * 2, 3, "c") for i in range(500)] + [("same", 5, n, str(i)) for n in (1, 4, 4) for i in range(200)] + [("a", 7, 0, "empty"), ("a", 9, -3, "reversed"), ("a", None, None, "null")]
+    df = spark.createDataFrame([(k, s, None if s is None else s + n, x) for k, s, n, x in rows], "user string, start int, end int, _it string").repartition(8)
+    want = {}
+    for k, s, n, x in sorted((x for x in rows if x[1] is not None and x[2] > 0), key=lambda x: (str(x[0]), x[1], -x[2], x[3])):
+        if not want.get(k) or s >= want[k][-1][1]:
+            want.setdefault(k, []).append((s, s + n, x))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {}
+        for x in protect.greedy(df, "user").collect():
+            got.setdefault(x["user"], []).append((x["start"], x["end"], x["_it"]))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert {k: sorted(v) for k, v in got.items()} == want and len(got) == 6 and want["same"] == [(5, 9, "0")]
+    fold = df.where("user = 'b'").groupBy("user").agg(F.collect_list(F.struct("start", "end")).alias("xs")).select(F.explode(protect.non_overlapping(F.col("xs"))).alias("x")).select("x.*")
+    assert sorted(map(tuple, fold.collect())) == [(s, e) for s, e, _ in want["b"]]
+    assert protect.greedy(df.limit(0), "user").columns == df.columns and protect.greedy(df.limit(0), "user").count() == 0
+
+
 def test_chunks_of_documents(spark):
     """Documents without headings, code or front matter: paragraphs are put together as long as the limit allows."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
