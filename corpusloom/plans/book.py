@@ -51,7 +51,7 @@ def translate(docs: DataFrame, targets: list[str], model: Callable[[DataFrame],
         told = asked.join(model(asked).select("key", "candidate"), "key", "left").select("key", F.coalesce("candidate", F.lit("")).alias("candidate"))
         back = open_.join(told, "key").withColumn("said", protect.restored(F.col("candidate"), F.col("shown.replacements")))
         missing = translation.missing_terms(F.col("part.text"), F.col("said.text"), F.col("terms"))
-        judged = translation.heuristic(F.col("part.text"), F.col("said.text"), missing, F.col("said.issues"), translation.copy_ratio(F.col("part.text"), F.col("said.text")))
+        judged = translation.heuristic(F.col("part.text"), F.col("said.text"), missing, F.col("said.issues"), translation.copy_ratio(F.col("part.text"), F.col("said.text"), translation.COPY))
         rows = back.withColumn("q", judged).select("key", F.lit(attempt).alias("attempt"), F.col("part.text").alias("source"), F.col("said.text").alias("candidate"), F.lit(None).cast("string").alias("reference"), F.col("q.score").alias("heuristic"), "q.issues")
         made = cut_lineage(translation.scored(rows, estimate).select("key", "attempt", "candidate", "score", "issues", (F.col("score") >= settings.threshold).alias("passed")))
         tried = made if tried is None else tried.unionByName(made)

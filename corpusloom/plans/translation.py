@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
@@ -21,9 +22,22 @@ THRESHOLD = 0.72
 UNESTIMATED = "quality was not estimated by a model: human review required"
 
 
-def copy_ratio(source: Column, candidate: Column) -> Column:
-    """How much of the source the candidate copies, without regard to case."""
-    return arrow(lambda a, b: SequenceMatcher(None, a.casefold(), (b or "").casefold()).ratio(), "double")(source, candidate)
+def copy_ratio(source: Column, candidate: Column, least: float = 0.0) -> Column:
+    """How much of the source the candidate copies, without regard to case: the share of both that is in matching blocks.
+
+    0 where lengths or the characters in common tell already that it's not above `least`, which takes linear time; only
+    other pairs are compared block by block. With `least` 0 it's always the exact ratio."""
+
+    def ratio(a, b):
+        a, b = a.casefold(), (b or "").casefold()
+        whole = len(a) + len(b)
+        if a == b:
+            return 1.0
+        if 2 * min(len(a), len(b)) <= least * whole or 2 * (Counter(a) & Counter(b)).total() <= least * whole:
+            return 0.0
+        return SequenceMatcher(None, a, b).ratio()
+
+    return arrow(ratio, "double")(source, candidate)
 
 
 def missing_terms(source: Column, candidate: Column, glossary: Column) -> Column:

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.operators import graph, markdown, protect, segment
+from corpusloom.plans import translation
 from corpusloom.queries import QUERIES
 from tests import plain_markdown
 
@@ -190,6 +191,28 @@ def test_greedy_spans_of_any_size(spark):
     assert protect.greedy(df.limit(0), "user").columns == df.columns and protect.greedy(df.limit(0), "user").count() == 0
 
 
+def test_copy_ratio_with_a_bound(spark):
+    """Random pairs, some near copies: exact above the bound, 0 only where the ratio isn't above it."""
+    r = random.Random(11)
+    rows = []
+    for i in range(600):
+        a = "".join(r.choice("abcde fgHIJ é") for _ in range(r.randrange(300)))
+        b = "".join(c if r.random() > r.choice([0.02, 0.3]) else r.choice(["", "x", "zz"]) for c in a) if i % 3 else "".join(r.sample(a, len(a)))
+        rows.append((i, a, b))
+    df = spark.createDataFrame([*rows, (-1, None, "x"), (-2, "x", None), (-3, "", "")], "i int, a string, b string")
+    got = {x["i"]: (x["r"], x["s"]) for x in df.select("i", translation.copy_ratio(F.col("a"), F.col("b")).alias("r"), translation.copy_ratio(F.col("a"), F.col("b"), 0.85).alias("s")).collect()}
+    want = {i: difflib.SequenceMatcher(None, a.casefold(), b.casefold()).ratio() for i, a, b in rows}
+    assert all(got[i][0] == x and (got[i][1] == x or x <= 0.85 and got[i][1] == 0) for i, x in want.items())
+    assert sum(got[i][1] > 0.85 for i in want) > 50 and sum(got[i][1] == 0 for i in want) > 20
+    assert (got[-1], got[-2], got[-3]) == ((None, None), (0.0, 0.0), (1.0, 1.0))
+
+
+def test_long_texts_that_are_no_copies(spark):
+    df = spark.createDataFrame([("abcdefgh " * 12_000, "ijklmnop " * 12_000)], "a string, b string")
+    at = time.time()
+    assert df.select(translation.copy_ratio(F.col("a"), F.col("b"), 0.85).alias("r")).first()["r"] == 0 and time.time() - at < 10
+
+
 def test_chunks_of_documents(spark):
     """Documents without headings, code or front matter: paragraphs are put together as long as the limit allows."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
