@@ -67,14 +67,22 @@ def _sides(support: Column, against: Column) -> Column:
     return F.concat(F.transform(support, lambda i: F.struct(i.alias("id"), F.lit(True).alias("is_up"))), F.transform(against, lambda i: F.struct(i.alias("id"), F.lit(False).alias("is_up"))))
 
 
+def strongest(is_up: Column, evidence_class: Column, confidence: Column, verified: Column, policy: Policy = Policy()) -> list[Column]:
+    """Aggregates over the evidence of a decision: up and down, the strongest verified evidence on either side, null without
+    any, and classes, a bit for each class of the supporting one in the order of the multipliers. is_up: which side; null: none."""
+    kind = F.when(evidence_class.isin(*policy.multipliers), evidence_class).otherwise("E7")
+    factor = lookup(kind, {k: str(v) for k, v in policy.multipliers.items()}).cast("double") * clamp(confidence)
+    bit = lookup(kind, {k: str(1 << i) for i, k in enumerate(policy.multipliers)}).cast("int")
+    of = lambda up, c: F.when(verified & (is_up == up), c)
+    return [F.max(of(True, factor)).alias("up"), F.max(of(False, factor)).alias("down"), F.bit_or(of(True, bit)).alias("classes")]
+
+
 def evidence_factors(decisions: DataFrame, evidence: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """fact, source, up, down and classes: the strongest verified evidence among a decision's supporting and contradicting
-    ids, and the classes of the supporting ones; null without any. One pass over both kinds of ids."""
+    """fact, source and the columns of `strongest`, by a decision's supporting and contradicting ids: one pass over both
+    kinds of ids. Evidence that carries its fact and source needs no ids: group it by these with `strongest`."""
     each = decisions.select("fact", "source", F.explode(_sides(F.array_distinct("support_ids"), F.array_distinct("contradiction_ids"))).alias("e")).select("fact", "source", "e.*")
-    kind = F.when(F.col("evidence_class").isin(*policy.multipliers), F.col("evidence_class")).otherwise("E7")
-    known = evidence.where("verified").select("id", kind.alias("kind"), (lookup(kind, {k: str(v) for k, v in policy.multipliers.items()}).cast("double") * clamp(F.col("confidence"))).alias("f"))
-    of = lambda up, c: F.when(F.col("is_up") == up, F.col(c))
-    return each.join(known, "id").groupBy("fact", "source").agg(F.max(of(True, "f")).alias("up"), F.max(of(False, "f")).alias("down"), F.array_sort(F.collect_set(of(True, "kind"))).alias("classes"))
+    known = evidence.where("verified").select("id", "evidence_class", F.col("confidence").alias("_c"))
+    return each.join(known, "id").groupBy("fact", "source").agg(*strongest(F.col("is_up"), F.col("evidence_class"), F.col("_c"), F.lit(True), policy))
 
 
 def strengths(stance: Column, contradiction_type: Column, policy: Policy = Policy()) -> tuple[Column, Column]:
@@ -85,25 +93,29 @@ def strengths(stance: Column, contradiction_type: Column, policy: Policy = Polic
     return support, against
 
 
-def contributions(decisions: DataFrame, evidence: DataFrame, sources: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Every decision with cluster, q, support and against: quality x evidence x confidence x strength."""
-    factors = evidence_factors(decisions, evidence, policy)
+def contributions(decisions: DataFrame, evidence: DataFrame | None, sources: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Every decision with cluster, q, support and against: quality x evidence x confidence x strength.
+
+    decisions: one row for each fact and source. evidence: sought by the decisions' ids; None where the decisions have the
+    columns of `strongest` already."""
+    rows = decisions if evidence is None else decisions.join(evidence_factors(decisions, evidence, policy), ["fact", "source"], "left")
     s, a = strengths(F.col("stance"), F.col("contradiction_type"), policy)
     weight = F.col("q") * clamp(F.col("confidence"))
-    rows = decisions.join(sources.select("source", "cluster", "q"), "source").join(factors, ["fact", "source"], "left")
-    return rows.withColumn("support", weight * F.coalesce("up", F.lit(0.0)) * s).withColumn("against", weight * F.coalesce("down", F.lit(0.0)) * a).withColumn("classes", F.coalesce("classes", F.array().cast("array<string>")))
+    rows = rows.join(sources.select("source", "cluster", "q"), "source")
+    return rows.withColumn("support", weight * F.coalesce("up", F.lit(0.0)) * s).withColumn("against", weight * F.coalesce("down", F.lit(0.0)) * a).withColumn("classes", F.coalesce("classes", F.lit(0)))
 
 
-def cluster_masses(rows: DataFrame) -> DataFrame:
-    """Per fact and cluster the strongest support and contradiction, the best quality that covers the fact, and counts."""
-    has = lambda c: F.array_contains("classes", c)
+def cluster_masses(rows: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Per fact and cluster the strongest support and contradiction, the best quality that covers the fact, and counts.
+    Every fact has one row of a source, so sources are counted by rows and all sums begin before the shuffle."""
+    bit = {k: 1 << i for i, k in enumerate(policy.multipliers)}
     return rows.groupBy("fact", "cluster").agg(
         F.max("support").alias("support"),
         F.max("against").alias("against"),
         F.max(F.when(F.col("coverage") != "not_covered", F.col("q"))).alias("covered"),
         F.count_if(F.col("support") > 0).alias("supporting"),
         F.count_if(F.col("against") > 0).alias("contradicting"),
-        *[F.count_distinct(F.when(has(c), F.col("source"))).alias(c) for c in ("E1", "E2", "E4")],
+        *[F.count_if(F.col("classes").bitwiseAND(bit[c]) > 0).alias(c) for c in ("E1", "E2", "E4")],
         F.count("*").alias("decisions"),
     )
 
@@ -169,9 +181,10 @@ def total_cluster_quality(sources: DataFrame) -> DataFrame:
     return sources.groupBy("cluster").agg(F.max("q").alias("q")).agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("total"))
 
 
-def score_facts(facts: DataFrame, decisions: DataFrame, evidence: DataFrame, sources: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def score_facts(facts: DataFrame, decisions: DataFrame, evidence: DataFrame | None, sources: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Scores of all facts that have decisions; evidence as in `contributions`."""
     total = F.broadcast(total_cluster_quality(sources))  # one row
-    return scores(facts.crossJoin(total), cluster_masses(contributions(decisions, evidence, sources, policy)), F.col("total"), policy).drop("total")
+    return scores(facts.crossJoin(total), cluster_masses(contributions(decisions, evidence, sources, policy), policy), F.col("total"), policy).drop("total")
 
 
 def incomplete(facts: DataFrame, sources: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -186,15 +199,20 @@ def open_pairs(facts: DataFrame, sources: DataFrame, decisions: DataFrame) -> Da
     return facts.select("fact").crossJoin(sources.select("source")).join(decisions.select("fact", "source"), ["fact", "source"], "left_anti")
 
 
+def held_stance(stance: Column, up: Column, down: Column) -> Column:
+    """The stance that evidence bears out; up, down: whether there is any on that side."""
+    return (
+        F.when(up & down, "mixed")
+        .when(up, F.when(stance.isin("explicit_support", "implicit_support"), stance).otherwise("explicit_support"))
+        .when(down, "explicit_contradiction")
+        .otherwise("silent")
+    )
+
+
 def sanitized(stance: Column, support: Column, against: Column, kind: Column, allowed: Column) -> Column:
     """A model's decision, held to the evidence that it was shown: ids outside of it go, stance and coverage follow."""
     up, down = (F.filter(x, lambda i: F.array_contains(allowed, i)) for x in (support, against))
-    s = (
-        F.when((F.size(up) > 0) & (F.size(down) > 0), "mixed")
-        .when(F.size(up) > 0, F.when(stance.isin("explicit_support", "implicit_support"), stance).otherwise("explicit_support"))
-        .when(F.size(down) > 0, "explicit_contradiction")
-        .otherwise("silent")
-    )
+    s = held_stance(stance, F.size(up) > 0, F.size(down) > 0)
     return F.struct(s.alias("stance"), F.when(s == "silent", "covered_but_silent").otherwise("covered").alias("coverage"), up.alias("support_ids"), down.alias("contradiction_ids"), F.when(F.size(down) > 0, kind).alias("contradiction_type"))
 
 
@@ -240,8 +258,9 @@ def bucket(stance: Column, coverage: Column) -> Column:
 def source_buckets(decisions: DataFrame, titles: DataFrame) -> DataFrame:
     """Per fact a column for each bucket: titles in source order, one on each line."""
     named = decisions.join(titles, "source").withColumn("bucket", bucket(F.col("stance"), F.col("coverage")))
-    held = lambda b: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.struct("source", "title")))), lambda x: x["title"]), "\n")
-    return named.groupBy("fact").agg(*[held(b).alias(b) for b in BUCKETS])
+    rows = named.groupBy("fact").agg(F.array_sort(F.collect_list(F.struct("source", "title", "bucket"))).alias("all"))
+    held = lambda b: F.array_join(F.transform(F.filter("all", lambda x: x["bucket"] == b), lambda x: x["title"]), "\n")
+    return rows.select("fact", *[held(b).alias(b) for b in BUCKETS])
 
 
 def grade_histogram(scored: DataFrame) -> DataFrame:

@@ -643,39 +643,71 @@ sc AS (SELECT fact, a, d, 100 * (a - d) / (1 + a + d) AS idx, 100 * (1 - exp(-(a
 """
 
 
-def _ledger(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """facts, decisions, evidence, sources."""
+def _sources(spark, sf_dir) -> DataFrame:
     dims = {k: ((F.col("s_suppkey") % n + 1) / n) for k, n in _DIMS.items()}
-    sources = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_nationkey").alias("cluster"), F.col("s_name").alias("title"), F.round(claims.source_quality(dims), 9).alias("q"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_nationkey").alias("cluster"), F.col("s_name").alias("title"), F.round(claims.source_quality(dims), 9).alias("q"))
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    """A row for each line: fact, source, class, confidence and is_up; and what decisions are made from."""
     classes = F.concat(F.lit("E"), (F.col("l_quantity").cast("long") % 7 + 1).cast("string"))
+    up, down = F.col("l_returnflag").isin("A", "N"), (F.col("l_returnflag") == "R") & (F.col("l_tax") < 0.02)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("source"), classes.alias("evidence_class"), (1 - 5 * F.col("l_discount")).alias("confidence"), F.when(up, True).when(down, False).alias("is_up"), (F.col("l_returnflag") == "A").alias("is_a"), "l_tax")
+
+
+def _facts(lines) -> DataFrame:
+    kinds = F.array(*[F.lit(x) for x in ("EVENT", "INTERPRETATION", "CAUSAL_INTERPRETATION", "MOTIVE_CLAIM", "REPORTED_SPEECH")])
+    return lines.select("fact").distinct().withColumn("claim_type", F.coalesce(F.get(kinds, (F.col("fact") % 9).cast("int")), F.lit("EVENT")))
+
+
+def _stance(any_a: Column) -> Column:
+    return F.when(any_a, "explicit_support").otherwise("implicit_support")
+
+
+def _uncovered(decisions: DataFrame) -> DataFrame:
+    return decisions.withColumn("coverage", F.when((F.col("stance") == "silent") & (F.col("source") % 3 == 0), "not_covered").otherwise(F.col("coverage")))
+
+
+def _ledger(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """facts, decisions with ids, evidence by id, sources."""
+    lines = _evidence(spark, sf_dir)
     # evidence of a kind within a fact and source is told apart by nothing else than its class and confidence
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fact"), F.col("l_suppkey").alias("source"), classes.alias("evidence_class"), (1 - 5 * F.col("l_discount")).alias("confidence"), "l_returnflag", "l_tax")
     lines = lines.withColumn("id", F.concat_ws(":", "fact", "source", "evidence_class", "confidence"))
-    up, down = F.col("l_returnflag").isin("A", "N"), (F.col("l_returnflag") == "R") & (F.col("l_tax") < 0.02)
-    ids = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("id"))))
-    grouped = lines.groupBy("fact", "source").agg(ids(up).alias("support"), ids(down).alias("against"), F.max(F.col("l_returnflag") == "A").alias("any_a"), F.round(1 - F.max("l_tax"), 6).alias("confidence"))
-    said = claims.sanitized(F.when(F.col("any_a"), "explicit_support").otherwise("implicit_support"), F.col("support"), F.col("against"), F.lit("D1_FACTUAL"), F.concat("support", "against"))
+    ids = lambda up: F.array_sort(F.collect_list(F.when(F.col("is_up") == up, F.col("id"))))
+    grouped = lines.groupBy("fact", "source").agg(ids(True).alias("support"), ids(False).alias("against"), F.max("is_a").alias("any_a"), F.round(1 - F.max("l_tax"), 6).alias("confidence"))
+    said = claims.sanitized(_stance(F.col("any_a")), F.col("support"), F.col("against"), F.lit("D1_FACTUAL"), F.concat("support", "against"))
     decisions = grouped.select("fact", "source", "confidence", said.alias("s")).select("fact", "source", "confidence", "s.*")
-    decisions = decisions.withColumn("coverage", F.when((F.col("stance") == "silent") & (F.col("source") % 3 == 0), "not_covered").otherwise(F.col("coverage")))
     evidence = lines.select("id", "evidence_class", "confidence", F.lit(True).alias("verified")).distinct()
-    kinds = F.array(*[F.lit(x) for x in ("EVENT", "INTERPRETATION", "CAUSAL_INTERPRETATION", "MOTIVE_CLAIM", "REPORTED_SPEECH")])
-    facts = lines.select("fact").distinct().withColumn("claim_type", F.coalesce(F.get(kinds, (F.col("fact") % 9).cast("int")), F.lit("EVENT")))
-    return facts, decisions, evidence, sources
+    return _facts(lines), _uncovered(decisions), evidence, _sources(spark, sf_dir)
+
+
+def _weighed(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """facts, decisions with the strongest of their evidence, sources: the same without ids, as each line carries its fact
+    and source."""
+    lines = _evidence(spark, sf_dir)
+    any_of = lambda up: F.coalesce(F.bool_or(F.col("is_up") == up), F.lit(False))
+    factors = claims.strongest(F.col("is_up"), F.col("evidence_class"), F.col("confidence"), F.lit(True))
+    grouped = lines.groupBy("fact", "source").agg(any_of(True).alias("any_up"), any_of(False).alias("any_down"), F.max("is_a").alias("any_a"), F.round(1 - F.max("l_tax"), 6).alias("_confidence"), *factors)
+    said = grouped.withColumn("stance", claims.held_stance(_stance(F.col("any_a")), F.col("any_up"), F.col("any_down")))
+    coverage = F.when(F.col("stance") == "silent", "covered_but_silent").otherwise("covered")
+    decisions = said.select("fact", "source", F.col("_confidence").alias("confidence"), "stance", coverage.alias("coverage"), F.when(F.col("any_down"), "D1_FACTUAL").alias("contradiction_type"), "up", "down", "classes")
+    return _facts(lines), _uncovered(decisions), _sources(spark, sf_dir)
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    return claims.score_facts(*_ledger(spark, sf_dir))
+    facts, decisions, sources = _weighed(spark, sf_dir)
+    return claims.score_facts(facts, decisions, None, sources)
 
 
 @query(f"SELECT s_suppkey AS source, round({_Q}, 9) AS q FROM supplier")
 def source_quality(spark, sf_dir):
-    return _ledger(spark, sf_dir)[3].select("source", "q")
+    return _sources(spark, sf_dir).select("source", "q")
 
 
 @query(_LEDGER + "SELECT fact, CAST(cluster AS INT) AS cluster, round(support, 6) AS support, round(against, 6) AS against, round(covered, 6) AS covered, supporting, contradicting FROM cl")
 def cluster_mass(spark, sf_dir):
-    _, decisions, evidence, sources = _ledger(spark, sf_dir)
-    rows = claims.cluster_masses(claims.contributions(decisions, evidence, sources))
+    _, decisions, sources = _weighed(spark, sf_dir)
+    rows = claims.cluster_masses(claims.contributions(decisions, None, sources))
     r = lambda c: F.round(c, 6).alias(c)
     return rows.select("fact", "cluster", r("support"), r("against"), r("covered"), "supporting", "contradicting")
 
@@ -688,7 +720,7 @@ def fact_scores(spark, sf_dir):
 
 @query(_LEDGER + "SELECT grade, count(*) AS n FROM sc GROUP BY grade")
 def grades(spark, sf_dir):
-    return claims.grade_histogram(_scored(spark, sf_dir))
+    return claims.grade_histogram(claims.score_facts(*_ledger(spark, sf_dir)))  # evidence by its ids
 
 
 @query(_LEDGER + "SELECT 'F' || lpad(CAST(row_number() OVER (ORDER BY CASE grade WHEN 'FACT_CONTESTED' THEN 0 WHEN 'FACT_ESTABLISHED' THEN 1 WHEN 'FACT_PROBABLE' THEN 2 WHEN 'FACT_PLAUSIBLE' THEN 3 ELSE 4 END, round(strength, 6) DESC, fact) AS VARCHAR), 6, '0') AS label, fact, grade FROM sc")
@@ -699,7 +731,7 @@ def ledger_order(spark, sf_dir):
 
 @query(_LEDGER + "SELECT fact, " + ", ".join(f"coalesce(string_agg(title, chr(10) ORDER BY source) FILTER (stance = '{b}'), '') AS {b}" for b in claims.BUCKETS[:4]) + ", coalesce(string_agg(title, chr(10) ORDER BY source) FILTER (stance = 'silent' AND NOT nc), '') AS covered_but_silent, coalesce(string_agg(title, chr(10) ORDER BY source) FILTER (nc), '') AS not_covered FROM con GROUP BY fact")
 def ledger_buckets(spark, sf_dir):
-    _, decisions, _, sources = _ledger(spark, sf_dir)
+    _, decisions, sources = _weighed(spark, sf_dir)
     return claims.source_buckets(decisions, sources.select("source", "title"))
 
 
@@ -710,15 +742,13 @@ _CLAIMS = _LEDGER + """, o AS (SELECT sc.*, 'Order ' || fact AS claim, o_orderpr
 """
 
 
-def _claims(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Facts in the ledger's order with what is said of them; decisions, evidence, sources."""
-    facts, decisions, evidence, sources = _ledger(spark, sf_dir)
+def _ordered(spark, sf_dir, facts: DataFrame, decisions: DataFrame, evidence: DataFrame | None, sources: DataFrame) -> DataFrame:
+    """Facts in the ledger's order with what is said of them."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fact"), F.col("o_orderpriority").alias("event"), F.col("o_orderstatus").alias("taxonomy"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("source_date"))
-    decisions = cut_lineage(decisions)
     scored = claims.score_facts(facts.join(orders, "fact", "left"), decisions, evidence, sources).withColumn("claim", F.concat(F.lit("Order "), F.col("fact").cast("string")))
     # the order is by rounded strengths, as sums differ in their last digits by engine
     ordered = claims.ledger_order(scored.withColumn("_strength", F.col("evidence_strength")).withColumn("evidence_strength", F.round("evidence_strength", 6)))
-    return ordered.withColumn("evidence_strength", F.col("_strength")).drop("_strength"), decisions, evidence, sources
+    return ordered.withColumn("evidence_strength", F.col("_strength")).drop("_strength")
 
 
 @query(
@@ -729,7 +759,9 @@ SELECT o.fact, {_PLACE} AS label, coalesce(event, '') AS event, coalesce(taxonom
   CAST(e1 AS BIGINT) AS primary_document_count, CAST(e2 AS BIGINT) AS eyewitness_count, CAST(e4 AS BIGINT) AS scholarly_count, CAST(ser AS BIGINT) AS serious_contradiction_count, {", ".join(f"coalesce({b}, '') AS {b}" for b in claims.BUCKETS)} FROM o JOIN b ON o.fact = b.fact"""
 )
 def csv_ledger(spark, sf_dir):
-    ordered, decisions, _, sources = _claims(spark, sf_dir)
+    facts, decisions, sources = _weighed(spark, sf_dir)
+    decisions = cut_lineage(decisions)
+    ordered = _ordered(spark, sf_dir, facts, decisions, None, sources)
     return claims.ledger_rows(ordered, claims.source_buckets(decisions, sources.select("source", "title")))
 
 
@@ -742,7 +774,9 @@ SELECT label, con.fact, claim, con.source, title, cluster, round(q, 6) AS q, CAS
   coalesce(x.up, '') AS supporting, coalesce(x.down, '') AS contradicting, '' AS rationale, '' AS chronology_notes, '' AS scope_notes FROM con JOIN t ON con.fact = t.fact JOIN x ON con.fact = x.fact AND con.source = x.source"""
 )
 def source_evidence(spark, sf_dir):
-    ordered, decisions, evidence, sources = _claims(spark, sf_dir)
+    facts, decisions, evidence, sources = _ledger(spark, sf_dir)
+    decisions = cut_lineage(decisions)
+    ordered = _ordered(spark, sf_dir, facts, decisions, evidence, sources)
     texts = evidence.select("id", F.concat(F.lit("Class "), "evidence_class").alias("text"))
     return claims.source_evidence(ordered, decisions, sources, texts).withColumn("q", F.round("q", 6))
 
