@@ -156,8 +156,9 @@ def frequent_words(docs: DataFrame, path: str, pattern: str, most: int = FREQUEN
         held += n
         least = level
     top = counted.where((F.col("level") >= least) | part).select(byte_string(F.col("w")).alias("w")).repartition(max(8, most // 4096))
+    top = cut_lineage(top)  # the ranks are megabytes in each description of a plan; one without a shuffle is described once
     found = top.select("w", let(ranks_literal(path), lambda ranks: word_ids(F.col("w"), ranks)).alias("ids")).toArrow()
-    drop(counted)
+    drop(counted, top)
     return found
 
 

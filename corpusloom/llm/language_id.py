@@ -160,7 +160,8 @@ def fit(labelled: DataFrame, rate: float = FALSE_RATE, room: int = MOST_BYTES) -
         rows = held.join(F.broadcast(numbered), "lang").select("gram", "which", F.lit(n).cast("long").alias("n"))
         filled = rows.mapInArrow(tidied(_masks), "slot long, word long, bit long").groupBy("slot", "word").agg(F.bit_or("bit").alias("bits"))
         part = filled.groupBy((F.col("slot") / PART).cast("int").alias("part"), "word")
-        for r in part.applyInArrow(tidied(_part), "part int, word long, bits binary").toLocalIterator():
+        packed = part.applyInArrow(tidied(_part), "part int, word long, bits binary").coalesce(-(-n // PART) * words)
+        for r in packed.toLocalIterator():  # a job for each partition
             at = r["part"] * PART
             end = min(n, at + PART)
             slots[at:end, r["word"]] = np.frombuffer(zlib.decompress(r["bits"]), np.uint64)[: end - at]

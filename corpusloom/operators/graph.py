@@ -13,36 +13,56 @@ from corpusloom.plans.storage import cut_lineage, drop
 SPOKES, HUBS = 4096, 1 << 16
 
 
-def _salted(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, DataFrame]:
-    """Every edge in both directions as a, b and salt; and node, salts of the nodes whose edges are spread over many salts,
-    which are at most HUBS."""
+def _both(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, DataFrame]:
+    """Every edge in both directions as a and b; and node, least and n: every node's smallest neighbour and how many it has."""
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     both = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    spokes = max(SPOKES, -(-both.count() // HUBS))
-    hubs = cut_lineage(both.groupBy(F.col("b").alias("node")).agg(F.ceil(F.count("*") / spokes).cast("int").alias("salts")).where("salts > 1"))
+    return both, cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"), F.count("*").alias("n")))
+
+
+def _spread(both: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Every edge with its salt; and node, salts of the nodes whose edges are spread over many salts, which are at most HUBS.
+
+    Where no node has so many edges, there is no salt, and None for these nodes."""
+    n, most = ends.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    spokes = max(SPOKES, -(-n // HUBS))
+    if most <= spokes:
+        return both, None
+    hubs = cut_lineage(ends.select("node", F.ceil(F.col("n") / spokes).cast("int").alias("salts")).where("salts > 1"))
     salt = F.coalesce(F.pmod(F.xxhash64("a"), F.col("salts")), F.lit(0)).cast("int")
-    return both.join(F.broadcast(hubs), F.col("b") == F.col("node"), "left").select("a", "b", salt.alias("salt")), hubs
+    salted = cut_lineage(both.join(F.broadcast(hubs), F.col("b") == F.col("node"), "left").select("a", "b", salt.alias("salt")))
+    drop(both)
+    return salted, hubs
+
+
+def _salted(edges: DataFrame, src: str, dst: str) -> tuple[DataFrame, DataFrame | None]:
+    return _spread(*_both(edges, src, dst))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node and label, the smallest node of its component, for every node with an edge to another one.
 
     Minima are summed up before each shuffle, and edges of a node with very many neighbours meet copies of its label, so
-    that it's no hot spot."""
-    both, hubs = _salted(edges, src, dst)
-    both = cut_lineage(both)
-    held = labels = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    that it's no hot spot. Every step costs the driver a plan and as many tasks as there are partitions, so nothing is
+    written twice, and salts are joined only where a node needs them."""
+    both, held = _both(edges, src, dst)
+    both, hubs = _spread(both, held)
+    labels = held.select("node", F.least("node", "least").alias("label"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
     while True:
-        known = labels.join(F.broadcast(hubs.withColumnRenamed("node", "_hub")), F.col("node") == F.col("_hub"), "left").select("node", "label", copies.alias("_salt"))
-        near = both.join(known, (F.col("b") == F.col("node")) & (F.col("salt") == F.col("_salt"))).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("m"))
+        if hubs is None:
+            met = both.join(labels, F.col("b") == F.col("node"))
+        else:
+            known = labels.join(F.broadcast(hubs.withColumnRenamed("node", "_hub")), F.col("node") == F.col("_hub"), "left").select("node", "label", copies.alias("_salt"))
+            met = both.join(known, (F.col("b") == F.col("node")) & (F.col("salt") == F.col("_salt")))
+        near = met.groupBy(F.col("a").alias("n")).agg(F.min("label").alias("m"))
         step = labels.join(near, F.col("node") == F.col("n")).select("node", F.col("label").alias("old"), F.least("label", "m").alias("new"))
         above = labels.select(F.col("node").alias("up"), F.col("label").alias("top"))
         spread = cut_lineage(step.join(above, F.col("new") == F.col("up"), "left").select("node", "old", F.least("new", F.coalesce("top", F.col("new"))).alias("label")))
         drop(held)
         held, labels = spread, spread.select("node", "label")
         if spread.where("label <> old").isEmpty():
-            drop(both, hubs)
+            drop(both, *[hubs] * (hubs is not None))
             return labels
 
 

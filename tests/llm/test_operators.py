@@ -687,6 +687,23 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing, "doc_id").collect()} == {"und"}
 
 
+def test_language_id_costs_few_jobs(spark):
+    """However many partitions a shuffle has, the filter's few parts come to the driver in few jobs."""
+    rows = spark.createDataFrame([(1, "some english words " * 9, "en"), (2, "quelques mots " * 9, "fr")], "doc_id long, text string, lang string")
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    spark.sparkContext.setJobGroup("fit", "fit")
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        assert language_id.fit(rows).langs == ["en", "fr"]
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit")) < 32
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_language_id_by_brute_force(spark, monkeypatch):
     """Sets of trigrams in place of the filter: the same languages, and scores up to chance hits of the filter."""
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import cells, graph, similarity
 from corpusloom.plans import claims, lifecycle, models, translation
+from corpusloom.plans.storage import cut_lineage
 from corpusloom.sources import files
 
 SOURCES = [("S1", "C1", 0.869425), ("S2", "C2", 0.830938), ("S3", "C3", 0.750691), ("S4", "C3", 0.316524)]
@@ -100,6 +101,18 @@ def test_hubs_are_split(spark):
     assert sorted(map(tuple, got)) == [(0, 100_001), (200_000, 2)]
 
 
+def test_components_cost_few_jobs(spark):
+    """Without hubs: two writes, one sum and the rounds; no table is written twice and no salts are joined."""
+    edges = cut_lineage(spark.createDataFrame([(1, 2)], "src long, dst long"))
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        labels = graph.connected_components(edges)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+        assert {tuple(r) for r in labels.collect()} == {(1, 1), (2, 1)} and jobs <= 12, jobs
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
 def test_bounded_components(spark):
     angles = [0.0, 0.1, 0.2, 0.3, 0.4, 2.0, 2.01, 2.02, 2.03, 2.04, 2.05]
     v = spark.createDataFrame([(i, [math.cos(a), math.sin(a)]) for i, a in enumerate(angles)], "id long, embedding array<double>")
