@@ -229,3 +229,8 @@ def test_header_candidates(spark):
     blocks = [("d", 0, "section_header", "Big title", 100.0, 2500.0, 900.0, 2400.0), ("d", 1, "text", "left column", 100.0, 2000.0, 1000.0, 500.0), ("d", 2, "section_header", "Writer", 1300.0, 2000.0, 1500.0, 1950.0), ("d", 3, "text", "right column", 1100.0, 1900.0, 1900.0, 500.0)]
     df = spark.createDataFrame([(*b, 2000.0, 2600.0) for b in blocks], "doc string, pos int, label string, text string, l double, t double, r double, b double, width double, height double")
     assert [(r["metadata"], r["title"]) for r in layout.header_candidates(df).collect()] == [("Writer", "Big title")]
+
+
+def test_gaps_are_white_space(spark):
+    texts = spark.createDataFrame([(f"a{chr(i)}b",) for i in range(1, 0x3100)], "t string")
+    assert texts.where((F.size(T.visible_words(F.col("t"))) == 2) != F.col("t").rlike(f"[{T.SPACE}]")).count() == 0
