@@ -412,10 +412,10 @@ def detection_text(markdown: Column) -> Column:
 def sentence_context(text: Column, start: Column, end: Column, limit: int) -> Column:
     """The sentence around a span, or null if it's longer than the limit."""
     marks = r".!?।॥\n"
-    left = F.regexp_extract(F.substring(text, F.lit(1), start), f"[^{marks}]*$", 0)
+    # all up to the last mark goes, which is sought from the end: a pattern for the rest would be tried at every character
+    left = F.regexp_replace(F.substring(text, F.lit(1), start), rf"(?s)\A.*[{marks}]", "")
     right = F.regexp_extract(F.substring(text, end + 1, F.length(text)), f"^[^{marks}]*[{marks}]?", 0)
-    found = strip(F.concat(left, F.substring(text, start + 1, end - start), right))
-    return F.when(F.length(found) <= limit, found)
+    return let(strip(F.concat(left, F.substring(text, start + 1, end - start), right)), lambda found: F.when(F.length(found) <= limit, found))
 
 
 def windows(text: Column, size: int) -> Column:
