@@ -315,3 +315,43 @@ def test_chunk_stream(spark, tmp_path):
     run()
     run()
     assert sorted(r["doc_id"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("copies, pieces, turn", [(-1, 1, 2), (-1, 5, 2), (-1, 6, 1), (math.inf, 1, 1)])
+def test_trees_by_cells_and_by_steps(spark, monkeypatch, copies, pieces, turn):
+    for name, value in {"CELL": 30, "BLOCK": 25, "COPIES": copies, "PIECES": pieces, "TURN": turn, "ROWS": 7, "COLUMNS": 11, "EDGES": 50}.items():
+        monkeypatch.setattr(cells, name, value)
+    data = grouped(10, 12, 5, 0.3, 1) + [(1000, [0.0] * 5), (1002, [1.0] + [0.0] * 4), (1003, [1.0] + [0.0] * 4)]
+    data = [(i, [float(np.float32(x)) for x in v]) for i, v in data]
+    ids = [i for i, _ in data]
+    for threshold in (0.6, -0.2) if pieces > 1 else (0.6,):
+        want = similar(data, threshold)
+        edges = similarity.similar_trees(spark.createDataFrame([*data, (2000, None)], "id long, embedding array<float>"), threshold).collect()
+        assert all(abs(want[r["a"], r["b"]] - r["similarity"]) < 1e-9 for r in edges)
+        for at in (threshold, threshold + 0.2, 0.95):
+            assert partition(ids, [(r["a"], r["b"]) for r in edges if r["similarity"] >= at]) == partition(ids, list(similar(data, at)))
+    assert similarity.similar_trees(spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.1])], "id string, embedding array<double>"), 0.5).select("a", "b").collect() == [("a", "b")]
+    assert similarity.similar_trees(spark.createDataFrame([], "id long, embedding array<float>"), 0.5).count() == 0
+
+
+def test_components_of_vectors_without_structure_take_little_disk(spark, monkeypatch):
+    """Vectors that are near all borders aren't copied to all cells; what is written is bounded for each of them."""
+    from corpusloom.plans import storage
+
+    monkeypatch.setattr(cells, "CELL", 20)
+    sizes = []
+    held = storage.cut_lineage
+
+    def counted(df):
+        out = held(df)
+        if {"v", "embedding"} & set(out.columns):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(cells, "cut_lineage", counted)
+    g = np.random.default_rng(5)
+    data = [(i, g.normal(size=64).tolist()) for i in range(600)]
+    edges = similarity.similar_trees(spark.createDataFrame(data, "id long, embedding array<float>"), 0.4).collect()
+    data = [(i, [float(np.float32(x)) for x in v]) for i, v in data]
+    assert partition(range(600), [(r["a"], r["b"]) for r in edges]) == partition(range(600), list(similar(data, 0.4)))
+    assert sum(sizes) <= 600
